@@ -40,37 +40,62 @@ ENTRY, FOOTER = struct.Struct("<IIII"), struct.Struct("<IIQBII")
 INDEX = np.dtype([("doc_id", "<i8"), ("ids", "<u4"), ("frame", "<u4")])
 #: Raw bytes at which a frame ends (at a document's end).
 FRAME_BYTES = 1 << 18
-WORD_TABLE = 500_000
+WORD_TABLE = 1_000_000
 #: The white space at which the normaliser of the word-end tokenizer cuts.
 _WHITE = re.compile("[^\t-\r \x85\xa0  -     　]+")
+#: Signs that the tokenizer parts from a letter before them.
+_SIGNS = frozenset(".,;:!?")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-class WordEncoder(dict):
-    """Word to the little-endian uint32 ids of a tokenizer that drops white space, so that texts are rows of words.
+class WordEncoder:
+    """Texts as rows of words, for a tokenizer that drops white space and marks the last id of each run of letters.
 
-    A word is encoded by the tokenizers library once and then kept, until WORD_TABLE words are kept."""
+    A word is encoded by the tokenizers library once and then kept, until WORD_TABLE words are kept. Words of letters
+    only are encoded many at a time, parted by spaces, and told apart by their last ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= WORD_TABLE:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        words = _WHITE.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        return b"".join(map(self.__getitem__, words))
+        self.last = np.zeros(self.size, bool)
+        self.last[[i for p, i in self.tokenizer.get_vocab().items() if p.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, new: set[str]) -> None:
+        words, parts = self.words, {}
+        for w in new:
+            # within Latin letters, lower case and a sign parted from the letter before it are what the tokenizer makes of them
+            stem = w[:-1] if w[-1] in _SIGNS and w[-2:-1].isalpha() and "<" not in w else w
+            low = stem.lower() if max(stem) < "\u0130" and "<" not in stem else stem
+            parts[w] = (low, w[len(stem) :])
+        need = {x for pair in parts.values() for x in pair if x}.difference(words)
+        letters = [x for x in need if x.isalpha()]
+        for k in range(0, len(letters), 2000):
+            run = letters[k : k + 2000]
+            ids = self._ids(" ".join(run))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(run):
+                words.update(zip(run, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
+        for x in need.difference(words):
+            words[x] = self._ids(x).tobytes()
+        for w, (stem, sign) in parts.items():
+            if w not in words:
+                words[w] = words[stem] + words[sign] if sign else words[stem]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian uint32."""
+        rows = [[] if not t else _WHITE.findall(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        if len(self.words) > WORD_TABLE:
+            self.words.clear()
+        if new := set().union(*rows).difference(self.words):
+            self._learn(new)
+        get = self.words.__getitem__
+        return [b"".join(map(get, r)) for r in rows]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -180,8 +205,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
                 name, temp = f"{root}/part-{part:06d}.tok", f"{root}/.{uuid.uuid4().hex}"
                 stream = store.open_output_stream(temp)
                 out = Writer(stream, 2 if max(enc.size, (end_id or 0) + 1) <= 1 << 16 else 4)
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                out.add(i, enc.encode(text.as_py()) + tail)
+            for k in range(0, b.num_rows, 128):
+                part_ids, texts = (b.column(c).slice(k, 128).to_pylist() for c in (0, 1))
+                for i, ids in zip(part_ids, enc.encode_all(texts), strict=True):
+                    out.add(i, ids + tail)
         if out is not None:
             out.close()
             stream.close()
