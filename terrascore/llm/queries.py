@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, lm_score, near_dedup, pii, piece_encoding, quality, token_files
+from . import ann, decontaminate, language_id, lm_score, near_dedup, pii, piece_encoding, quality, token_files
 from .shared import ship
 
 
@@ -30,6 +30,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", F.round("similarity", 6).alias("similarity"), "first_word")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenize_to_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
+    "op4_nearest": op4_nearest,
     "op6_token_files": op6_token_files,
     "op7_quality": op7_quality,
     "op8_piece_encoding": op8_piece_encoding,
