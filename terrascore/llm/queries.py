@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language_id, lm_score, near_dedup, pii, piece_encoding, quality, token_files
+from . import ann, decontaminate, language_id, lm_score, near_dedup, pii, piece_encoding, quality, repeats, token_files
 from .shared import ship
 
 
@@ -35,6 +35,10 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenize_to_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_nearest": op4_nearest,
+    "op5_repeats": op5_repeats,
     "op6_token_files": op6_token_files,
     "op7_quality": op7_quality,
     "op8_piece_encoding": op8_piece_encoding,
