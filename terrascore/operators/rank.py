@@ -29,7 +29,7 @@ def composite(df: DataFrame, groups: list[str], boosts: tuple[str, ...] = (), to
     w = {g: 2.0 if g in boosts[:2] else 1.0 for g in groups}
     top = sum((F.coalesce(F.col(g), F.lit(0.0)) * w[g] for g in groups), F.lit(0.0))
     low = sum((F.when(F.col(g).isNotNull(), w[g]).otherwise(0.0) for g in groups), F.lit(0.0))
-    return df.withColumn(to, F.bround(F.when(low == 0, 0.0).otherwise(top / low), 1))
+    return df.withColumn(to, F.rint(10 * F.when(low == 0, 0.0).otherwise(top / low)) / 10)
 
 
 def dealbreaker(df: DataFrame, score: str, dims: list[str], ignore: frozenset[str] = frozenset(), at: float = 12.0, cap: float = 55.0) -> DataFrame:

@@ -332,7 +332,7 @@ def sc19(spark, d):
 
 G_SQL = ", ".join(f"(coalesce({a}, 0) + coalesce({b}, 0)) / nullif(CAST({a} IS NOT NULL AS INT) + CAST({b} IS NOT NULL AS INT), 0) AS {g}" for g, (a, b) in GROUPS.items())
 GROUPED = f"g AS (SELECT *, {G_SQL} FROM scores)"
-COMPOSITE = "c AS (SELECT *, round_even(coalesce((" + " + ".join(f"coalesce({g}, 0) * {2 if g == 'g_safety' else 1}" for g in GROUPS) + ") / nullif(" + " + ".join(f"CASE WHEN {g} IS NOT NULL THEN {2 if g == 'g_safety' else 1} ELSE 0 END" for g in GROUPS) + ", 0), 0), 1) AS composite FROM g)"
+COMPOSITE = "c AS (SELECT *, round_even(10 * coalesce((" + " + ".join(f"coalesce({g}, 0) * {2 if g == 'g_safety' else 1}" for g in GROUPS) + ") / nullif(" + " + ".join(f"CASE WHEN {g} IS NOT NULL THEN {2 if g == 'g_safety' else 1} ELSE 0 END" for g in GROUPS) + ", 0), 0), 0) / 10 AS composite FROM g)"
 
 
 def composed(spark: SparkSession, d: str) -> DataFrame:
