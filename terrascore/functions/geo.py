@@ -30,7 +30,7 @@ def gauss(distance: Column, sigma: float) -> Column:
 
 def decay(day: Column, as_of: Column, half_life: float = 180.0) -> Column:
     """Half every half_life days; 1 for days to come and 0.5 for an unreadable (null) day."""
-    return F.coalesce(F.pow(F.lit(0.5), F.greatest(F.datediff(as_of, day), F.lit(0)) / half_life), F.lit(0.5))
+    return F.when(day.isNull(), 0.5).otherwise(F.pow(F.lit(0.5), F.greatest(F.datediff(as_of, day), F.lit(0)) / half_life))
 
 
 def eb_rate(count: Column, units: Column, prior: Column, k: float) -> Column:
@@ -100,9 +100,9 @@ def bedbug_score(rate: Column) -> Column:
 
 
 def road_score(index: Column) -> Column:
-    return F.greatest(F.lit(0.0), 100 - 6 * index)
+    return F.when(index.isNotNull(), F.greatest(F.lit(0.0), 100 - 6 * index))
 
 
 def air_score(index: Column) -> Column:
     """92 at an index of 8 or less, 22 at 20 or more, straight between."""
-    return 92 - 70 * (F.least(F.greatest(index, F.lit(8.0)), F.lit(20.0)) - 8) / 12
+    return F.when(index.isNotNull(), 92 - 70 * (F.least(F.greatest(index, F.lit(8.0)), F.lit(20.0)) - 8) / 12)

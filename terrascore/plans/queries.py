@@ -278,10 +278,10 @@ def nm07(spark, d):
     return stats.z_scores(view(spark, d, "scores").select("id", "d4"), "d4").select("id", F.round("score", 6).alias("score"))
 
 
-@query("nm08_absolute_maps", view_sql("scores") + " SELECT id, round(100 * exp(-d0 / 8), 6) AS street, round(100 * pow(0.5, (d1 / 1000) / 0.05), 6) AS bedbug, round(greatest(0, 100 - 6 * d2), 6) AS road, round(92 - 70 * (least(greatest(d3, 8), 20) - 8) / 12, 6) AS air FROM scores")
+@query("nm08_absolute_maps", view_sql("scores") + " SELECT id, round(100 * exp(-d0 / 8), 6) AS street, round(100 * pow(0.5, (d1 / 1000) / 0.05), 6) AS bedbug, round(CASE WHEN d2 IS NOT NULL THEN greatest(0, 100 - 6 * d2) END, 6) AS road, round(CASE WHEN d3 IS NOT NULL THEN 92 - 70 * (least(greatest(d3, 8), 20) - 8) / 12 END, 6) AS air FROM scores")
 def nm08(spark, d):
     s = view(spark, d, "scores")
-    return s.select("id", F.round(geo.street_danger_score(F.col("d0")), 6).alias("street"), F.round(geo.bedbug_score(F.col("d1") / 1000), 6).alias("bedbug"), F.round(F.when(F.col("d2").isNotNull(), geo.road_score(F.col("d2"))).otherwise(0.0), 6).alias("road"), F.round(F.when(F.col("d3").isNotNull(), geo.air_score(F.col("d3"))).otherwise(92.0), 6).alias("air"))
+    return s.select("id", F.round(geo.street_danger_score(F.col("d0")), 6).alias("street"), F.round(geo.bedbug_score(F.col("d1") / 1000), 6).alias("bedbug"), F.round(geo.road_score(F.col("d2")), 6).alias("road"), F.round(geo.air_score(F.col("d3")), 6).alias("air"))
 
 
 # scorers
