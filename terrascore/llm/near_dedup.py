@@ -40,6 +40,8 @@ BANDS = 2 * PERMUTATIONS // BAND
 SEEDS = (11, 23, 47)
 #: Members of a bucket that one block holds.
 BLOCK = 512
+#: Pairs that a probe confirms first; those that stay unlinked then confirm all that are left.
+FIRST_PAIRS = 24
 #: Ids that a broadcast may hold; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -150,19 +152,25 @@ def _best_pairs(rows: DataFrame, least: float, most: int | None) -> DataFrame:
     return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "a long, b long, est double")
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, component) after more links (a, b); only the links' ends as components go through components()."""
+    end = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    ends = cut(ends)
+    nodes = comp.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
+    to = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return nodes.join(to.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row."""
     sigs = stored(signatures(docs, n, id_col, text_col), "signatures")
     whole = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = cut(whole.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")))
-    reps = whole.join(classes, ["hi", "lo"]).where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep"])
+    reps = stored(whole.join(classes, ["hi", "lo"]).where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep"]), "representatives")
     at = F.col("k") * (4 * BAND) + 1
-    bands = stored(
-        reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k")).select("rep", F.xxhash64("k", F.substring("sig", at, F.lit(4 * BAND))).alias("bucket")),
-        "bands",
-    )
+    bands = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k")).select("rep", F.xxhash64("k", F.substring("sig", at, F.lit(4 * BAND))).alias("bucket"))
     leads = bands.groupBy("bucket").agg(F.count("*").alias("size"), *(F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(s)), "rep")).alias(f"l{s}") for s in SEEDS)).where("size > 1")
-    leads = cut(leads)
     shared = stored(bands.join(leads, "bucket"), "shared")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = shared.select("rep", F.explode(F.array_distinct(F.array(*(f"l{s}" for s in SEEDS)))).alias("lead")).where("rep <> lead").select(*pair("rep", "lead")).distinct()
@@ -170,9 +178,9 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     links = cut(confirm(tested, docs, n, percent, id_col, text_col))
     share = percent / 100
     least = share - 3.5 * (share * (1 - share) / (2 * PERMUTATIONS)) ** 0.5
-    most: int | None = 4
+    most: int | None = FIRST_PAIRS
+    comp = cut(components(links))
     while True:
-        comp = cut(components(links))
         member = shared.select("bucket", "rep", "size").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         per = member.groupBy("bucket", "component").agg(F.count("*").alias("m"))
         mixed = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")).where("parts > 1").select("bucket", "main")
@@ -190,9 +198,11 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
                 break
             most = None
             continue
-        tested = cut(tested.union(pairs))
-        links = cut(links.union(confirm(pairs, docs, n, percent, id_col, text_col)))
-        most = None if most is None or most > 1000 else most * 16
+        found = cut(confirm(pairs, docs, n, percent, id_col, text_col))
+        tested = tested.union(pairs)
+        most = None
+        if not found.isEmpty():
+            comp = cut(_merged(comp, found))
     class_of = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     linked = sigs.drop("sig").join(class_of, ["hi", "lo"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
