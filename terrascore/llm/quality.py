@@ -80,12 +80,13 @@ def training_rows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "label int, f array<int>, x array<float>")
 
 
-def train(label: np.ndarray, f: list[np.ndarray], x: list[np.ndarray], epochs: int = 8, rate: float = 2.0, batch: int = 16) -> tuple[np.ndarray, float]:
+def train(label: np.ndarray, f: list[np.ndarray], x: list[np.ndarray], epochs: int | None = None, rate: float = 2.0, batch: int = 16) -> tuple[np.ndarray, float]:
     """Stochastic gradient descent on the vectors and the softmax layer; returns (one number a feature, bias): their mean and sum is the logit."""
     rng = np.random.default_rng(7)
     e = rng.uniform(-1 / DIM, 1 / DIM, (N_FEATURES, DIM)).astype(np.float32)
     w, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     n = len(label)
+    epochs = epochs or max(8, min(200, 40_000 // n))  # few rows are gone over more often
     steps, step = max(1, epochs * ((n + batch - 1) // batch)), 0
     for _ in range(epochs):
         order = rng.permutation(n)
