@@ -11,7 +11,7 @@ No bucket is expanded into all its pairs:
    in all buckets, so that a group of copies meets few leaders; confirmed links are contracted into components;
 3. what is left are buckets that hold several components. There each member outside the bucket's largest component is
    compared, on signatures and in blocks of bounded size, with the members of other components, and the pairs that can
-   reach the threshold (their estimate lies within 3.5 standard deviations) are confirmed on the full sets, best
+   reach the threshold (their estimate lies within DEVIATIONS standard deviations) are confirmed on the full sets, best
    estimates first; this goes on with more pairs a member until nothing is left to confirm, so no candidate is dropped.
 
 Only links between different components are looked for in step 3, which is all that components need.
@@ -34,14 +34,16 @@ from .components import components
 from .shared import cut, stored
 from .textblocks import Words, blocks, distinct, mix, reduce_texts, shingles
 
-PERMUTATIONS = 48
-BAND = 4
-BANDS = 2 * PERMUTATIONS // BAND
+PERMUTATIONS = 72
+#: Bands take the first BAND * BANDS values; estimates take all.
+BAND, BANDS = 4, 24
+#: Standard deviations below the threshold at which an estimate rules a pair out.
+DEVIATIONS = 3.3
 SEEDS = (11, 23, 47)
 #: Members of a bucket that one block holds.
 BLOCK = 512
 #: Pairs that a probe confirms first; those that stay unlinked then confirm all that are left.
-FIRST_PAIRS = 24
+FIRST_PAIRS = 2
 #: Ids that a broadcast may hold; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -177,7 +179,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     tested = cut(stars)
     links = cut(confirm(tested, docs, n, percent, id_col, text_col))
     share = percent / 100
-    least = share - 3.5 * (share * (1 - share) / (2 * PERMUTATIONS)) ** 0.5
+    least = share - DEVIATIONS * (share * (1 - share) / (2 * PERMUTATIONS)) ** 0.5
     most: int | None = FIRST_PAIRS
     comp = cut(components(links))
     while True:
