@@ -11,8 +11,8 @@ from .shared import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): the smallest node that can be reached.
 
-    Each round maps every node to its smallest neighbour or itself and keeps the edges between different images; a
-    component at least halves each round. The maps are then applied one after the other. Loops and repeated edges do no
+    Each round maps every node to its smallest neighbour or itself, follows these maps to their ends by doubling, and
+    keeps the edges between different ends, the nodes that have no smaller neighbour. The maps are then applied one after the other. Loops and repeated edges do no
     harm; an empty graph gives an empty table. The last map joins give nodes their final image; the images are then
     replaced by the smallest node of their class.
     """
@@ -22,6 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.select("a", "b").union(left.select(F.col("b"), F.col("a")))
         image = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to")))
+        while True:  # every node to the end of its chain of images; each turn doubles the steps taken
+            jumped = cut(image.join(image.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            image = jumped.select("node", "to")
+            if jumped.where("moved").isEmpty():
+                break
         left = cut(pairs(left.join(image.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(image.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
         if out is None:
             out = image
