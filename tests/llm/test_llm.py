@@ -216,6 +216,30 @@ def test_repeats_equal_brute_force(spark, docs):
     assert got == without_repeats(rows)
 
 
+def test_repeats_of_equal_and_null_ids(spark, docs):
+    p = "a passage that is long enough to be found again in another text, surely so"
+    lost = lambda rows: sorted((str(r.doc_id), r.n_removed) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    rows = [(1, p + " x"), (1, "y " + p), (1, p + " x"), (2, "zz" + p)]
+    assert lost(rows) == [("1", 0), ("1", 0), ("1", 0), ("2", 74)]
+    assert lost([*rows, (None, p)]) == [("1", 74), ("1", 74), ("1", 74), ("2", 74), ("None", 0)]
+
+
+def test_repeats_whose_anchors_are_dealt_out_by_string(spark, docs, monkeypatch):
+    monkeypatch.setattr(repeats, "MOST", 2)
+    rows = [(i, f"{i * 7919 % 1000:03d} " * 20 + "one line that very many of the documents have in common, word for word" + f" {i * 104729 % 1000:03d}" * 20) for i in range(40)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == without_repeats(rows)
+
+
+def test_suffix_ranks_order_suffixes(spark):
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 4, 5, 7, 50, 300):
+        t = rng.integers(1, 4, n)
+        r, key = repeats.suffix_ranks(t), [tuple(t[i : i + 50]) for i in range(n)]
+        order = sorted(range(n), key=key.__getitem__)
+        assert all(r[a] < r[b] for a, b in zip(order, order[1:], strict=False) if key[a] < key[b])
+
+
 # 6
 
 
