@@ -13,8 +13,9 @@ This is a necessary condition and loses nothing. The items' index goes to every
 (``MOST_ITEM_WORDS``), and a larger one is worked through in parts of that size, each in one pass over the documents.
 
 Texts: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Items without words are left out; an item of fewer words
-than a shingle is one shingle. Null and empty documents have no windows and stay. A document shorter than an item has
-no window of its size. Repeated rows give repeated results. Extra columns are not read.
+than a shingle is one shingle. Null and empty documents have no windows and stay. A document of fewer shingles
+than an item is one window for it, which can reach the similarity from SIMILARITY times the item's shingles on; shorter
+ones can't. Repeated rows give repeated results. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -131,12 +132,13 @@ class Index:
                 total[inside - a + 1] = 1
                 total = np.cumsum(total)
                 for place, (words_each, size) in enumerate(self.sizes):
-                    if words_each != n or b - a < size or total[-1] < SIMILARITY * size:
+                    if words_each != n or total[-1] < SIMILARITY * size - 1e-9:
                         continue
-                    start = np.flatnonzero(total[size:] - total[:-size] >= SIMILARITY * size - 1e-9)
+                    width = min(size, b - a)  # a text of fewer shingles than the item is one window
+                    start = np.flatnonzero(total[width:] - total[:-width] >= SIMILARITY * size - 1e-9)
                     if not len(start):
                         continue
-                    runs = s[a + start[:, None] + np.arange(size)]
+                    runs = s[a + start[:, None] + np.arange(width)]
                     for w, i in zip(*(x.tolist() for x in self.candidates(fingerprints(runs), place)), strict=True):
                         value = self.similarity(runs[w], i)
                         if value >= SIMILARITY and value > best.get((t, i), (0.0, 0))[0]:

@@ -167,6 +167,27 @@ def test_decontamination_finds_items_and_close_variants(spark, docs):
     assert kept == set(range(13)) - {0, 1, 11} - ({2} if 2 not in kept else set())
 
 
+def test_decontamination_finds_documents_shorter_than_an_item(spark):
+    rng = np.random.default_rng(3)
+    items = [[f"w{k}" for k in rng.integers(0, 5000, size)] for size in (50, 30, 12)] + [["same"] * 40 + BASE.split()]
+    cuts = [w[:k] for w in items for k in range(4, len(w) + 1)] + [w[k:] for w in items for k in range(1, len(w) - 4)]
+    cuts += [[*w[:20], "other", *w[21:-1]] for w in items[:2]]
+    rows = [(d, " ".join(w)) for d, w in enumerate(cuts)]
+    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    got = {(r.id, r.item_id): (round(r.similarity, 6), r.first_word) for r in found.collect()}
+    want = {}
+    for d, s in enumerate(cuts):
+        for i, w in enumerate(items):
+            ss, ws = [[tuple(v[k : k + 5]) for k in range(len(v) - 4)] for v in (s, w)]
+            size = min(len(ss), len(ws))
+            for k in range(len(ss) - size + 1):
+                both = sum((collections.Counter(ss[k : k + size]) & collections.Counter(ws)).values())
+                v = both / (size + len(ws) - both)
+                if v >= 0.8 and v > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = (round(v, 6), k)
+    assert got == want and got[cuts.index(items[0][:49]), 0] == (round(45 / 46, 6), 0)
+
+
 # 4
 
 
