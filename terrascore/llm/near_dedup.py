@@ -11,8 +11,9 @@ No bucket is expanded into all its pairs:
    in all buckets, so that a group of copies meets few leaders; confirmed links are contracted into components;
 3. what is left are buckets that hold several components. There each member outside the bucket's largest component is
    compared, on signatures and in blocks of bounded size, with the members of other components, and the pairs that can
-   reach the threshold (their estimate lies within DEVIATIONS standard deviations) are confirmed on the full sets, best
-   estimates first; this goes on with more pairs a member until nothing is left to confirm, so no candidate is dropped.
+   reach the threshold by their sets' sizes and their estimate are confirmed on the full sets, best estimates first; this
+   goes on with more pairs a member until nothing is left to confirm. The sizes are an exact bound; the estimate rules
+   out a pair at the threshold with a chance of MISSED at most, and one above it less often.
 
 Only links between different components are looked for in step 3, which is all that components need.
 
@@ -23,6 +24,7 @@ null id takes no part: its component is null and it is kept. Columns other than
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +36,11 @@ from .components import components
 from .shared import cut, stored
 from .textblocks import Words, blocks, distinct, mix, reduce_texts, shingles
 
-PERMUTATIONS = 72
+PERMUTATIONS = 128
 #: Bands take the first BAND * BANDS values; estimates take all.
 BAND, BANDS = 4, 24
-#: Standard deviations below the threshold at which an estimate rules a pair out.
-DEVIATIONS = 3.3
+#: The chance, at most, that a pair at the threshold is ruled out by its estimate.
+MISSED = 1e-6
 SEEDS = (11, 23, 47)
 #: Members of a bucket that one block holds.
 BLOCK = 512
@@ -52,6 +54,16 @@ _MUL = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + n
 _XOR = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
+def least_estimate(percent: int) -> float:
+    """The smallest estimate that doesn't rule a pair out: values are equal with the pair's similarity as chance (binomial)."""
+    values, share = 2 * PERMUTATIONS, percent / 100
+    k, below = 0, (1 - share) ** values
+    while below <= MISSED:
+        k += 1
+        below += math.comb(values, k) * share**k * (1 - share) ** (values - k)
+    return k / values
+
+
 def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, hi, lo, sig): sizes, a 128-bit hash and the min-max signature of each row's shingle set."""
 
@@ -104,9 +116,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str
     return with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _best_pairs(rows: DataFrame, least: float, most: int | None) -> DataFrame:
-    """(a, b, est) from rows (bucket, block, rep, component, probe, resident, sig): each probe of a block against the block's
-    residents of other components, the ``most`` best of those with an estimate of ``least`` or more."""
+def _best_pairs(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """(a, b, est) from rows (bucket, block, rep, component, probe, resident, n_shingles, sig): each probe of a block against
+    the block's residents of other components, the ``most`` best of those whose sizes and estimates can reach ``percent``."""
+    least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -129,9 +142,10 @@ def _best_pairs(rows: DataFrame, least: float, most: int | None) -> DataFrame:
             if not len(probe) or not len(resident):
                 return None
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(rep), -1)
+            n = t.column("n_shingles").to_numpy()
             out = []
             for p in probe.tolist():
-                r = resident[comp[resident] != comp[p]]
+                r = resident[(comp[resident] != comp[p]) & (100 * np.minimum(n[resident], n[p]) >= percent * np.maximum(n[resident], n[p]))]
                 est = (sig[r] == sig[p]).mean(1)
                 r, est = r[est >= least], est[est >= least]
                 if most is not None and len(r) > most:
@@ -169,7 +183,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sigs = stored(signatures(docs, n, id_col, text_col), "signatures")
     whole = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = cut(whole.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")))
-    reps = stored(whole.join(classes, ["hi", "lo"]).where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep"]), "representatives")
+    reps = stored(whole.join(classes, ["hi", "lo"]).where("doc_id = rep").select("rep", "n_shingles", "sig").dropDuplicates(["rep"]), "representatives")
     at = F.col("k") * (4 * BAND) + 1
     bands = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k")).select("rep", F.xxhash64("k", F.substring("sig", at, F.lit(4 * BAND))).alias("bucket"))
     leads = bands.groupBy("bucket").agg(F.count("*").alias("size"), *(F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(s)), "rep")).alias(f"l{s}") for s in SEEDS)).where("size > 1")
@@ -178,8 +192,6 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     stars = shared.select("rep", F.explode(F.array_distinct(F.array(*(f"l{s}" for s in SEEDS)))).alias("lead")).where("rep <> lead").select(*pair("rep", "lead")).distinct()
     tested = cut(stars)
     links = cut(confirm(tested, docs, n, percent, id_col, text_col))
-    share = percent / 100
-    least = share - DEVIATIONS * (share * (1 - share) / (2 * PERMUTATIONS)) ** 0.5
     most: int | None = FIRST_PAIRS
     comp = cut(components(links))
     while True:
@@ -193,7 +205,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         # a probe goes to every block, and counts as a resident only in its own
         placed = member.select("bucket", "rep", "component", probe.alias("probe"), own.alias("own"), F.explode(F.when(probe, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array(own))).alias("block"))
         placed = placed.withColumn("resident", F.col("block") == F.col("own")).drop("own").join(reps, "rep")
-        pairs = _best_pairs(placed, least, most).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = _best_pairs(placed, percent, most).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():
             if most is None:

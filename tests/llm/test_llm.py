@@ -369,6 +369,14 @@ def test_near_duplicates_equal_all_pairs(spark, docs):
     assert {(r.doc_id, r.component_id, r.kept) for r in none} == {(None, None, True), (1, 1, True)}
 
 
+def test_estimates_rule_out_no_more_than_bands(spark):
+    values, bands = 2 * near_dedup.PERMUTATIONS, (1 - 0.8**near_dedup.BAND) ** near_dedup.BANDS
+    deviations = getattr(near_dedup, "DEVIATIONS", None)
+    least = near_dedup.least_estimate(80) if deviations is None else 0.8 - deviations * (0.16 / values) ** 0.5
+    draws = np.random.default_rng(1).binomial(values, 0.8, 4_000_000) / values
+    assert (draws < least).mean() <= 3 * bands and 0.6 < least < 0.8
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
