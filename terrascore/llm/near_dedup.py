@@ -9,8 +9,10 @@ No bucket is expanded into all its pairs:
 1. documents of equal sets form one class; its smallest id stands for it from here on;
 2. in each bucket every member is held against three leaders, the members of smallest hash under three seeds, the same
    in all buckets, so that a group of copies meets few leaders; confirmed links are contracted into components;
-3. what is left are buckets that hold several components. There each member outside the bucket's largest component is
-   compared, on signatures and in blocks of bounded size, with the members of other components, and the pairs that can
+3. what is left are buckets that hold several components. Those of more than BLOCK members are first cut by set size:
+   sets that can reach the threshold are of one size class or two adjacent ones. Then each member outside the bucket's
+   largest component, a probe, is compared with the members of other components, on signatures: probes and others are
+   dealt into blocks of about BLOCK rows, a task holds two blocks at a time, and the pairs that can
    reach the threshold by their sets' sizes and their estimate are confirmed on the full sets, best estimates first; this
    goes on with more pairs a member until nothing is left to confirm. The sizes are an exact bound; the estimate rules
    out a pair at the threshold with a chance of MISSED at most, and one above it less often.
@@ -42,8 +44,8 @@ BAND, BANDS = 4, 24
 #: The chance, at most, that a pair at the threshold is ruled out by its estimate.
 MISSED = 1e-6
 SEEDS = (11, 23, 47)
-#: Members of a bucket that one block holds.
-BLOCK = 512
+#: Members of a bucket that one block holds, about; two blocks are compared at a time.
+BLOCK = 2048
 #: Pairs that a probe confirms first; those that stay unlinked then confirm all that are left.
 FIRST_PAIRS = 2
 #: Ids that a broadcast may hold; more are joined by a shuffle.
@@ -116,9 +118,27 @@ def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str
     return with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _placed(member: DataFrame) -> DataFrame:
+    """member (bucket, rep, component) of mixed buckets as (bucket, i, j, own, rep, component, probe), a row for each pair of
+    blocks i <= j that the row's own block is in. Blocks hold about BLOCK probes, the members outside the largest component
+    of their bucket, or BLOCK others; i is always one of probes, so all pairs with a probe meet."""
+    per = member.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    mixed = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("main")).where("parts > 1")
+    number = lambda m: F.ceil(m / BLOCK).cast("int")
+    mixed = mixed.select("bucket", F.col("main.component").alias("main"), number(F.col("all") - F.col("main.m")).alias("probes"), number(F.col("main.m")).alias("others"))
+    deal = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), n).cast("int")
+    rows = member.join(mixed, "bucket").withColumn("probe", F.col("component") != F.col("main"))
+    rows = rows.withColumn("own", F.when(F.col("probe"), deal(F.col("probes"))).otherwise(F.col("probes") + deal(F.col("others"))))
+    none = F.array().cast("array<struct<i:int,j:int>>")
+    first = F.when(F.col("probe"), F.transform(F.sequence("own", F.col("probes") + F.col("others") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))).otherwise(none)
+    before = F.least("own", "probes")
+    second = F.when(before > 0, F.transform(F.sequence(F.lit(0), before - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))).otherwise(none)
+    return rows.select("bucket", "rep", "component", "probe", "own", F.explode(F.concat(first, second)).alias("x")).select("bucket", "x.i", "x.j", "own", "rep", "component", "probe")
+
+
 def _best_pairs(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(a, b, est) from rows (bucket, block, rep, component, probe, resident, n_shingles, sig): each probe of a block against
-    the block's residents of other components, the ``most`` best of those whose sizes and estimates can reach ``percent``."""
+    """(a, b, est) from rows (bucket, i, j, own, rep, component, probe, n_shingles, sig): each probe of block i against the
+    members of block j of other components, the ``most`` best of those whose sizes and estimates can reach ``percent``."""
     least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +149,8 @@ def _best_pairs(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
             if not held:
                 return
             t = pa.concat_tables(held).combine_chunks()
-            key = t.column("bucket").to_numpy() ^ mix(t.column("block").to_numpy().astype(np.uint64)).view(np.int64)
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            keys = [t.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
             bounds = [0, *cuts.tolist(), t.num_rows]
             for x, y in zip(bounds[:-1], bounds[1:] if last else bounds[1:-1], strict=False):
                 yield t.slice(x, y - x)
@@ -138,14 +158,16 @@ def _best_pairs(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
 
         def found(t: pa.Table) -> pa.RecordBatch | None:
             rep, comp = t.column("rep").to_numpy(), t.column("component").to_numpy()
-            probe, resident = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("probe", "resident"))
+            own, i, j = (t.column(c).to_numpy() for c in ("own", "i", "j"))
+            probe, resident = np.flatnonzero(own == i), np.flatnonzero(own == j)
             if not len(probe) or not len(resident):
                 return None
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(rep), -1)
             n = t.column("n_shingles").to_numpy()
             out = []
             for p in probe.tolist():
-                r = resident[(comp[resident] != comp[p]) & (100 * np.minimum(n[resident], n[p]) >= percent * np.maximum(n[resident], n[p]))]
+                r = resident if i[0] < j[0] else resident[resident > p]  # within a block every pair once
+                r = r[(comp[r] != comp[p]) & (100 * np.minimum(n[r], n[p]) >= percent * np.maximum(n[r], n[p]))]
                 est = (sig[r] == sig[p]).mean(1)
                 r, est = r[est >= least], est[est >= least]
                 if most is not None and len(r) > most:
@@ -165,7 +187,7 @@ def _best_pairs(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
             if (r := found(g)) is not None:
                 yield r
 
-    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "a long, b long, est double")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long, est double")
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -185,26 +207,22 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = cut(whole.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")))
     reps = stored(whole.join(classes, ["hi", "lo"]).where("doc_id = rep").select("rep", "n_shingles", "sig").dropDuplicates(["rep"]), "representatives")
     at = F.col("k") * (4 * BAND) + 1
-    bands = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k")).select("rep", F.xxhash64("k", F.substring("sig", at, F.lit(4 * BAND))).alias("bucket"))
+    bands = reps.select("rep", "n_shingles", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k")).select("rep", "n_shingles", F.xxhash64("k", F.substring("sig", at, F.lit(4 * BAND))).alias("bucket"))
     leads = bands.groupBy("bucket").agg(F.count("*").alias("size"), *(F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(s)), "rep")).alias(f"l{s}") for s in SEEDS)).where("size > 1")
     shared = stored(bands.join(leads, "bucket"), "shared")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = shared.select("rep", F.explode(F.array_distinct(F.array(*(f"l{s}" for s in SEEDS)))).alias("lead")).where("rep <> lead").select(*pair("rep", "lead")).distinct()
     tested = cut(stars)
     links = cut(confirm(tested, docs, n, percent, id_col, text_col))
+    # sizes that can reach the threshold differ by less than one class; each class goes with its own and with the next
+    size_class = F.floor(F.log("n_shingles") / math.log(100 / percent * (1 + 1e-9))) if percent < 100 else F.col("n_shingles")
+    parts = F.when(F.col("size") > BLOCK, F.array(F.xxhash64("bucket", size_class), F.xxhash64("bucket", size_class - 1))).otherwise(F.array("bucket"))
+    part = shared.select("rep", F.explode(parts).alias("bucket"))
     most: int | None = FIRST_PAIRS
     comp = cut(components(links))
     while True:
-        member = shared.select("bucket", "rep", "size").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        per = member.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-        mixed = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")).where("parts > 1").select("bucket", "main")
-        member = member.join(mixed, "bucket")
-        n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("rep", F.lit(3)), n_blocks).cast("int")
-        probe = F.col("component") != F.col("main")
-        # a probe goes to every block, and counts as a resident only in its own
-        placed = member.select("bucket", "rep", "component", probe.alias("probe"), own.alias("own"), F.explode(F.when(probe, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array(own))).alias("block"))
-        placed = placed.withColumn("resident", F.col("block") == F.col("own")).drop("own").join(reps, "rep")
+        member = part.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = _placed(member).join(reps, "rep")
         pairs = _best_pairs(placed, percent, most).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():

@@ -377,6 +377,26 @@ def test_estimates_rule_out_no_more_than_bands(spark):
     assert (draws < least).mean() <= 3 * bands and 0.6 < least < 0.8
 
 
+def test_near_duplicates_of_weak_buckets_meet_in_bounded_groups(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    shared = [f"t{k}" for k in range(85)]
+    rows = [(d, " ".join([*shared, *(f"d{d}x{k}" for k in range(15))])) for d in range(160)]  # a template: similarity 0.74
+    rows += [(1000 + d, " ".join([*rows[d][1].split()[:97], *(f"e{d}x{k}" for k in range(int(rng.integers(1, 5))))])) for d in range(0, 160, 20)]
+    groups_of = []
+
+    def recorded(placed, *rest):
+        key = [c for c in placed.columns if c in ("bucket", "block", "i", "j")]
+        groups_of.extend(r["count"] for r in placed.groupBy(key).count().collect())
+        return best_pairs(placed, *rest)
+
+    best_pairs = near_dedup._best_pairs
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "_best_pairs", recorded)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
+    assert got == groups(rows, 1, 80) and sum(not r[2] for r in got.values()) == 8
+    assert max(groups_of) <= 4 * 16
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
