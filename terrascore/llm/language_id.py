@@ -102,29 +102,38 @@ def _mixture(p: np.ndarray, n: np.ndarray, bounds: np.ndarray, w: np.ndarray) ->
     return w, reduce_texts(np.add, like, bounds, 0)
 
 
-def infer(p: np.ndarray, n: np.ndarray, bounds: np.ndarray, most: int = 3) -> np.ndarray:
-    """Proportions of each document in the language set of the best penalised likelihood, among nested sets of at most ``most``."""
+def infer(p: np.ndarray, n: np.ndarray, bounds: np.ndarray, first: int = 3) -> np.ndarray:
+    """Proportions of each document in the language set of the best penalised likelihood, among nested sets.
+
+    All documents try sets of up to ``first`` languages; a document goes on to larger ones while the last was the best
+    yet, or the likelihood of all languages leaves room for a better one."""
     docs, langs = len(bounds) - 1, p.shape[1]
     size = np.diff(bounds)
-    full, _ = _mixture(p, n, bounds, np.full((docs, langs), 1 / langs, np.float32))
+    full, limit = _mixture(p, n, bounds, np.full((docs, langs), 1 / langs, np.float32))
     order = np.argsort(-full, axis=1, kind="stable")
     penalty = np.log(np.maximum(reduce_texts(np.add, n, bounds, 0), 2)) / 2
-    best, chosen = np.full(docs, -np.inf), full
-    for k in range(1, min(most, langs) + 1):
-        top = order[:, :k]
-        part = np.take_along_axis(p, np.repeat(top, size, axis=0), axis=1)
-        start = np.take_along_axis(full, top, axis=1) + np.float32(1e-3)
+    best, chosen = np.full(docs, -np.inf), full.copy()
+    live = np.arange(docs)
+    for k in range(1, langs + 1):
+        if not len(live):
+            break
+        rows = np.repeat(np.isin(np.arange(docs), live), size)
+        top, some, many = order[live, :k], n[rows], np.concatenate([[0], np.cumsum(size[live])])
+        part = np.take_along_axis(p[rows], np.repeat(top, size[live], axis=0), axis=1)
+        start = np.take_along_axis(full[live], top, axis=1) + np.float32(1e-3)
         start /= start.sum(1, keepdims=True)
         if k == 1:
-            w, like = start, reduce_texts(np.add, np.log(part[:, 0]) * n, bounds, 0)
+            w, like = start, reduce_texts(np.add, np.log(part[:, 0]) * some, many, 0)
         else:
-            w, like = _mixture(part, n, bounds, start)
-        value = like - penalty * (k - 1)
-        better = value > best
-        best = np.where(better, value, best)
-        wide = np.zeros_like(full)
+            w, like = _mixture(part, some, many, start)
+        value = like - penalty[live] * (k - 1)
+        better = value > best[live]
+        best[live] = np.where(better, value, best[live])
+        wide = np.zeros((len(live), langs), full.dtype)
         np.put_along_axis(wide, top, w.astype(wide.dtype), axis=1)
-        chosen = np.where(better[:, None], wide, chosen)
+        chosen[live] = np.where(better[:, None], wide, chosen[live])
+        if k >= first:
+            live = live[better | (limit[live] - penalty[live] * k > best[live])]
     return chosen
 
 

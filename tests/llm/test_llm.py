@@ -133,6 +133,17 @@ def test_mixture_proportions(spark, real):
     assert set(p) == {"en", "fr"} and 0.35 < p["en"] < 0.65
 
 
+def test_mixtures_of_more_than_three_languages():
+    rng = np.random.default_rng(6)
+    model = rng.dirichlet(np.full(300, 0.1), 7).T.astype(np.float32) * np.float32(0.99) + np.float32(0.01 / 300)
+    parts = [[0], [1, 2], [0, 2, 4, 6], [1, 2, 3, 4, 5], list(range(7))]
+    counts = [sum(rng.multinomial(500, model[:, k].astype(float) / model[:, k].astype(float).sum()) for k in part) for part in parts]
+    seen = [np.flatnonzero(c) for c in counts]
+    w = language_id.infer(model[np.concatenate(seen)], np.concatenate([c[at] for c, at in zip(counts, seen, strict=True)]).astype(np.float32), np.concatenate([[0], np.cumsum([len(at) for at in seen])]))
+    for part, row in zip(parts, w, strict=True):
+        assert np.flatnonzero(row > 0.01).tolist() == part and np.allclose(row[part], 1 / len(part), atol=0.05)
+
+
 def test_quality_held_out(spark, sf, docs):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     real = spark.read.parquet(f"{sf}/documents.parquet")
