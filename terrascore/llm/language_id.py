@@ -7,7 +7,9 @@ and the set with the best penalised likelihood (BIC) is kept. The prediction is
 proportion and the score is that proportion.
 
 Texts: a null text, or one without any letter, is ``und`` with score 0. Rows with null languages are not learned from.
-With no training row at all, every text is ``und``. Texts are used whole; repeated rows count as often as they occur.
+With no training row at all, every text is ``und``. Texts are used whole, very long ones too; repeated rows count as
+often as they occur. Of languages of equal proportion the first by name is predicted. Empty tables give empty results.
+Extra columns are not read, and columns that are kept may have any names but those of the results.
 """
 
 from __future__ import annotations
@@ -138,19 +140,20 @@ def infer(p: np.ndarray, n: np.ndarray, bounds: np.ndarray, first: int = 3) -> n
 
 
 def predict(docs: DataFrame, languages: list[str], model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] = ()) -> DataFrame:
-    """docs' id, the columns in ``keep``, lang_pred, score and proportions (map); a row for each row, one pass, no shuffle."""
-    rows = docs.select(docs[text_col].cast("string").alias("__text"), docs[id_col], *keep)
-    schema = rows.drop("__text").schema.simpleString()[7:-1]
+    """docs' id, the columns in ``keep``, lang_pred, score and proportions (map); a row for each row, one pass, no shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    Only texts go to Python, once, and only predictions come back; the other columns stay in the JVM."""
+
+    @F.arrow_udf("struct<lang_pred:string,score:double,proportions:map<string,double>>")
+    def mixture(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
             pred, score, props = [], [], []
-            for i, data, offsets in blocks(b.column(0)):
+            for i, data, offsets in blocks(texts):
                 n_docs = len(offsets) - 1
                 best, weight, w = [UNKNOWN] * n_docs, np.zeros(n_docs), np.zeros((n_docs, len(languages)))
                 letters = reduce_texts(np.logical_or, (_CLASS[data] != 0x20) & (data < 0x80), offsets, False)
                 for k in np.flatnonzero(~letters):
-                    letters[k] = has_letter(b.column(0)[i + int(k)].as_py())
+                    letters[k] = has_letter(texts[i + int(k)].as_py())
                 if languages:
                     h, bounds = trigrams(data, offsets)
                     key, n = np.unique(np.repeat(np.arange(n_docs), np.diff(bounds)) * BUCKETS + h, return_counts=True)
@@ -161,9 +164,10 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, id_col: st
                 pred += best
                 score += weight.astype(float).tolist()
                 props += [[(la, float(x)) for la, x in zip(languages, r, strict=True) if x > 0.01] if ok else [] for r, ok in zip(w.tolist(), letters.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(props, pa.map_(pa.string(), pa.float64()))], [*b.schema.names[1:], "lang_pred", "score", "proportions"])
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(props, pa.map_(pa.string(), pa.float64()))], ["lang_pred", "score", "proportions"])
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, proportions map<string,double>")
+    rows = docs.select(docs[id_col], *keep, mixture(docs[text_col].cast("string")).alias("__mixture"))
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns[:-1]), "__mixture.lang_pred", "__mixture.score", "__mixture.proportions")
 
 
 def held_out(id_col: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes of an Arrow batch.
+MOST_ROWS, MOST_BYTES = 2000, 4_000_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,15 +26,24 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(package.parent))
         spark.sparkContext.addPyFile(str(to))
         _SHIPPED.add(app)
+    bound_batches(spark)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session's Python stages by bytes, so that rows of long texts make small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", MOST_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", MOST_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one is set in local mode; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = have.get() if have.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -56,3 +67,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete the files of a table that stored() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    folder = shared_folder(spark).rstrip("/")
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.toString().replace("file:///", "file:/").startswith(folder.replace("file:///", "file:/") + "/"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            return

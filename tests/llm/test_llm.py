@@ -398,16 +398,29 @@ def test_near_duplicates_of_weak_buckets_meet_in_bounded_groups(spark, monkeypat
     def recorded(placed, *rest):
         key = [c for c in placed.columns if c in ("bucket", "block", "i", "j")]
         groups_of.extend(r["count"] for r in placed.groupBy(key).count().collect())
-        return best_pairs(placed, *rest)
+        links = forest(placed, *rest)
+        assert links.count() < placed.count()  # never more links than members
+        return links
 
-    best_pairs = near_dedup._best_pairs
+    forest = near_dedup._forest
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    monkeypatch.setattr(near_dedup, "_best_pairs", recorded)
+    monkeypatch.setattr(near_dedup, "_forest", recorded)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
     assert got == groups(rows, 1, 80) and sum(not r[2] for r in got.values()) == 8
     assert max(groups_of) <= 4 * 16
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch, broadcast):
+    """Rows of one id are one document, whichever way texts are joined: 1 ~ 2 by one text of 2, 2 ~ 3 by its other text."""
+    a = [f"w{i}" for i in range(20)]
+    b = [f"v{i}" for i in range(20)]
+    rows = [(1, " ".join(a)), (2, " ".join(a + ["x"])), (3, " ".join(b)), (2, " ".join(b + ["y"])), (2, " ".join(a + ["z"])), (4, "other words"), (5, None), (4, None)]
+    monkeypatch.setattr(near_dedup, "MOST_BROADCAST", broadcast)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
