@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascore.llm import decontaminate, language_id, near_dedup, pii, piece_encoding
-from terrascore.llm.shared import ship, stored
+from terrascore.llm.shared import drop_stored, ship, stored
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those of no language: null texts and texts without any letter. All columns stay."""
     ship(spark)
     train = docs.where(~language_id.held_out(docs["doc_id"]) & docs["lang"].isNotNull()).select(docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     languages, model = language_id.learn(train)
@@ -31,21 +32,25 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without near-duplicates: of each group the smallest id stays. Null ids and texts without words stay."""
     ship(spark)
     return near_dedup.drop_near_duplicates(docs, n=5, percent=80)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold an item of the benchmark table. Null and empty texts stay."""
     ship(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with personal data, and terms that disclose it, replaced in the texts; n_chars counts the new text. No row goes."""
     ship(spark)
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row; a null text is empty."""
     ship(spark)
     return piece_encoding.encode_digests(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
@@ -63,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; the table between two stages is deleted once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return docs
