@@ -9,18 +9,21 @@ the whole; a candidate whose estimate exceeds the query's bound by more than the
 
 is abandoned. What survives all dimensions is ranked by its distance on the original vectors in double precision.
 
-The bound is each query's k-th distance in the sample that the centres were fitted on: it is above its true k-th
-distance, whatever lists are probed. Centres, matrix, bounds and the number of probed lists come from a bounded sample
-of at most ``SAMPLE`` rows (those of smallest hash of their id); the number of lists is the least with which the sample's
-own queries reach ``TARGET`` recall within the sample. A query probes those and the lists of the sample rows that its
-bound comes from, so it always finds k rows if there are as many. Every row is indexed.
+A query's first bound is its k-th distance in the sample that the centres were fitted on: it is above its true k-th
+distance, whatever lists are probed. In each block of a list it tightens to the k-th distance found so far. Centres,
+matrix and the number of probed lists come from a bounded sample of at most ``SAMPLE`` rows (those of smallest hash of
+their id); the number of lists is the least with which the sample's own queries reach ``TARGET`` recall within the sample.
+A query probes those and the lists of the sample rows that its first bound comes from, so it always finds k rows if there
+are as many. Every row is indexed.
 
-Lists are split by a hash of the id into blocks of about ``BLOCK_ROWS`` rows, so a list of very many equal vectors is many
-blocks; each block returns at most k rows a query. Queries are taken in parts of at most ``MOST_QUERIES`` by hash, each
-part broadcast (a checked size) and searched in one pass.
+Queries stay in Spark: their lists and bounds are found in tasks, and rows and queries of a list meet by a shuffle. A
+list of more than ``BLOCK_ROWS`` rows, or ``BLOCK_QUERIES`` queries, is cut into blocks of each by a hash, however many
+equal vectors it has; each pair of blocks is one group and returns at most k rows a query.
 
 Vectors that are null, empty, all zero, of another length than most, or hold a null or non-finite component take no part.
-Equal distances rank by smaller id. Rows that repeat an id are candidates each. A null id takes no part.
+Equal distances rank by smaller id. Rows that repeat an id are candidates each; as a query such an id counts once, with
+its smallest vector, and none of its rows is a candidate of it. A null id takes no part. An empty table gives an empty
+result. Columns other than the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -32,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut, stored
+
 SAMPLE = 8000
 TARGET = 0.98
 EPSILON = 3.0
 STEP = 8
-BLOCK_ROWS = 4096
-MOST_QUERIES = 20_000
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Rows of a block that are scanned before the bounds of its queries tighten.
+ROWS_AT_ONCE = 512
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -61,8 +67,9 @@ def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Plan:
     """What a search needs from the sample: rotation, centres, and the lists to probe."""
 
-    def __init__(self, sample: np.ndarray, k: int, seed: int = 5):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, k: int, seed: int = 5):
         rng = np.random.default_rng(seed)
+        self.ids = ids
         n, dim = sample.shape
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         x = sample @ self.turn
@@ -83,17 +90,18 @@ class Plan:
         need = np.sort(rank[np.arange(len(trial))[:, None], own[true]].ravel()) + 1
         self.probes = int(min(lists, need[min(len(need) - 1, int(np.ceil(TARGET * len(need))))])) if len(need) else lists
 
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, list[set[int]]]:
-        """Squared k-th distance (rounded up) of each turned query within the sample, or infinity, and the lists of the sample
-        rows it comes from; one row more for the query itself."""
-        if len(self.sample) <= self.k:
-            return np.full(len(queries), np.inf), [set(range(len(self.centres)))] * len(queries)
+    def bounds(self, ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, list[set[int]]]:
+        """Squared k-th distance (rounded up) of each turned query to the sample's rows of other ids, or infinity if these are
+        fewer, and the lists of the rows it comes from."""
+        every = set(range(len(self.centres)))
         kth, lists = [np.empty(0)], []
         for i in range(0, len(queries), 256):
             d = _squared(queries[i : i + 256], self.sample)
-            top = np.argpartition(d, self.k, axis=1)[:, : self.k + 1]
-            kth.append(np.take_along_axis(d, top, axis=1).max(1))
-            lists += [set(x) for x in self.own[top].tolist()]
+            d[ids[i : i + 256, None] == self.ids[None, :]] = np.inf
+            top = np.argpartition(d, min(self.k, d.shape[1]) - 1, axis=1)[:, : self.k]
+            far = np.take_along_axis(d, top, axis=1).max(1) if d.shape[1] >= self.k else np.full(len(d), np.inf)
+            kth.append(far)
+            lists += [set(x) if np.isfinite(f) else every for x, f in zip(self.own[top].tolist(), far, strict=True)]
         # rounding in either way of computing a distance is far below this, so equal vectors are never lost
         return np.concatenate(kth) * (1 + 1e-9) + 1e-9 * (queries * queries).sum(1), lists
 
@@ -115,6 +123,23 @@ def scan(block: np.ndarray, query: np.ndarray, bound: float) -> np.ndarray:
     return alive
 
 
+def search_block(ids: np.ndarray, v: np.ndarray, block: np.ndarray, query_id: int, query: np.ndarray, turned: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k nearest of a block's rows found for a query; the bound tightens as rows are found."""
+    best_id, best = np.empty(0, np.int64), np.empty(0)
+    slack = 1e-9 * float(query @ query)
+    for x in range(0, len(ids), ROWS_AT_ONCE):
+        at = x + scan(block[:, x : x + ROWS_AT_ONCE], turned, bound)
+        at = at[ids[at] != query_id]
+        if len(at):
+            best_id = np.concatenate([best_id, ids[at]])
+            best = np.concatenate([best, np.sqrt(((v[at] - query) ** 2).sum(1))])
+            top = np.lexsort((best_id, best))[:k]
+            best_id, best = best_id[top], best[top]
+            if len(best) == k:
+                bound = min(bound, best[-1] ** 2 * (1 + 1e-9) + slack)
+    return best_id, best
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found for each query row, ``is_query`` being a function of the id column."""
     rows = usable(vectors, id_col, vec_col)
@@ -124,62 +149,54 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     if dims is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == dims["dim"])
-    plan = Plan(matrix(rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v")), k)
-    queries = rows.where(is_query(F.col("id")))
-    n = queries.count()
-    lists = len(plan.centres)
-    salts = max(1, dims["count"] // (lists * BLOCK_ROWS) + 1) * 4
-    shared = spark.sparkContext.broadcast((plan.turn, plan.centres))
+    few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toArrow()
+    shared = spark.sparkContext.broadcast(Plan(few.column("id").to_numpy(), matrix(few.column("v")), k))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, centres = shared.value
+        plan = shared.value
         for b in batches:
-            x = matrix(b.column(1)) @ turn if b.num_rows else np.empty((0, len(turn)))
-            own = np.concatenate([_squared(x[i : i + 4096], centres).argmin(1) for i in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
+            x = matrix(b.column(1)) @ plan.turn if b.num_rows else np.empty((0, len(plan.turn)))
+            own = np.concatenate([_squared(x[i : i + 4096], plan.centres).argmin(1) for i in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32))], ["id", "v", "list"])
 
-    index = rows.mapInArrow(assign, "id long, v array<double>, list int").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    index = index.repartition("list", "salt").sortWithinPartitions("list", "salt")
-    parts = n // MOST_QUERIES + 1
-    out = None
-    for part in range(parts):
-        got = queries.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(parts)) == part).toArrow()
-        qid, q = got.column("id").to_numpy(), matrix(got.column("v"))
-        order = np.argsort(qid, kind="stable")
-        qid, q = qid[order], q[order].reshape(len(qid), -1)
-        turned = q @ plan.turn if len(q) else np.empty((0, len(plan.turn)))
-        probed = np.argsort(_squared(turned, plan.centres), axis=1)[:, : plan.probes] if len(q) else np.empty((0, plan.probes), np.int64)
-        asked: dict[int, list[int]] = {}
-        bound, also = plan.bounds(turned)
-        for i, ls in enumerate(probed.tolist()):
-            for x in also[i].union(ls):
-                asked.setdefault(x, []).append(i)
-        sent = spark.sparkContext.broadcast((qid, q, turned, bound, asked, plan.turn))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, q, turned, bounds, asked, turn = sent.value
-            for b in batches:
-                lists_ = b.column(2).to_numpy()
-                cuts = [0, *(np.flatnonzero(lists_[1:] != lists_[:-1]) + 1).tolist(), len(lists_)]
-                ids, v = b.column(0).to_numpy(), matrix(b.column(1))
-                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                    if x == y or not (who := asked.get(int(lists_[x]))):
-                        continue
-                    own, vs = ids[x:y], v[x:y]
-                    block = np.ascontiguousarray((vs @ turn).T)
-                    found = []
-                    for i in who:
-                        at = scan(block, turned[i], bounds[i])
-                        at = at[own[at] != qid[i]]
-                        if len(at):
-                            dist = np.sqrt(((vs[at] - q[i]) ** 2).sum(1))
-                            top = np.lexsort((own[at], dist))[:k]
-                            found.append((np.full(len(top), qid[i]), own[at[top]], dist[top]))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "id", "score"])
-
-        found = index.mapInArrow(search, "query_id long, id long, score double")
-        out = found if out is None else out.union(found)
-    # a query row that occurs twice finds everything twice; equal rows of (query, id, score) from repeated ids stay apart only if ids repeat among the candidates
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id")))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q = matrix(b.column(1)) @ plan.turn
+            probed = np.argsort(_squared(q, plan.centres), axis=1)[:, : plan.probes].tolist()
+            bound, also = plan.bounds(b.column(0).to_numpy(), q)
+            lists = pa.array([sorted(also[i].union(x)) for i, x in enumerate(probed)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bound), lists], ["query_id", "q", "bound", "lists"])
+
+    index = stored(rows.mapInArrow(assign, "id long, v array<double>, list int"), "vectors")
+    queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
+    asked = queries.mapInArrow(ask, "query_id long, q array<double>, bound double, lists array<int>")
+    asked = stored(asked.select("query_id", "q", "bound", F.explode("lists").alias("list")), "queries")
+    # one row a list, of which there are as many as the plan has centres
+    deal = lambda key, n: F.pmod(F.xxhash64(key, F.lit(9)), n).cast("int")
+    size = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    size = size.join(asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("turns")), "list")
+    size = F.broadcast(cut(size))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = index.join(size, "list").withColumn("part", deal("id", F.col("parts"))).select("id", "v", "list", "part", every(F.col("turns")).alias("turn"))
+    right = asked.join(size, "list").withColumn("turn", deal("query_id", F.col("turns"))).select("query_id", "q", "bound", "list", "turn", every(F.col("parts")).alias("part"))
+
+    def search(t: pa.Table, asking: pa.Table) -> pa.Table:
+        plan, found = shared.value, []
+        if t.num_rows and asking.num_rows:
+            ids, v, q, qid, bound = t.column("id").to_numpy(), matrix(t.column("v")), matrix(asking.column("q")), asking.column("query_id").to_numpy(), asking.column("bound").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, v = ids[order], v[order]
+            block, turned = np.ascontiguousarray((v @ plan.turn).T), q @ plan.turn
+            for i in range(len(qid)):
+                own, dist = search_block(ids, v, block, int(qid[i]), q[i], turned[i], float(bound[i]), k)
+                found.append((np.full(len(own), qid[i]), own, dist))
+        parts = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table({name: pa.array(x) for name, x in zip(("query_id", "id", "score"), parts, strict=True)})
+
+    key = ["list", "part", "turn"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
