@@ -13,7 +13,8 @@ A reader takes the footer, then the seek table, then the index, then only the fr
 for; every frame is held against its checksum. Ids are kept in 2 bytes if the vocabulary allows it.
 
 Files are numbered in ascending id of their documents: Spark deals the documents out by ranges of the id, each task
-writes one file under a name of its own and renames it, so a repeated task leaves the same file.
+writes files one after the other, each of at most FILE_DOCS documents and about FILE_IDS ids, under names of their own
+and renames them, so a repeated task leaves the same files. A task's memory grows with one file at most.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,10 @@ FRAME_BYTES = 1 << 18
 WORD_TABLE = 1_000_000
 #: The white space at which the normaliser of the word-end tokenizer cuts.
 _WHITE = re.compile("[^\t-\r \x85\xa0  -     　]+")
-#: Signs that the tokenizer parts from a letter before them.
+#: Signs that the tokenizer parts from a letter before them, unless the letter normalises to more than letters.
 _SIGNS = frozenset(".,;:!?")
+#: Ids and documents at which a file ends and the next begins.
+FILE_IDS, FILE_DOCS = 1 << 27, 1 << 20
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -62,6 +66,17 @@ class WordEncoder:
         self.last = np.zeros(self.size, bool)
         self.last[[i for p, i in self.tokenizer.get_vocab().items() if p.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.plain: dict[str, bool] = {}
+
+    def _letters(self, text: str) -> bool:
+        """Whether a text is of letters and stays so when normalised: a letter may become a letter and a mark."""
+        return all(map(self._letter, text))
+
+    def _letter(self, c: str) -> bool:
+        found = self.plain.get(c)
+        if found is None:
+            found = self.plain[c] = c.isalpha() and (self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(c).isalpha())
+        return found
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -70,11 +85,11 @@ class WordEncoder:
         words, parts = self.words, {}
         for w in new:
             # within Latin letters, lower case and a sign parted from the letter before it are what the tokenizer makes of them
-            stem = w[:-1] if w[-1] in _SIGNS and w[-2:-1].isalpha() and "<" not in w else w
+            stem = w[:-1] if w[-1] in _SIGNS and len(w) > 1 and self._letter(w[-2]) and "<" not in w else w
             low = stem.lower() if max(stem) < "\u0130" and "<" not in stem else stem
             parts[w] = (low, w[len(stem) :])
         need = {x for pair in parts.values() for x in pair if x}.difference(words)
-        letters = [x for x in need if x.isalpha()]
+        letters = [x for x in need if self._letters(x)]
         for k in range(0, len(letters), 2000):
             run = letters[k : k + 2000]
             ids = self._ids(" ".join(run))
@@ -110,19 +125,27 @@ class Writer:
     def __init__(self, out, id_bytes: int):
         self.out, self.kind, self.id_bytes = out, np.dtype(f"<u{id_bytes}"), id_bytes
         self.frames: list[bytes] = []
-        self.pending, self.size, self.index = [], 0, []
+        self.pending, self.size, self.index = [], 0, array("q")
         self.first = self.n_ids = 0
         self.zstd = zstandard.ZstdCompressor(level=3)
 
     def add(self, doc_id: int, ids: bytes) -> None:
         raw = np.frombuffer(ids, "<u4").astype(self.kind).tobytes()
-        self.index.append((doc_id, len(ids) // 4, len(self.frames)))
+        self.index.extend((doc_id, len(ids) // 4, len(self.frames)))
         self.n_ids += len(ids) // 4
         self.pending.append(raw)
         self.size += len(raw)
         if self.size >= FRAME_BYTES:
             self._flush()
 
+    @property
+    def n_docs(self) -> int:
+        return len(self.index) // 3
+
+    @property
+    def full(self) -> bool:
+        return self.n_ids >= FILE_IDS or self.n_docs >= FILE_DOCS
+
     def _frame(self, raw: bytes, first: int) -> None:
         data = self.zstd.compress(raw)
         self.out.write(data)
@@ -131,13 +154,16 @@ class Writer:
     def _flush(self) -> None:
         if self.pending:
             self._frame(b"".join(self.pending), self.first)
-            self.pending, self.size, self.first = [], 0, len(self.index)
+            self.pending, self.size, self.first = [], 0, self.n_docs
 
     def close(self) -> None:
         self._flush()
-        self._frame(np.array(self.index, INDEX).tobytes(), 0)
+        index = np.empty(self.n_docs, INDEX)
+        for k, name in enumerate(INDEX.names):
+            index[name] = np.frombuffer(self.index, np.int64)[k::3]
+        self._frame(index.tobytes(), 0)
         table = b"".join(self.frames)
-        foot = FOOTER.pack(len(self.frames), len(self.index), self.n_ids, self.id_bytes, zlib.crc32(table), FOOTER_MAGIC)
+        foot = FOOTER.pack(len(self.frames), self.n_docs, self.n_ids, self.id_bytes, zlib.crc32(table), FOOTER_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE, len(table) + len(foot)) + table + foot)
 
 
@@ -193,27 +219,33 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        enc, out, files = None, None, 0
+
+        def finish() -> pa.RecordBatch:
+            out.close()
+            stream.close()
+            store.move(temp, name)
+            return pa.RecordBatch.from_pylist([{"part": part, "file": name, "n_docs": out.n_docs, "n_ids": out.n_ids}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
+            if b.num_rows and enc is None:
                 enc = encoder(tokenizer)
                 store, root = pafs.FileSystem.from_uri(path)
                 store.create_dir(root, recursive=True)
                 part = TaskContext.get().partitionId()
-                name, temp = f"{root}/part-{part:06d}.tok", f"{root}/.{uuid.uuid4().hex}"
-                stream = store.open_output_stream(temp)
-                out = Writer(stream, 2 if max(enc.size, (end_id or 0) + 1) <= 1 << 16 else 4)
             for k in range(0, b.num_rows, 128):
                 part_ids, texts = (b.column(c).slice(k, 128).to_pylist() for c in (0, 1))
                 for i, ids in zip(part_ids, enc.encode_all(texts), strict=True):
+                    if out is None:
+                        name, temp = f"{root}/part-{part:06d}-{files:06d}.tok", f"{root}/.{uuid.uuid4().hex}"
+                        stream = store.open_output_stream(temp)
+                        out = Writer(stream, 2 if max(enc.size, (end_id or 0) + 1) <= 1 << 16 else 4)
                     out.add(i, ids + tail)
+                    if out.full:
+                        yield finish()
+                        out, files = None, files + 1
         if out is not None:
-            out.close()
-            stream.close()
-            store.move(temp, name)
-            yield pa.RecordBatch.from_pylist([{"part": part, "file": name, "n_docs": len(out.index), "n_ids": out.n_ids}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield finish()
 
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))).alias("id"), docs[text_col].cast("string").alias("text"))
     return rows.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(run, "part int, file string, n_docs long, n_ids long")
@@ -238,7 +270,7 @@ def read_token_files(spark: SparkSession, path: str, files: list[tuple[str, int]
 def tokenize_to_files(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Write the documents' ids as token files and read them back; see write_token_files and read_token_files.
 
-    The list of files, one a partition, is all that reaches the driver. An empty table gives no file and no row."""
+    The list of files, one a partition or FILE_IDS ids, is all that reaches the driver. An empty table gives no file and no row."""
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     made = sorted(write_token_files(docs, path, tokenizer, end_id, id_col, text_col).collect())
