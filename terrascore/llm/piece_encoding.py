@@ -1,13 +1,14 @@
 """Exact encoding and decoding for merge-type (BPE) SentencePiece models, by backtracking over longest matches.
 
 The greedy merge order of the model is not replayed over a text. A text is walked from left to right: the longest
-piece at the place (from an Aho-Corasick trie) is tried, then its shorter prefixes; a piece is accepted when
+piece at the place (one pass of an Aho-Corasick automaton finds all) is tried, then its shorter prefixes; a piece is accepted when
 re-merging it together with the piece before it gives back those two pieces, and a place from which every
 continuation failed is marked in a bitfield and never tried again. A row of pieces in which each adjacent pair is
 stable under merging is the one that merging the whole text would give, so the result is exact.
 
-Texts: a null text is an empty text, with no ids. Characters without a piece become byte pieces. Repeated rows,
-extra columns and very long texts need no special treatment; each text is encoded whole.
+Texts: a null text is an empty text, with no ids. Characters without a piece become byte pieces. Repeated rows, null
+ids, extra columns and very long texts need no special treatment; each text is encoded whole, and equal texts give equal
+ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ class PieceModel:
         self.trie = ahocorasick.Automaton()
         for p in stable:
             self.trie.add_word(p, p)
+        if stable:
+            self.trie.make_automaton()
         known = set(stable)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in known), None) for p in stable}
         self.parts = re.compile(f"[{re.escape(''.join(sorted(self.known)))}]+|.", re.S)
@@ -84,16 +87,15 @@ class PieceModel:
         """Pieces of a text whose characters all have pieces."""
         n, at = len(text), 0
         open_ = bytearray(b"\x01") * (n + 1)
-        longest, shorter, pairs, stable = self.trie.longest_prefix, self.shorter, self.pairs, self.stable
+        shorter, pairs, stable = self.shorter, self.pairs, self.stable
+        longest: list[str] = [""] * n
+        for end, p in self.trie.iter(text):  # ends come in order, so the longest piece of each place is the last one found
+            longest[end + 1 - len(p)] = p
         out: list[str] = []
         last = piece = None
         while at < n:
             if piece is None:
-                k = longest(text[at : at + 64])
-                piece = text[at : at + k]
-                while piece and piece not in shorter:
-                    k -= 1
-                    piece = text[at : at + k]
+                piece = longest[at]
             while piece:
                 end = at + len(piece)
                 if open_[end] and (last is None or pairs.get((last, piece)) or ((last, piece) not in pairs and stable(last, piece))):
