@@ -4,14 +4,16 @@ For a word w after v, S(w | v) = c(v w) / c(v) if the pair occurs at least ``LEA
 BACKOFF * c(w) / N; a document's first word has c(w) / N. A document's score is the sum of ln S.
 
 The counts are tables partitioned by the hash of the n-gram, and n-grams are joined to them by that hash. Documents are
-dealt into blocks by a hash; each block's distinct n-grams (48-bit hashes within their partition, words and pairs alike)
-go to their partitions together, a row for each block and partition, so equal n-grams of a block move once. A partition
-adds up the counts of all blocks and answers each block; a block joins the answers to its documents' n-grams and sums
-them per document. Blocks hold about ``BLOCK_CHARS`` characters and there are as many partitions as blocks, so neither
-grows with the corpus; a frequent n-gram is one entry a block.
+dealt into blocks by a hash; each block's distinct n-grams (64-bit hashes, words and pairs alike) go to their partitions
+together, a row for each block and partition, so equal n-grams of a block move once. A partition adds up the counts of
+all blocks and answers each block; a block joins the answers to its documents' n-grams and sums them per document. Blocks
+hold about ``BLOCK_CHARS`` characters and partitions the n-grams of about ``PART_BLOCKS`` blocks at most, so neither
+grows with the corpus; a frequent n-gram is one entry a block. Keys and counts move packed, as one row for each n-gram
+of each document would take several times the disk.
 
 Texts: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; whole texts count, copies and repeated rows as often as
-they occur. A null or empty text has no words and the score 0. Ids may be null. Extra columns are not read.
+they occur. A null or empty text has no words and the score 0. Ids may be null. Extra columns are not read. A text longer
+than a block is a block by itself. An empty table gives an empty result; equal texts have equal scores.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .textblocks import Words, blocks, combine, mix, reduce_texts
 
 LEAST, BACKOFF = 2, 0.4
 BLOCK_CHARS = 8_000_000
+#: Up to FULL_PARTS there are as many partitions as blocks, then one more for each PART_BLOCKS blocks.
+FULL_PARTS, PART_BLOCKS = 256, 8
 
 
 def _keys(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,64 +49,92 @@ def _keys(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _distinct(ones: np.ndarray, pairs: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys ordered by partition and value, their counts, bounds of the partitions). A key: partition, then 48 bits."""
-    raw = np.concatenate([ones, pairs[pairs != 0]])
-    keys, counts = np.unique(key_of(raw, parts), return_counts=True)
-    return keys, counts, np.searchsorted(keys >> np.uint64(48), np.arange(parts + 1))
+    """(distinct hashes in order, their counts, bounds of the partitions): partitions are ranges of the hash."""
+    keys, counts = np.unique(np.concatenate([ones, pairs[pairs != 0]]), return_counts=True)
+    return keys, counts, np.searchsorted(partition_of(keys, parts), np.arange(parts + 1))
 
 
-def key_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)) << np.uint64(48) | mix(hashes) & np.uint64((1 << 48) - 1)
+def partition_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of each hash, by its leading 32 bits."""
+    return (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted distinct 64-bit keys as their first and the gaps between them, in as few bytes a gap as the widest needs."""
+    if not len(keys):
+        return b""
+    gaps = np.diff(keys).astype("<u8")
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return keys[:1].astype("<u8").tobytes() + bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    """The keys that pack() packed."""
+    if not data:
+        return np.empty(0, np.uint64)
+    width = data[8]
+    wide = np.zeros(((len(data) - 9) // width + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(data, np.uint8, 8)
+    wide[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest unsigned type that holds them; its size goes first when they are packed."""
+    return counts.astype(f"<u{next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << 8 * w)}")
+
+
+def _zip(counts: np.ndarray) -> bytes:
+    narrow = _narrow(counts)
+    return bytes([narrow.itemsize]) + zstandard.ZstdCompressor().compress(narrow.tobytes())
+
+
+def _unzip(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_score, mean_log_score), a row for each row; the mean is 0 for a text without words."""
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     chars, n = rows.agg(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
-    parts = min(1 << 15, int(chars or 0) // BLOCK_CHARS + 1)
+    n_blocks = int(chars or 0) // BLOCK_CHARS + 1
+    parts = min(n_blocks, FULL_PARTS) + max(0, n_blocks - FULL_PARTS) // PART_BLOCKS
     total = float(n or 1)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(parts)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(n_blocks)).cast("int"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def ask(t: pa.Table) -> pa.Table:
         ones, pairs, _ = _keys(t.column("text"))
         keys, counts, at = _distinct(ones, pairs, parts)
-        zstd = zstandard.ZstdCompressor()
-        full = [p for p in range(parts) if at[p + 1] > at[p]]
-        low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        full = np.flatnonzero(np.diff(at)).tolist()
         out = {
             "part": pa.array(full, pa.int32()),
             "block": pa.array([t.column("block")[0].as_py()] * len(full), pa.int32()),
-            "keys": pa.array([low[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()),
-            "counts": pa.array([zstd.compress(counts[at[p] : at[p + 1]].astype("<u4").tobytes()) for p in full], pa.binary()),
+            "keys": pa.array([pack(keys[at[p] : at[p + 1]]) for p in full], pa.binary()),
+            "counts": pa.array([_zip(counts[at[p] : at[p + 1]]) for p in full], pa.binary()),
         }
         return pa.table(out)
 
     def count(t: pa.Table) -> pa.Table:
-        lows = [np.frombuffer(k.as_py(), np.uint8).reshape(-1, 6) for k in t.column("keys")]
-        wide = np.zeros((sum(map(len, lows)), 8), np.uint8)
-        np.concatenate(lows, out=wide[:, :6])
-        unzip = zstandard.ZstdDecompressor()
-        counts = np.concatenate([np.frombuffer(unzip.decompress(c.as_py()), "<u4") for c in t.column("counts")])
-        keys = wide.view("<u8").ravel()
+        lists = [unpack(k.as_py()) for k in t.column("keys")]
+        keys = np.concatenate(lists)
+        counts = np.concatenate([_unzip(c.as_py()) for c in t.column("counts")])
         order = np.argsort(keys, kind="stable")
         fresh = np.ones(len(keys), bool)
         fresh[1:] = keys[order][1:] != keys[order][:-1]
-        sums = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(fresh))
-        totals = np.empty(len(keys), np.uint32)
-        totals[order] = np.minimum(sums, (1 << 32) - 1)[np.cumsum(fresh) - 1]
-        zstd = zstandard.ZstdCompressor()
-        cuts = np.cumsum([len(x) for x in lows])[:-1]
-        return pa.table({"block": t.column("block"), "part": t.column("part"), "totals": pa.array([zstd.compress(x.tobytes()) for x in np.split(totals, cuts)], pa.binary())})
+        sums = np.add.reduceat(counts[order], np.flatnonzero(fresh))
+        totals = np.empty(len(keys), np.int64)
+        totals[order] = sums[np.cumsum(fresh) - 1]
+        cuts = np.cumsum([len(x) for x in lists])[:-1]
+        return pa.table({"block": t.column("block"), "part": t.column("part"), "totals": pa.array([_zip(x) for x in np.split(totals, cuts)], pa.binary())})
 
     def score(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         ones, pairs, bounds = _keys(docs_.column("text"))
         keys, _, _ = _distinct(ones, pairs, parts)
-        unzip = zstandard.ZstdDecompressor()
         order = np.argsort(answers.column("part").to_numpy())
-        sums = [np.frombuffer(unzip.decompress(answers.column("totals")[int(i)].as_py()), "<u4") for i in order]
+        sums = [_unzip(answers.column("totals")[int(i)].as_py()) for i in order]
         totals = np.concatenate(sums).astype(np.float64) if sums else np.empty(0)
-        of = lambda h: totals[np.searchsorted(keys, key_of(h, parts))]
+        of = lambda h: totals[np.searchsorted(keys, h)]
         value = np.empty(0)
         if len(ones):
             c = of(ones)
