@@ -12,15 +12,16 @@ copies of a text add nothing) and PMI >= ALPHA * IC: it gives away that share of
 document that holds e, every place of such a term becomes a span: terms that disclose a kind are generalised to
 ``[RELATED]``, terms that disclose one value are removed. Documents without any entity are left as they are.
 
-All counts cover all documents. Terms are runs of three letters or more, in lower case.
+All counts cover all documents. Terms are runs of three letters or more, in lower case. Equal texts are told by 128 bits.
 
 Texts: null is empty, without spans. Offsets are code points, ends exclusive. Rows that repeat an id and text give equal
-results; an id may be null. Extra columns stay in sanitise() and are not read otherwise.
+results; an id may be null. Very long texts are read whole, and the time for one grows no faster than its length and
+n log n of its spans. An empty table gives an empty result. Extra columns stay in sanitise() and are not read otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, stored
@@ -28,8 +29,10 @@ from .shared import cut, stored
 WINDOW = 40
 SUPPORT = 3
 ALPHA = 0.8
-#: Terms that a broadcast may hold; more are joined by a shuffle.
+#: Terms, pairs of entity and term, or added spans that a broadcast may hold; more are joined by a shuffle.
 MOST_BROADCAST = 50_000
+#: Matches of a text whose places are found by one inner fold.
+RUN = 64
 
 #: The kinds in the order of reports, and their patterns. Possessive quantifiers and the conditions on
 #: what comes before change no match; they keep the time linear on long runs.
@@ -76,8 +79,15 @@ def _places(found: Column, kind: str) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), value.alias("value"))
         return F.struct(stop.alias("at"), F.when(CHECKS[kind](value), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-    empty = F.expr(f"named_struct('at', 0, 'out', cast(array() as {SPAN}))")
-    return F.when(found.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.size(found["m"]) - 1), empty, step, lambda a: a["out"]))
+    none = F.expr(f"cast(array() as {SPAN})")
+    last = F.size(found["m"]) - 1
+
+    def run(a: Column, c: Column) -> Column:  # a fold over RUN matches, so that the whole list is copied once a run only
+        at = F.sequence(c * RUN, F.least(c * RUN + RUN - 1, last))
+        return F.aggregate(at, F.struct(a["at"].alias("at"), none.alias("out")), step, lambda x: F.struct(x["at"].alias("at"), F.concat(a["out"], x["out"]).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return F.when(found.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.floor(last / RUN).cast("int")), start, run, lambda a: a["out"]))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -113,21 +123,14 @@ def _context(text: Column, s: Column) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, base, extra): base spans and the spans that the corpus adds, a row for each row. key is a hash of the text."""
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("text"))
+    rows = rows.withColumn("key", F.md5(F.col("text").cast("binary")))
     found = stored(base_spans(rows).select("id", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "entities")
     holders = found.where(F.col("text").isNotNull())
     names = F.array_distinct(F.flatten(F.transform("base", lambda s: F.array(s["kind"], F.concat_ws(":", s["kind"], F.lower(s["value"]))))))
-    near = F.flatten(
-        F.transform(
-            "base",
-            lambda s: F.flatten(
-                F.transform(
-                    F.array_distinct(_terms(_context(F.col("text"), s))),
-                    lambda t: F.transform(F.array(s["kind"], F.concat_ws(":", s["kind"], F.lower(s["value"]))), lambda e: F.struct(e.alias("entity"), t.alias("term"), F.xxhash64(F.lower(_context(F.col("text"), s))).alias("context"))),
-                )
-            ),
-        )
-    )
+    spots = F.transform("base", lambda s: F.struct(F.array(s["kind"], F.concat_ws(":", s["kind"], F.lower(s["value"]))).alias("entities"), _context(F.col("text"), s).alias("around")))
+    spots = F.transform(spots, lambda s: F.struct(s["entities"].alias("entities"), F.array_distinct(_terms(s["around"])).alias("terms"), F.xxhash64(F.lower(s["around"])).alias("context")))
+    each = lambda s, t: F.transform(s["entities"], lambda e: F.struct(e.alias("entity"), t.alias("term"), s["context"].alias("context")))
+    near = F.flatten(F.transform(spots, lambda s: F.flatten(F.transform(s["terms"], lambda t: each(s, t)))))
     contexts = holders.select(F.explode(near).alias("x")).select("x.*").distinct().groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
     close = holders.select(F.explode(F.array_distinct(F.transform(near, lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("x.*").groupBy("entity", "term").agg(F.count("*").alias("near"))
     candidates = cut(contexts.join(close, ["entity", "term"]))
@@ -141,23 +144,33 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     n = found.count()
     pmi = F.log2(F.least("near", "df") * F.lit(float(n)) / (F.col("df") * F.col("n_e")))
     disclosing = candidates.join(df, "term").join(n_e, "entity").where(pmi >= ALPHA * F.log2(F.lit(float(n)) / F.col("n_e"))).select("entity", "term")
-    by_term = cut(disclosing.groupBy("term").agg(F.collect_set("entity").alias("entities")) if bounded else disclosing)
-    if not bounded:
-        by_term = by_term.select("term", F.array("entity").alias("entities"))
+    disclosing = cut(disclosing)
+    if disclosing.count() <= MOST_BROADCAST:  # the pairs, so the size of the sets as well
+        by_term = F.broadcast(disclosing.groupBy("term").agg(F.collect_set("entity").alias("entities")))
+    else:
+        by_term = disclosing.select("term", F.array("entity").alias("entities"))
     held = holders.select("key", "text", "base", names.alias("names")).dropDuplicates(["key"])
-    hits = held.select("key", "names", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(small(by_term), "term")
+    hits = held.select("key", "names", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(by_term, "term")
     hits = hits.withColumn("hit", F.array_intersect("names", "entities")).where(F.size("hit") > 0)
     hits = hits.groupBy("key", "term").agg(F.max(F.exists("hit", lambda e: F.contains(e, F.lit(":")))).alias("value"))
     per_text = hits.groupBy("key").agg(F.collect_list(F.struct("term", F.when(F.col("value"), "removed").otherwise("related").alias("kind"))).alias("terms"))
     pattern = lambda t: F.concat(F.lit(r"(?iu)(?<!\p{L})\Q"), t, F.lit(r"\E(?!\p{L})"))
-    placed = held.join(per_text, "key").select("key", "text", "base", F.explode("terms").alias("t")).select(
-        "key", "base", F.col("t.kind").alias("kind"), F.regexp_extract_all("text", pattern(F.col("t.term")), F.lit(0)).alias("m"), F.split("text", pattern(F.col("t.term")), -1).alias("g")
-    )
-    placed = placed.select("key", "base", "kind", "m", F.posexplode(F.expr("slice(g, 1, size(m))")).alias("i", "gap"), "g")
-    upto = F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(0), lambda a, k: a + F.length(F.get("g", k)) + F.when(k < F.col("i"), F.length(F.get("m", k))).otherwise(0))
-    placed = placed.select("key", "base", F.struct("kind", upto.alias("start"), (upto + F.length(F.get("m", F.col("i")))).alias("stop"), F.get("m", F.col("i")).alias("value")).alias("s"))
-    placed = placed.where(~F.exists("base", lambda b: (b["start"] < F.col("s.stop")) & (b["stop"] > F.col("s.start"))))
-    extra = placed.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("extra"))
+    found_terms = held.select("key", "text").join(per_text, "key").select("key", "text", F.explode("terms").alias("t"))
+    matched = F.regexp_extract_all("text", pattern(F.col("t.term")), F.lit(0))
+    gaps = F.slice(F.split("text", pattern(F.col("t.term")), -1), F.lit(1), F.size(matched))
+    # places are running sums of what lies between matches; no row carries its text's arrays
+    rows_ = found_terms.select("key", F.col("t.term").alias("term"), F.col("t.kind").alias("kind"), F.posexplode(F.arrays_zip(gaps.alias("g"), matched.alias("m"))).alias("i", "x"))
+    stop = F.sum(F.length("x.g") + F.length("x.m")).over(Window.partitionBy("key", "term").orderBy("i")).cast("int")
+    added = rows_.select("key", "kind", (stop - F.length("x.m")).alias("start"), stop.alias("stop"), F.col("x.m").alias("value"), F.lit(False).alias("own"))
+    base = held.join(per_text.select("key"), "key", "left_semi").select("key", F.explode("base").alias("s")).select("key", "s.kind", "s.start", "s.stop", "s.value", F.lit(True).alias("own"))
+    # a span that overlaps a base span isn't added: the furthest end of base spans before it, and the next start after it
+    both, w = added.union(base), Window.partitionBy("key")
+    reach = F.max(F.when(F.col("own"), F.col("stop"))).over(w.orderBy("start", F.desc("own")).rowsBetween(Window.unboundedPreceding, -1))
+    next_ = F.min(F.when(F.col("own"), F.col("start"))).over(w.orderBy(F.desc("start"), F.desc("own")).rowsBetween(Window.unboundedPreceding, -1))
+    free = both.withColumn("reach", reach).withColumn("next", next_).where(~F.col("own") & ~F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("next") < F.col("stop"), F.lit(False)))
+    extra = cut(free.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "stop", "value"))).alias("extra")))
+    spans = extra.agg(F.sum(F.size("extra"))).first()[0] or 0
+    extra = F.broadcast(extra) if spans <= MOST_BROADCAST else extra
     return found.select("id", "key", "base").join(extra, "key", "left").select("id", "key", "base", F.coalesce("extra", F.expr(f"cast(array() as {SPAN})")).alias("extra"))
 
 
@@ -179,7 +192,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Spans that overlap are replaced as one, by the label of the first. Texts move only where they hold a span."""
     spans = find(docs, id_col, text_col).where("size(base) > 0").select(F.col("key").alias("__key"), F.concat("base", "extra").alias("__spans")).dropDuplicates(["__key"])
-    keyed = docs.withColumn("__key", F.xxhash64(docs[text_col].cast("string")))
+    keyed = docs.withColumn("__key", F.md5(docs[text_col].cast("string").cast("binary")))
     text = F.col(text_col)
     labels = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
     ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
