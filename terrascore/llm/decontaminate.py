@@ -15,7 +15,8 @@ This is a necessary condition and loses nothing. The items' index goes to every
 Texts: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Items without words are left out; an item of fewer words
 than a shingle is one shingle. Null and empty documents have no windows and stay. A document of fewer shingles
 than an item is one window for it, which can reach the similarity from SIMILARITY times the item's shingles on; shorter
-ones can't. Repeated rows give repeated results. Extra columns are not read.
+ones can't. Repeated rows and null ids give results of their own; of equal windows the first is reported. Of a very
+long text WINDOW_SHINGLES are held in windows at a time. Empty tables give empty results. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SIMILARITY = 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 23
 #: Words of items that one index holds.
 MOST_ITEM_WORDS = 1_000_000
+#: Shingles of the windows that are held at a time.
+WINDOW_SHINGLES = 1 << 18
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -138,23 +141,25 @@ class Index:
                     start = np.flatnonzero(total[width:] - total[:-width] >= SIMILARITY * size - 1e-9)
                     if not len(start):
                         continue
-                    runs = s[a + start[:, None] + np.arange(width)]
-                    for w, i in zip(*(x.tolist() for x in self.candidates(fingerprints(runs), place)), strict=True):
-                        value = self.similarity(runs[w], i)
-                        if value >= SIMILARITY and value > best.get((t, i), (0.0, 0))[0]:
-                            best[t, i] = (value, int(start[w]))
+                    for first in range(0, len(start), max(1, WINDOW_SHINGLES // width)):  # a long text's windows a part at a time
+                        some = start[first : first + max(1, WINDOW_SHINGLES // width)]
+                        runs = s[a + some[:, None] + np.arange(width)]
+                        for w, i in zip(*(x.tolist() for x in self.candidates(fingerprints(runs), place)), strict=True):
+                            value = self.similarity(runs[w], i)
+                            if value >= SIMILARITY and value > best.get((t, i), (0.0, 0))[0]:
+                                best[t, i] = (value, int(some[w]))
         return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, key, item_id, similarity, first_word): for each row of docs and item the best window, if it reaches SIMILARITY.
 
-    key is a hash of the text. One pass over docs without a shuffle for each MOST_ITEM_WORDS words of the benchmark."""
+    key is a 128-bit hash of the text. One pass over docs without a shuffle for each MOST_ITEM_WORDS words of the benchmark."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("i"), benchmark[item_text].cast("string").alias("t")).where("t is not null")
     words = items.agg(F.sum(F.length("t"))).first()[0] or 0
     parts = words // (5 * MOST_ITEM_WORDS) + 1
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
     out = None
     for part in range(parts):
         own = sorted(items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect(), key=lambda r: (r.i is None, r.i, r.t))
@@ -171,7 +176,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                         ["id", "key", "item_id", "similarity", "first_word"],
                     )
 
-        found = rows.mapInArrow(run, f"id {kind}, key long, item_id long, similarity double, first_word long")
+        found = rows.mapInArrow(run, f"id {kind}, key string, item_id long, similarity double, first_word long")
         out = found if out is None else out.union(found)
     return out
 
@@ -185,4 +190,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     gone = cut(matches(docs, benchmark, id_col, text_col).select("key").distinct())
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == gone["key"], "left_anti")
+    return docs.join(gone, F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")) == gone["key"], "left_anti")
