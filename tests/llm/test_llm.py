@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import io
+import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -113,6 +115,79 @@ def test_pii_removes_terms_that_disclose(spark):
     assert clean[101].text == rows[13][1] and clean[400].text is None
 
 
+def disclosed(rows):
+    """Added spans of texts by the definition: co-occurrence around entities, support by contexts, PMI against what is to know."""
+    spots, holds, terms_of = collections.defaultdict(set), collections.defaultdict(set), {}
+    near = collections.defaultdict(set)
+    term = re.compile(r"[^\W\d_]{3,}")
+    for k, (_, t) in enumerate(rows):
+        t = t or ""
+        terms_of[k] = set(term.findall(t.lower()))
+        for kind, a, b in base_spans(t):
+            before = t[max(a - pii.WINDOW, 0) : a]
+            after = t[b : b + pii.WINDOW]
+            before = re.sub(r"^\S+", "", before) if a > pii.WINDOW else before
+            after = re.sub(r"\S+$", "", after) if len(after) == pii.WINDOW else after
+            around = re.sub(r"\S*[@0-9]\S*", " ", before + " " + after)
+            for e in (kind, f"{kind}:{t[a:b].lower()}"):
+                holds[e].add(k)
+                for w in set(term.findall(around.lower())):
+                    spots[e, w].add(around.lower())
+                    near[e, w].add(k)
+    n, out = len(rows), {}
+    df = collections.Counter(w for ws in terms_of.values() for w in ws)
+    gives = collections.defaultdict(set)
+    for (e, w), contexts in spots.items():
+        pmi = np.log2(min(len(near[e, w]), df[w]) * n / (df[w] * len(holds[e])))
+        if len(contexts) >= pii.SUPPORT and pmi >= pii.ALPHA * np.log2(n / len(holds[e])):
+            gives[w].add(e)
+    for k, (d, t) in enumerate(rows):
+        base, found = base_spans(t or ""), set()
+        mine = {x for kind, a, b in base for x in (kind, f"{kind}:{t[a:b].lower()}")}
+        for w in terms_of[k]:
+            if hit := gives[w] & mine:
+                kind = "removed" if any(":" in e for e in hit) else "related"
+                for m in re.finditer(rf"(?<![^\W\d_]){re.escape(w)}(?![^\W\d_])", t, re.I):
+                    if not any(b < m.end() and e > m.start() for _, b, e in base):
+                        found.add((kind, m.start(), m.end()))
+        out[d] = ",".join("%s:%d:%d" % x for x in base + sorted(found))
+    return out
+
+
+def test_pii_added_spans_equal_the_definition(spark, sf):
+    rng = random.Random(11)
+    filler = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
+    rows = []
+    for d in range(300):
+        w = rng.choices(filler, k=rng.randint(3, 40))
+        if d % 4 == 0:
+            w[rng.randrange(len(w))] = rng.choice(["Secretly reach me@ex.org", "zorblatt me@ex.org and so", "call +1 555 010 9999 kindly", "host 10.0.0.1 gateway", "me@ex.org me@ex.org Zorblatt"])
+        rows.append((d, " ".join(w)))
+    rows += [(400, rows[0][1]), (401, None), (402, ""), (403, "Zorblatt zorblatt ZORBLATT me@ex.org zorblatts"), (403, "repeated id zorblatt")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
+    want = collections.Counter(_by_row(rows))
+    got = collections.Counter((r.doc_id, r.spans) for r in pii.report(df).collect())
+    assert got == want and any("related" in s or "removed" in s for _, s in got)
+
+
+def _by_row(rows):
+    found = disclosed([(k, t) for k, (_, t) in enumerate(rows)])
+    return [(rows[k][0], s) for k, s in found.items()]
+
+
+def test_pii_places_of_one_term_take_linear_time(spark):
+    """A text of many places of one disclosing term: eight times the places in well under eight times eight the time."""
+    def took(n):
+        rows = [(i, f"note {chr(97 + i % 20) * 4} reach zorblatt via user{i}@mail{i}.org soon") for i in range(12)] + [(50, "zorblatt a@b.org " + "zorblatt x " * n)] + [(100 + i, "plain words only") for i in range(60)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        began = time.time()
+        got = {r.doc_id: r.n_related for r in pii.report(df).collect()}
+        assert got[50] == n + 1
+        return time.time() - began
+    took(100)
+    assert took(8000) < 8 * took(1000)
+
+
 # 2 and 7
 
 
@@ -145,13 +220,15 @@ def test_mixtures_of_more_than_three_languages():
 
 
 def test_quality_held_out(spark, sf, docs):
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    real = spark.read.parquet(f"{sf}/documents.parquet")
+    """On held-out rows only; the smallest tables have 76 labelled rows to learn from, so the next size is used."""
+    folder = sf.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    real = spark.read.parquet(f"{folder}/documents.parquet")
     got = quality.classify(real, labels).collect()
     assert len(got) == real.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     seen = {r.doc_id: r.quality for r in labels.collect()}
-    known = [r for r in got if r.doc_id in seen and not r.held_out]
-    assert sum(r.predicted == seen[r.doc_id] for r in known) / len(known) > 0.9
+    known = [r for r in got if r.doc_id in seen and r.held_out]
+    assert len(known) > 50 and sum(r.predicted == seen[r.doc_id] for r in known) / len(known) > 0.95
     assert quality.classify(docs, labels.limit(0)).where("score = 0.5").count() == 13
 
 
@@ -225,6 +302,21 @@ def test_nearest_equals_brute_force_and_leaves_bad_vectors_out(spark):
     assert ann.nearest(few, lambda c: c == 0).count() == 3
 
 
+def test_nearest_of_repeated_ids_and_small_blocks(spark, monkeypatch):
+    """A query row that occurs twice is one query with k distinct ranks; blocks of few rows and queries change nothing."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((300, 8)).round(3)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame([*rows, rows[0], (None, rows[1][1])], "vec_id long, embedding array<double>")
+    whole = [tuple(r) for r in ann.nearest(df, lambda c: c % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert [(r[0], r[1]) for r in whole] == [(q, k) for q in range(0, 300, 20) for k in range(1, 11)]
+    assert all(r[0] != r[2] for r in whole)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(ann, "ROWS_AT_ONCE", 3)
+    assert [tuple(r) for r in ann.nearest(df, lambda c: c % 20 == 0).orderBy("query_id", "rank").collect()] == whole
+
+
 # 5
 
 
@@ -307,6 +399,26 @@ def test_token_files_equal_the_library_and_hold_checksums(spark, docs):
         token_files.Reader(File(bytes(broken))).ids(1)
 
 
+def test_letters_before_signs_equal_the_library():
+    """Every code point below U+20000 before a sign, within a word and alone: a letter may normalise to a letter and a mark."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, enc = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    points = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    for sign in (".", ",", "!"):
+        texts = [c + sign for c in points] + [f"a{c}{sign} b{c}" for c in points[0x80:0x3000]]
+        got = enc.encode_all(texts)
+        want = library.encode_batch(texts, add_special_tokens=False)
+        wrong = [t for t, g, w in zip(texts, got, want, strict=True) if np.frombuffer(g, "<u4").tolist() != w.ids]
+        assert not wrong, [hex(ord(t[0])) for t in wrong[:20]]
+
+
+def test_token_files_roll_over(spark, docs, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = sorted(tuple(r) for r in token_files.tokenize_to_files(docs, path, 1).collect())
+    monkeypatch.setattr(token_files.Writer, "full", property(lambda w: w.n_docs >= 2))
+    assert sorted(tuple(r) for r in token_files.tokenize_to_files(docs, path, 1).collect()) == want
+
+
 # 8
 
 
@@ -340,6 +452,22 @@ def test_scores_equal_sql(spark, docs):
         assert r.n_words == want[r.id][0] and r.log_score == pytest.approx(want[r.id][1], abs=1e-3) and r.mean_log_score == pytest.approx(want[r.id][2], abs=1e-5)
 
 
+def test_packed_keys_and_counts():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        for top in (2**20, 2**40, 2**63):
+            keys = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+            assert (lm_score.unpack(lm_score.pack(keys)) == keys).all()
+    for counts in ([1, 2], [255, 256], [2**32, 5], [2**40]):
+        assert lm_score._unzip(lm_score._zip(np.array(counts))).tolist() == counts
+
+
+def test_scores_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b a b"), (1, "a b a b"), (None, "a c"), (None, None), (2, "")]
+    got = lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and len({r.log_score for r in got if r.id == 1}) == 1 and {(r.n_words, r.log_score) for r in got if r.id == 2} == {(0, 0.0)}
+
+
 # 10
 
 
