@@ -39,6 +39,11 @@ def eb_rate(count: Column, units: Column, prior: Column, k: float) -> Column:
     return F.when(prior.isNull(), count / u).otherwise((count + k * prior) / (u + k)) - 1e-6 * F.log1p(u)
 
 
+def half_even(x: Column, places: int) -> Column:
+    """x rounded to some decimal places, halves of its scaled value to the even neighbour."""
+    return F.rint(x * 10.0**places) / 10.0**places
+
+
 def geohash(lat: Column, lon: Column, precision: int) -> Column:
     bits = 5 * precision
     n_lon, n_lat = (bits + 1) // 2, bits // 2
@@ -79,8 +84,8 @@ def number(text: Column) -> Column:
 
 
 def clean_name(text: Column) -> Column:
-    """Upper case, without punctuation, single spaces; blank is null."""
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.upper(text), r"[^\p{L}\p{N} ]", " "), " +", " ")), F.lit(""))
+    """Upper case, without what isn't a letter A-Z, digit or space, single spaces; blank is null."""
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.upper(text), "[^A-Z0-9 ]+", ""), " +", " ")), F.lit(""))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascore.functions.geo import cosine
 
+from .stats import percentile_of, quantiles
+
 
 def mean_of(columns: list[str]) -> Column:
     """Mean of the columns that aren't null; null if all are."""
@@ -38,20 +42,62 @@ def dealbreaker(df: DataFrame, score: str, dims: list[str], ignore: frozenset[st
     return df.withColumn("dealbreakers", hits).withColumn(score, F.when(F.size("dealbreakers") > 0, F.least(F.col(score), F.lit(cap))).otherwise(F.col(score)))
 
 
-def page(df: DataFrame, sort: str, number: int, size: int, tie: str = "id", ascending: bool = False) -> DataFrame:
-    """One page of rows by a column, nulls last, ties by ``tie``."""
-    order = F.col(sort).asc_nulls_last() if ascending else F.col(sort).desc_nulls_last()
-    return df.orderBy(order, tie).offset((number - 1) * size).limit(size)
+def sort_column(sort: str, dims: list[str], groups: dict[str, list[str]], exclude: frozenset[str] = frozenset()) -> Column:
+    """What a feed is sorted by: the composite, price, a dimension, or a group's mean without the dimensions that are excluded.
+
+    An unknown name sorts by the composite; an excluded dimension by its group."""
+    if sort in exclude:
+        sort = next((g for g, cols in groups.items() if sort in cols), "composite")
+    if sort in groups:
+        return mean_of([c for c in groups[sort] if c not in exclude])
+    return F.col(sort if sort in (*dims, "price") else "composite")
+
+
+def page(df: DataFrame, sort: Column, number: int, size: int, tie: str = "id") -> DataFrame:
+    """One page of rows, descending, nulls last; ties by coverage (if there is such a column), then by ``tie``."""
+    order = [sort.desc_nulls_last()] + ([F.col("coverage").desc_nulls_last()] if "coverage" in df.columns else [])
+    return df.orderBy(*order, tie).offset((number - 1) * size).limit(size)
+
+
+def feed(
+    df: DataFrame, beds: list[int] | None = None, price: tuple[float | None, float | None] = (None, None), neighborhoods: list[str] | None = None, stabilized: bool | None = None, min_composite: float | None = None,
+    min_sqft: float | None = None, available_before: str | None = None, amenities: list[str] | None = None, min_coverage: float | None = None, dims: list[str] | None = None,
+) -> DataFrame:
+    """The active rows with coordinates that pass every filter given. A filter on a column leaves out rows where it is null.
+
+    amenities: all of them must be in the array of that name; min_coverage: at least ceil(share * dims) scored dimensions."""
+    keep = (F.upper("status") == "ACTIVE") & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    tests = [
+        F.col("beds").isin(*beds) if beds else None,
+        F.col("price") >= price[0] if price[0] is not None else None,
+        F.col("price") <= price[1] if price[1] is not None else None,
+        F.lower("neighborhood").isin(*(n.strip().lower() for n in neighborhoods)) if neighborhoods else None,
+        F.col("rent_stabilized") == int(stabilized) if stabilized is not None else None,
+        F.col("composite") >= min_composite if min_composite is not None else None,
+        F.col("sqft") >= min_sqft if min_sqft is not None else None,
+        F.col("available_at") <= F.lit(available_before).cast("date") if available_before else None,
+        *(F.array_contains("amenities", a.strip()) for a in amenities or []),
+        sum((F.col(c).isNotNull().cast("int") for c in dims), F.lit(0)) >= math.ceil(min_coverage * len(dims)) if min_coverage is not None and dims else None,
+    ]
+    for t in tests:
+        keep = keep & t if t is not None else keep
+    return df.where(keep)
+
+
+def composite_percentile(df: DataFrame, score: str = "composite", status: str = "status", to: str = "composite_percentile") -> DataFrame:
+    """df with the midrank of its composite among the composites of active rows, by a frozen grid of these."""
+    grid = quantiles(df.where(F.upper(status) == "ACTIVE"), score)
+    return df.crossJoin(F.broadcast(grid)).withColumn(to, percentile_of(F.col("q"), F.col(score))).drop("q")
 
 
 def peer_context(df: DataFrame, group: str, dims: list[str], key: str = "id", least: int = 20) -> DataFrame:
-    """(key, dim, percentile, median, n): midrank among the group's rows with that dimension, for groups of at least 20."""
+    """(key, dim, percentile, median, n): midrank, a whole number, among the group's rows with that dimension, for groups of at least 20."""
     long_ = df.select(key, group, F.explode(F.map_from_arrays(F.array(*map(F.lit, dims)), F.array(*map(F.col, dims)))).alias("dim", "v")).where("v is not null")
     per = long_.groupBy(group, "dim", "v").agg(F.count("*").alias("eq"))
     w = Window.partitionBy(group, "dim")
     per = per.withColumn("below", F.sum("eq").over(w.orderBy("v")) - F.col("eq")).withColumn("n", F.sum("eq").over(w))
     med = long_.groupBy(group, "dim").agg(F.percentile("v", 0.5).alias("median"))
-    pct = F.round(100 * (F.col("below") + F.col("eq") / 2) / F.col("n"), 1)
+    pct = F.rint(100 * (F.col("below") + F.col("eq") / 2) / F.col("n")).cast("int")  # halves to the even number
     return long_.join(per, [group, "dim", "v"]).join(med, [group, "dim"]).where(F.col("n") >= least).select(key, "dim", pct.alias("percentile"), F.round("median", 1).alias("median"), "n")
 
 
@@ -86,9 +132,44 @@ def similar(pairs: DataFrame, key: str = "id", k: int = 5) -> DataFrame:
     return r.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "other"))).where(F.col("rank") <= k).select(key, "other", "rank", "score")
 
 
-def compare(df: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """(key, column, value, rank, is_best, vs_mean) within a chosen set of rows."""
-    long_ = df.select(key, F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*map(F.col, columns)))).alias("column", "value")).where("value is not null")
+def also_consider(pairs: DataFrame, groups: list[str], key: str = "id", least: float = 0.85) -> DataFrame:
+    """(key, group, other): for each group in order, a candidate that is better there, alike in the other groups (cosine of at
+    least 0.85) and nearest by km + 3 * price ratio, that no group before it has taken.
+
+    pairs: (key, other, km, price_ratio, a and b: arrays of the group scores in order). A key's candidates are few (see
+    candidates()); a fold over the groups takes them one by one."""
+    item = F.struct((F.col("km") + 3 * F.col("price_ratio")).alias("cost"), F.col("other").alias("other"), F.col("b").alias("b"))
+    per = pairs.groupBy(key).agg(F.first("a").alias("a"), F.array_sort(F.collect_list(item)).alias("c"))
+    other_type = pairs.schema["other"].dataType.simpleString()
+    empty = F.expr(f"cast(array() as array<{other_type}>)")
+    for g, name in enumerate(groups):
+        rest = [i for i in range(len(groups)) if i != g]
+        pick = lambda v, rest=rest: F.array(*(F.get(v, F.lit(i)) for i in rest))
+        fits = lambda x, g=g, pick=pick: (F.get(x["b"], F.lit(g)) > F.get(F.col("a"), F.lit(g))) & (cosine(pick(F.col("a")), pick(x["b"])) >= least)
+        taken = F.array_compact(F.array(*(F.col(f"__{n}") for n in groups[:g]))) if g else empty
+        found = F.get(F.filter("c", lambda x, fits=fits, taken=taken: fits(x) & ~F.array_contains(taken, x["other"])), F.lit(0))
+        per = per.withColumn(f"__{name}", found["other"])
+    return per.select(key, F.explode(F.map_from_arrays(F.array(*map(F.lit, groups)), F.array(*(F.col(f"__{n}") for n in groups)))).alias("group", "other")).where("other is not null")
+
+
+def compare(df: DataFrame, columns: list[str], ids: list, key: str = "id") -> DataFrame:
+    """(key, column, value, rank, vs_mean, is_winner, flag) of the rows chosen: ranks by each column, ties by key, the winner, and
+    ``best`` or ``lowest`` for the first or last when it differs from the mean by more than 5. Only the chosen rows are compared."""
+    few = df.where(F.col(key).isin(*ids))
+    long_ = few.select(key, F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*map(F.col, columns)))).alias("column", "value")).where("value is not null")
     w = Window.partitionBy("column")
-    r = long_.withColumn("rank", F.row_number().over(w.orderBy(F.desc("value"), key))).withColumn("vs_mean", F.col("value") - F.avg("value").over(w))
-    return r.withColumn("is_best", (F.col("rank") == 1) & (F.col("vs_mean") > 5))
+    r = long_.withColumn("rank", F.row_number().over(w.orderBy(F.desc("value"), key))).withColumn("vs_mean", F.col("value") - F.avg("value").over(w)).withColumn("n", F.count("*").over(w))
+    flag = F.when((F.col("rank") == 1) & (F.col("vs_mean") > 5), "best").when((F.col("rank") == F.col("n")) & (F.col("vs_mean") < -5), "lowest")
+    return r.withColumn("is_winner", F.col("rank") == 1).withColumn("flag", flag).drop("n")
+
+
+def strengths(compared: DataFrame, key: str = "id") -> DataFrame:
+    """(key, strengths, weaknesses): sorted names of the columns that a compared row is best or lowest in."""
+    names = lambda f: F.array_sort(F.collect_set(F.when(F.col("flag") == f, F.col("column"))))
+    return compared.groupBy(key).agg(names("best").alias("strengths"), names("lowest").alias("weaknesses"))
+
+
+def component_map(df: DataFrame, dims: dict[str, list[str]], key: str = "id") -> DataFrame:
+    """(key, dim, components): for each dimension a map of its component columns that aren't null, as text."""
+    one = lambda cols: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, cols)), F.array(*(F.col(c).cast("string") for c in cols))), lambda _, v: v.isNotNull())
+    return df.select(key, F.explode(F.map_from_arrays(F.array(*map(F.lit, dims)), F.array(*map(one, dims.values())))).alias("dim", "components"))

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascore.functions.geo import EARTH_M, half_width, haversine
+from terrascore.functions.geo import EARTH_M, LAT_M, LON_M, half_width, haversine
 
 
-def _cells(df: DataFrame, lat: str, lon: str, width: float, around: bool) -> DataFrame:
-    x, y = F.floor(F.col(lat) / width), F.floor(F.col(lon) / width)
+def _cells(df: DataFrame, lat: str, lon: str, tall: float, wide: float, around: bool) -> DataFrame:
+    x, y = F.floor(F.col(lat) / tall), F.floor(F.col(lon) / wide)
     if not around:
         return df.withColumn("__x", x).withColumn("__y", y)
     near = lambda c: F.explode(F.sequence(c - 1, c + 1))
     return df.withColumn("__x", near(x)).withColumn("__y", near(y))
 
 
-def box_join(left: DataFrame, right: DataFrame, delta: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon") -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, delta: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", tall: float | None = None) -> DataFrame:
     """Pairs whose coordinates differ by at most delta degrees on both axes. Null coordinates match nothing.
 
-    The smaller side should be left: it is repeated for the nine cells around each point, the right side moves once."""
-    a, b = _cells(left, lat, lon, delta, True), _cells(right, right_lat, right_lon, delta, False)
+    The smaller side should be left: it is repeated for the nine cells around each point, the right side moves once. Cells
+    are delta wide, and ``tall`` high where the caller knows that pairs further apart in latitude drop out anyway. A dense
+    cell is one key of a sort-merge join, which adaptive execution splits by map outputs."""
+    tall = min(tall or delta, delta)
+    a, b = _cells(left, lat, lon, tall, delta, True), _cells(right, right_lat, right_lon, tall, delta, False)
     inside = (F.abs(F.col(lat) - F.col(right_lat)) <= delta) & (F.abs(F.col(lon) - F.col(right_lon)) <= delta)
     return a.join(b, ["__x", "__y"]).where(inside).drop("__x", "__y")
 
@@ -28,11 +33,17 @@ def box_join(left: DataFrame, right: DataFrame, delta: float, lat: str = "lat",
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon") -> DataFrame:
     """Pairs within the box of the radius and within radius_m of each other, with dist_m.
 
-    A flat-Earth reject that can only be too generous runs before the haversine formula."""
-    pairs = box_join(left, right, half_width(radius_m), lat, lon, right_lat, right_lon)
-    dist = haversine(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon))
-    rough = F.abs(F.col(lat) - F.col(right_lat)) * (EARTH_M * 3.141592653589793 / 180) <= radius_m * 1.001
-    return pairs.where(rough).withColumn("dist_m", dist).where(F.col("dist_m") <= radius_m)
+    Pairs are told by the haversine's inner term against that of the radius; the distance itself is computed for what is
+    left. Cosines of latitudes are computed once a row, before the join."""
+    cos = lambda df, c, to: df.withColumn(to, F.cos(F.radians(c)))
+    tall = radius_m * 1.001 / (EARTH_M * 3.141592653589793 / 180)
+    pairs = box_join(cos(left, lat, "__c"), cos(right, right_lat, "__d"), half_width(radius_m), lat, lon, right_lat, right_lon, tall)
+    half = lambda p, q: F.sin(F.radians(F.col(q) - F.col(p)) / 2)
+    v, h = half(lat, right_lat), half(lon, right_lon)
+    inner = v * v + F.col("__c") * F.col("__d") * (h * h)
+    dist = 2 * EARTH_M * F.asin(F.sqrt(F.least(inner, F.lit(1.0))))
+    reach = math.sin(min(radius_m / (2 * EARTH_M), math.pi / 2)) ** 2
+    return pairs.where(inner <= reach * (1 + 1e-12)).withColumn("dist_m", dist).drop("__c", "__d")
 
 
 def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, delta: float = 0.0015, max_m: float | None = None) -> DataFrame:
@@ -48,16 +59,37 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, de
     return left.join(best, key, "left")
 
 
-def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on key columns; null never matches."""
-    return left.join(right, keys, how)
+def canonical_key(key: Column) -> Column:
+    """A building key as text: numbers (also as text, with a fraction of zeros) without leading zeros; other text trimmed; blank is null."""
+    t = F.nullif(F.trim(key.cast("string")), F.lit(""))
+    return F.coalesce(t.try_cast("double").cast("long").cast("string"), t)
+
+
+def keyed_join(left: DataFrame, right: DataFrame, left_key: list[Column], right_key: list[Column], how: str = "left") -> DataFrame:
+    """Join on canonical keys: one column, a tuple, or the parts of a building key; null never matches. The right side's columns come along."""
+    names = [f"__k{i}" for i in range(len(left_key))]
+    a = left.withColumns({n: canonical_key(c) for n, c in zip(names, left_key, strict=True)})
+    b = right.withColumns({n: canonical_key(c) for n, c in zip(names, right_key, strict=True)})
+    return a.join(b, names, how).drop(*names)
+
+
+def same_block(lots: DataFrame, filings: DataFrame, max_m: float = 30.0) -> DataFrame:
+    """(bbl, other columns of filings, dist_m): filings of other lots of the same tax block (the first six of the ten digits of
+    the key) within max_m. lots: (bbl, lat, lon); filings: (f_bbl, r_lat, r_lon, ...)."""
+    block = lambda c: F.substring(F.lpad(canonical_key(F.col(c)), 10, "0"), 1, 6)
+    pairs = lots.select("bbl", "lat", "lon", block("bbl").alias("__b")).join(filings.withColumn("__b", block("f_bbl")), "__b").where("bbl <> f_bbl")
+    return pairs.withColumn("dist_m", haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("dist_m") <= max_m).drop("__b", "lat", "lon")
+
+
+def path_length() -> Column:
+    """Length in metres of a straight path (lat1, lon1) to (lat2, lon2), in the plane of fixed metres a degree."""
+    return F.hypot((F.col("lat2") - F.col("lat1")) * LAT_M, (F.col("lon2") - F.col("lon1")) * LON_M)
 
 
 def path_samples(pairs: DataFrame, step_m: float, ends_m: float = 0.0, key: str = "pair") -> DataFrame:
     """(key, i, lat, lon) of interior points every step_m along straight paths (lat1, lon1) to (lat2, lon2)."""
-    length = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     n = F.floor(F.col("__len") / step_m).cast("int")
-    out = pairs.withColumn("__len", length).where(n >= 2).select("*", n.alias("__n")).withColumn("i", F.explode(F.expr("sequence(1, __n - 1)")))
+    out = pairs.withColumn("__len", path_length()).where(n >= 2).select("*", n.alias("__n")).withColumn("i", F.explode(F.expr("sequence(1, __n - 1)")))
     t = F.col("i") / F.col("__n")
     at = F.col("__len") * t
     out = out.where((at >= ends_m) & (F.col("__len") - at >= ends_m))
@@ -77,7 +109,7 @@ def path_penalty(pairs: DataFrame, roads: DataFrame, key: str = "pair", step_m:
     """(key, penalty): along each path, every run of samples near a severing road adds the penalty of its first sample.
 
     roads: (r_lat, r_lon, penalty). Paths of least_m or less have none."""
-    long_ = pairs.where(haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) > least_m)
+    long_ = pairs.where(path_length() > least_m)
     samples = path_samples(long_, step_m, key=key)
     hit = radius_join(samples, roads, near_m).groupBy(key, "i").agg(F.max("penalty").alias("v"))
     marked = samples.select(key, "i").join(hit, [key, "i"], "left")
@@ -85,6 +117,31 @@ def path_penalty(pairs: DataFrame, roads: DataFrame, key: str = "pair", step_m:
     return pairs.select(key).join(found, key, "left").select(key, F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
 
 
+def occluding_rows(pairs: DataFrame, tall: DataFrame, key: str = "pair", step_m: float = 25.0, ends_m: float = 20.0, near_m: float = 18.0, least_m: float = 45.0) -> DataFrame:
+    """(key, rows): rows of buildings that a path crosses: maximal runs of samples near a tall lot (r_lat, r_lon), the ends of the
+    path left out. Paths of least_m or less cross none."""
+    samples = path_samples(pairs.where(path_length() > least_m), step_m, ends_m, key)
+    hit = radius_join(samples, tall.select("r_lat", "r_lon"), near_m).select(key, "i").distinct().withColumn("v", F.lit(1.0))
+    found = runs(samples.select(key, "i").join(hit, [key, "i"], "left"), key, "v").select(key, F.col("runs").alias("rows"))
+    return pairs.select(key).join(found, key, "left").select(key, F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def shielded(pairs: DataFrame, tall: DataFrame, near_m: float = 18.0) -> DataFrame:
+    """(the columns of pairs but lat and lon, hidden): pairs (lat, lon) to (r_lat, r_lon) with a tall lot near their midpoint."""
+    keys = [c for c in pairs.columns if c not in ("lat", "lon")]
+    mid = pairs.select(*keys, ((F.col("lat") + F.col("r_lat")) / 2).alias("m_lat"), ((F.col("lon") + F.col("r_lon")) / 2).alias("m_lon"))
+    hit = radius_join(mid, tall.select(F.col("r_lat").alias("t_lat"), F.col("r_lon").alias("t_lon")), near_m, "m_lat", "m_lon", "t_lat", "t_lon")
+    return hit.select(*keys).distinct().withColumn("hidden", F.lit(True))
+
+
+def rings(polygons: DataFrame, key: str, geojson: str) -> DataFrame:
+    """(key, part, hole, ring) of GeoJSON polygons and multi-polygons: a row for each ring, an array of [lon, lat]; ring 0 of a part is its outline, others are holes."""
+    many = F.from_json(F.col(geojson), "struct<type:string,coordinates:array<array<array<array<double>>>>>")
+    one = F.from_json(F.col(geojson), "struct<type:string,coordinates:array<array<array<double>>>>")
+    parts = F.when(F.get_json_object(geojson, "$.type") == "MultiPolygon", many["coordinates"]).otherwise(F.array(one["coordinates"]))
+    return polygons.select(key, F.posexplode(parts).alias("part", "__rings")).select(key, "part", F.posexplode("__rings").alias("__i", "ring")).select(key, "part", (F.col("__i") > 0).alias("hole"), "ring")
+
+
 def segment_distance(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres from a point to a segment in the plane that touches the Earth at the point."""
     k = EARTH_M * 3.141592653589793 / 180
@@ -97,7 +154,9 @@ def segment_distance(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2:
 
 
 def segments(polygons: DataFrame, key: str, ring: str = "ring") -> DataFrame:
-    """(key, lat1, lon1, lat2, lon2) of closed rings: an array of [lon, lat] points each; the last point is joined to the first."""
+    """(key, lat1, lon1, lat2, lon2) of closed rings: an array of [lon, lat] points each; the last point is joined to the first.
+
+    A key may have several rows, one for each of its outlines and holes (see rings())."""
     p = F.posexplode(ring).alias("i", "a")
     out = polygons.select(key, F.col(ring).alias("__r"), p)
     nxt = F.get("__r", F.col("i") + 1)

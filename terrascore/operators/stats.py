@@ -25,11 +25,19 @@ def capped_sum(pairs: DataFrame, key: str, where: list[str], weight: str, cap: C
 
 
 def seasonal_factor(rows: DataFrame, day: str, month: int) -> DataFrame:
-    """One row: the month's share of rows over the mean share, within 0.25 and 4; 1 with fewer than 10 months or 1000 rows."""
+    """One row: the month's rows over the mean of the months that have any, within 0.25 and 4; 1 for a month without rows, and
+    with fewer than 10 months or 1000 rows."""
     months = rows.where(F.col(day).isNotNull()).groupBy(F.month(day).alias("m")).count()
     agg = months.agg(F.count("*").alias("months"), F.sum("count").alias("n"), F.avg("count").alias("mean"), F.sum(F.when(F.col("m") == month, F.col("count"))).alias("own"))
-    ratio = F.greatest(F.lit(0.25), F.least(F.lit(4.0), F.coalesce("own", F.lit(0)) / F.col("mean")))
-    return agg.select(F.when((F.col("months") < 10) | (F.col("n") < 1000), 1.0).otherwise(ratio).alias("factor"))
+    ratio = F.greatest(F.lit(0.25), F.least(F.lit(4.0), F.coalesce("own", "mean") / F.col("mean")))
+    return agg.select(F.when((F.col("months") < 10) | (F.coalesce("n", F.lit(0)) < 1000), 1.0).otherwise(ratio).alias("factor"))
+
+
+def trend_guard(rows: DataFrame, day: str, as_of: str, lag_days: int | None = None, coverage: float | None = None, window: int = 182) -> DataFrame:
+    """One row: whether trends are usable. The newest day must lie at most lag_days back, or cover that share of the window before as_of."""
+    lag = F.datediff(F.lit(as_of).cast("date"), F.max(F.col(day).cast("date")))
+    fresh = lag <= lag_days if lag_days is not None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), (window - lag) / window)) >= coverage
+    return rows.agg(F.coalesce(fresh, F.lit(False)).alias("usable"))
 
 
 def trend(recent: Column, older: Column) -> Column:
@@ -54,33 +62,63 @@ def weighted_mean(value: str, weight: str) -> Column:
     return F.sum(F.when(F.col(value).isNotNull(), F.col(value) * F.col(weight))) / F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
 
 
-def ranked(values: DataFrame, value: str) -> DataFrame:
+def ranked(values: DataFrame, value: str, buckets: int = 64) -> DataFrame:
     """(value, n_eq, n_below, n): counts below each distinct value, from counts per value; no window over the rows themselves.
 
-    The running sum goes over partitions of sorted distinct values: each adds the totals of those before it."""
+    Distinct values are dealt into ranges by fixed bounds (about quantiles, a bounded number of them), each range is summed
+    up on its own, and the totals of the ranges before are added."""
     per = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n_eq"))
-    parts = per.repartitionByRange(value).withColumn("__part", F.spark_partition_id())
+    bounds = sorted(set(per.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []))
+    part = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value)))
+    parts = per.withColumn("__part", part)
     totals = parts.groupBy("__part").agg(F.sum("n_eq").alias("t"))
     before = totals.select("__part", F.coalesce(F.sum("t").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("t").over(Window.partitionBy()).alias("n"))
     own = F.sum("n_eq").over(Window.partitionBy("__part").orderBy(value)) - F.col("n_eq")
     return parts.withColumn("__own", own).join(F.broadcast(before), "__part").select(value, "n_eq", (F.col("__own") + F.col("__before")).alias("n_below"), "n")
 
 
+def median(values: DataFrame, value: str, to: str = "median") -> DataFrame:
+    """One row: the median of a column, the mean of the middle two; null without values. From counts per value, never in one buffer."""
+    r = ranked(values, value)
+    at = lambda k: F.max(F.when((F.col("n_below") <= k) & (k < F.col("n_below") + F.col("n_eq")), F.col(value)))
+    return r.agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias(to))
+
+
 def freeze(values: DataFrame, value: str, points: int = 1001, least: int = 100) -> DataFrame:
-    """(i, q): nearest-rank picks of the sorted values, number min(n - 1, round_half_even(i * (n - 1) / 1000)); at least 100 values."""
-    counts = ranked(values, value)
-    if (counts.agg(F.max("n")).first()[0] or 0) < least:
+    """(i, q): nearest-rank picks of the sorted values, number min(n - 1, round_half_even(i * (n - 1) / 1000)); fewer than 100 values fail.
+
+    Each distinct value finds the picks that fall on it from its own place in the order; picks are of a fixed number."""
+    step = (F.col("n") - 1) / (points - 1)
+    if values.where(F.col(value).isNotNull()).limit(least).count() < least:
         raise ValueError(f"a baseline needs {least} values")
-    grid = values.sparkSession.range(points).select(F.col("id").alias("i"))
-    n = counts.agg(F.max("n").alias("n"))
-    pick = grid.crossJoin(F.broadcast(n)).select("i", F.least(F.col("n") - 1, F.bround(F.col("i") * (F.col("n") - 1) / (points - 1)).cast("long")).alias("at"))
-    # every pick falls into one value's range of places; the picks are few and of fixed number
-    return counts.join(F.broadcast(pick), (F.col("at") >= F.col("n_below")) & (F.col("at") < F.col("n_below") + F.col("n_eq"))).select("i", F.col(value).alias("q"))
+    counts = ranked(values, value)
+    lo = F.greatest(F.lit(0), F.floor((F.col("n_below") - 1) / step)).cast("long")
+    hi = F.least(F.lit(points - 1), F.ceil((F.col("n_below") + F.col("n_eq")) / step)).cast("long")
+    picks = counts.withColumn("i", F.explode(F.sequence(lo, hi)))
+    at = F.least(F.col("n") - 1, F.bround(F.col("i") * (F.col("n") - 1) / (points - 1)).cast("long"))
+    return picks.where((at >= F.col("n_below")) & (at < F.col("n_below") + F.col("n_eq"))).select("i", F.col(value).alias("q"))
+
+
+def quantiles(values: DataFrame, value: str) -> DataFrame:
+    """One row: q, the frozen grid of a column as a sorted array."""
+    return freeze(values, value).agg(F.array_sort(F.collect_list("q")).alias("q"))
+
+
+def baseline_prior(grid: DataFrame) -> DataFrame:
+    """One row (mean, median) of a frozen grid q: the average of the picks, and the one in the middle."""
+    total = F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
+    return grid.select((total / F.size("q")).alias("mean"), F.get("q", F.floor(F.size("q") / 2).cast("int")).alias("median"))
+
+
+def _count(quantiles: Column, v: Column, strict: bool) -> Column:
+    """How many elements of a sorted array (of fewer than 2048) are below v, or not above it: a binary search."""
+    less = lambda q: q < v if strict else q <= v
+    return F.aggregate(F.array(*(F.lit(2**k) for k in range(10, -1, -1))), F.lit(0), lambda a, s: F.when(less(F.get(quantiles, a + s - 1)), a + s).otherwise(a))
 
 
 def percentile_of(quantiles: Column, v: Column) -> Column:
     """Midrank of a value in a frozen grid, without interpolation, to one decimal and at most 100; null stays null."""
-    lo, hi = F.size(F.filter(quantiles, lambda q: q < v)), F.size(F.filter(quantiles, lambda q: q <= v))
+    lo, hi = _count(quantiles, v, True), _count(quantiles, v, False)
     n = F.size(quantiles)
     out = F.when(hi == 0, 0.0).when(lo == n, 100.0).otherwise(F.least(F.lit(100.0), F.bround(100 * ((lo + hi) / 2) / (n - 1), 1)))
     return F.when(v.isNotNull(), out)
@@ -103,11 +141,10 @@ def percentile_scores(values: DataFrame, value: str, reverse: bool = False, zero
 
 
 def median_inverse(values: DataFrame, value: str, cell: str) -> DataFrame:
-    """values with score: 0 gives 100, the median of the distinct cells 50, twice the median or more 0; with a median of 0, above 0 is 0."""
-    med = values.where(F.col(value).isNotNull()).groupBy(cell).agg(F.min_by(value, cell).alias("v")).agg(F.percentile("v", 0.5).alias("__med"))
-    v, m = F.col(value), F.col("__med")
-    inverse = F.when(m > 0, F.greatest(F.lit(0.0), 100 - 50 * v / m)).otherwise(0.0)
-    return values.crossJoin(F.broadcast(med)).withColumn("score", F.when(v.isNull(), None).when(v == 0, 100.0).otherwise(inverse)).drop("__med")
+    """values with score: 0 gives 100, the median of the distinct cells 50, twice the median or more 0; a median of 0 counts as 1."""
+    med = median(values.where(F.col(value).isNotNull()).groupBy(cell).agg(F.min(value).alias("v")), "v", "__med")
+    m = F.when(F.coalesce("__med", F.lit(0.0)) == 0, 1.0).otherwise(F.col("__med"))
+    return values.crossJoin(F.broadcast(med)).withColumn("score", F.greatest(F.lit(0.0), 100 - 50 * F.col(value) / m)).withColumn("score", F.when(F.col(value).isNotNull(), F.col("score"))).drop("__med")
 
 
 def z_scores(values: DataFrame, value: str) -> DataFrame:

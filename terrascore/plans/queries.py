@@ -439,3 +439,7 @@ def vl04(spark, d):
 @query("vl05_health", view_sql("listings") + " SELECT count(*) AS total, count(*) FILTER (status = 'ACTIVE' AND lat IS NOT NULL AND lon IS NOT NULL) AS visible FROM listings")
 def vl05(spark, d):
     return view(spark, d, "listings").agg(F.count("*").alias("total"), F.count_if((F.col("status") == "ACTIVE") & F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("visible"))
+
+
+# the other modules register theirs with the same decorator
+from terrascore.plans import scorer_queries  # noqa: E402, F401
