@@ -70,10 +70,12 @@ class WordEncoder:
 
     def _letters(self, text: str) -> bool:
         """Whether a text is of letters and stays so when normalised: a letter may become a letter and a mark."""
-        return all(map(self._letter, text))
+        return text.isalpha() and (text.isascii() or all(map(self._letter, text)))
 
     def _letter(self, c: str) -> bool:
         found = self.plain.get(c)
+        if found is None and c.isascii():
+            found = c.isalpha()
         if found is None:
             found = self.plain[c] = c.isalpha() and (self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(c).isalpha())
         return found
