@@ -89,8 +89,8 @@ def clean_name(text: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays, nulls counting as 50."""
-    x, y = (F.transform(v, lambda s: F.coalesce(s, F.lit(50.0))) for v in (a, b))
+    """Cosine similarity of two arrays, nulls and zeros counting as 50."""
+    x, y = (F.transform(v, lambda s: F.coalesce(F.nullif(s, F.lit(0.0)), F.lit(50.0))) for v in (a, b))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
     norm = F.sqrt(total(F.transform(x, lambda e: e * e))) * F.sqrt(total(F.transform(y, lambda e: e * e)))
     return F.when(norm == 0, 0.0).otherwise(total(F.zip_with(x, y, lambda p, q: p * q)) / norm)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascore.functions.geo import cosine
+from terrascore.functions.geo import cosine, half_even
 
 from .stats import percentile_of, quantiles
 
@@ -98,7 +98,7 @@ def peer_context(df: DataFrame, group: str, dims: list[str], key: str = "id", le
     per = per.withColumn("below", F.sum("eq").over(w.orderBy("v")) - F.col("eq")).withColumn("n", F.sum("eq").over(w))
     med = long_.groupBy(group, "dim").agg(F.percentile("v", 0.5).alias("median"))
     pct = F.rint(100 * (F.col("below") + F.col("eq") / 2) / F.col("n")).cast("int")  # halves to the even number
-    return long_.join(per, [group, "dim", "v"]).join(med, [group, "dim"]).where(F.col("n") >= least).select(key, "dim", pct.alias("percentile"), F.round("median", 1).alias("median"), "n")
+    return long_.join(per, [group, "dim", "v"]).join(med, [group, "dim"]).where(F.col("n") >= least).select(key, "dim", pct.alias("percentile"), half_even(F.col("median"), 1).alias("median"), "n")
 
 
 def candidates(df: DataFrame, key: str = "id", most: int = 50, few: int = 12) -> DataFrame:
@@ -142,12 +142,13 @@ def also_consider(pairs: DataFrame, groups: list[str], key: str = "id", least: f
     per = pairs.groupBy(key).agg(F.first("a").alias("a"), F.array_sort(F.collect_list(item)).alias("c"))
     other_type = pairs.schema["other"].dataType.simpleString()
     empty = F.expr(f"cast(array() as array<{other_type}>)")
-    for g, name in enumerate(groups):
+    for g, name in enumerate(groups):  # each pass is used up before the next one rebinds its names
         rest = [i for i in range(len(groups)) if i != g]
-        pick = lambda v, rest=rest: F.array(*(F.get(v, F.lit(i)) for i in rest))
-        fits = lambda x, g=g, pick=pick: (F.get(x["b"], F.lit(g)) > F.get(F.col("a"), F.lit(g))) & (cosine(pick(F.col("a")), pick(x["b"])) >= least)
+        pick = lambda v: F.array(*(F.get(v, F.lit(i)) for i in rest))
+        own = lambda v: F.coalesce(F.nullif(F.get(v, F.lit(g)), F.lit(0.0)), F.lit(50.0))
+        fits = lambda x: (own(x["b"]) > own(F.col("a"))) & (cosine(pick(F.col("a")), pick(x["b"])) >= least)
         taken = F.array_compact(F.array(*(F.col(f"__{n}") for n in groups[:g]))) if g else empty
-        found = F.get(F.filter("c", lambda x, fits=fits, taken=taken: fits(x) & ~F.array_contains(taken, x["other"])), F.lit(0))
+        found = F.get(F.filter("c", lambda x: fits(x) & F.coalesce(~F.array_contains(taken, x["other"]), F.lit(True))), F.lit(0))
         per = per.withColumn(f"__{name}", found["other"])
     return per.select(key, F.explode(F.map_from_arrays(F.array(*map(F.lit, groups)), F.array(*(F.col(f"__{n}") for n in groups)))).alias("group", "other")).where("other is not null")
 

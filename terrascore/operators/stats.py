@@ -153,3 +153,38 @@ def z_scores(values: DataFrame, value: str) -> DataFrame:
     z = 50 + 25 * (F.col(value) - F.col("__m")) / F.col("__s")
     flat = F.col("__s").isNull() | (F.col("__s") == 0)
     return values.crossJoin(F.broadcast(stat)).withColumn("score", F.when(F.col(value).isNull(), None).when(flat, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), z)))).drop("__m", "__s")
+
+
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(dim, v) of the columns' values that aren't null."""
+    return df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*(F.col(c).cast("double") for c in columns)))).alias("dim", "v")).where("v is not null")
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r): Pearson's correlation of every pair of columns, over rows that have both; one pass."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    row = df.agg(*(F.corr(a, b).alias(f"{a}/{b}") for a, b in pairs))
+    item = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}/{b}`").alias("r"))
+    return row.select(F.explode(F.array(*(item(a, b) for a, b in pairs))).alias("x")).select("x.*")
+
+
+def box_inputs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(dim, n, low, q1, median, q3, high) of each column, quartiles between neighbours by their distance."""
+    return _long(df, columns).groupBy("dim").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.75).alias("q3"), F.max("v").alias("high"))
+
+
+def histogram(df: DataFrame, columns: list[str], low: float, high: float, bins: int) -> DataFrame:
+    """(dim, bin, n): counts of equal bins from low to high; what lies outside goes to the first or last."""
+    at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("v") - low) / ((high - low) / bins))))
+    return _long(df, columns).groupBy("dim", at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def rollup(df: DataFrame, group: str, dims: list[str], price: str = "price", status: str = "status") -> DataFrame:
+    """(group, n, mean_price, median_price, active, mean of each dimension)."""
+    return df.groupBy(group).agg(F.count("*").alias("n"), F.avg(price).alias("mean_price"), F.percentile(price, 0.5).alias("median_price"), F.count_if(F.col(status) == "ACTIVE").alias("active"), *(F.avg(c).alias(f"mean_{c}") for c in dims))
+
+
+def top(df: DataFrame, metric: str, n: int, tie: str) -> DataFrame:
+    """The n rows of the largest metric with place, ties by ``tie``."""
+    best = df.orderBy(F.col(metric).desc_nulls_last(), tie).limit(n)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.col(metric).desc_nulls_last(), tie)))

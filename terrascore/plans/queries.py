@@ -112,12 +112,22 @@ def trf10(spark, d):
     return clean.overlay(lots, lots.select((F.col("lot_id") * 2).alias("lot_id"), (F.col("unitsres") + 100).alias("unitsres")), "lot_id", ["unitsres"])
 
 
-@query("trf14_cells", view_sql("incidents") + " SELECT min(event_id) AS rep, count(*) AS n FROM incidents GROUP BY floor((lat + 90) / 180 * 131072), floor((lon + 180) / 360 * 262144)")
+X, Y = "CAST(floor((lon + 180) / 360 * 262144) AS BIGINT)", "CAST(floor((lat + 90) / 180 * 131072) AS BIGINT)"
+#: A geohash of seven characters by arithmetic: five bits a character, longitude and latitude in turns.
+GEOHASH7 = "concat(" + ", ".join("substr('" + geo.BASE32 + "', CAST(1 + " + " + ".join(f"{2 ** (4 - b)} * (({'x' if i % 2 == 0 else 'y'} >> {(17 if i % 2 == 0 else 16) - i // 2}) & 1)" for b, i in ((k, 5 * c + k) for k in range(5))) + " AS BIGINT), 1)" for c in range(7)) + ")"
+
+
+@query("trf14_cells", view_sql("incidents") + f", b AS (SELECT event_id, {X} AS x, {Y} AS y FROM incidents) SELECT {GEOHASH7} AS cell, min(event_id) AS rep, count(*) AS n FROM b GROUP BY 1")
 def trf14(spark, d):
-    return clean.assign_cells(view(spark, d, "incidents"), "event_id", 7).select("rep", "n")
+    return clean.assign_cells(view(spark, d, "incidents"), "event_id", 7)
+
 
+@query("trf14_tagged_rows", view_sql("incidents") + f", b AS (SELECT event_id, {X} AS x, {Y} AS y FROM incidents), c AS (SELECT event_id, {GEOHASH7} AS cell FROM b) SELECT event_id, cell, event_id = min(event_id) OVER (PARTITION BY cell) AS is_rep FROM c")
+def trf14_rows(spark, d):
+    return clean.tag_cells(view(spark, d, "incidents").select("event_id", "lat", "lon"), "event_id", 7).select("event_id", "cell", "is_rep")
 
-@query("trf15_clean_columns", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day, trim(regexp_replace(regexp_replace(upper(o_orderpriority), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS name, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS amount FROM orders")
+
+@query("trf15_clean_columns", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day, trim(regexp_replace(regexp_replace(upper(o_orderpriority), '[^A-Z0-9 ]+', '', 'g'), ' +', ' ', 'g')) AS name, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS amount FROM orders")
 def trf15(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     k = F.col("o_orderkey") % 4
@@ -127,14 +137,16 @@ def trf15(spark, d):
 
 
 @query("ing03_sync", """WITH cur AS (SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0), snap AS (SELECT o_orderkey AS k, o_totalprice + 10 AS price FROM orders WHERE o_orderkey % 3 <> 1)
-SELECT CAST(coalesce(cur.k, snap.k) AS VARCHAR) AS source_id, CASE WHEN snap.k IS NULL THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, CASE WHEN snap.k IS NULL THEN cur.price ELSE snap.price END AS price, CASE WHEN snap.k IS NULL THEN 'deactivated' WHEN cur.k IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM cur FULL JOIN snap ON cur.k = snap.k""")
+SELECT CAST(coalesce(cur.k, snap.k) AS VARCHAR) AS source_id, CASE WHEN cur.k IS NOT NULL THEN CAST(cur.k AS VARCHAR) END AS kept_id, CASE WHEN snap.k IS NULL THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, CASE WHEN snap.k IS NULL THEN cur.price ELSE snap.price END AS price, CASE WHEN cur.k IS NULL THEN DATE '2024-02-01' ELSE DATE '2024-01-01' END AS first_day, CASE WHEN snap.k IS NULL THEN DATE '2024-01-01' ELSE DATE '2024-02-01' END AS last_day, CASE WHEN snap.k IS NULL THEN 'deactivated' WHEN cur.k IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM cur FULL JOIN snap ON cur.k = snap.k""")
 def ing03(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     t = F.lit("2024-01-01").cast("timestamp")
     key = F.col("o_orderkey").cast("string").alias("source_id")
     cur = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("a").alias("source"), key, F.lit("ACTIVE").alias("status"), t.alias("first_seen_at"), t.alias("last_seen_at"), F.col("o_totalprice").alias("price"))
     snap = o.where("o_orderkey % 3 <> 1").select(key, (F.col("o_totalprice") + 10).alias("price"))
-    return ingest.sync(cur, snap, "a", "2024-02-01").select("source_id", "status", "price", "action")
+    out = ingest.sync(cur, snap, "a", "2024-02-01")
+    kept = F.when(F.col("action") != "inserted", F.col("id"))  # new ids are name-based: tests hold them against uuid5
+    return out.select("source_id", kept.alias("kept_id"), "status", "price", F.to_date("first_seen_at").alias("first_day"), F.to_date("last_seen_at").alias("last_day"), "action")
 
 
 # joins
@@ -164,15 +176,15 @@ def jn05(spark, d):
     return scorers.portfolio(view(spark, d, "lots"), view(spark, d, "filings"))
 
 
-@query("jn06_adjacent", view_sql("lots") + f" SELECT a.lot_id, count(*) AS n FROM lots a JOIN lots b ON a.block = b.block AND a.lot_id <> b.lot_id AND {HAV(a='a.lat', b='a.lon', c='b.lat', d='b.lon')} <= 1500 GROUP BY 1")
+@query("jn06_adjacent", view_sql("lots") + f", b AS (SELECT lot_id, bbl, substr(lpad(bbl, 10, '0'), 1, 6) AS k, lat, lon FROM lots), c AS (SELECT lot_id, bbl, k, lat + 0.0002 * (lot_id % 3 - 1) AS lat, lon FROM b UNION ALL SELECT lot_id, concat(substr(bbl, 1, 6), '9999'), k, lat + 0.0001, lon FROM b) SELECT a.bbl, count(*) AS n, round(sum({HAV(a='a.lat', b='a.lon', c='c.lat', d='c.lon')}), 4) AS metres FROM b a JOIN c ON a.k = c.k AND a.bbl <> c.bbl AND {HAV(a='a.lat', b='a.lon', c='c.lat', d='c.lon')} <= 30 GROUP BY 1")
 def jn06(spark, d):
-    lots = view(spark, d, "lots").select("lot_id", "block", "lat", "lon")
-    b = lots.select("block", F.col("lot_id").alias("other"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    near = lots.join(b, "block").where("lot_id <> other").where(geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= 1500)
-    return near.groupBy("lot_id").agg(F.count("*").alias("n"))
+    lots = view(spark, d, "lots").select("lot_id", "bbl", "lat", "lon")
+    moved = lots.select(F.col("bbl").alias("f_bbl"), (F.col("lat") + 0.0002 * (F.col("lot_id") % 3 - 1)).alias("r_lat"), F.col("lon").alias("r_lon"))
+    beside = lots.select(F.concat(F.substring("bbl", 1, 6), F.lit("9999")).alias("f_bbl"), (F.col("lat") + 0.0001).alias("r_lat"), F.col("lon").alias("r_lon"))
+    return spatial.same_block(lots, moved.union(beside)).groupBy("bbl").agg(F.count("*").alias("n"), F.round(F.sum("dist_m"), 4).alias("metres"))
 
 
-@query("jn07_path_penalty", view_sql("listings", "roads") + f""", q AS (SELECT id, lat AS a1, lon AS o1, lat + 0.004 AS a2, lon + 0.003 AS o2 FROM listings), l AS (SELECT *, {HAV(a='a1', b='o1', c='a2', d='o2')} AS len FROM q), k AS (SELECT *, CAST(floor(len / 20) AS BIGINT) AS n FROM l WHERE len > 40), s AS (SELECT id, a1, o1, a2, o2, n, unnest(range(1, n)) AS i FROM k WHERE n >= 2),
+@query("jn07_path_penalty", view_sql("listings", "roads") + f""", q AS (SELECT id, lat AS a1, lon AS o1, lat + 0.004 AS a2, lon + 0.003 AS o2 FROM listings), l AS (SELECT *, sqrt(pow((a2 - a1) * 111320.0, 2) + pow((o2 - o1) * 85000.0, 2)) AS len FROM q), k AS (SELECT *, CAST(floor(len / 20) AS BIGINT) AS n FROM l WHERE len > 40), s AS (SELECT id, a1, o1, a2, o2, n, unnest(range(1, n)) AS i FROM k WHERE n >= 2),
 p AS (SELECT id, i, a1 + (a2 - a1) * (i / n) AS lat, o1 + (o2 - o1) * (i / n) AS lon FROM s), h AS (SELECT p.id, p.i, max(r.penalty) AS v FROM p JOIN roads r ON {near_sql('p', 'r', 22.0)} GROUP BY 1, 2), m AS (SELECT p.id, p.i, h.v, lag(h.v) OVER (PARTITION BY p.id ORDER BY p.i) AS b FROM p LEFT JOIN h ON p.id = h.id AND p.i = h.i)
 SELECT listings.id, coalesce(x.v, 0.0) AS penalty FROM listings LEFT JOIN (SELECT id, sum(v) AS v FROM m WHERE v IS NOT NULL AND b IS NULL GROUP BY 1) x USING (id)""")
 def jn07(spark, d):
@@ -194,9 +206,14 @@ def ag04(spark, d):
     return stats.capped_sum(k, "event_type", ["a", "o"], "value", F.lit(20.0)).select("event_type", F.round("total", 3).alias("total"))
 
 
-@query("ag06_seasonal", view_sql("history") + ", m AS (SELECT extract(month FROM listed_at) AS m, count(*) AS c FROM history GROUP BY 1) SELECT round(CASE WHEN count(*) < 10 OR sum(c) < 1000 THEN 1.0 ELSE greatest(0.25, least(4.0, sum(CASE WHEN m = 11 THEN c ELSE 0 END) / avg(c))) END, 6) AS factor FROM m")
+SEASON = "CASE WHEN count(*) < 10 OR sum(c) < 1000 THEN 1.0 ELSE greatest(0.25, least(4.0, coalesce(max(CASE WHEN m = {m} THEN c END), avg(c)) / avg(c))) END"
+
+
+@query("ag06_seasonal", view_sql("history") + f", m AS (SELECT extract(month FROM listed_at) AS m, count(*) AS c FROM history GROUP BY 1), a AS (SELECT * FROM m WHERE m <> 11) SELECT 'all' AS rows, round({SEASON.format(m=11)}, 6) AS factor FROM m UNION ALL SELECT 'absent month', round({SEASON.format(m=11)}, 6) FROM a")
 def ag06(spark, d):
-    return stats.seasonal_factor(view(spark, d, "history"), "listed_at", 11).select(F.round("factor", 6).alias("factor"))
+    h = view(spark, d, "history")
+    one = lambda rows, name: stats.seasonal_factor(rows, "listed_at", 11).select(F.lit(name).alias("rows"), F.round("factor", 6).alias("factor"))
+    return one(h, "all").union(one(h.where("month(listed_at) <> 11"), "absent month"))
 
 
 @query("ag07_trend", view_sql("incidents") + ", c AS (SELECT event_type, count(*) FILTER (day >= DATE '2024-01-16') AS recent, count(*) FILTER (day < DATE '2024-01-16') AS older FROM incidents GROUP BY 1), r AS (SELECT *, round(CASE WHEN older = 0 THEN CASE WHEN recent > 0 THEN 2.0 ELSE 1.0 END ELSE recent / older END, 3) AS ratio FROM c) SELECT *, CASE WHEN ratio < 0.85 THEN 'improving' WHEN ratio > 1.15 THEN 'worsening' ELSE 'stable' END AS direction FROM r")
@@ -235,14 +252,36 @@ def ag13(spark, d):
     return view(spark, d, "scores").withColumn("w", F.col("beds") + 1).groupBy("neighborhood").agg(F.round(stats.weighted_mean("d0", "w"), 6).alias("value"))
 
 
-@query("ag14_neighborhood_rollup", view_sql("listings") + " SELECT neighborhood, count(*) AS n, round(avg(price), 4) AS mean_price, median(price) AS median_price, count(*) FILTER (status = 'ACTIVE') AS active FROM listings GROUP BY 1")
+@query("ag14_neighborhood_rollup", view_sql("listings", "scores") + " SELECT l.neighborhood, count(*) AS n, round(avg(price), 4) AS mean_price, median(price) AS median_price, count(*) FILTER (status = 'ACTIVE') AS active, " + ", ".join(f"round(avg({x}), 4) AS mean_{x}" for x in DIMS) + " FROM listings l JOIN scores s USING (id) GROUP BY 1")
 def ag14(spark, d):
-    return view(spark, d, "listings").groupBy("neighborhood").agg(F.count("*").alias("n"), F.round(F.avg("price"), 4).alias("mean_price"), F.percentile("price", 0.5).alias("median_price"), F.count_if(F.col("status") == "ACTIVE").alias("active"))
+    j = view(spark, d, "listings").join(view(spark, d, "scores").select("id", *DIMS), "id")
+    return stats.rollup(j, "neighborhood", DIMS).select("neighborhood", "n", F.round("mean_price", 4).alias("mean_price"), "median_price", "active", *(F.round(f"mean_{x}", 4).alias(f"mean_{x}") for x in DIMS))
+
+
+@query("ag14_top_neighborhoods", view_sql("listings") + ", r AS (SELECT neighborhood, count(*) AS n, median(price) AS median_price FROM listings GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY median_price DESC, neighborhood) AS place FROM r) SELECT neighborhood, n, median_price, CAST(place AS INT) AS place, (SELECT count(*) FROM listings) AS listings, round((SELECT avg(price) FROM listings), 4) AS mean_price FROM t WHERE place <= 5")
+def ag14_top(spark, d):
+    x = view(spark, d, "listings")
+    top = stats.top(stats.rollup(x, "neighborhood", []), "median_price", 5, "neighborhood").select("neighborhood", "n", "median_price", "place")
+    kpi = x.agg(F.count("*").alias("listings"), F.round(F.avg("price"), 4).alias("mean_price"))
+    return top.crossJoin(F.broadcast(kpi))
 
 
-@query("ag15_correlation", view_sql("scores") + " SELECT round(corr(d0, d1), 6) AS c01, round(corr(d0, d2), 6) AS c02, round(corr(d1, d2), 6) AS c12 FROM scores")
+PAIRS = [(a, b) for i, a in enumerate(DIMS) for b in DIMS[i + 1 :]]
+
+
+@query("ag15_correlation", view_sql("scores") + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM scores" for a, b in PAIRS))
 def ag15(spark, d):
-    return view(spark, d, "scores").agg(F.round(F.corr("d0", "d1"), 6).alias("c01"), F.round(F.corr("d0", "d2"), 6).alias("c02"), F.round(F.corr("d1", "d2"), 6).alias("c12"))
+    return stats.correlations(view(spark, d, "scores"), DIMS).select("a", "b", F.round("r", 6).alias("r"))
+
+
+@query("ag15_box_inputs", view_sql("scores") + ", l AS (" + " UNION ALL ".join(f"SELECT '{x}' AS dim, {x} AS v FROM scores WHERE {x} IS NOT NULL" for x in DIMS) + ") SELECT dim, count(*) AS n, min(v) AS low, round(quantile_cont(v, 0.25), 6) AS q1, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, max(v) AS high FROM l GROUP BY 1")
+def ag15_box(spark, d):
+    return stats.box_inputs(view(spark, d, "scores"), DIMS).withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
+
+
+@query("ag15_histogram", view_sql("scores") + ", l AS (" + " UNION ALL ".join(f"SELECT '{x}' AS dim, {x} AS v FROM scores WHERE {x} IS NOT NULL" for x in DIMS) + ") SELECT dim, CAST(least(9, floor(v / 10)) AS BIGINT) AS bin, count(*) AS n FROM l GROUP BY 1, 2")
+def ag15_hist(spark, d):
+    return stats.histogram(view(spark, d, "scores"), DIMS, 0.0, 100.0, 10)
 
 
 # normalisation
@@ -268,9 +307,15 @@ def nm05(spark, d):
     return stats.percentile_scores(view(spark, d, "scores").select("id", "d2"), "d2", reverse=True).select("id", F.round("score", 6).alias("score"))
 
 
-@query("nm06_median_inverse", view_sql("scores") + ", c AS (SELECT neighborhood, arg_min(d3, neighborhood) AS x, min(d3) AS v FROM scores WHERE d3 IS NOT NULL GROUP BY 1), t AS (SELECT median(v) AS med FROM (SELECT d3 AS v FROM scores WHERE d3 IS NOT NULL)) SELECT id, round(CASE WHEN d3 IS NULL THEN NULL WHEN d3 = 0 THEN 100 WHEN med > 0 THEN greatest(0, 100 - 50 * d3 / med) ELSE 0 END, 6) AS score FROM scores, t")
+MEDIAN_1 = "CASE WHEN coalesce(median(v), 0) = 0 THEN 1.0 ELSE median(v) END"
+
+
+@query("nm06_median_inverse", view_sql("scores") + f", c AS (SELECT neighborhood, min(d3) AS v, 0.0 * min(d3) AS z FROM scores WHERE d3 IS NOT NULL GROUP BY 1), t AS (SELECT {MEDIAN_1} AS med FROM c), z AS (SELECT CASE WHEN coalesce(median(z), 0) = 0 THEN 1.0 ELSE median(z) END AS zero FROM c) SELECT id, round(CASE WHEN d3 IS NOT NULL THEN greatest(0, 100 - 50 * d3 / med) END, 6) AS score, round(CASE WHEN d3 IS NOT NULL THEN greatest(0, 100 - 50 * d3 / 1000 / zero) END, 6) AS zero_median FROM scores, t, z")
 def nm06(spark, d):
-    return stats.median_inverse(view(spark, d, "scores").select("id", "d3"), "d3", "id").select("id", F.round("score", 6).alias("score"))
+    s = view(spark, d, "scores").select("id", "neighborhood", "d3")
+    # cells whose least value is 0 make a median of 0, which counts as 1
+    low = stats.median_inverse(s.select("id", "neighborhood", (F.col("d3") / 1000).alias("v")).unionByName(s.where("d3 is not null").select(F.lit(None).cast("long").alias("id"), "neighborhood", F.lit(0.0).alias("v"))), "v", "neighborhood").where("id is not null")
+    return stats.median_inverse(s, "d3", "neighborhood").select("id", F.round("score", 6).alias("score")).join(low.select("id", F.round("score", 6).alias("zero_median")), "id")
 
 
 @query("nm07_z_scores", view_sql("scores") + ", t AS (SELECT avg(d4) AS m, stddev_samp(d4) AS s FROM scores) SELECT id, round(CASE WHEN d4 IS NULL THEN NULL ELSE greatest(0, least(100, 50 + 25 * (d4 - m) / s)) END, 6) AS score FROM scores, t")
@@ -286,38 +331,6 @@ def nm08(spark, d):
 
 # scorers
 
-CRIME = f"""w AS (SELECT l.id, i.severity, CASE i.severity WHEN 'FELONY' THEN 3.0 WHEN 'MISDEMEANOR' THEN 1.5 ELSE 1.0 END * CASE i.premise WHEN 'STORE' THEN 0.4 WHEN 'STREET' THEN 1.2 WHEN 'RESIDENCE' THEN 1.1 ELSE 1.0 END * CASE WHEN i.hour >= 20 OR i.hour <= 4 THEN 1.5 ELSE 1.0 END * exp(-pow({HAV(a='l.lat', b='l.lon', c='i.lat', d='i.lon')} / 200, 2)) * pow(0.5, greatest(DATE '{AS_OF_EVENTS}' - i.day, 0) / 180.0) AS w
-FROM listings l JOIN incidents i ON i.severity IS NOT NULL AND {near_sql('l', 'i', 400.0)}), a AS (SELECT id, count(*) FILTER (severity = 'FELONY') AS felonies, count(*) AS incidents, sum(w) AS weighted FROM w GROUP BY 1), u AS (SELECT l.id, sum(t.unitsres * exp(-pow({HAV(a='l.lat', b='l.lon', c='t.lat', d='t.lon')} / 200, 2))) AS u FROM listings l JOIN lots t ON {near_sql('l', 't', 400.0)} GROUP BY 1),
-r AS (SELECT l.id, coalesce(felonies, 0) AS felonies, coalesce(incidents, 0) AS incidents, coalesce(weighted, 0) AS weighted, greatest(coalesce(u, 0), 25) AS units FROM listings l LEFT JOIN a USING (id) LEFT JOIN u USING (id)), s AS (SELECT *, 1000 * weighted / units AS rate FROM r), m AS (SELECT median(rate) AS med FROM s)"""
-
-
-@query("sc04_crime", view_sql("listings", "incidents", "lots") + f", {CRIME} SELECT id, felonies, incidents, round(weighted, 4) AS weighted, round(units, 4) AS units, round(rate, 4) AS rate, round(CASE WHEN rate = 0 THEN 100 WHEN med > 0 THEN greatest(0, 100 - 50 * rate / med) ELSE 0 END, 4) AS score FROM s, m")
-def sc04(spark, d):
-    c = scorers.crime(view(spark, d, "listings"), view(spark, d, "incidents"), view(spark, d, "lots"), AS_OF_EVENTS)
-    return c.select("id", "felonies", "incidents", *(F.round(x, 4).alias(x) for x in ("weighted", "units", "rate", "score")))
-
-
-@query("sc01_deal", view_sql("listings") + """, c AS (SELECT *, CAST(CASE WHEN net_effective > 0 THEN net_effective ELSE price END AS DOUBLE) AS cost FROM listings), p AS (SELECT *, CASE WHEN sqft > 0 THEN cost / sqft END AS psf FROM c), g AS (SELECT neighborhood, beds, median(cost) AS cm, count(*) AS n, median(sqft) AS sm, median(psf) AS pm, count(psf) AS ns FROM p GROUP BY 1, 2)
-SELECT id, CASE WHEN n >= 3 THEN cm END AS comp_median, n AS comp_set_size, CASE WHEN n >= 3 THEN sm END AS sqft_median, round(CASE WHEN n >= 3 THEN CASE WHEN sqft > 0 AND ns >= 3 THEN 0.4 * (cm - cost) / cm + 0.3 * (pm - psf) / pm + 0.3 * (sqft - sm) / sm ELSE (cm - cost) / cm END END, 6) AS deviation FROM p JOIN g USING (neighborhood, beds)""")
-def sc01(spark, d):
-    return scorers.deal(view(spark, d, "listings")).withColumn("deviation", F.round("deviation", 6))
-
-
-@query("sc01b_tenure")
-def sc01b(spark, d):
-    return scorers.tenure(view(spark, d, "history"))
-
-
-@query("sc02_unit_amenities", view_sql("listings") + ", h AS (SELECT id, " + ", ".join(f"CAST(contains(lower(amenity_text), '{k}') AS INT) AS {k}" for k in scorers.AMENITIES) + " FROM listings) SELECT id, " + " + ".join(k for k, w in scorers.AMENITIES.items() if w >= 3) + " AS premium, " + " + ".join(k for k, w in scorers.AMENITIES.items() if w < 3) + " AS standard, nullif(" + " + ".join(f"{k} * {w}" for k, w in scorers.AMENITIES.items()) + ", 0) AS total FROM h")
-def sc02(spark, d):
-    return scorers.unit_amenities(view(spark, d, "listings"))
-
-
-@query("sc06_building_violations", view_sql("lots", "filings") + f", a AS (SELECT lot_id, count(*) FILTER (class = 'A') AS a, count(*) FILTER (class = 'B') AS b, count(*) FILTER (class = 'C') AS c, sum(CASE class WHEN 'A' THEN 1.0 WHEN 'B' THEN 2.0 ELSE 5.0 END * CASE WHEN DATE '{AS_OF_ORDERS}' - inspected > 1095 THEN 1.5 ELSE 1.0 END) AS w FROM filings WHERE is_open GROUP BY 1) SELECT lot_id, coalesce(a, 0) AS class_a, coalesce(b, 0) AS class_b, coalesce(c, 0) AS class_c, CAST(coalesce(w, 0) AS DOUBLE) AS weighted, round(coalesce(w, 0) / greatest(unitsres, 1), 6) AS per_unit FROM lots LEFT JOIN a USING (lot_id)")
-def sc06(spark, d):
-    return scorers.violations(view(spark, d, "lots"), view(spark, d, "filings"), AS_OF_ORDERS).withColumn("per_unit", F.round("per_unit", 6))
-
-
 @query("sc18_flood_risk", view_sql("listings", "lots") + f", {NEAREST} SELECT l.id, b.lot_id AS match, CASE WHEN b.lot_id IS NULL THEN NULL WHEN t.firm07 = '1' OR t.pfirm15 = '1' THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END AS score FROM listings l LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON l.id = b.id LEFT JOIN lots t ON t.lot_id = b.lot_id")
 def sc18(spark, d):
     return scorers.flood_risk(view(spark, d, "listings"), view(spark, d, "lots"))
@@ -359,14 +372,9 @@ def rk05(spark, d):
     return rank.dealbreaker(composed(spark, d), "composite", ["d4", "d5", "d6"], frozenset({"d6"})).select("id", "composite", F.array_join("dealbreakers", ",").alias("dealbreakers"))
 
 
-@query("rk07_page", view_sql("scores") + f", {GROUPED}, {COMPOSITE} SELECT id, composite FROM c ORDER BY composite DESC NULLS LAST, id LIMIT 50 OFFSET 50")
-def rk07(spark, d):
-    return rank.page(composed(spark, d).select("id", "composite"), "composite", 2, 50)
-
-
-@query("rk08_peer_context", view_sql("scores") + ", l AS (" + " UNION ALL ".join(f"SELECT id, neighborhood, '{x}' AS dim, {x} AS v FROM scores WHERE {x} IS NOT NULL" for x in DIMS[:3]) + "), r AS (SELECT *, rank() OVER (PARTITION BY neighborhood, dim ORDER BY v) - 1 AS below, count(*) OVER (PARTITION BY neighborhood, dim, v) AS eq, count(*) OVER (PARTITION BY neighborhood, dim) AS n, median(v) OVER (PARTITION BY neighborhood, dim) AS med FROM l) SELECT id, dim, round(100 * (below + eq / 2) / n, 1) AS percentile, round(med, 1) AS median, n FROM r WHERE n >= 20")
+@query("rk08_peer_context", view_sql("scores") + ", l AS (" + " UNION ALL ".join(f"SELECT id, neighborhood, '{x}' AS dim, {x} AS v FROM scores WHERE {x} IS NOT NULL" for x in DIMS) + "), r AS (SELECT *, rank() OVER (PARTITION BY neighborhood, dim ORDER BY v) - 1 AS below, count(*) OVER (PARTITION BY neighborhood, dim, v) AS eq, count(*) OVER (PARTITION BY neighborhood, dim) AS n, median(v) OVER (PARTITION BY neighborhood, dim) AS med FROM l) SELECT id, dim, CAST(round_even(100 * (below + eq / 2) / n, 0) AS INT) AS percentile, round_even(med * 10, 0) / 10 AS median, n FROM r WHERE n >= 20")
 def rk08(spark, d):
-    return rank.peer_context(view(spark, d, "scores"), "neighborhood", DIMS[:3])
+    return rank.peer_context(view(spark, d, "scores"), "neighborhood", DIMS)
 
 
 CAND = "abs(a.lat - b.lat) + abs(a.lon - b.lon)"
@@ -380,11 +388,6 @@ def rk09(spark, d):
     return rank.candidates(view(spark, d, "listings"))
 
 
-@query("rk12_compare", view_sql("scores") + ", l AS (" + " UNION ALL ".join(f"SELECT id, '{x}' AS \"column\", {x} AS value FROM scores WHERE {x} IS NOT NULL" for x in DIMS[:2]) + "), r AS (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY value DESC, id) AS rank, value - avg(value) OVER (PARTITION BY \"column\") AS vs_mean FROM l) SELECT id, \"column\", value, CAST(rank AS INT) AS rank, round(vs_mean, 6) AS vs_mean, rank = 1 AND vs_mean > 5 AS is_best FROM r")
-def rk12(spark, d):
-    return rank.compare(view(spark, d, "scores"), DIMS[:2]).withColumn("vs_mean", F.round("vs_mean", 6))
-
-
 @query("rk13_lookups", view_sql("listings") + " SELECT DISTINCT 'neighborhood' AS kind, neighborhood AS value FROM listings UNION ALL SELECT DISTINCT 'amenity', unnest(string_split(amenity_text, ' ')) FROM listings")
 def rk13(spark, d):
     x = view(spark, d, "listings")
@@ -395,17 +398,6 @@ def rk13(spark, d):
 # building records, neighborhoods, grids, validation
 
 
-@query("bf_record_topics", view_sql("lots", "filings") + ", f AS (SELECT lot_id, count(*) AS filings, count(*) FILTER (is_open) AS open_filings, round(sum(CASE WHEN is_open THEN amount ELSE 0 END), 2) AS open_amount, max(inspected) AS last_day, arg_max(orderkey * 10 + line, struct_pack(a := inspected, b := orderkey, c := line)) AS last_key, count(DISTINCT class) AS classes FROM filings GROUP BY 1) SELECT lot_id, coalesce(filings, 0) AS filings, coalesce(open_filings, 0) AS open_filings, coalesce(open_amount, 0) AS open_amount, last_day, last_key, coalesce(classes, 0) AS classes FROM lots LEFT JOIN f USING (lot_id)")
-def bf(spark, d):
-    amount = F.round(F.sum(F.when(F.col("is_open"), F.col("amount")).otherwise(0.0)), 2)
-    f = view(spark, d, "filings").groupBy("lot_id").agg(
-        F.count("*").alias("filings"), F.count_if("is_open").alias("open_filings"), amount.alias("open_amount"), F.max("inspected").alias("last_day"),
-        F.max_by(F.col("orderkey") * 10 + F.col("line"), F.struct("inspected", "orderkey", "line")).alias("last_key"), F.count_distinct("class").alias("classes"),
-    )
-    j = view(spark, d, "lots").select("lot_id").join(f, "lot_id", "left")
-    return j.fillna({"filings": 0, "open_filings": 0, "open_amount": 0.0, "classes": 0})
-
-
 @query("nb01_median_rent", view_sql("listings") + " SELECT neighborhood, CAST(floor(median(price) FILTER (beds = 1)) AS BIGINT) AS one_bed, CAST(floor(median(price) FILTER (beds = 2)) AS BIGINT) AS two_bed FROM listings WHERE status = 'ACTIVE' GROUP BY 1")
 def nb01(spark, d):
     m = lambda b: F.floor(F.percentile(F.when(F.col("beds") == b, F.col("price")), 0.5))
@@ -442,4 +434,4 @@ def vl05(spark, d):
 
 
 # the other modules register theirs with the same decorator
-from terrascore.plans import scorer_queries  # noqa: E402, F401
+from terrascore.plans import feed_queries, listing_queries, record_queries, scorer_queries, source_queries  # noqa: E402, F401

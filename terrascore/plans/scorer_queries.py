@@ -170,6 +170,10 @@ CATS = list(around.CONVENIENCE)
 MOVED = "({k}((m + penalty) / 250.0) - {k}(m / 250.0))"
 
 
+#: Greenery without parks around places named listings, as m(id, weighted).
+UNITS_FREE = f"""gt AS (SELECT l.id, sum({kernel('l', 't', 100.0)}) AS tw, sum({kernel('l', 't', 100.0)} * least(floor(t.dbh), 36)) AS cw FROM listings l JOIN trees t ON {near_sql('l', 't', 200.0)} GROUP BY 1), gg AS (SELECT l.id, sum({kernel('l', 'g', 250.0)}) AS gw FROM listings l JOIN gardens g ON {near_sql('l', 'g', 500.0)} GROUP BY 1), m AS (SELECT l.id, round(coalesce(tw, 0) / 200 * 40 + coalesce(cw, 0) / 2000 * 40 + coalesce(gw, 0) / 3 * 20, 3) AS weighted FROM listings l LEFT JOIN gt USING (id) LEFT JOIN gg USING (id))"""
+
+
 @query("sc14_convenience", view_sql("listings", "amenities", "supermarkets", "streets") + f""", n AS (SELECT l.id, l.lat AS a1, l.lon AS o1, a.key, a.category, a.lat AS a2, a.lon AS o2, {dist('l', 'a')} AS m FROM listings l JOIN amenities a ON a.category <> 'other' AND {near_sql('l', 'a', 500.0)}), c AS (SELECT id, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}, coalesce(sum(exp(-pow(m / 250, 2))) FILTER (category = '{c}'), 0) AS k_{c}" for c in CATS)} FROM n GROUP BY 1),
 gb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, key) AS k FROM n WHERE category = 'grocery') WHERE k = 1), {path_sql('gb', 'gp')}, gm AS (SELECT gb.id, exp(-pow((m + penalty) / 250, 2)) - exp(-pow(m / 250, 2)) AS mv FROM gb JOIN gp USING (id) WHERE penalty > 0),
 sm AS (SELECT l.id, l.lat AS a1, l.lon AS o1, s.key, s.lat AS a2, s.lon AS o2, {dist('l', 's')} AS m, CASE WHEN coalesce(s.sqft, 0) >= 6000 THEN 1.5 WHEN coalesce(s.sqft, 0) >= 3000 THEN 1.0 END AS tier FROM listings l JOIN supermarkets s ON {near_sql('l', 's', 500.0)}), sa AS (SELECT id, count(tier) AS n, coalesce(sum(tier * exp(-pow(m / 250, 2))), 0) AS sm, coalesce(sum(CASE WHEN tier IS NULL THEN 0.25 * exp(-pow(m / 250, 2)) END), 0) AS small FROM sm GROUP BY 1),

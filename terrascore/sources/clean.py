@@ -57,6 +57,13 @@ def assign_cells(df: DataFrame, key: str, precision: int = 8, lat: str = "lat",
     return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(geohash(F.col(lat), F.col(lon), precision).alias("cell")).agg(F.min(key).alias("rep"), F.count("*").alias("n"))
 
 
+def tag_cells(df: DataFrame, key: str, precision: int = 8, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """df with cell and is_rep: every row's geohash cell, and whether it is the cell's row of the least key. Rows without coordinates have neither."""
+    tagged = df.withColumn("cell", geohash(F.col(lat), F.col(lon), precision))
+    rep = tagged.where("cell is not null").groupBy("cell").agg(F.min(key).alias("__rep"))
+    return tagged.join(rep, "cell", "left").withColumn("is_rep", F.col(key) == F.col("__rep")).drop("__rep")
+
+
 def mean_vertex(df: DataFrame, key: str, rings: str) -> DataFrame:
     """(key, lat, lon): mean of all vertices of rings of [lon, lat], holes and closing points included."""
     p = df.select(key, F.explode(F.flatten(rings)).alias("p"))

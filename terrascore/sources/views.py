@@ -22,7 +22,9 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "price": "CAST(floor(p_retailprice * 3) AS BIGINT)", **_AT("p_partkey", 6007, 9973),
             "sqft": "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 300 + (p_partkey * 13) % 1200 END",
             "net_effective": "CASE WHEN p_partkey % 3 = 0 THEN CAST(floor(p_retailprice * 3) AS BIGINT) - 100 ELSE NULL END",
-            "status": "CASE WHEN p_partkey % 11 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END", "amenity_text": "p_name",
+            "status": "CASE WHEN p_partkey % 11 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END", "amenity_text": "p_name", "rent_stabilized": "CASE WHEN p_partkey % 5 = 0 THEN 1 WHEN p_partkey % 7 = 0 THEN NULL ELSE 0 END",
+            "available_at": "CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(p_partkey % 90 AS INT) END", "price_delta": "CASE p_partkey % 4 WHEN 0 THEN CAST(-150 AS DOUBLE) WHEN 1 THEN CAST(80 AS DOUBLE) ELSE NULL END", "price_changed": "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE DATE '2024-01-31' - CAST(p_partkey % 50 AS INT) END",
+            "months_free": "CASE WHEN p_partkey % 9 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END", "first_seen": "DATE '2024-02-05' - CAST(p_partkey % 120 AS INT)",
             "year": "CAST(1890 + (p_partkey * 37) % 112 AS INT)", "units": "CAST(1 + p_partkey % 60 AS INT)",
         },
     ),
@@ -41,7 +43,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         {
             "event_id": "event_id", "ts": "ts", "day": "CAST(ts AS DATE)", "hour": "CAST(extract(hour FROM ts) AS INT)", "event_type": "event_type", "value": "value",
             "severity": "CASE event_type WHEN 'error' THEN 'FELONY' WHEN 'purchase' THEN 'MISDEMEANOR' WHEN 'click' THEN 'VIOLATION' ELSE NULL END",
-            "premise": "CASE event_id % 4 WHEN 0 THEN 'STORE' WHEN 1 THEN 'STREET' WHEN 2 THEN 'RESIDENCE' ELSE 'OTHER' END", **_AT("event_id", 7127, 5381),
+            "premise": "CASE event_id % 4 WHEN 0 THEN 'CHAIN STORE' WHEN 1 THEN 'STREET' WHEN 2 THEN 'RESIDENCE - APT' ELSE NULL END", "offence": "CASE event_id % 5 WHEN 0 THEN 'PETIT LARCENY' WHEN 1 THEN 'ROBBERY' WHEN 2 THEN 'FELONY ASSAULT' WHEN 3 THEN NULL ELSE 'FRAUD' END", **_AT("event_id", 7127, 5381),
         },
     ),
     "filings": (
