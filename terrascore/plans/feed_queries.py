@@ -9,7 +9,7 @@ from terrascore.functions import geo
 from terrascore.operators import engine, rank, stats
 from terrascore.plans.listing_queries import AMENITIES, amenity_array, history_of
 from terrascore.plans.queries import COMPOSITE, DIMS, GROUPED, GROUPS, HAV, composed, query
-from terrascore.plans.scorer_queries import UNITS_FREE, filed, keyed, near_sql, severing, squares
+from terrascore.plans.scorer_queries import UNITS_FREE, filed, keyed, severing, squares
 from terrascore.sources.views import AS_OF_EVENTS, view, view_sql
 
 

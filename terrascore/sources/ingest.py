@@ -81,6 +81,24 @@ def sync(current: DataFrame, snapshot: DataFrame, source_name: str, now: str, ap
 
 
 def sync_log(synced: DataFrame, source_name: str, now: str) -> DataFrame:
-    """One audit row: seen, inserted, updated, deactivated."""
+    """One audit row: seen, inserted, updated, deactivated, no error."""
     n = lambda *a: F.count_if(F.col("action").isin(*a))
-    return synced.where(F.col("source") == source_name).agg(n("inserted", "updated").alias("seen"), n("inserted").alias("inserted"), n("updated").alias("updated"), n("deactivated").alias("deactivated")).select(F.lit(source_name).alias("source"), F.lit(now).cast("timestamp").alias("at"), "*")
+    row = synced.where(F.col("source") == source_name).agg(n("inserted", "updated").alias("seen"), n("inserted").alias("inserted"), n("updated").alias("updated"), n("deactivated").alias("deactivated"))
+    return row.select(F.lit(source_name).alias("source"), F.lit(now).cast("timestamp").alias("at"), "*", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
+
+
+def failed_log(spark: SparkSession, source_name: str, now: str, error: Exception) -> DataFrame:
+    """The audit row of a run that failed: nothing seen or changed, and why."""
+    zero = [F.lit(0).cast("long").alias(c) for c in ("seen", "inserted", "updated", "deactivated")]
+    return spark.range(1).select(F.lit(source_name).alias("source"), F.lit(now).cast("timestamp").alias("at"), *zero, F.lit("failed").alias("status"), F.lit(f"{type(error).__name__}: {error}").alias("error"))
+
+
+def run_sync(spark: SparkSession, current: DataFrame, source_name: str, now: str, canonical: set[str]) -> tuple[DataFrame, DataFrame]:
+    """(next version of the listings, audit row) of a registered source; a source that fails leaves the listings as they are."""
+    try:
+        snapshot = source(source_name)(spark)
+        validate(snapshot, canonical)
+        synced = sync(current, normalise(snapshot), source_name, now)
+        return synced.drop("action"), sync_log(synced, source_name, now)
+    except (KeyError, ValueError) as error:
+        return current, failed_log(spark, source_name, now, error)

@@ -5,12 +5,16 @@ Each view is one table with column expressions that Spark and DuckDB read alike,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _D = "CAST({} AS DOUBLE)".format
 _AT = lambda key, a, b: {"lat": f"{_D('40.70')} + {_D(f'({key} * {a}) % 4000')} / {_D('100000')}", "lon": f"{_D('-73.98')} + {_D(f'({key} * {b}) % 5000')} / {_D('100000')}"}
 
+#: The file that names a published table's current version.
+POINTER = "_current"
 AS_OF_EVENTS, AS_OF_ORDERS = "2024-01-31", "2001-11-05"
 
 #: view: (table, {column: expression})
@@ -166,8 +170,78 @@ def freshness(registry: DataFrame, meta: DataFrame, as_of: str) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str) -> bool:
-    """Write df as the next version under path; an empty one keeps what is there. Returns whether it was written."""
+    """Write df as the next version under path and then point to it; an empty one keeps what is there. Returns whether it was written.
+
+    Each version is a folder of its own. The pointer is a small file that replaces the last one by a rename, so a failed write
+    leaves the old table, and df may read the table it replaces."""
     if df.isEmpty():
         return False
-    df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to, fresh = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (POINTER, f"{POINTER}-{version}"))
+    files = to.getFileSystem(conf)
+    out = files.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf)
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fresh, to, overwrite)
     return True
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a published table that its pointer names."""
+    name = spark.sparkContext.wholeTextFiles(f"{path}/{POINTER}").values().first()
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def gtfs_stations(stops: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """(station_id, name, lat, lon, routes): parent stations of a transit feed with the sorted distinct routes that stop there.
+
+    A station is a stop of location type 1, or of no type 0 without a parent; other stops count for their parent. Stations
+    without numbers as coordinates are left out; those that no trip serves have no routes. Without any station the stops of
+    distinct names take their place, the least id of each. The stop times are cut to stop and route pairs before anything
+    else is joined."""
+    t = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    s = stops.select(t("stop_id").alias("stop_id"), t("stop_name").alias("name"), F.col("stop_lat").cast("string").try_cast("double").alias("lat"), F.col("stop_lon").cast("string").try_cast("double").alias("lon"), t("location_type").alias("kind"), t("parent_station").alias("parent")).where("stop_id <> ''")
+    s = s.withColumn("is_station", (F.col("kind") == "1") | ((F.col("kind") != "0") & (F.col("parent") == "")))
+    station = s.where("is_station and lat is not null and lon is not null")
+    child = s.where("not is_station").select("stop_id", F.when(F.col("parent") != "", F.col("parent")).otherwise(F.col("stop_id")).alias("station_id")).unionByName(s.where("is_station").select("stop_id", F.col("stop_id").alias("station_id")))
+    routes = stop_times.select(t("stop_id").alias("stop_id"), t("trip_id").alias("trip_id")).distinct().join(trips.select(t("trip_id").alias("trip_id"), t("route_id").alias("route_id")).where("trip_id <> '' and route_id <> ''"), "trip_id").select("stop_id", "route_id").distinct()
+    served = routes.join(child, "stop_id").groupBy("station_id").agg(F.array_sort(F.collect_set("route_id")).alias("routes"))
+    named = s.where("lat is not null and lon is not null").groupBy("name").agg(F.min(F.struct("stop_id", "lat", "lon")).alias("x")).select("x.stop_id", "name", "x.lat", "x.lon")
+    any_station = F.broadcast(station.agg((F.count("*") > 0).alias("__any")))
+    both = station.select("stop_id", "name", "lat", "lon", F.lit(True).alias("__real")).unionByName(named.withColumn("__real", F.lit(False))).crossJoin(any_station).where("__real = __any")
+    return both.join(served, both["stop_id"] == served["station_id"], "left").select(F.col("stop_id").alias("station_id"), "name", "lat", "lon", F.coalesce("routes", F.expr("cast(array() as array<string>)")).alias("routes"))
+
+
+def osm_categories(elements: DataFrame, tags: str = "tags") -> DataFrame:
+    """elements with category by their tags (a map); those of no category are left out."""
+    tag = lambda k: F.coalesce(F.col(tags)[k], F.lit(""))
+    kind = F.when(tag("shop").isin("supermarket", "convenience"), "grocery").when(tag("amenity") == "pharmacy", "pharmacy").when(tag("leisure") == "fitness_centre", "gym").when(tag("shop") == "laundry", "laundry").when(tag("amenity").isin("cafe", "restaurant"), "dining")
+    return elements.withColumn("category", kind).where("category is not null")
+
+
+#: The road classes that are kept.
+ROAD_CLASSES = ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "secondary", "tertiary")
+
+
+def road_points(ways: DataFrame, step_m: float = 50.0) -> DataFrame:
+    """(way_id, road_class, name, lanes, tunnel, bridge, lat, lon) of points along ways (way_id, tags map, points array of (lat, lon)).
+
+    Ways of other classes are left out; of lanes like 2;3 the first counts; a tunnel or bridge is any value but no. A way
+    that occurs in several extracts gives each point once, told by five decimals."""
+    tag = lambda k: F.col("tags")[k]
+    yes = lambda k: F.coalesce(F.nullif(tag(k), F.lit("")), F.lit("no")) != "no"
+    w = ways.where(tag("highway").isin(*ROAD_CLASSES)).withColumn("__part", F.xxhash64(F.col("points").cast("string")))
+    w = w.withColumn("__key", F.struct("way_id", "__part"))
+    facts = w.select("way_id", tag("highway").alias("road_class"), F.coalesce(tag("name"), F.lit("")).alias("name"), F.split(tag("lanes"), ";")[0].try_cast("int").alias("lanes"), yes("tunnel").alias("tunnel"), yes("bridge").alias("bridge")).dropDuplicates(["way_id"])
+    from terrascore.operators.spatial import sample_polyline
+
+    points = sample_polyline(w.dropDuplicates(["way_id", "__part"]).select("__key", "points"), step_m, "__key")
+    points = points.select("__key.way_id", "lat", "lon").withColumns({"__a": F.round("lat", 5), "__o": F.round("lon", 5)})
+    once = points.groupBy("way_id", "__a", "__o").agg(F.min(F.struct("lat", "lon")).alias("p")).select("way_id", "p.lat", "p.lon")
+    return once.join(facts, "way_id").select("way_id", "road_class", "name", "lanes", "tunnel", "bridge", "lat", "lon")

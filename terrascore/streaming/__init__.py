@@ -1 +1,26 @@
-"""Part of the place-scoring library."""
+"""The hook by which a stream of snapshots feeds the listings: sync() is a pure function, so foreachBatch can call it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from terrascore.sources.ingest import sync, sync_log
+from terrascore.sources.views import publish, published
+
+
+def sync_batches(path: str, source_name: str, now: Callable[[int], str], log: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A function for ``writeStream.foreachBatch``: each micro-batch is one whole snapshot of a source; the next version of the
+    listings is published under path. ``now`` gives the time of a batch from its number, so a batch that is run again after a
+    failure gives the same version. An empty batch changes nothing."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        synced = sync(published(batch.sparkSession, path), batch, source_name, now(number))
+        publish(synced.drop("action"), path)
+        if log:
+            log(sync_log(synced, source_name, now(number)))
+
+    return step
