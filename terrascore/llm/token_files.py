@@ -52,6 +52,18 @@ FILE_IDS, FILE_DOCS = 1 << 27, 1 << 20
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+class _Plain(dict):
+    """Whether a character is a letter that normalises to letters."""
+
+    def __init__(self, normaliser):
+        super().__init__()
+        self.normaliser = normaliser
+
+    def __missing__(self, c: str) -> bool:
+        out = self[c] = c.isalpha() and (c.isascii() or self.normaliser is None or self.normaliser.normalize_str(c).isalpha())
+        return out
+
+
 class WordEncoder:
     """Texts as rows of words, for a tokenizer that drops white space and marks the last id of each run of letters.
 
@@ -66,28 +78,25 @@ class WordEncoder:
         self.last = np.zeros(self.size, bool)
         self.last[[i for p, i in self.tokenizer.get_vocab().items() if p.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.plain: dict[str, bool] = {}
+        self.plain = _Plain(self.tokenizer.normalizer)
 
     def _letters(self, text: str) -> bool:
         """Whether a text is of letters and stays so when normalised: a letter may become a letter and a mark."""
-        return text.isalpha() and (text.isascii() or all(map(self._letter, text)))
-
-    def _letter(self, c: str) -> bool:
-        found = self.plain.get(c)
-        if found is None and c.isascii():
-            found = c.isalpha()
-        if found is None:
-            found = self.plain[c] = c.isalpha() and (self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(c).isalpha())
-        return found
+        return text.isalpha() and (text.isascii() or all(map(self.plain.__getitem__, text)))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _keep(self, run: list[str], ids: np.ndarray, bounds: list[int]) -> None:
+        data = ids.tobytes()
+        for x, a, b in zip(run, bounds[:-1], bounds[1:], strict=True):
+            self.words[x] = data[4 * a : 4 * b]
+
     def _learn(self, new: set[str]) -> None:
-        words, parts = self.words, {}
+        words, plain, parts = self.words, self.plain, {}
         for w in new:
             # within Latin letters, lower case and a sign parted from the letter before it are what the tokenizer makes of them
-            stem = w[:-1] if w[-1] in _SIGNS and len(w) > 1 and self._letter(w[-2]) and "<" not in w else w
+            stem = w[:-1] if w[-1] in _SIGNS and len(w) > 1 and plain[w[-2]] and "<" not in w else w
             low = stem.lower() if max(stem) < "\u0130" and "<" not in stem else stem
             parts[w] = (low, w[len(stem) :])
         need = {x for pair in parts.values() for x in pair if x}.difference(words)
@@ -97,7 +106,15 @@ class WordEncoder:
             ids = self._ids(" ".join(run))
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(run):
-                words.update(zip(run, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
+                self._keep(run, ids, [0, *ends.tolist()])
+        # others are told apart by where their ids begin; no id reaches over a space
+        others = [x for x in need.difference(words) if "<" not in x]
+        for k in range(0, len(others), 2000):
+            run = others[k : k + 2000]
+            found = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
+            begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in run])])
+            at = np.searchsorted([o[0] for o in found.offsets], begins)
+            self._keep(run, np.array(found.ids, "<u4"), at.tolist())
         for x in need.difference(words):
             words[x] = self._ids(x).tobytes()
         for w, (stem, sign) in parts.items():
