@@ -280,7 +280,7 @@ def sc06_full(spark, d):
     return buildings.violations(places(spark, d), view(spark, d, "lots"), n.where("notice_id % 2 = 0").select("bbl", "type"), hpd, keyed(spark, d, "cases").where("kind = 'permit'"), AS_OF_ORDERS, prior_of(spark, d))
 
 
-@query("sc07_management", view_sql("listings", "lots", "notices", "cases", "complaints", "scores") + f""", {MATCH}, {PRIOR}, {season_sql('notices', int(AS_OF_ORDERS[5:7]))}, w AS (SELECT *, {age('day', AS_OF_ORDERS)} AS g, category = 'HEAT/HOT WATER' AND coalesce(extract(month FROM day) IN (10, 11, 12, 1, 2, 3, 4, 5), TRUE) AS cold FROM notices), c AS (SELECT lot_id, count(*) AS n, sum(g) AS w, count(*) FILTER (category = 'HEAT/HOT WATER') AS heat, count(*) FILTER (category = 'PLUMBING') AS plumbing, count(*) FILTER (category = 'PAINT/PLASTER') AS paint, count(*) FILTER (category = 'SAFETY') AS safety, count(*) FILTER (cold) AS bh, coalesce(sum(g) FILTER (cold), 0) AS hw FROM w GROUP BY 1),
+@query("sc07_management", view_sql("listings", "lots", "notices", "cases", "complaints", "scores") + f""", {MATCH}, {PRIOR}, known AS (SELECT n.* FROM notices n JOIN lots USING (lot_id)), {season_sql('known', int(AS_OF_ORDERS[5:7]))}, w AS (SELECT *, {age('day', AS_OF_ORDERS)} AS g, category = 'HEAT/HOT WATER' AND coalesce(extract(month FROM day) IN (10, 11, 12, 1, 2, 3, 4, 5), TRUE) AS cold FROM notices), c AS (SELECT lot_id, count(*) AS n, sum(g) AS w, count(*) FILTER (category = 'HEAT/HOT WATER') AS heat, count(*) FILTER (category = 'PLUMBING') AS plumbing, count(*) FILTER (category = 'PAINT/PLASTER') AS paint, count(*) FILTER (category = 'SAFETY') AS safety, count(*) FILTER (cold) AS bh, coalesce(sum(g) FILTER (cold), 0) AS hw FROM w GROUP BY 1),
 e AS (SELECT lot_id, count(*) AS n, sum({age('day', AS_OF_ORDERS)}) AS w FROM cases WHERE kind = 'eviction' GROUP BY 1), g AS (SELECT lot_id, count(*) AS n FROM cases WHERE kind = 'litigation' GROUP BY 1), o AS (SELECT ownername, count(*) AS b, sum(unitsres) AS u, coalesce(sum(c.n), 0) AS n, coalesce(sum(heat), 0) AS heat, coalesce(sum(plumbing), 0) AS plumbing, coalesce(sum(paint), 0) AS paint, coalesce(sum(safety), 0) AS safety, coalesce(sum(c.w), 0) AS w, coalesce(sum(e.n), 0) AS en, coalesce(sum(e.w), 0) AS ew FROM lots LEFT JOIN c USING (lot_id) LEFT JOIN e USING (lot_id) GROUP BY 1), hn AS (SELECT l.id, count(*) AS n FROM listings l JOIN complaints c ON c.type = 'HEAT/HOT WATER' AND {near_sql('l', 'c', 200.0)} GROUP BY 1),
 x AS (SELECT mt.id, mt.bbl, coalesce(mt.new, FALSE) AS new, coalesce(mt.units, 1) AS bu, coalesce(mt.ownername, '') AS owner, coalesce(o.b, 0) AS owner_buildings, coalesce(o.u, 0) AS owner_units, coalesce(o.n, 0) AS complaints, coalesce(o.heat, 0) AS heat, coalesce(o.plumbing, 0) AS plumbing, coalesce(o.paint, 0) AS paint, coalesce(o.safety, 0) AS safety, coalesce(hn.n, 0) AS heat_near, coalesce(c.bh, 0) AS bldg_heat, coalesce(c.hw, 0) / factor / coalesce(mt.units, 1) / 8 AS hr, coalesce(g.n, 0) AS litigations, coalesce(e.n, 0) AS evictions, coalesce(o.en, 0) AS portfolio_evictions, coalesce(o.w, 0) / factor AS w, coalesce(e.w, 0) AS ew, coalesce(o.ew, 0) AS pw FROM mt LEFT JOIN o USING (ownername) LEFT JOIN c USING (lot_id) LEFT JOIN e USING (lot_id) LEFT JOIN g USING (lot_id) LEFT JOIN hn ON hn.id = mt.id CROSS JOIN season),
 y AS (SELECT *, w + 10 * hr * greatest(owner_units, 1) + 10 * litigations + 5 * ew + 0.2 * pw AS weight, new AND complaints + litigations + evictions + bldg_heat = 0 AS fresh FROM x)
