@@ -14,7 +14,7 @@ _D = "CAST({} AS DOUBLE)".format
 _AT = lambda key, a, b: {"lat": f"{_D('40.70')} + {_D(f'({key} * {a}) % 4000')} / {_D('100000')}", "lon": f"{_D('-73.98')} + {_D(f'({key} * {b}) % 5000')} / {_D('100000')}"}
 
 #: The file that names a published table's current version.
-POINTER = "_current"
+POINTER = "current.version"
 AS_OF_EVENTS, AS_OF_ORDERS = "2024-01-31", "2001-11-05"
 
 #: view: (table, {column: expression})

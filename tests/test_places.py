@@ -63,8 +63,11 @@ def test_polygon_edges(spark):
 def test_tenure_clusters_by_first_day(spark):
     d = dt.date(2020, 1, 1)
     days = [0, 60, 120, 400, 440]  # 120 is more than 90 days after the cluster's first day
-    got = scorers.tenure(spark.createDataFrame([(1, d + dt.timedelta(days=x)) for x in days] + [(2, None)], "listing_id int, listed_at date")).collect()
-    assert [(r.listing_id, r.clusters, r.median_months) for r in got] == [(1, 3, round(((120 - 30) / 30.44 + (280 - 30) / 30.44) / 2, 1))]
+    listed = lambda ds: [("Listed", d_.isoformat()) for d_ in ds] + [("Delisted", "2019-01-01"), ("Listed", "no date")]
+    rows = [(1, listed(d + dt.timedelta(days=x) for x in days)), (2, None), (3, listed([d])), (4, listed([d, d + dt.timedelta(days=30)]))]
+    df = spark.createDataFrame(rows, "listing_id int, price_history array<struct<event:string,date:string>>")
+    got = {r.listing_id: (r.tenure_cycles, r.tenure_months) for r in scorers.tenure_of(df, "price_history").collect()}
+    assert got == {1: (3, round(((120 - 30) / 30.44 + (280 - 30) / 30.44) / 2, 1)), 2: (0, None), 3: (0, None), 4: (1, None)}
 
 
 def test_sync_keeps_isolates_and_deactivates(spark):

@@ -146,7 +146,7 @@ def test_amenity_keywords_count_once_and_tables_are_the_callers(spark):
 
 def test_landlords_share_an_address_and_a_name(spark):
     reg = spark.createDataFrame([(1, "100.0"), (2, "200"), (3, "300"), (4, "400")], "reg_id int, bbl string")
-    con = [(1, 1, "CorporateOwner", "A. B. Corp", None, None, "1 Main St."), (2, 2, "Agent", "ab corp", None, None, "1 MAIN ST"), (3, 3, "CorporateOwner", "AB Corp", None, None, "2 Main St"), (4, 2, "HeadOfficer", None, "Ann", "Lee", "9 Road")]
+    con = [(1, 1, "CorporateOwner", "A.B. Corp", None, None, "1 Main St."), (2, 2, "Agent", "ab corp", None, None, "1 MAIN ST"), (3, 3, "CorporateOwner", "AB Corp", None, None, "2 Main St"), (4, 2, "HeadOfficer", None, "Ann", "Lee", "9 Road")]
     contacts = spark.createDataFrame(con, "contact_id int, reg_id int, role string, corporation string, first string, last string, address string")
     lots = spark.createDataFrame([("100", 5), ("200", 7), ("300", 1)], "bbl string, unitsres int")
     open_ = spark.createDataFrame([("200", 3)], "bbl string, n int")
