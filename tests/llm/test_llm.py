@@ -188,6 +188,31 @@ def test_pii_places_of_one_term_take_linear_time(spark):
     assert took(8000) < 8 * took(1000)
 
 
+def test_repeated_rows_and_null_ids(spark, sf):
+    """Every operator on rows that repeat whole, ids that repeat with other texts, and null ids: a result for each row, equal rows equal."""
+    texts = [BASE, BASE, BASE + " again", None, "", "mail me@x.org or 10.0.0.1", BASE]
+    rows = [(i, t) for i, t in zip([1, 1, 1, 2, 2, 3, None], texts, strict=True)] + [(None, None), (3, texts[5]), (4, "word " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, quality int")
+    items = spark.createDataFrame([(7, BASE), (7, BASE), (8, None), (None, "word " * 30)], "item_id long, text string")
+    path = [public_tokenizers.path(n) for n in ("word_bpe_49k.json", "piece_bpe_32k.model")]
+    results = {
+        "pii": pii.report(df), "language": language_id.identify(df), "quality": quality.classify(df, labels), "pieces": piece_encoding.encode_digests(df, path[1]).withColumnRenamed("id", "doc_id"),
+        "scores": lm_score.scores(df).withColumnRenamed("id", "doc_id"), "repeats": repeats.remove_repeats(df), "near": near_dedup.near_components(df, 2), "tokens": token_files.tokenize_to_files(df, path[0], 1),
+    }
+    for name, found in results.items():
+        got = found.collect()
+        assert len(got) == len(rows), name
+        by_id = collections.defaultdict(list)
+        for r in got:
+            by_id[r.doc_id].append(r.asDict())
+        assert len(by_id[3]) == 2 and {k: v for k, v in by_id[3][0].items() if k != "start"} == {k: v for k, v in by_id[3][1].items() if k != "start"}, name
+    hits = collections.Counter((r.id, r.item_id) for r in decontaminate.matches(df, items).collect())
+    assert hits[1, 7] >= 2 and hits[None, 7] >= 1 and hits[4, None] == 1 and hits[3, 7] == 0
+    kept = decontaminate.drop_contaminated(df, items).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["2", "2", "3", "3", "None"]
+
+
 # 2 and 7
 
 
