@@ -49,13 +49,15 @@ def crime(listings: DataFrame, incidents: DataFrame, lots: DataFrame, as_of: str
     recency around each listing, with shootings of two years at 24 each, over the season's factor and per 1000 weighted units;
     scored against the median. Unknown severities are left out. The trend needs records that cover 0.7 of the last half year."""
     today = F.lit(as_of).cast("date")
-    known = right_points(incidents.where(F.col("severity").isin(*SEVERITY)), "severity", "offence", "premise", "hour", "day")
-    places, sev = listings.select("id", "lat", "lon"), lookup(SEVERITY, F.col("severity"))
-    w = sev * context(F.col("offence"), F.col("premise"), F.col("hour")) * gauss(F.col("dist_m"), radius_m / 2) * decay(F.col("day"), today)
+    # what depends on the incident alone is worked out once for each, before it meets the places
+    sev = lookup(SEVERITY, F.col("severity"))
     late = F.coalesce(F.col("day") >= F.date_sub(today, 182), F.lit(False))
+    weighed = incidents.where(F.col("severity").isin(*SEVERITY)).withColumns({"sev": sev, "base": sev * context(F.col("offence"), F.col("premise"), F.col("hour")) * decay(F.col("day"), today), "late_sev": F.when(late, sev).otherwise(0.0)})
+    known, places = right_points(weighed, "severity", "sev", "base", "late_sev"), listings.select("id", "lat", "lon")
+    w = F.col("base") * gauss(F.col("dist_m"), radius_m / 2)
     n = lambda s: F.count_if(F.col("severity") == s)
     near = radius_join(places, known, radius_m).groupBy("id").agg(
-        n("FELONY").alias("felonies"), n("MISDEMEANOR").alias("misdemeanors"), n("VIOLATION").alias("violations"), F.sum(sev).alias("weighted_total"), F.sum(w).alias("decayed"), F.sum(F.when(late, sev).otherwise(0.0)).alias("recent"),
+        n("FELONY").alias("felonies"), n("MISDEMEANOR").alias("misdemeanors"), n("VIOLATION").alias("violations"), F.sum("sev").alias("weighted_total"), F.sum(w).alias("decayed"), F.sum("late_sev").alias("recent"),
     )
     out = places.select("id").join(near, "id", "left").join(kernel_units(places, lots, radius_m), "id")
     if shootings is not None:

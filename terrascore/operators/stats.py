@@ -62,15 +62,14 @@ def weighted_mean(value: str, weight: str) -> Column:
     return F.sum(F.when(F.col(value).isNotNull(), F.col(value) * F.col(weight))) / F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
 
 
-def ranked(values: DataFrame, value: str, buckets: int = 64) -> DataFrame:
-    """(value, n_eq, n_below, n): counts below each distinct value, from counts per value; no window over the rows themselves.
+def ranked(values: DataFrame, value: str) -> DataFrame:
+    """(value, n_eq, n_below, n): counts below each distinct value of a number, from counts per value; no window over the rows themselves.
 
-    Distinct values are dealt into ranges by fixed bounds (about quantiles, a bounded number of them), each range is summed
-    up on its own, and the totals of the ranges before are added."""
+    Distinct values are dealt into ranges of a logarithmic scale, sixteen for each step of e, which keep their order; each
+    range is summed up on its own, and the totals of the ranges before are added."""
     per = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n_eq"))
-    bounds = sorted(set(per.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []))
-    part = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value)))
-    parts = per.withColumn("__part", part)
+    v = F.col(value).cast("double")
+    parts = per.withColumn("__part", F.floor(F.signum(v) * F.log1p(F.abs(v)) * 16))
     totals = parts.groupBy("__part").agg(F.sum("n_eq").alias("t"))
     before = totals.select("__part", F.coalesce(F.sum("t").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("t").over(Window.partitionBy()).alias("n"))
     own = F.sum("n_eq").over(Window.partitionBy("__part").orderBy(value)) - F.col("n_eq")
