@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language_id, lm_score, near_dedup, pii, piece_encoding, quality, repeats, token_files
+from . import ann, decontaminate, language_id, lm_score, near_dedup, pii, piece_encoding, prefix_trie, quality, repeats, structure_repair, token_files, warc
 from .shared import ship
 
 
@@ -60,6 +60,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(_table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure_repair.damage(_table(spark, sf_dir, "conversations"))
+    found = structure_repair.report(rows)
+    made = structure_repair.digests(structure_repair.repaired(rows, found)).withColumnRenamed("conv_id", "__id")
+    none = F.sha2(F.lit(b""), 256)  # a conversation of no rows
+    return found.join(made, found["conv_id"].eqNullSafe(made["__id"]), "left").drop("__id").withColumn("repaired_sha256", F.coalesce("repaired_sha256", none))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
@@ -71,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_encoding": op8_piece_encoding,
     "op9_lm_score": op9_lm_score,
     "op10_near_dedup": op10_near_dedup,
+    "op11_warc": op11_warc,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 LM_SCORE_SQL = r"""
