@@ -143,13 +143,17 @@ def shard_of(key: Column, bounds: list[int]) -> Column:
 
 
 def shard_bounds(keys: DataFrame, rows: int, shards: int) -> list[int]:
-    """Ids that cut the table into about that many ranges: from ids picked by a hash of the id alone, every sixteenth in order."""
+    """Ids that cut the table into at most that many ranges of like numbers of bytes (but for what a single pick spans): among ids
+    picked by a hash of the id alone, about 16 a shard, those where the bytes before them pass the next share."""
     if shards < 2:
         return []
     every = max(1, rows // (shards * PICKS))
     picked = np.sort(keys.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).where("id is not null").select("id").distinct().toArrow().column(0).to_numpy())
-    step = max(1, math.ceil(len(picked) / shards))
-    return picked[step::step].tolist()
+    size = np.zeros(len(picked) + 1, np.int64)
+    for part in keys.groupBy(shard_of(F.col("id"), picked.tolist()).alias("part")).agg(F.sum(F.col("n") + 1).alias("bytes")).toArrow().to_pylist():
+        size[part["part"]] = part["bytes"]
+    share = np.cumsum(size)[:-1] * shards // max(1, size.sum())
+    return picked[np.flatnonzero(np.diff(share, prepend=0) > 0)].tolist()
 
 
 def links(keys: DataFrame, rows: int, min_bytes: int) -> DataFrame:
