@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,14 +46,21 @@ def half_even(x: Column, places: int) -> Column:
     return F.rint(x * 10.0**places) / 10.0**places
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once: it is bound by a lambda, not copied into each place where it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def geohash(lat: Column, lon: Column, precision: int) -> Column:
+    """The geohash of a point; null where a coordinate is."""
     bits = 5 * precision
     n_lon, n_lat = (bits + 1) // 2, bits // 2
-    cell = lambda v, low, span, n: F.greatest(F.lit(0), F.least(F.lit(2**n - 1), F.floor((v - low) / span * 2**n))).cast("long")
-    x = F.lpad(F.bin(cell(lon, -180.0, 360.0, n_lon)), n_lon, "0")
-    y = F.lpad(F.bin(cell(lat, -90.0, 180.0, n_lat)), n_lat, "0")
-    mixed = F.concat(*(F.substring(x if i % 2 == 0 else y, i // 2 + 1, 1) for i in range(bits)))
-    return F.concat(*(F.substring(F.lit(BASE32), F.conv(F.substring(mixed, 5 * i + 1, 5), 2, 10).cast("int") + 1, F.lit(1)) for i in range(precision)))
+    cell = lambda v, low, span, n: F.lpad(F.bin(F.greatest(F.lit(0), F.least(F.lit(2**n - 1), F.floor((v - low) / span * 2**n))).cast("long")), n, "0")
+    both = F.struct(cell(lon, -180.0, 360.0, n_lon).alias("x"), cell(lat, -90.0, 180.0, n_lat).alias("y"))
+    mixed = _let(both, lambda b: F.concat(*(F.substring(b["x" if i % 2 == 0 else "y"], i // 2 + 1, 1) for i in range(bits))))
+    letter = lambda m, i: F.substring(F.lit(BASE32), F.conv(F.substring(m, 5 * i + 1, 5), 2, 10).cast("int") + 1, F.lit(1))
+    known = _let(mixed, lambda m: F.concat(*(letter(m, i) for i in range(precision))))
+    return F.when(lat.isNotNull() & lon.isNotNull(), known)
 
 
 def uuid5(name: Column) -> Column:

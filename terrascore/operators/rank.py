@@ -12,10 +12,29 @@ from terrascore.functions.geo import cosine, half_even
 from .stats import percentile_of, quantiles
 
 
+#: The groups of dimensions that a place's composite is made of, and the dimensions whose lowest scores cap it.
+PLACE_GROUPS = {
+    "value": ["deal", "unit_amenities"],
+    "access": ["transit"],
+    "neighborhood": ["convenience", "parks", "greenery", "schools", "air_quality", "noise", "road_exposure"],
+    "safety": ["crime", "street_danger", "shelter"],
+    "building": ["building_violations", "management", "pest", "bedbug"],
+}
+PLACE_DIMS = [d for dims in PLACE_GROUPS.values() for d in dims]
+DEALBREAKERS = ["bedbug", "building_violations", "crime", "management", "pest"]
+
+
+def _folded(pairs: Column) -> Column:
+    """The weighted mean of an array of (v, w) structs, those of a null v left out; null if none is left. One fold, so that
+    the columns appear once in the plan."""
+    start = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
+    add = lambda a, x: F.when(x["v"].isNull(), a).otherwise(F.struct((a["v"] + x["v"] * x["w"]).alias("v"), (a["w"] + x["w"]).alias("w")))
+    return F.aggregate(pairs, start, add, lambda a: F.when(a["w"] != 0, a["v"] / a["w"]))
+
+
 def mean_of(columns: list[str]) -> Column:
     """Mean of the columns that aren't null; null if all are."""
-    n = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
-    return sum((F.coalesce(F.col(c), F.lit(0.0)) for c in columns), F.lit(0.0)) / F.nullif(n, F.lit(0))
+    return _folded(F.array(*(F.struct(F.col(c).cast("double").alias("v"), F.lit(1.0).alias("w")) for c in columns))) if columns else F.lit(None).cast("double")
 
 
 def group_scores(df: DataFrame, groups: dict[str, list[str]], exclude: frozenset[str] = frozenset()) -> DataFrame:
@@ -30,10 +49,8 @@ def coverage(df: DataFrame, dims: list[str]) -> DataFrame:
 
 def composite(df: DataFrame, groups: list[str], boosts: tuple[str, ...] = (), to: str = "composite") -> DataFrame:
     """df with the mean of the groups that aren't null, up to two boosted groups counting twice, to one decimal; 0 if all are null."""
-    w = {g: 2.0 if g in boosts[:2] else 1.0 for g in groups}
-    top = sum((F.coalesce(F.col(g), F.lit(0.0)) * w[g] for g in groups), F.lit(0.0))
-    low = sum((F.when(F.col(g).isNotNull(), w[g]).otherwise(0.0) for g in groups), F.lit(0.0))
-    return df.withColumn(to, F.rint(10 * F.when(low == 0, 0.0).otherwise(top / low)) / 10)
+    weighted = F.array(*(F.struct(F.col(g).cast("double").alias("v"), F.lit(2.0 if g in boosts[:2] else 1.0).alias("w")) for g in groups))
+    return df.withColumn(to, F.rint(10 * F.coalesce(_folded(weighted), F.lit(0.0))) / 10)
 
 
 def dealbreaker(df: DataFrame, score: str, dims: list[str], ignore: frozenset[str] = frozenset(), at: float = 12.0, cap: float = 55.0) -> DataFrame:
@@ -90,6 +107,19 @@ def composite_percentile(df: DataFrame, score: str = "composite", status: str =
     return df.crossJoin(F.broadcast(grid)).withColumn(to, percentile_of(F.col("q"), F.col(score))).drop("q")
 
 
+def place_composites(scores: DataFrame, exclude: frozenset[str] = frozenset({"schools"}), boosts: tuple[str, ...] = (), key: str = "id") -> DataFrame:
+    """(key, the dimensions, the groups, coverage, coverage_label, raw_composite, composite, dealbreakers) of active places.
+
+    scores: (key, <dimension>_score for each of PLACE_DIMS), active places only. Scores are taken to one decimal; groups are means
+    without the excluded dimensions; the raw composite is ranked among all, and its percentile held to 55 where a
+    dealbreaker stands at 12 or below."""
+    dims = [d for d in PLACE_DIMS if d not in exclude]
+    df = scores.select(key, *(half_even(F.col(f"{d}_score").cast("double"), 1).alias(d) for d in PLACE_DIMS))
+    df = coverage(composite(group_scores(df, PLACE_GROUPS, exclude), list(PLACE_GROUPS), boosts, "raw_composite"), dims)
+    ranked = df.crossJoin(F.broadcast(quantiles(df.select("raw_composite"), "raw_composite"))).withColumn("composite", percentile_of(F.col("q"), F.col("raw_composite"))).drop("q")
+    return dealbreaker(ranked, "composite", DEALBREAKERS)
+
+
 def peer_context(df: DataFrame, group: str, dims: list[str], key: str = "id", least: int = 20) -> DataFrame:
     """(key, dim, percentile, median, n): midrank, a whole number, among the group's rows with that dimension, for groups of at least 20."""
     long_ = df.select(key, group, F.explode(F.map_from_arrays(F.array(*map(F.lit, dims)), F.array(*map(F.col, dims)))).alias("dim", "v")).where("v is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrascore.functions import geo
 from terrascore.operators import engine, rank, stats
 from terrascore.plans.listing_queries import AMENITIES, amenity_array, history_of
-from terrascore.plans.queries import COMPOSITE, DIMS, GROUPED, GROUPS, HAV, composed, query
+from terrascore.plans.registry import COMPOSITE, DIMS, GROUPED, GROUPS, HAV, composed, query
 from terrascore.plans.scorer_queries import UNITS_FREE, filed, keyed, severing, squares
 from terrascore.sources.views import AS_OF_EVENTS, view, view_sql
 
@@ -133,18 +133,6 @@ def to_score(spark: SparkSession, d: str) -> DataFrame:
     return x.join(history_of(spark, d), F.col("id") == F.col("listing_id"), "left").drop("listing_id")
 
 
-#: Scorers that the engine query runs together; every scorer has a query of its own.
-TOGETHER = ["deal", "unit_amenities", "schools", "flood_risk", "rent_stabilized", "bedbug"]
-
-
-@query("sc21_engine")
-def sc21(spark, d):
-    """Several scorers over all active listings, in the order of what they read, written back."""
-    x = to_score(spark, d)
-    scored = engine.write_back(x, engine.run(x, tables_of(spark, d), AS_OF_EVENTS, TOGETHER))
-    return scored.select("id", *(F.col(f"{s}_score").cast("double").alias(s) for s in TOGETHER))
-
-
 CELL8 = "floor((l.lon + 180) / 360 * 1048576) * 1048576 + floor((l.lat + 90) / 180 * 1048576)"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrascore.operators import scorers
-from terrascore.plans.queries import near_sql, query
+from terrascore.plans.registry import near_sql, query
 from terrascore.plans.scorer_queries import age, kernel, ratio_sql, season_sql, turn_sql, units_sql
 from terrascore.sources.views import AS_OF_EVENTS, view, view_sql
 

@@ -2,47 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascore.functions import geo
 from terrascore.operators import grid, rank, scorers, spatial, stats
+from terrascore.plans.registry import COMPOSITE, DIMS, GROUPED, GROUPS, HAV, NEAREST, ORACLES, QUERIES, composed, near_sql, pts, query
+from terrascore.plans import engine_queries, feed_queries, listing_queries, record_queries, scorer_queries, source_queries  # noqa: F401
 from terrascore.sources import clean, ingest
 from terrascore.sources.views import AS_OF_EVENTS, AS_OF_ORDERS, freshness, load, view, view_sql
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-DIMS = [f"d{k}" for k in range(10)]
-GROUPS = {"g_value": ["d0", "d1"], "g_access": ["d2", "d3"], "g_safety": ["d4", "d5"], "g_building": ["d6", "d7"], "g_nature": ["d8", "d9"]}
-#: Haversine in SQL, with the same constants.
-HAV = "2 * 6371008.8 * asin(sqrt(least(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2), 1.0)))".format
-HALF = geo.half_width
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def near_sql(left: str, right: str, radius: float) -> str:
-    """Join condition of a circle query between aliases."""
-    h = repr(HALF(radius))
-    return f"abs({left}.lat - {right}.lat) <= {h} AND abs({left}.lon - {right}.lon) <= {h} AND {HAV(a=f'{left}.lat', b=f'{left}.lon', c=f'{right}.lat', d=f'{right}.lon')} <= {radius}"
-
-
-def pts(df: DataFrame, *cols: str) -> DataFrame:
-    return scorers.right_points(df, *cols)
-
-
 # sources and repairs
 
 
@@ -163,9 +131,6 @@ def jn02(spark, d):
     return spatial.box_join(view(spark, d, "listings").select("id", "lat", "lon"), pts(view(spark, d, "lots"), "unitsres"), 0.005).groupBy("id").agg(F.count("*").alias("n"), F.sum("unitsres").alias("units"))
 
 
-NEAREST = f"p AS (SELECT l.id, t.lot_id, {HAV(a='l.lat', b='l.lon', c='t.lat', d='t.lon')} AS m FROM listings l JOIN lots t ON abs(l.lat - t.lat) <= 0.0015 AND abs(l.lon - t.lon) <= 0.0015), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, lot_id) AS n FROM p)"
-
-
 @query("jn03_nearest_join", view_sql("listings", "lots") + f", {NEAREST} SELECT l.id, b.lot_id AS match, round(b.m, 1) AS match_m FROM listings l LEFT JOIN (SELECT * FROM b WHERE n = 1 AND m <= 40) b ON l.id = b.id")
 def jn03(spark, d):
     return spatial.nearest_join(view(spark, d, "listings").select("id", "lat", "lon"), pts(view(spark, d, "lots"), "lot_id"), "id", "lot_id", max_m=40.0).select("id", "match", "match_m")
@@ -329,29 +294,8 @@ def nm08(spark, d):
     return s.select("id", F.round(geo.street_danger_score(F.col("d0")), 6).alias("street"), F.round(geo.bedbug_score(F.col("d1") / 1000), 6).alias("bedbug"), F.round(geo.road_score(F.col("d2")), 6).alias("road"), F.round(geo.air_score(F.col("d3")), 6).alias("air"))
 
 
-# scorers
-
-@query("sc18_flood_risk", view_sql("listings", "lots") + f", {NEAREST} SELECT l.id, b.lot_id AS match, CASE WHEN b.lot_id IS NULL THEN NULL WHEN t.firm07 = '1' OR t.pfirm15 = '1' THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END AS score FROM listings l LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON l.id = b.id LEFT JOIN lots t ON t.lot_id = b.lot_id")
-def sc18(spark, d):
-    return scorers.flood_risk(view(spark, d, "listings"), view(spark, d, "lots"))
-
-
-@query("sc19_rent_stabilized", view_sql("listings", "lots") + f", {NEAREST} SELECT l.id, t.yearbuilt AS building_year, CASE WHEN b.lot_id IS NULL THEN NULL WHEN t.yearbuilt > 0 AND t.yearbuilt < 1974 AND t.unitsres >= 6 THEN 1 ELSE 0 END AS rent_stabilized, CASE WHEN b.lot_id IS NULL THEN NULL WHEN t.yearbuilt > 0 AND t.yearbuilt < 1974 AND t.unitsres >= 6 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM listings l LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON l.id = b.id LEFT JOIN lots t ON t.lot_id = b.lot_id")
-def sc19(spark, d):
-    return scorers.rent_stabilized(view(spark, d, "listings"), view(spark, d, "lots"))
-
-
 # ranking
 
-G_SQL = ", ".join(f"(coalesce({a}, 0) + coalesce({b}, 0)) / nullif(CAST({a} IS NOT NULL AS INT) + CAST({b} IS NOT NULL AS INT), 0) AS {g}" for g, (a, b) in GROUPS.items())
-GROUPED = f"g AS (SELECT *, {G_SQL} FROM scores)"
-COMPOSITE = "c AS (SELECT *, round_even(10 * coalesce((" + " + ".join(f"coalesce({g}, 0) * {2 if g == 'g_safety' else 1}" for g in GROUPS) + ") / nullif(" + " + ".join(f"CASE WHEN {g} IS NOT NULL THEN {2 if g == 'g_safety' else 1} ELSE 0 END" for g in GROUPS) + ", 0), 0), 0) / 10 AS composite FROM g)"
-
-
-def composed(spark: SparkSession, d: str) -> DataFrame:
-    return rank.composite(rank.group_scores(view(spark, d, "scores"), GROUPS), list(GROUPS), boosts=("g_safety",))
-
-
 @query("rk01_group_scores", view_sql("scores") + f", {GROUPED} SELECT id, " + ", ".join(f"round({g}, 6) AS {g}" for g in GROUPS) + " FROM g")
 def rk01(spark, d):
     return rank.group_scores(view(spark, d, "scores"), GROUPS).select("id", *(F.round(g, 6).alias(g) for g in GROUPS))
@@ -431,7 +375,3 @@ def vl04(spark, d):
 @query("vl05_health", view_sql("listings") + " SELECT count(*) AS total, count(*) FILTER (status = 'ACTIVE' AND lat IS NOT NULL AND lon IS NOT NULL) AS visible FROM listings")
 def vl05(spark, d):
     return view(spark, d, "listings").agg(F.count("*").alias("total"), F.count_if((F.col("status") == "ACTIVE") & F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("visible"))
-
-
-# the other modules register theirs with the same decorator
-from terrascore.plans import feed_queries, listing_queries, record_queries, scorer_queries, source_queries  # noqa: E402, F401

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrascore.operators import detail, explain, flags, rank, records
 from terrascore.plans.listing_queries import AMENITIES, amenity_array
-from terrascore.plans.queries import DIMS, near_sql, query
+from terrascore.plans.registry import DIMS, near_sql, query
 from terrascore.plans.scorer_queries import dist, keyed, places
 from terrascore.sources.views import AS_OF_EVENTS, AS_OF_ORDERS, view, view_sql
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrascore.operators import buildings, spatial, stats
+from terrascore.operators import buildings, scorers, spatial, stats
 from terrascore.operators import surroundings as around
-from terrascore.plans.queries import HAV, near_sql, pts, query
+from terrascore.plans.registry import HAV, NEAREST, near_sql, pts, query
 from terrascore.sources.views import AS_OF_EVENTS, AS_OF_ORDERS, view, view_sql
 
 
@@ -242,6 +242,19 @@ def sc10(spark, d):
     return around.street_danger(places(spark, d), v("crashes"), streets(spark, d), v("lots"), AS_OF_EVENTS)
 
 
+# the nearest lot's facts
+
+
+@query("sc18_flood_risk", view_sql("listings", "lots") + f", {NEAREST} SELECT l.id, b.lot_id AS match, CASE WHEN b.lot_id IS NULL THEN NULL WHEN t.firm07 = '1' OR t.pfirm15 = '1' THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END AS score FROM listings l LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON l.id = b.id LEFT JOIN lots t ON t.lot_id = b.lot_id")
+def sc18(spark, d):
+    return scorers.flood_risk(view(spark, d, "listings"), view(spark, d, "lots"))
+
+
+@query("sc19_rent_stabilized", view_sql("listings", "lots") + f", {NEAREST} SELECT l.id, t.yearbuilt AS building_year, CASE WHEN b.lot_id IS NULL THEN NULL WHEN t.yearbuilt > 0 AND t.yearbuilt < 1974 AND t.unitsres >= 6 THEN 1 ELSE 0 END AS rent_stabilized, CASE WHEN b.lot_id IS NULL THEN NULL WHEN t.yearbuilt > 0 AND t.yearbuilt < 1974 AND t.unitsres >= 6 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM listings l LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON l.id = b.id LEFT JOIN lots t ON t.lot_id = b.lot_id")
+def sc19(spark, d):
+    return scorers.rent_stabilized(view(spark, d, "listings"), view(spark, d, "lots"))
+
+
 # buildings: records are joined to lots by key
 
 KEYED = "k AS (SELECT lot_id, bbl FROM lots)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrascore.functions import geo
 from terrascore.operators import grid
-from terrascore.plans.queries import HAV, query
+from terrascore.plans.registry import HAV, query
 from terrascore.sources import clean, ingest, views
 from terrascore.sources.views import view, view_sql
 
