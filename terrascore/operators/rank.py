@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrascore.functions.geo import cosine, half_even
 
+from .spatial import nearest_k
 from .stats import percentile_of, quantiles
 
 
@@ -132,26 +133,15 @@ def peer_context(df: DataFrame, group: str, dims: list[str], key: str = "id", le
 
 
 def candidates(df: DataFrame, key: str = "id", most: int = 50, few: int = 12) -> DataFrame:
-    """(key, other, km_rank, scope): active rows of equal beds and neighborhood within half the price, nearest by |dlat| + |dlon|;
-    with fewer than 12 of these, those of the borough within 0.03 degrees take their place; under 3 gives none."""
-    a = df.where("status = 'ACTIVE'")
-    b = a.select(*(F.col(c).alias(f"o_{c}") for c in (key, "beds", "neighborhood", "borough", "price", "lat", "lon")))
-    near = (F.col("beds") == F.col("o_beds")) & (F.col(key) != F.col(f"o_{key}")) & F.col("o_price").between(F.col("price") * 0.5, F.col("price") * 1.5)
-    dist = F.abs(F.col("lat") - F.col("o_lat")) + F.abs(F.col("lon") - F.col("o_lon"))
-
-    def top(pairs: DataFrame, scope: str) -> DataFrame:
-        w = Window.partitionBy(key)
-        r = pairs.withColumn("__d", dist).withColumn("rank", F.row_number().over(w.orderBy("__d", f"o_{key}"))).where(F.col("rank") <= most)
-        return r.withColumn("n", F.count("*").over(w)).select(key, F.col(f"o_{key}").alias("other"), "rank", "n", F.lit(scope).alias("scope"))
-
-    hood = top(a.join(b, near & (F.col("neighborhood") == F.col("o_neighborhood"))), "neighborhood")
+    """(key, other, rank, scope): active rows of equal beds and neighborhood within half the price, nearest by |dlat| + |dlon|;
+    with fewer than 12 of these, those of the borough within 0.03 degrees take their place; under 3 gives none. See nearest_k."""
+    a = df.where("status = 'ACTIVE'").select(key, "beds", "neighborhood", "borough", "price", "lat", "lon")
+    b = a.select(F.col(key).alias("other"), "beds", "neighborhood", "borough", F.col("price").alias("o_price"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    near = (F.col(key) != F.col("other")) & F.col("o_price").between(F.col("price") * 0.5, F.col("price") * 1.5)
+    hood = nearest_k(a.drop("borough"), b.drop("borough"), key, "other", most, ["beds", "neighborhood"], near).withColumn("scope", F.lit("neighborhood"))
     enough = hood.where(F.col("n") >= few).select(key).distinct()
-    # the wider search runs on a grid of the cut-off, so it stays an equi-join
-    cell = lambda c: F.floor(F.col(c) / 0.03)
-    left = a.join(enough, key, "left_anti").withColumn("cx", F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1))).withColumn("cy", F.explode(F.sequence(cell("lon") - 1, cell("lon") + 1)))
-    right = b.withColumn("cx", cell("o_lat")).withColumn("cy", cell("o_lon"))
-    close = (F.abs(F.col("lat") - F.col("o_lat")) <= 0.03) & (F.abs(F.col("lon") - F.col("o_lon")) <= 0.03)
-    wide = top(left.join(right, ["cx", "cy"]).where(near & close & (F.col("borough") == F.col("o_borough"))), "borough")
+    left = a.drop("neighborhood").join(enough, key, "left_anti")
+    wide = nearest_k(left, b.drop("neighborhood"), key, "other", most, ["beds", "borough"], near, 0.03).withColumn("scope", F.lit("borough"))
     return hood.join(enough, key, "left_semi").unionByName(wide).where("n >= 3").drop("n")
 
 

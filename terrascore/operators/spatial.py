@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascore.functions.geo import EARTH_M, LAT_M, LON_M, half_width, haversine
+from terrascore.sources.store import cut, drop
+
+from .polygons import CELL, between, border, cell_of, corners, edge_cells
 
 
 def _cells(df: DataFrame, lat: str, lon: str, tall: float, wide: float, around: bool) -> DataFrame:
@@ -59,6 +62,53 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, de
     return left.join(best, key, "left")
 
 
+def nearest_k(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, equal: list[str], accept: Column, reach: float | None = None) -> DataFrame:
+    """(key, right_key, rank, n): for each left row the k nearest right rows by |dlat| + |dlon|, ties by the smaller right key, among those
+    of equal columns ``equal`` that accept holds for; n is how many there are, k at most. A join by growing rings.
+
+    left: (key, lat, lon, equal, ...); right: (right_key, r_lat, r_lon, equal, ...); reach: at most so many degrees apart on either axis.
+    Each group of equal columns has cells of a width of its own, by how dense its rows lie. A row meets the rows of the nine
+    cells around it; whatever lies outside is farther than a cell is wide, so a row whose k-th is nearer than that is
+    settled. The others go on with cells of twice the width, until all their group or reach is in the ring."""
+    span = lambda c: F.max(c) - F.min(c)
+    groups = right.where("r_lat is not null and r_lon is not null").groupBy(*equal).agg(F.count("*").alias("n"), span("r_lat").alias("a"), span("r_lon").alias("o"))
+    width = F.greatest(F.lit(1e-6), F.sqrt(F.greatest("a", F.lit(1e-5)) * F.greatest("o", F.lit(1e-5)) * k / F.col("n")))
+    far = F.greatest("a", "o")
+    # left rows may lie beside their group: a ring as wide as the reach, or as the farthest of a group, holds all of it
+    ends = left.where("lat is not null and lon is not null").groupBy(*equal).agg(F.min("lat").alias("l0"), F.max("lat").alias("l1"), F.min("lon").alias("m0"), F.max("lon").alias("m1"))
+    box = right.where("r_lat is not null and r_lon is not null").groupBy(*equal).agg(F.min("r_lat").alias("a0"), F.max("r_lat").alias("a1"), F.min("r_lon").alias("o0"), F.max("r_lon").alias("o1"))
+    away = F.greatest(F.col("l1") - F.col("a0"), F.col("a1") - F.col("l0"), F.col("m1") - F.col("o0"), F.col("o1") - F.col("m0"), far)
+    limit = away if reach is None else F.least(away, F.lit(reach))
+    groups = cut(groups.join(ends, equal).join(box, equal).select(*equal, width.alias("__w"), limit.alias("__limit")), "groups")
+    steps = groups.agg(F.coalesce(F.max(F.ceil(F.log2(F.greatest(F.col("__limit") / F.col("__w"), F.lit(1.0))))), F.lit(0))).first()[0]
+    open_ = left.join(groups, equal)
+    others = right.join(groups.select(*equal, F.col("__w").alias("__v")), equal)
+    near = accept if reach is None else accept & (F.abs(F.col("lat") - F.col("r_lat")) <= reach) & (F.abs(F.col("lon") - F.col("r_lon")) <= reach)
+    done, kept = None, []
+    for step in range(steps + 1):
+        w, v = F.col("__w") * 2**step, F.col("__v") * 2**step
+        around = lambda c: F.explode(F.sequence(F.floor(c / w) - 1, F.floor(c / w) + 1))  # noqa: B023, E731
+        a = open_.withColumn("__x", around(F.col("lat"))).withColumn("__y", around(F.col("lon")))
+        b = others.withColumns({"__x": F.floor(F.col("r_lat") / v), "__y": F.floor(F.col("r_lon") / v)}).drop("__v")
+        dist = F.abs(F.col("lat") - F.col("r_lat")) + F.abs(F.col("lon") - F.col("r_lon"))
+        per = Window.partitionBy(key)
+        pairs = a.join(b, [*equal, "__x", "__y"]).where(near).withColumn("__d", dist).select(key, right_key, "__d", (w >= F.col("__limit")).alias("__all"), w.alias("__ring"))
+        top = pairs.withColumn("rank", F.row_number().over(per.orderBy("__d", right_key))).where(F.col("rank") <= k)
+        top = top.withColumn("n", F.count("*").over(per)).withColumn("__ok", F.col("__all") | ((F.col("n") == k) & (F.max("__d").over(per) <= F.col("__ring"))))
+        if step < steps:
+            top = cut(top, "ring")
+        settled = top.where("__ok").select(key, right_key, "rank", "n")
+        done = settled if done is None else done.unionByName(settled)
+        if step < steps:
+            open_ = cut(open_.where(w < F.col("__limit")).join(settled.select(key).distinct(), key, "left_anti"), "open")
+            kept.append(open_)
+            if open_.isEmpty():
+                break
+    for table in kept[:-1]:  # the last is still read
+        drop(table)
+    return done
+
+
 def canonical_key(key: Column) -> Column:
     """A building key as text: numbers (also as text, with a fraction of zeros) without leading zeros; other text trimmed; blank is null."""
     t = F.nullif(F.trim(key.cast("string")), F.lit(""))
@@ -98,8 +148,6 @@ def path_samples(pairs: DataFrame, step_m: float, ends_m: float = 0.0, key: str
 
 def runs(samples: DataFrame, key: str, value: str) -> DataFrame:
     """(key, runs, first_sum): the number of maximal runs of non-null values along i, and the sum of each run's first value."""
-    from pyspark.sql import Window
-
     before = F.lag(value).over(Window.partitionBy(key).orderBy("i"))
     starts = samples.withColumn("__start", F.col(value).isNotNull() & before.isNull())
     return starts.groupBy(key).agg(F.count_if("__start").alias("runs"), F.coalesce(F.sum(F.when(F.col("__start"), F.col(value))), F.lit(0.0)).alias("first_sum"))
@@ -165,25 +213,36 @@ def segments(polygons: DataFrame, key: str, ring: str = "ring") -> DataFrame:
     return out.select(key, F.get("a", F.lit(1)).alias("lat1"), F.get("a", F.lit(0)).alias("lon1"), F.get(b, F.lit(1)).alias("lat2"), F.get(b, F.lit(0)).alias("lon2"))
 
 
-def edge_distance(points: DataFrame, polygons: DataFrame, edges: DataFrame, delta: float = 0.02695, key: str = "id", poly: str = "park_id") -> DataFrame:
-    """(key, poly, edge_m): distance to the outline of each polygon whose centre lies within delta, also from inside."""
-    near = box_join(points, polygons.select(poly, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), delta)
-    d = segment_distance(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return near.select(key, poly, "lat", "lon").join(edges, poly).groupBy(key, poly).agg(F.min(d).alias("edge_m"))
+def edge_distance(points: DataFrame, polygons: DataFrame, edges: DataFrame, delta: float = 0.02695, key: str = "id", poly: str = "park_id", side: float = 0.004) -> DataFrame:
+    """(key, poly, edge_m): distance to the outline of each polygon whose centre lies within delta, also from inside.
 
-
-def contains(points: DataFrame, polygons: DataFrame, edges: DataFrame, delta: float = 0.02695, key: str = "id", poly: str = "park_id") -> DataFrame:
-    """(key, poly, inside): ray casting over the outline's edges, for polygons whose centre lies within delta."""
-    near = box_join(points, polygons.select(poly, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), delta)
+    A polygon brings the list of the wide cells that its outline passes, each with one vertex. The nearest of these vertices
+    bounds the distance from above, the cell's rectangle from below; edges are read only in cells that may hold a nearer one."""
+    degree_m = EARTH_M * math.pi / 180
+    held = edge_cells(edges, poly, side)
+    passed = held.groupBy(poly, "x", "y").agg(F.min(F.struct("lat1", "lon1")).alias("v")).groupBy(poly).agg(F.collect_list(F.struct("x", "y", "v")).alias("__cells"))
+    outlines = polygons.select(poly, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).join(passed, poly)
+    near = box_join(points, outlines, delta).select(key, poly, "lat", "lon", "__cells")
     lat, lon = F.col("lat"), F.col("lon")
-    cross = ((F.col("lat1") > lat) != (F.col("lat2") > lat)) & (lon < (F.col("lon2") - F.col("lon1")) * (lat - F.col("lat1")) / F.nullif(F.col("lat2") - F.col("lat1"), F.lit(0.0)) + F.col("lon1"))
-    return near.select(key, poly, "lat", "lon").join(edges, poly).groupBy(key, poly).agg((F.count_if(cross) % 2 == 1).alias("inside"))
+    wide = degree_m * F.cos(F.radians(lat))
+    out = lambda v, low, high: F.greatest(F.lit(0.0), low - v, v - high)
+    least = lambda c: F.hypot(out(lat, border(c["y"], side), border(c["y"] + 1, side)) * degree_m, out(lon, border(c["x"], side), border(c["x"] + 1, side)) * wide)
+    most = F.array_min(F.transform("__cells", lambda c: F.hypot((c["v"]["lat1"] - lat) * degree_m, (c["v"]["lon1"] - lon) * wide)))
+    asked = near.withColumn("__most", most).withColumn("__c", F.explode(F.filter("__cells", lambda c: least(c) <= F.col("__most") + 0.01))).select(key, poly, "lat", "lon", "__c.x", "__c.y")
+    d = segment_distance(lat, lon, F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    return asked.join(held, [poly, "x", "y"]).groupBy(key, poly).agg(F.min(d).alias("edge_m"))
+
+
+def contains(points: DataFrame, polygons: DataFrame, edges: DataFrame, delta: float = 0.02695, key: str = "id", poly: str = "park_id", side: float = CELL) -> DataFrame:
+    """(key, poly, inside): whether a point lies in each polygon whose centre lies within delta. edges: see spatial.segments."""
+    near = box_join(points, polygons.select(poly, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), delta).select(key, poly, "lat", "lon", cell_of(F.col("lon"), side).alias("x"), cell_of(F.col("lat"), side).alias("y"))
+    known = corners(near.select(poly, "x", "y").distinct(), edges, poly, side)
+    local = near.join(edge_cells(edges, poly, side), [poly, "x", "y"]).groupBy(key, poly).agg(F.sum(between(F.col("lat"), F.col("lon"), side)).alias("n"))
+    return near.join(known, [poly, "x", "y"]).join(local, [key, poly], "left").select(key, poly, ((F.col("corner") + F.coalesce("n", F.lit(0))) % 2 == 1).alias("inside"))
 
 
 def sample_polyline(lines: DataFrame, step_m: float = 50.0, key: str = "way_id", points: str = "points") -> DataFrame:
     """(key, k, lat, lon): the first vertex and then a point every step_m of arc length; points: array of (lat, lon) structs."""
-    from pyspark.sql import Window
-
     seg = lines.select(key, F.col(points).alias("__p"), F.posexplode(points).alias("i", "a")).withColumn("b", F.get("__p", F.col("i") + 1)).where("b is not null")
     k = EARTH_M * 3.141592653589793 / 180
     size = F.hypot((F.col("b.lat") - F.col("a.lat")) * k, (F.col("b.lon") - F.col("a.lon")) * k * F.cos(F.radians((F.col("a.lat") + F.col("b.lat")) / 2)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from terrascore.functions.geo import LAT_M, LON_M, decay, gauss, half_even
 
 from .scorers import lookup, right_points
+from .polygons import dots_inside
 from .spatial import box_join, edge_distance, nearest_join, occluding_rows, path_penalty, radius_join, shielded
 from .stats import baseline_score, kernel_units, median_inverse, seasonal_factor, trend, trend_direction, trend_guard
 
@@ -182,19 +183,13 @@ def parks(places: DataFrame, green: DataFrame, edges: DataFrame, roads: DataFram
 def park_fraction(places: DataFrame, rings: DataFrame, edges: DataFrame, radius_m: float = 200.0, points: int = 180, delta: float = 0.03) -> DataFrame:
     """(id, fraction): share of a disc that lies in any of the rings, by points in a sunflower pattern.
 
-    rings: (park_id, lat, lon of the centre); edges of the same ids. Every point is tested against the rings whose centre lies
-    within delta of the place; a place without such rings has 0."""
-    near = box_join(places.select("id", "lat", "lon"), rings.select("park_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), delta)
+    rings: (park_id, lat, lon of the centre); edges of the same ids. Rings count whose centre lies within delta of the place; a place
+    without such rings has 0. Points are made once a place and meet the cells of a cover of the rings, see polygons.cover."""
     i = F.col("i")
     r, t = F.lit(radius_m) * F.sqrt((i + 0.5) / points), i * (math.pi * (3 - math.sqrt(5)))
-    dots = near.select("id", "park_id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    dots = places.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     dots = dots.withColumn("plat", F.col("lat") + r * F.sin(t) / 111_320.0).withColumn("plon", F.col("lon") + r * F.cos(t) / (111_320.0 * F.cos(F.radians("lat"))))
-    lat, lon = F.col("plat"), F.col("plon")
-    # an edge that doesn't reach the point's latitude never crosses its ray
-    e = edges.select("park_id", "lat1", "lon1", "lat2", "lon2").where("lat1 <> lat2")
-    cross = ((F.col("lat1") > lat) != (F.col("lat2") > lat)) & (lon < (F.col("lon2") - F.col("lon1")) * (lat - F.col("lat1")) / (F.col("lat2") - F.col("lat1")) + F.col("lon1"))
-    inside = dots.join(e, "park_id").where(cross).groupBy("id", "i", "park_id").agg(F.count("*").alias("n")).where("n % 2 = 1")
-    share = inside.select("id", "i").distinct().groupBy("id").agg((F.count("*") / points).alias("fraction"))
+    share = dots_inside(dots, rings, edges, delta).groupBy("id").agg((F.count("*") / points).alias("fraction"))
     return _with(places, share).select("id", _or("fraction", 0.0))
 
 

@@ -89,3 +89,21 @@ class Store:
             for status in files.listStatus(top):
                 if status.getPath().getName() not in keys:
                     files.delete(status.getPath(), True)
+
+
+def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+    """df written to the shared folder and read again: later plans start from it, and lost executors don't lose it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that cut() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    folder = shared_folder(spark).replace("file:///", "file:/")
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        if path.toString().replace("file:///", "file:/").startswith(f"{folder}/"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
