@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import at_place, ranked
+
 #: The cell's height and width in degrees.
 STEP_LAT, STEP_LON = 0.0036, 0.0048
 
@@ -54,16 +56,15 @@ def sample_grid(points: DataFrame, cells: DataFrame, rows: int, cols: int) -> Da
     return points.select("id").join(got, "id", "left").select("id", F.when(F.col("n") == 4, F.col("b")).otherwise(F.col("m")).alias("value"))
 
 
-def view_range(cells: DataFrame, boxes: DataFrame, least: int = 4) -> DataFrame:
+def view_range(cells: DataFrame, boxes: DataFrame, least: int = 4, tile: int = 64) -> DataFrame:
     """(box, lo, hi): the values at places floor(0.05 (n - 1)) and ceil(0.95 (n - 1)) of the cells in each box (box, r_min, r_max, c_min,
-    c_max); boxes of fewer than four values, or of no spread, have none. Boxes are few and are broadcast."""
-    b = F.broadcast(boxes)
-    inside = cells.where("value is not null").join(b, F.col("r").between(F.col("r_min"), F.col("r_max")) & F.col("c").between(F.col("c_min"), F.col("c_max")))
-    per = inside.groupBy("box", "value").agg(F.count("*").alias("eq"))
-    w = Window.partitionBy("box")
-    per = per.withColumn("below", F.sum("eq").over(w.orderBy("value")) - F.col("eq")).withColumn("n", F.sum("eq").over(w))
-    pick = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("eq")), F.col("value")))
-    out = per.groupBy("box").agg(F.max("n").alias("n"), pick(F.floor(0.05 * (F.col("n") - 1))).alias("lo"), pick(F.ceil(0.95 * (F.col("n") - 1))).alias("hi"))
+    c_max); boxes of fewer than four values, or of no spread, have none. Boxes meet cells by the tiles that they reach over."""
+    tiles = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / tile), F.floor(F.col(high) / tile)))
+    b = boxes.where("r_min <= r_max and c_min <= c_max").withColumn("__x", tiles("r_min", "r_max")).withColumn("__y", tiles("c_min", "c_max"))
+    at = cells.where("value is not null").withColumns({"__x": F.floor(F.col("r") / tile), "__y": F.floor(F.col("c") / tile)})
+    inside = at.join(b, ["__x", "__y"]).where(F.col("r").between(F.col("r_min"), F.col("r_max")) & F.col("c").between(F.col("c_min"), F.col("c_max")))
+    picks = [at_place("value", k((F.col("n") - 1) * p)).alias(to) for k, p, to in ((F.floor, 0.05, "lo"), (F.ceil, 0.95, "hi"))]
+    out = ranked(inside.select("box", "value"), "value", ["box"]).groupBy("box").agg(F.max("n").alias("n"), *picks)
     return out.where((F.col("n") >= least) & (F.col("hi") - F.col("lo") >= 1e-6)).select("box", "lo", "hi")
 
 
@@ -95,14 +96,11 @@ def admin_filter(df: DataFrame, ranges: dict[str, tuple[float, float]], binary:
 def spread(df: DataFrame, dims: list[str], least: int = 20) -> DataFrame:
     """(dim, n, mean, sd, p5, p95, mid_share, ok): population deviation, values at place min(n - 1, int(p n)), share within 45 and 55."""
     long_ = df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, dims)), F.array(*map(F.col, dims)))).alias("dim", "v")).where("v is not null")
-    per = long_.groupBy("dim", "v").agg(F.count("*").alias("eq"))
-    stat = long_.groupBy("dim").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.avg(F.col("v").between(45, 55).cast("double")).alias("mid_share"))
-    below = F.sum("eq").over(Window.partitionBy("dim").orderBy("v")) - F.col("eq")
-    placed = per.withColumn("below", below).join(F.broadcast(stat.select("dim", "n")), "dim")
-    pick = lambda p: F.max(F.when((F.col("below") <= F.least(F.col("n") - 1, F.floor(F.col("n") * p))) & (F.col("below") + F.col("eq") > F.least(F.col("n") - 1, F.floor(F.col("n") * p))), F.col("v")))
-    q = placed.groupBy("dim").agg(pick(0.05).alias("p5"), pick(0.95).alias("p95"))
+    stat = long_.groupBy("dim").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.avg(F.col("v").between(45, 55).cast("double")).alias("mid_share"))
+    pick = lambda p: at_place("v", F.least(F.col("n") - 1, F.floor(F.col("n") * p)))
+    q = ranked(long_, "v", ["dim"]).groupBy("dim").agg(F.max("n").alias("n"), pick(0.05).alias("p5"), pick(0.95).alias("p95"))
     ok = (F.col("sd") >= 12) & (F.col("p95") - F.col("p5") >= 35) & (F.col("mid_share") <= 0.45)
-    return stat.join(q, "dim").where(F.col("n") >= least).withColumn("ok", ok)
+    return stat.join(q, "dim").where(F.col("n") >= least).select("dim", "n", "mean", "sd", "mid_share", "p5", "p95").withColumn("ok", ok)
 
 
 def drift(stored: DataFrame, fresh: DataFrame, key: str, column: str, tolerance: float = 0.10) -> DataFrame:

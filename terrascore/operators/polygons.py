@@ -83,7 +83,7 @@ def cover(edges: DataFrame, poly: str, side: float = CELL) -> DataFrame:
     return held.unionByName(inner.select(poly, "x", "y", F.lit(None).cast("long").alias("corner")))
 
 
-def dots_inside(dots: DataFrame, polygons: DataFrame, edges: DataFrame, delta: float, poly: str = "park_id", side: float = CELL) -> DataFrame:
+def dots_inside(dots: DataFrame, polygons: DataFrame, edges: DataFrame, delta: float, poly: str = "park_id", side: float = CELL / 4) -> DataFrame:
     """(id, i) of dots (id, i, lat, lon: their place's; plat, plon: their own) that lie in a polygon whose centre lies within delta of the place.
 
     A dot meets the polygons of its own cell; where the cell is all inside that settles it, elsewhere the cell's edges do."""

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascore.functions.geo import cosine, half_even
+from terrascore.sources.store import cut
 
 from .spatial import nearest_k
-from .stats import percentile_of, quantiles
+from .stats import at_place, percentile_of, quantiles, ranked
 
 
 #: The groups of dimensions that a place's composite is made of, and the dimensions whose lowest scores cap it.
@@ -124,12 +125,11 @@ def place_composites(scores: DataFrame, exclude: frozenset[str] = frozenset({"sc
 def peer_context(df: DataFrame, group: str, dims: list[str], key: str = "id", least: int = 20) -> DataFrame:
     """(key, dim, percentile, median, n): midrank, a whole number, among the group's rows with that dimension, for groups of at least 20."""
     long_ = df.select(key, group, F.explode(F.map_from_arrays(F.array(*map(F.lit, dims)), F.array(*map(F.col, dims)))).alias("dim", "v")).where("v is not null")
-    per = long_.groupBy(group, "dim", "v").agg(F.count("*").alias("eq"))
-    w = Window.partitionBy(group, "dim")
-    per = per.withColumn("below", F.sum("eq").over(w.orderBy("v")) - F.col("eq")).withColumn("n", F.sum("eq").over(w))
-    med = long_.groupBy(group, "dim").agg(F.percentile("v", 0.5).alias("median"))
-    pct = F.rint(100 * (F.col("below") + F.col("eq") / 2) / F.col("n")).cast("int")  # halves to the even number
-    return long_.join(per, [group, "dim", "v"]).join(med, [group, "dim"]).where(F.col("n") >= least).select(key, "dim", pct.alias("percentile"), half_even(F.col("median"), 1).alias("median"), "n")
+    per = ranked(long_.select(group, "dim", "v"), "v", [group, "dim"])
+    n = F.col("n")
+    med = per.groupBy(group, "dim").agg(((at_place("v", F.floor((n - 1) / 2)) + at_place("v", F.floor(n / 2))) / 2).alias("median"))
+    pct = F.rint(100 * (F.col("n_below") + F.col("n_eq") / 2) / n).cast("int")  # halves to the even number
+    return long_.join(per, [group, "dim", "v"]).join(med, [group, "dim"]).where(n >= least).select(key, "dim", pct.alias("percentile"), half_even(F.col("median"), 1).alias("median"), "n")
 
 
 def candidates(df: DataFrame, key: str = "id", most: int = 50, few: int = 12) -> DataFrame:
@@ -139,6 +139,7 @@ def candidates(df: DataFrame, key: str = "id", most: int = 50, few: int = 12) ->
     b = a.select(F.col(key).alias("other"), "beds", "neighborhood", "borough", F.col("price").alias("o_price"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
     near = (F.col(key) != F.col("other")) & F.col("o_price").between(F.col("price") * 0.5, F.col("price") * 1.5)
     hood = nearest_k(a.drop("borough"), b.drop("borough"), key, "other", most, ["beds", "neighborhood"], near).withColumn("scope", F.lit("neighborhood"))
+    hood = cut(hood, "candidates")  # read three times
     enough = hood.where(F.col("n") >= few).select(key).distinct()
     left = a.drop("neighborhood").join(enough, key, "left_anti")
     wide = nearest_k(left, b.drop("neighborhood"), key, "other", most, ["beds", "borough"], near, 0.03).withColumn("scope", F.lit("borough"))

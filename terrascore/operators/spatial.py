@@ -72,13 +72,15 @@ def nearest_k(left: DataFrame, right: DataFrame, key: str, right_key: str, k: in
     settled. The others go on with cells of twice the width, until all their group or reach is in the ring."""
     span = lambda c: F.max(c) - F.min(c)
     groups = right.where("r_lat is not null and r_lon is not null").groupBy(*equal).agg(F.count("*").alias("n"), span("r_lat").alias("a"), span("r_lon").alias("o"))
-    width = F.greatest(F.lit(1e-6), F.sqrt(F.greatest("a", F.lit(1e-5)) * F.greatest("o", F.lit(1e-5)) * k / F.col("n")))
     far = F.greatest("a", "o")
     # left rows may lie beside their group: a ring as wide as the reach, or as the farthest of a group, holds all of it
     ends = left.where("lat is not null and lon is not null").groupBy(*equal).agg(F.min("lat").alias("l0"), F.max("lat").alias("l1"), F.min("lon").alias("m0"), F.max("lon").alias("m1"))
     box = right.where("r_lat is not null and r_lon is not null").groupBy(*equal).agg(F.min("r_lat").alias("a0"), F.max("r_lat").alias("a1"), F.min("r_lon").alias("o0"), F.max("r_lon").alias("o1"))
     away = F.greatest(F.col("l1") - F.col("a0"), F.col("a1") - F.col("l0"), F.col("m1") - F.col("o0"), F.col("o1") - F.col("m0"), far)
     limit = away if reach is None else F.least(away, F.lit(reach))
+    # the nine cells around a row hold some nine times k rows; a group of not many more is one ring
+    width = F.when(F.col("n") <= 16 * k, limit).otherwise(F.sqrt(F.greatest("a", F.lit(1e-5)) * F.greatest("o", F.lit(1e-5)) * k / F.col("n")))
+    width = F.greatest(F.lit(1e-6), width)
     groups = cut(groups.join(ends, equal).join(box, equal).select(*equal, width.alias("__w"), limit.alias("__limit")), "groups")
     steps = groups.agg(F.coalesce(F.max(F.ceil(F.log2(F.greatest(F.col("__limit") / F.col("__w"), F.lit(1.0))))), F.lit(0))).first()[0]
     open_ = left.join(groups, equal)

@@ -62,25 +62,57 @@ def weighted_mean(value: str, weight: str) -> Column:
     return F.sum(F.when(F.col(value).isNotNull(), F.col(value) * F.col(weight))) / F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
 
 
-def ranked(values: DataFrame, value: str) -> DataFrame:
-    """(value, n_eq, n_below, n): counts below each distinct value of a number, from counts per value; no window over the rows themselves.
+#: Values that a group's ranges are told apart by, at most.
+PICKS = 256
 
-    Distinct values are dealt into ranges of a logarithmic scale, sixteen for each step of e, which keep their order; each
-    range is summed up on its own, and the totals of the ranges before are added."""
-    per = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n_eq"))
-    v = F.col(value).cast("double")
-    parts = per.withColumn("__part", F.floor(F.signum(v) * F.log1p(F.abs(v)) * 16))
-    totals = parts.groupBy("__part").agg(F.sum("n_eq").alias("t"))
-    before = totals.select("__part", F.coalesce(F.sum("t").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("t").over(Window.partitionBy()).alias("n"))
-    own = F.sum("n_eq").over(Window.partitionBy("__part").orderBy(value)) - F.col("n_eq")
-    return parts.withColumn("__own", own).join(F.broadcast(before), "__part").select(value, "n_eq", (F.col("__own") + F.col("__before")).alias("n_below"), "n")
 
+def ranked(values: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
+    """(groups, value, n_eq, n_below, n): counts below each distinct value of a number within its group, from counts per value; no
+    window over the rows themselves, none over a whole group either. Null groups are groups.
 
-def median(values: DataFrame, value: str, to: str = "median") -> DataFrame:
-    """One row: the median of a column, the mean of the middle two; null without values. From counts per value, never in one buffer."""
-    r = ranked(values, value)
-    at = lambda k: F.max(F.when((F.col("n_below") <= k) & (k < F.col("n_below") + F.col("n_eq")), F.col(value)))
-    return r.agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias(to))
+    A group's distinct values are cut into ranges by a sample of themselves: of those whose hashes share a remainder the one
+    of the least hash, so at most PICKS, the same ones whatever the partitions, and about as many values in each
+    range however they are spread. Each range is summed up on its own, and the totals of the ranges before it are added."""
+    groups = groups or []
+    per = values.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n_eq"))
+    h = F.xxhash64(F.col(value).cast("double"))
+    picked = per.groupBy(*groups, F.pmod(h, F.lit(PICKS)).alias("__h")).agg(F.min_by(value, h).alias("__v"))
+    bounds = picked.groupBy(*groups).agg(F.array_sort(F.collect_list("__v")).alias("__bounds"))
+    parts = _beside(per, bounds, groups, len(groups) == 0).withColumn("__part", _count(F.col("__bounds"), F.col(value), False)).drop("__bounds")
+    totals = parts.groupBy(*groups, "__part").agg(F.sum("n_eq").alias("t"))
+    group = Window.partitionBy(*groups)
+    before = totals.select(*groups, "__part", F.coalesce(F.sum("t").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("t").over(group).alias("n"))
+    own = F.sum("n_eq").over(Window.partitionBy(*groups, "__part").orderBy(value)) - F.col("n_eq")
+    both = _beside(parts.withColumn("__own", own), before, [*groups, "__part"], len(groups) == 0)
+    return both.select(*groups, value, "n_eq", (F.col("__own") + F.col("__before")).alias("n_below"), "n")
+
+
+def _beside(left: DataFrame, right: DataFrame, on: list[str], small: bool) -> DataFrame:
+    """left with the right side's columns for equal keys, null being equal to null; small: the right side has at most PICKS + 1 rows."""
+    names = {c: f"__r_{c}" for c in on}
+    other = right.select(*(F.col(c).alias(names[c]) for c in on), *(c for c in right.columns if c not in names))
+    test = F.lit(True)
+    for c, r in names.items():
+        test = test & left[c].eqNullSafe(other[r])
+    return left.join(F.broadcast(other) if small else other, test).drop(*names.values())
+
+
+def at_place(value: str, k: Column) -> Column:
+    """Aggregate over ranked()'s rows: the value at place k (from 0) of the sorted values."""
+    return F.max(F.when((F.col("n_below") <= k) & (k < F.col("n_below") + F.col("n_eq")), F.col(value)))
+
+
+def between_places(value: str, share: float) -> Column:
+    """Aggregate over ranked()'s rows: the value at a share of the way from the first to the last place, between neighbours by their distance."""
+    at = (F.col("n") - 1) * share
+    low, high = at_place(value, F.floor(at)), at_place(value, F.ceil(at))
+    return low + (high - low) * (F.max("n") - 1) * share - (high - low) * F.floor((F.max("n") - 1) * share)
+
+
+def median(values: DataFrame, value: str, to: str = "median", groups: list[str] | None = None) -> DataFrame:
+    """(groups, median): the median of a column, the mean of the middle two; null without values. From counts per value, never in one buffer."""
+    r = ranked(values, value, groups)
+    return r.groupBy(*(groups or [])).agg(((at_place(value, F.floor((F.col("n") - 1) / 2)) + at_place(value, F.floor(F.col("n") / 2))) / 2).alias(to))
 
 
 def freeze(values: DataFrame, value: str, points: int = 1001, least: int = 100) -> DataFrame:
@@ -168,8 +200,9 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def box_inputs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(dim, n, low, q1, median, q3, high) of each column, quartiles between neighbours by their distance."""
-    return _long(df, columns).groupBy("dim").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.75).alias("q3"), F.max("v").alias("high"))
+    """(dim, n, low, q1, median, q3, high) of each column, quartiles between neighbours by their distance; see ranked()."""
+    quartiles = {c: between_places("v", p).alias(c) for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    return ranked(_long(df, columns), "v", ["dim"]).groupBy("dim").agg(F.max("n").alias("n"), F.min("v").alias("low"), *quartiles.values(), F.max("v").alias("high"))
 
 
 def histogram(df: DataFrame, columns: list[str], low: float, high: float, bins: int) -> DataFrame:
