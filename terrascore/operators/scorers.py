@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrascore.functions.geo import decay, gauss
 
-from .spatial import nearest_join, radius_join
+from .spatial import DENSE_ROWS, nearest_join, radius_join
 from .stats import kernel_units, median_inverse, seasonal_factor, trend, trend_direction, trend_guard
 
 #: Severity and context weights of incidents, and half lives.
@@ -56,7 +56,7 @@ def crime(listings: DataFrame, incidents: DataFrame, lots: DataFrame, as_of: str
     known, places = right_points(weighed, "severity", "sev", "base", "late_sev"), listings.select("id", "lat", "lon")
     w = F.col("base") * gauss(F.col("dist_m"), radius_m / 2)
     n = lambda s: F.count_if(F.col("severity") == s)
-    near = radius_join(places, known, radius_m).groupBy("id").agg(
+    near = radius_join(places, known, radius_m, dense_rows=DENSE_ROWS).groupBy("id").agg(
         n("FELONY").alias("felonies"), n("MISDEMEANOR").alias("misdemeanors"), n("VIOLATION").alias("violations"), F.sum("sev").alias("weighted_total"), F.sum(w).alias("decayed"), F.sum("late_sev").alias("recent"),
     )
     out = places.select("id").join(near, "id", "left").join(kernel_units(places, lots, radius_m), "id")

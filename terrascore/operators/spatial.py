@@ -21,26 +21,84 @@ def _cells(df: DataFrame, lat: str, lon: str, tall: float, wide: float, around:
     return df.withColumn("__x", near(x)).withColumn("__y", near(y))
 
 
-def box_join(left: DataFrame, right: DataFrame, delta: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", tall: float | None = None) -> DataFrame:
+#: Rows of a cell from which on it is split, where a caller asks for that; fine cells a side of a cell; most split cells that are broadcast.
+DENSE_ROWS, FINE, FEW_CELLS = 20_000, 16, 100_000
+
+
+def box_join(left: DataFrame, right: DataFrame, delta: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", tall: float | None = None, dense_rows: int | None = None) -> DataFrame:
     """Pairs whose coordinates differ by at most delta degrees on both axes. Null coordinates match nothing.
 
     The smaller side should be left: it is repeated for the nine cells around each point, the right side moves once. Cells
-    are delta wide, and ``tall`` high where the caller knows that pairs further apart in latitude drop out anyway. A dense
-    cell is one key of a sort-merge join, which adaptive execution splits by map outputs."""
+    are delta wide, and ``tall`` high where the caller knows that pairs further apart in latitude drop out anyway. With
+    dense_rows, cells that hold more rows of the right side are split (see split_cells); without, a dense cell is one key,
+    which adaptive execution splits by size only."""
     tall = min(tall or delta, delta)
     a, b = _cells(left, lat, lon, tall, delta, True), _cells(right, right_lat, right_lon, tall, delta, False)
     inside = (F.abs(F.col(lat) - F.col(right_lat)) <= delta) & (F.abs(F.col(lon) - F.col(right_lon)) <= delta)
-    return a.join(b, ["__x", "__y"]).where(inside).drop("__x", "__y")
+    cells = split_cells(b, right_lat, right_lon, tall, delta, dense_rows) if dense_rows else None
+    if cells is None:
+        return a.join(b, ["__x", "__y"]).where(inside).drop("__x", "__y")
+    a, b = spread_left(a, cells, lat, lon, tall, delta), spread_right(b, cells, right_lat, right_lon, tall, delta)
+    return a.join(b, ["__x", "__y", "__cx", "__cy", "__salt"]).where(inside).drop("__x", "__y", "__cx", "__cy", "__salt")
+
+
+def _fine(df: DataFrame, lat: str, lon: str, tall: float, wide: float) -> DataFrame:
+    """df with the place of a row among its cell's fine cells."""
+    part = lambda v, side, cell: F.least(F.greatest(F.floor(F.col(v) / (side / FINE)) - F.col(cell) * FINE, F.lit(0)), F.lit(FINE - 1)).cast("int")
+    return df.withColumn("__fx", part(lat, tall, "__x")).withColumn("__fy", part(lon, wide, "__y"))
+
+
+def _child(fine: str) -> Column:
+    """A fine cell's place among the children of its cell, 2 ** level a side."""
+    return F.expr(f"shiftright({fine}, {FINE.bit_length() - 1} - __level)")
+
+
+def split_cells(right: DataFrame, lat: str, lon: str, tall: float, wide: float, dense_rows: int) -> DataFrame | None:
+    """(__x, __y, __level, __cx, __cy, __salts) of the children of cells of more than dense_rows rows, or None if there is no such cell.
+
+    A cell is quartered as often as its rows ask for, four times at most; a child that still holds more, such as one point of
+    many rows, is dealt out to several salts. One count of fine cells; at most a cell in dense_rows rows is split."""
+    fine = _fine(right, lat, lon, tall, wide).groupBy("__x", "__y", "__fx", "__fy").agg(F.count("*").alias("n"))
+    dense = fine.groupBy("__x", "__y").agg(F.sum("n").alias("t")).where(F.col("t") > dense_rows).select("__x", "__y", F.least(F.lit(FINE.bit_length() - 1), F.ceil(F.log2(F.col("t") / dense_rows) / 2)).cast("int").alias("__level"))
+    children = fine.join(dense, ["__x", "__y"]).groupBy("__x", "__y", "__level", _child("__fx").alias("__cx"), _child("__fy").alias("__cy")).agg(F.ceil(F.sum("n") / dense_rows).cast("int").alias("__salts"))
+    cells = cut(children, "dense-cells")
+    return None if cells.isEmpty() else cells
+
+
+def _held(cells: DataFrame) -> DataFrame:
+    """cells as the small side of a join: broadcast if they are few."""
+    return F.broadcast(cells) if cells.count() <= FEW_CELLS else cells
+
+
+def spread_right(right: DataFrame, cells: DataFrame, lat: str, lon: str, tall: float, wide: float) -> DataFrame:
+    """The right side with each row's child and salt; rows of cells that aren't split have child -1 and salt 0."""
+    columns = right.columns
+    levels = _held(cells.select("__x", "__y", "__level").distinct())
+    b = _fine(right, lat, lon, tall, wide).join(levels, ["__x", "__y"], "left")
+    b = b.withColumn("__cx", F.coalesce(_child("__fx"), F.lit(-1))).withColumn("__cy", F.coalesce(_child("__fy"), F.lit(-1)))
+    b = b.join(_held(cells.drop("__level")), ["__x", "__y", "__cx", "__cy"], "left")
+    return b.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*columns), F.col("__salts")), F.lit(0)).cast("int")).select(*columns, "__cx", "__cy", "__salt")
+
+
+def spread_left(left: DataFrame, cells: DataFrame, lat: str, lon: str, tall: float, wide: float) -> DataFrame:
+    """The left side, a row for each child that its box meets and each of the child's salts."""
+    columns = left.columns
+    a = left.join(_held(cells), ["__x", "__y"], "left")
+    size = F.pow(F.lit(2.0), F.col("__level"))
+    meets = lambda v, side, cell, child: (F.col(v) + side * 1.000001 >= (F.col(cell) + F.col(child) / size) * side) & (F.col(v) - side * 1.000001 <= (F.col(cell) + (F.col(child) + 1) / size) * side)
+    a = a.where(F.col("__level").isNull() | (meets(lat, tall, "__x", "__cx") & meets(lon, wide, "__y", "__cy")))
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))
+    return a.select(*columns, F.coalesce("__cx", F.lit(-1)).alias("__cx"), F.coalesce("__cy", F.lit(-1)).alias("__cy"), salts.alias("__salt"))
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon") -> DataFrame:
-    """Pairs within the box of the radius and within radius_m of each other, with dist_m.
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", dense_rows: int | None = None) -> DataFrame:
+    """Pairs within the box of the radius and within radius_m of each other, with dist_m; dense_rows: see box_join.
 
     Pairs are told by the haversine's inner term against that of the radius; the distance itself is computed for what is
     left. Cosines of latitudes are computed once a row, before the join."""
     cos = lambda df, c, to: df.withColumn(to, F.cos(F.radians(c)))
     tall = radius_m * 1.001 / (EARTH_M * 3.141592653589793 / 180)
-    pairs = box_join(cos(left, lat, "__c"), cos(right, right_lat, "__d"), half_width(radius_m), lat, lon, right_lat, right_lon, tall)
+    pairs = box_join(cos(left, lat, "__c"), cos(right, right_lat, "__d"), half_width(radius_m), lat, lon, right_lat, right_lon, tall, dense_rows)
     half = lambda p, q: F.sin(F.radians(F.col(q) - F.col(p)) / 2)
     v, h = half(lat, right_lat), half(lon, right_lon)
     inner = v * v + F.col("__c") * F.col("__d") * (h * h)

@@ -124,3 +124,23 @@ def test_no_polygons_and_null_coordinates(spark):
     assert spatial.contains(df, p, e.where("false"), 0.02).where("inside").count() == 0
     assert {r.id for r in spatial.contains(df, p, e, 0.02).collect()} == {1}
     assert surroundings.park_fraction(df, p.where("false"), e).agg(F.sum("fraction")).first()[0] == 0.0
+
+
+def test_dense_cells_are_split(spark):
+    rnd = random.Random(1)
+    right = [(i, LAT, LON) for i in range(4000)] + [(4000 + i, LAT + rnd.random() * 0.002, LON + rnd.random() * 0.002) for i in range(4000)] + [(8000 + i, LAT + rnd.uniform(-0.02, 0.02), LON + rnd.uniform(-0.02, 0.02)) for i in range(4000)] + [(20000, None, LON)]
+    left = [(i, LAT + rnd.uniform(-0.01, 0.01), LON + rnd.uniform(-0.01, 0.01)) for i in range(60)] + [(99, None, None)]
+    a = spark.createDataFrame(left, "id int, lat double, lon double")
+    b = spark.createDataFrame(right, "key int, r_lat double, r_lon double")
+    plain = spatial.radius_join(a, b, 300.0).groupBy("id").agg(F.count("*").alias("n"), F.sum("key").alias("s"), F.count_distinct("key").alias("k"))
+    for rows in (100, 500, 3000, 10**6):
+        split = spatial.radius_join(a, b, 300.0, dense_rows=rows).groupBy("id").agg(F.count("*").alias("n"), F.sum("key").alias("s"), F.count_distinct("key").alias("k"))
+        assert sorted(split.collect()) == sorted(plain.collect())
+    # no key of the join holds many more rows than asked for, though half of all lie in one cell and a third on one point
+    side = spatial.half_width(300.0)
+    at = spatial._cells(b, "r_lat", "r_lon", side, side, False)
+    cells = spatial.split_cells(at, "r_lat", "r_lon", side, side, 500)
+    dealt = spatial.spread_right(at, cells, "r_lat", "r_lon", side, side)
+    keys = dealt.where("r_lat is not null").groupBy("__x", "__y", "__cx", "__cy", "__salt").count()
+    assert dealt.count() == len(right) and keys.agg(F.max("count")).first()[0] <= 1000
+    assert at.groupBy("__x", "__y").count().agg(F.max("count")).first()[0] > 5000
