@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascore.operators import engine, rank, stats
+from terrascore.operators.rescore import Rescored, rescore
 from terrascore.plans import listing_queries, scorer_queries  # noqa: F401
 from terrascore.plans.feed_queries import CELL8, tables_of, to_score
 from terrascore.plans.registry import ORACLES, query
@@ -113,3 +114,23 @@ def rk06_place(spark, d):
     x = view(spark, d, "listings").drop("composite").join(composites(spark, d), "id")
     f = rank.feed(x, beds=[1, 2], min_composite=40)
     return rank.page(f, rank.sort_column("composite", rank.PLACE_DIMS, rank.PLACE_GROUPS), 1, 50).select("id", "price", "composite", "coverage")
+
+
+#: Scorers whose change is followed, and the rows that came since the last run.
+FOLLOWED = ["unit_amenities", "schools", "shelter", "road_exposure", "flood_risk"]
+CAME = {"shelters": "shelter_id % 10 = 0", "firehouses": "house_id % 25 = 0"}
+
+
+def followed(spark: SparkSession, d: str) -> Rescored:
+    """An earlier run without some listings and some rows of two tables, and what is scored again when they come."""
+    x, tables = to_score(spark, d), tables_of(spark, d)
+    before = x.where("id % 17 <> 0").withColumn("amenities", F.when(F.col("id") % 23 != 0, F.col("amenities")))
+    previous = engine.run_staged(before, {**tables, **{n: tables[n].where(f"not ({c})") for n, c in CAME.items()}}, AS_OF_EVENTS, f"{shared_folder(spark)}/engine-results", FOLLOWED)
+    return rescore(before, x, tables, {n: tables[n].where(c) for n, c in CAME.items()}, AS_OF_EVENTS, previous.results, FOLLOWED)
+
+
+@query("sc21_rescored", f"{ALL_SCORES} SELECT id, {', '.join(f'{n}_score' for n in FOLLOWED)} FROM every")
+def sc21_rescored(spark, d):
+    """Only places that a change can reach are computed; the scores are those of a full run."""
+    results = {n: df.select("id", F.col("score").cast("double").alias("score")) for n, df in followed(spark, d).results.items()}
+    return engine.write_back(view(spark, d, "listings").select("id"), results).select("id", *(F.round(f"{n}_score", 4).alias(f"{n}_score") for n in FOLLOWED))

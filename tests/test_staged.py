@@ -6,7 +6,7 @@ import sys
 
 import pytest
 
-from terrascore.operators import engine
+from terrascore.operators import engine, rescore
 from terrascore.plans import engine_queries, feed_queries
 from terrascore.sources import store
 from terrascore.sources.views import AS_OF_EVENTS, view
@@ -79,3 +79,18 @@ def test_every_scorer_declares_what_it_reads():
 def test_each_query_module_can_be_imported_first(name):
     assert importlib.import_module(f"terrascore.plans.{name}")
     subprocess.run([sys.executable, "-c", f"import terrascore.plans.{name}"], check=True, timeout=120)
+
+
+def test_only_what_a_change_reaches_is_scored_again(spark, sf):
+    got = engine_queries.followed(spark, sf)
+    x, tables = feed_queries.to_score(spark, sf), feed_queries.tables_of(spark, sf)
+    whole = engine.run(x, tables, AS_OF_EVENTS, engine_queries.FOLLOWED)
+    for n in engine_queries.FOLLOWED:
+        assert rows(got.results[n]) == rows(whole[n]), n
+    places = engine.cells(engine.active(x)).count()
+    assert not got.full and 0 < got.computed["schools"] < places / 4 and 0 < got.computed["road_exposure"] < places
+    # nothing changed: nothing is computed; a table that isn't told by place: everything is
+    same = rescore.rescore(x, x, tables, {}, AS_OF_EVENTS, whole, ["schools", "flood_risk"])
+    assert same.computed == {"schools": 0, "flood_risk": 0} and rows(same.results["schools"]) == rows(whole["schools"])
+    every = rescore.rescore(x, x, tables, {"lots": tables["lots"]}, AS_OF_EVENTS, whole, ["bedbug", "flood_risk"])
+    assert every.full == ["bedbug"] and every.computed["flood_risk"] > 0
