@@ -134,3 +134,16 @@ def sc21_rescored(spark, d):
     """Only places that a change can reach are computed; the scores are those of a full run."""
     results = {n: df.select("id", F.col("score").cast("double").alias("score")) for n, df in followed(spark, d).results.items()}
     return engine.write_back(view(spark, d, "listings").select("id"), results).select("id", *(F.round(f"{n}_score", 4).alias(f"{n}_score") for n in FOLLOWED))
+
+
+#: Scorers whose stored metrics are held against fresh ones: (column, its SQL by cell, its SQL at the listing).
+AUDITED = {"schools": ("rating", "x_schools", own_sql("sc15_schools", False)), "road_exposure": ("road_index", "x_road_exposure", own_sql("sc17_road_exposure", False)), "flood_risk": ("score", "x_flood_risk", own_sql("sc18_flood_risk", False))}
+DRIFTS = " UNION ALL ".join(f"SELECT '{n}' AS scorer, '{c}' AS \"column\", o.{c} AS a, f.{c} AS b FROM act JOIN {old} o ON o.id = act.{'cell' if n in ON_CELLS else 'id'} JOIN ({fresh}) f ON f.id = act.id" for n, (c, old, fresh) in AUDITED.items())
+DRIFTED = "count(*) FILTER (abs(a - b) / greatest(abs(a), 1e-9) > 0.1)"
+
+
+@query("vl04_audit", f'{ALL_SCORES}, j AS ({DRIFTS}) SELECT scorer, "column", count(*) AS n, {DRIFTED} AS drifted, count(*) FILTER ((a IS NULL) <> (b IS NULL)) AS null_mismatch, {DRIFTED} > greatest(1, floor(count(*) / 5)) AS stale FROM j GROUP BY 1, 2')
+def vl04_audit(spark, d):
+    """What the engine stored by cell, held against a fresh computation at each active listing's own coordinates."""
+    results = staged(spark, d).results
+    return engine.audit(to_score(spark, d), tables_of(spark, d), AS_OF_EVENTS, {n: results[n] for n in AUDITED}, each=2**31)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from terrascore.functions import geo
 from terrascore.operators import grid
 from terrascore.plans.registry import HAV, query
-from terrascore.sources import clean, ingest, views
+from terrascore.sources import clean, ingest, versions, views
+from terrascore.sources.store import shared_folder
 from terrascore.sources.views import view, view_sql
 
 
@@ -175,3 +178,16 @@ def jn13(spark, d):
     return out.select("id", "bus_routes", "severance_m", "ada_nearby")
 
 
+
+
+@query("src02_versions", view_sql("lots") + " SELECT version, count(*) AS n, CAST(sum(unitsres) AS BIGINT) AS units FROM lots, (VALUES (2), (3), (4)) AS v(version) WHERE lot_id % 5 < version GROUP BY 1")
+def src02(spark, d):
+    """A table published four times, three versions kept, each read by its number."""
+    path, lots = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}", view(spark, d, "lots").select("lot_id", "unitsres")
+    for k in range(1, 5):
+        versions.publish(lots.where(F.col("lot_id") % 5 < k), path, expect=k - 1, keep=3)
+    out = None
+    for v in versions.versions(spark, path):
+        one = versions.published(spark, path, v.number).agg(F.count("*").alias("n"), F.sum("unitsres").alias("units")).select(F.lit(v.number).alias("version"), "n", "units")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -5,16 +5,14 @@ Each view is one table with column expressions that Spark and DuckDB read alike,
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import publish, published  # noqa: F401
+
 _D = "CAST({} AS DOUBLE)".format
 _AT = lambda key, a, b: {"lat": f"{_D('40.70')} + {_D(f'({key} * {a}) % 4000')} / {_D('100000')}", "lon": f"{_D('-73.98')} + {_D(f'({key} * {b}) % 5000')} / {_D('100000')}"}
 
-#: The file that names a published table's current version.
-POINTER = "current.version"
 AS_OF_EVENTS, AS_OF_ORDERS = "2024-01-31", "2001-11-05"
 
 #: view: (table, {column: expression})
@@ -169,35 +167,6 @@ def freshness(registry: DataFrame, meta: DataFrame, as_of: str) -> DataFrame:
     return out.select("dataset", F.coalesce("row_count", F.lit(0)).alias("row_count"), "refreshed_at", "cadence", old.alias("stale"))
 
 
-def publish(df: DataFrame, path: str) -> bool:
-    """Write df as the next version under path and then point to it; an empty one keeps what is there. Returns whether it was written.
-
-    Each version is a folder of its own. The pointer is a small file that replaces the last one by a rename, so a failed write
-    leaves the old table, and df may read the table it replaces."""
-    if df.isEmpty():
-        return False
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    to, fresh = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (POINTER, f"{POINTER}-{version}"))
-    files = to.getFileSystem(conf)
-    out = files.create(fresh, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf)
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fresh, to, overwrite)
-    return True
-
-
-def published(spark: SparkSession, path: str) -> DataFrame:
-    """The version of a published table that its pointer names."""
-    name = spark.sparkContext.wholeTextFiles(f"{path}/{POINTER}").values().first()
-    return spark.read.parquet(f"{path}/{name}")
-
-
 def gtfs_stations(stops: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
     """(station_id, name, lat, lon, routes): parent stations of a transit feed with the sorted distinct routes that stop there.
 

@@ -3,13 +3,17 @@
 import importlib
 import subprocess
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
+from terrascore.functions.geo import geohash
 from terrascore.operators import engine, rescore
 from terrascore.plans import engine_queries, feed_queries
-from terrascore.sources import store
+from terrascore.sources import store, versions
 from terrascore.sources.views import AS_OF_EVENTS, view
+from terrascore.streaming import sync_batches
 
 SOME = ["schools", "rent_stabilized", "road_exposure", "air_quality", "unit_amenities"]
 
@@ -94,3 +98,61 @@ def test_only_what_a_change_reaches_is_scored_again(spark, sf):
     assert same.computed == {"schools": 0, "flood_risk": 0} and rows(same.results["schools"]) == rows(whole["schools"])
     every = rescore.rescore(x, x, tables, {"lots": tables["lots"]}, AS_OF_EVENTS, whole, ["bedbug", "flood_risk"])
     assert every.full == ["bedbug"] and every.computed["flood_risk"] > 0
+
+
+def test_versions_are_kept_pinned_and_retired(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    of = lambda n: spark.range(n)
+    for n in (1, 2, 3):
+        assert versions.publish(of(n), path, keep=2, notes={f"k{n}": n})
+    assert [v.number for v in versions.versions(spark, path)] == [2, 3] and versions.latest(spark, path).notes == {"k1": 1, "k2": 2, "k3": 3}
+    assert versions.published(spark, path).count() == 3 and versions.published(spark, path, 2).count() == 2
+    with pytest.raises(ValueError, match="no version 1"):
+        versions.published(spark, path, 1)
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2
+    pinned = versions.published(spark, path, 3)
+    assert versions.publish(of(9), path, keep=2) and pinned.count() == 3 and versions.published(spark, path).count() == 9
+
+
+def test_two_writers_leave_one_winner(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    versions.publish(spark.range(1), path)
+    with ThreadPoolExecutor(2) as pool:
+        tried = [pool.submit(versions.publish, spark.range(n), path, 1) for n in (5, 6)]
+    errors = [f.exception() for f in tried if f.exception()]
+    assert len(errors) == 1 and isinstance(errors[0], versions.Conflict)
+    assert versions.latest(spark, path).number == 2 and versions.published(spark, path).count() in (5, 6)
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2  # the loser's files are gone
+    with pytest.raises(versions.Conflict):
+        versions.publish(spark.range(7), path, expect=1)
+    with pytest.raises(versions.Conflict):
+        versions.publish(spark.range(7), path, expect=9)
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
+    path, logs = f"file://{tmp_path}/listings", []
+    versions.publish(spark.createDataFrame([("k", "a", "1", "ACTIVE", None, None, 5)], "id string, source string, source_id string, status string, first_seen_at timestamp, last_seen_at timestamp, price int"), path)
+    step = sync_batches(path, "a", lambda n: f"2024-02-0{n + 1}", lambda log: logs.append(log.first()))
+    batch = spark.createDataFrame([("2", 7)], "source_id string, price int")
+    for number in (0, 0, 1, 0):
+        step(batch, number)
+    assert [(x.inserted, x.updated) for x in logs] == [(1, 0), (0, 1)] and versions.latest(spark, path).number == 3
+
+
+def test_samples_are_seeded_and_spread_over_cells(spark, sf):
+    x = engine.active(view(spark, sf, "listings"))
+    one, same, other = (sorted(r.id for r in engine.stratified(df, 2, 6, s).collect()) for df, s in ((x, 1), (x.repartition(7), 1), (x, 2)))
+    assert one == same != other
+    cells = x.withColumn("c", geohash(F.col("lat"), F.col("lon"), 6)).groupBy("c").count().collect()
+    assert len(one) == sum(min(2, r["count"]) for r in cells)
+
+
+def test_audit_finds_what_drifted_in_the_sample(spark, sf):
+    x, tables = view(spark, sf, "listings"), {"lots": view(spark, sf, "lots"), "school_sites": view(spark, sf, "school_sites")}
+    sample = {r.id for r in engine.stratified(engine.active(x), 1, 6, 3).collect()}
+    fresh = engine.SCORERS["schools"].compute(engine.Context(engine.active(x), x, tables, AS_OF_EVENTS))
+    off = fresh.withColumn("rating", F.when(F.col("id") % 2 == 0, F.col("rating") * 2 + 1).otherwise(F.col("rating")))
+    got = {r.scorer: r for r in engine.audit(x, tables, AS_OF_EVENTS, {"schools": off, "pest": off}, each=1, precision=6, seed=3).collect()}
+    assert got.keys() == {"schools"} and got["schools"].n == len(sample) and got["schools"].drifted == sum(i % 2 == 0 for i in sample) and got["schools"].stale
+    calm = engine.audit(x, tables, AS_OF_EVENTS, {"schools": fresh}, each=1, precision=6, seed=3).first()
+    assert calm.drifted == 0 and not calm.stale
