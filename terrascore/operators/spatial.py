@@ -196,42 +196,75 @@ def path_length() -> Column:
     return F.hypot((F.col("lat2") - F.col("lat1")) * LAT_M, (F.col("lon2") - F.col("lon1")) * LON_M)
 
 
-def path_samples(pairs: DataFrame, step_m: float, ends_m: float = 0.0, key: str = "pair") -> DataFrame:
-    """(key, i, lat, lon) of interior points every step_m along straight paths (lat1, lon1) to (lat2, lon2)."""
-    n = F.floor(F.col("__len") / step_m).cast("int")
-    out = pairs.withColumn("__len", path_length()).where(n >= 2).select("*", n.alias("__n")).withColumn("i", F.explode(F.expr("sequence(1, __n - 1)")))
-    t = F.col("i") / F.col("__n")
-    at = F.col("__len") * t
-    out = out.where((at >= ends_m) & (F.col("__len") - at >= ends_m))
-    return out.select(key, "i", (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * t).alias("lat"), (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * t).alias("lon"))
+#: Side in degrees of the cells that paths and points beside them meet in.
+PATH_CELL = 0.002
+
+
+def path_cells(pairs: DataFrame, margin: float, side: float = PATH_CELL) -> DataFrame:
+    """pairs with x and y, a row for each cell that lies within margin degrees of the straight path (lat1, lon1) to (lat2, lon2):
+    column by column, the cells between where the path enters and leaves."""
+    low, high, span = F.least("lon1", "lon2"), F.greatest("lon1", "lon2"), F.col("lon2") - F.col("lon1")
+    p = pairs.where("lat1 is not null and lon1 is not null and lat2 is not null and lon2 is not null")
+    p = p.withColumn("x", F.explode(F.sequence(cell_of(low - margin, side), cell_of(high + margin, side))))
+    at = lambda lon: F.when(span == 0, None).otherwise(F.col("lat1") + (F.col("lat2") - F.col("lat1")) * (F.least(F.greatest(lon, low), high) - F.col("lon1")) / span)
+    left, right = at(border(F.col("x"), side) - margin), at(border(F.col("x") + 1, side) + margin)
+    bottom, top = F.coalesce(F.least(left, right), F.least("lat1", "lat2")), F.coalesce(F.greatest(left, right), F.greatest("lat1", "lat2"))
+    return p.withColumn("y", F.explode(F.sequence(cell_of(bottom - margin, side), cell_of(top + margin, side))))
 
 
-def runs(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, runs, first_sum): the number of maximal runs of non-null values along i, and the sum of each run's first value."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy("i"))
-    starts = samples.withColumn("__start", F.col(value).isNotNull() & before.isNull())
-    return starts.groupBy(key).agg(F.count_if("__start").alias("runs"), F.coalesce(F.sum(F.when(F.col("__start"), F.col(value))), F.lit(0.0)).alias("first_sum"))
+def path_hits(pairs: DataFrame, points: DataFrame, step_m: float, near_m: float, ends_m: float = 0.0, key: str = "pair", value: Column | None = None) -> DataFrame:
+    """(key, i, v): the places i of points every step_m along a path that lie within near_m of one of points (r_lat, r_lon), at least ends_m
+    from both ends, with the largest value there (1 without one).
+
+    A path is repeated for the cells that it passes, not for its points; a point beside it gives the range of places that its
+    box can hold, and each of these is tested there."""
+    n = F.floor(F.col("__len") / step_m).cast("int")
+    way = pairs.select(key, "lat1", "lon1", "lat2", "lon2").withColumn("__len", path_length()).where(n >= 2).withColumn("__n", n)
+    h = half_width(near_m)
+    at = points.select("r_lat", "r_lon", (F.lit(1.0) if value is None else value).alias("__v")).where("__v is not null")
+    met = path_cells(way, h * 1.001).join(at.withColumns({"x": cell_of(F.col("r_lon"), PATH_CELL), "y": cell_of(F.col("r_lat"), PATH_CELL)}), ["x", "y"])
+    up, along = (F.col("lat2") - F.col("lat1")) * LAT_M, (F.col("lon2") - F.col("lon1")) * LON_M
+    middle = ((F.col("r_lat") - F.col("lat1")) * LAT_M * up + (F.col("r_lon") - F.col("lon1")) * LON_M * along) / (F.col("__len") * F.col("__len"))
+    # the box reaches h degrees on both axes, less than twice near_m on the plane of the path
+    beside = math.hypot(h * LAT_M, h * LON_M) * 1.01
+    off_line = F.abs(up * (F.col("r_lon") - F.col("lon1")) * LON_M - along * (F.col("r_lat") - F.col("lat1")) * LAT_M)
+    met = met.where(off_line <= beside * F.col("__len"))
+    reach = F.lit(beside) / F.col("__len")
+    first, last = F.greatest(F.lit(1), F.floor((middle - reach) * F.col("__n"))).cast("int"), F.least(F.col("__n") - 1, F.ceil((middle + reach) * F.col("__n"))).cast("int")
+    limit = math.sin(min(near_m / (2 * EARTH_M), math.pi / 2)) ** 2 * (1 + 1e-12)
+
+    def near(i: Column) -> Column:
+        t = i / F.col("__n")
+        lat, lon = F.col("lat1") + (F.col("lat2") - F.col("lat1")) * t, F.col("lon1") + (F.col("lon2") - F.col("lon1")) * t
+        v, w = F.sin(F.radians(F.col("r_lat") - lat) / 2), F.sin(F.radians(F.col("r_lon") - lon) / 2)
+        inner = v * v + F.cos(F.radians(lat)) * F.cos(F.radians("r_lat")) * (w * w)
+        off = F.col("__len") * t
+        return (off >= ends_m) & (F.col("__len") - off >= ends_m) & (F.abs(lat - F.col("r_lat")) <= h) & (F.abs(lon - F.col("r_lon")) <= h) & (inner <= limit)
+
+    hits = met.withColumns({"__a": first, "__b": last}).where("__a <= __b").withColumn("i", F.explode(F.sequence("__a", "__b"))).where(near(F.col("i")))
+    return hits.groupBy(key, "i").agg(F.max("__v").alias("v"))
+
+
+def runs(hits: DataFrame, key: str) -> DataFrame:
+    """(key, runs, first_sum) of hits (key, i, v): the number of maximal runs of neighbouring places, and the sum of each run's first value."""
+    before = F.lag("i").over(Window.partitionBy(key).orderBy("i"))
+    starts = hits.withColumn("__start", before.isNull() | (before < F.col("i") - 1))
+    return starts.groupBy(key).agg(F.count_if("__start").alias("runs"), F.coalesce(F.sum(F.when(F.col("__start"), F.col("v"))), F.lit(0.0)).alias("first_sum"))
 
 
 def path_penalty(pairs: DataFrame, roads: DataFrame, key: str = "pair", step_m: float = 20.0, near_m: float = 22.0, least_m: float = 40.0) -> DataFrame:
     """(key, penalty): along each path, every run of samples near a severing road adds the penalty of its first sample.
 
     roads: (r_lat, r_lon, penalty). Paths of least_m or less have none."""
-    long_ = pairs.where(path_length() > least_m)
-    samples = path_samples(long_, step_m, key=key)
-    hit = radius_join(samples, roads, near_m).groupBy(key, "i").agg(F.max("penalty").alias("v"))
-    marked = samples.select(key, "i").join(hit, [key, "i"], "left")
-    found = runs(marked, key, "v").select(key, F.col("first_sum").alias("penalty"))
-    return pairs.select(key).join(found, key, "left").select(key, F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
+    hit = path_hits(pairs.where(path_length() > least_m), roads, step_m, near_m, key=key, value=F.col("penalty"))
+    return pairs.select(key).join(runs(hit, key), key, "left").select(key, F.coalesce("first_sum", F.lit(0.0)).alias("penalty"))
 
 
 def occluding_rows(pairs: DataFrame, tall: DataFrame, key: str = "pair", step_m: float = 25.0, ends_m: float = 20.0, near_m: float = 18.0, least_m: float = 45.0) -> DataFrame:
     """(key, rows): rows of buildings that a path crosses: maximal runs of samples near a tall lot (r_lat, r_lon), the ends of the
     path left out. Paths of least_m or less cross none."""
-    samples = path_samples(pairs.where(path_length() > least_m), step_m, ends_m, key)
-    hit = radius_join(samples, tall.select("r_lat", "r_lon"), near_m).select(key, "i").distinct().withColumn("v", F.lit(1.0))
-    found = runs(samples.select(key, "i").join(hit, [key, "i"], "left"), key, "v").select(key, F.col("runs").alias("rows"))
-    return pairs.select(key).join(found, key, "left").select(key, F.coalesce("rows", F.lit(0)).alias("rows"))
+    hit = path_hits(pairs.where(path_length() > least_m), tall, step_m, near_m, ends_m, key)
+    return pairs.select(key).join(runs(hit, key), key, "left").select(key, F.coalesce("runs", F.lit(0)).alias("rows"))
 
 
 def shielded(pairs: DataFrame, tall: DataFrame, near_m: float = 18.0) -> DataFrame:

@@ -144,3 +144,35 @@ def test_dense_cells_are_split(spark):
     keys = dealt.where("r_lat is not null").groupBy("__x", "__y", "__cx", "__cy", "__salt").count()
     assert dealt.count() == len(right) and keys.agg(F.max("count")).first()[0] <= 1000
     assert at.groupBy("__x", "__y").count().agg(F.max("count")).first()[0] > 5000
+
+
+def test_paths_meet_points_beside_them(spark):
+    rnd = random.Random(8)
+    at = lambda: (LAT + rnd.uniform(-0.006, 0.006), LON + rnd.uniform(-0.006, 0.006))
+    paths = [(i, *at(), *at()) for i in range(60)] + [(100, LAT, LON, LAT, LON + 0.005), (101, LAT, LON, LAT + 0.005, LON), (102, LAT, LON, LAT, LON), (103, LAT, LON, LAT + 0.0003, LON), (104, None, LON, LAT, LON)]
+    roads = [(*at(), float(rnd.randint(1, 5))) for _ in range(1500)] + [(LAT, LON + 0.002, 9.0), (LAT, None, 3.0)]
+    hav = lambda a, b, c, d: 2 * 6_371_008.8 * math.asin(math.sqrt(math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2))
+
+    def plain(p, step, ends, near, least):
+        if None in p:
+            return []
+        _, a, b, c, d = p
+        size = math.hypot((c - a) * 111_320.0, (d - b) * 85_000.0)
+        n, h, out = int(size // step), near / 85_000.0, []
+        for i in range(1, n) if size > least and n >= 2 else ():
+            t = i / n
+            lat, lon = a + (c - a) * t, b + (d - b) * t
+            ok = size * t >= ends and size - size * t >= ends
+            hit = [v for x, y, v in roads if y is not None and ok and abs(x - lat) <= h and abs(y - lon) <= h and hav(lat, lon, x, y) <= near]
+            out.append(max(hit) if hit else None)
+        return [v for k, v in enumerate(out) if v is not None and (k == 0 or out[k - 1] is None)]
+
+    p = spark.createDataFrame(paths, "pair int, lat1 double, lon1 double, lat2 double, lon2 double")
+    r = spark.createDataFrame(roads, "r_lat double, r_lon double, penalty double")
+    got = {x.pair: x.penalty for x in spatial.path_penalty(p, r).collect()}
+    assert got == {x[0]: sum(plain(x, 20.0, 0.0, 22.0, 40.0)) for x in paths} and sum(got.values()) > 100
+    rows = {x.pair: x.rows for x in spatial.occluding_rows(p, r).collect()}
+    assert rows == {x[0]: len(plain(x, 25.0, 20.0, 18.0, 45.0)) for x in paths}
+    # a path is repeated for its cells, far less often than for nine cells of each of its points
+    long_ = p.where("pair < 60").withColumn("n", F.floor(spatial.path_length() / 20))
+    assert spatial.path_cells(long_, 0.0003).count() * 5 < long_.agg(F.sum("n")).first()[0] * 9
