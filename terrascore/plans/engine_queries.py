@@ -49,6 +49,9 @@ def own_sql(name: str, by_cell: bool, *swaps: tuple[str, str]) -> str:
 
 #: Swaps from the day and shares of the scorers' own queries to those of the engine's.
 DAY, MONTH, NEW = (AS_OF_ORDERS, AS_OF_EVENTS), (f"m = {int(AS_OF_ORDERS[5:7])}", f"m = {int(AS_OF_EVENTS[5:7])}"), ("yearbuilt >= 1998", f"yearbuilt >= {int(AS_OF_EVENTS[:4]) - 3}")
+#: Rounded from the exact value of the double, not from a product that may come out as a half.
+AIR = "22 + greatest(0.0, least(1.0, (20 - air_index) / 12)) * 70"
+EXACT = (f"round({AIR}, 1)", f"CAST(round(CAST({AIR} AS DECIMAL(30, 20)), 1) AS DOUBLE)")
 CASUALTIES = ("JOIN crashes c ON c.killed > 0 AND", "JOIN shootings c ON")
 IN_GRID = "(SELECT CASE WHEN hi = 0 THEN 100.0 WHEN lo = 1001 THEN 0.0 ELSE round(100 - least(100.0, round_even((lo + hi) / 20.0, 1)), 1) END FROM (SELECT count(*) FILTER (q < {v}) AS lo, count(*) FILTER (q <= {v}) AS hi FROM pq))"
 HALF_AT_MEDIAN = "greatest(0, 100 - 50 * {v} / (SELECT CASE WHEN coalesce(median({v}), 0) = 0 THEN 1.0 ELSE median({v}) END FROM x_{n}))"
@@ -70,7 +73,7 @@ SCORES: dict[str, tuple[str, str]] = {
     "convenience": (own_sql("sc14_convenience", True), "absolute"),
     "schools": (own_sql("sc15_schools", True), "rating"),
     "road_exposure": (own_sql("sc17_road_exposure", True), "round(greatest(0.0, 100 - 6 * road_index), 1)"),
-    "air_quality": (own_sql("sc16_air_quality", False, ("d0 / 10 AS road", "rx.road_index AS road"), ("LEFT JOIN scores s ON s.id = c.id", "LEFT JOIN rx ON rx.id = c.id")), "score"),
+    "air_quality": (own_sql("sc16_air_quality", False, ("d0 / 10 AS road", "rx.road_index AS road"), ("LEFT JOIN scores s ON s.id = c.id", "LEFT JOIN rx ON rx.id = c.id"), EXACT), "score"),
     "flood_risk": (own_sql("sc18_flood_risk", False), "score"),
     "rent_stabilized": (own_sql("sc19_rent_stabilized", False), "score"),
 }
@@ -98,7 +101,9 @@ p AS (SELECT c.*, CASE WHEN hi = 0 THEN 0.0 WHEN lo = 1001 THEN 100.0 ELSE least
 
 
 def composites(spark: SparkSession, d: str) -> DataFrame:
-    return rank.place_composites(all_scores(spark, d).where("status = 'ACTIVE'"))
+    """Composites of the scores as they are shown, to four decimals."""
+    shown = [F.round(f"{n}_score", 4).alias(f"{n}_score") for n in rank.PLACE_DIMS]
+    return rank.place_composites(all_scores(spark, d).where("status = 'ACTIVE'").select("id", *shown))
 
 
 @query("rk05_place_composites", f"{COMPOSITES} SELECT id, {', '.join(f'round(\"{k}\", 4) AS g_{k}' for k in COUNTED)}, coverage, CASE WHEN coverage >= 0.75 THEN NULL WHEN coverage >= 0.25 THEN 'limited' ELSE 'very_limited' END AS coverage_label, raw_composite, composite, dealbreakers FROM placed")
