@@ -62,8 +62,33 @@ def tax_liens(rows: DataFrame) -> DataFrame:
     return g
 
 
-def sheds(rows: DataFrame, as_of: str) -> DataFrame:
-    """rows: (bbl, status, approved, issued, expires). Active: not revoked, withdrawn or superseded, and not expired; the age is from the first approval of all rows."""
+def building_numbers(registered: DataFrame) -> DataFrame:
+    """(bbl, bin): the building number of each lot's registration, of ``registrations``; lots without one are left out."""
+    return registered.select("bbl", _blank("bin").alias("bin")).where("bbl is not null and bin is not null")
+
+
+def by_lot_or_number(rows: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """rows (bbl, bin, ...) under every lot that they belong to, by the lot's key or by its registration's number, once for each lot."""
+    if numbers is None:
+        return rows
+    rest = [c for c in rows.columns if c != "bbl"]
+    other = rows.withColumnRenamed("bbl", "__own").withColumn("bin", _blank("bin")).join(numbers, "bin").where(~F.col("__own").eqNullSafe(F.col("bbl")))
+    return rows.select("bbl", *rest).union(other.select("bbl", *rest))
+
+
+def by_number_else_lot(rows: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """rows (bbl, bin, ...) under the lots whose registration has their number; under their own lot where its registration has none."""
+    if numbers is None:
+        return rows
+    rest = [c for c in rows.columns if c != "bbl"]
+    numbered = rows.drop("bbl").withColumn("bin", _blank("bin")).join(numbers, "bin")
+    return rows.join(numbers.select("bbl"), "bbl", "left_anti").select("bbl", *rest).union(numbered.select("bbl", *rest))
+
+
+def sheds(rows: DataFrame, as_of: str, numbers: DataFrame | None = None) -> DataFrame:
+    """rows: (bbl, status, approved, issued, expires) and, with numbers (bbl, bin), bin: a lot has the permits of its key or of its
+    registration's building number. Active: not revoked, withdrawn or superseded, and not expired; the age is from the first approval of all rows."""
+    rows = by_lot_or_number(rows, numbers)
     today = F.lit(as_of).cast("date")
     live = ~F.upper(F.coalesce(F.trim("status"), F.lit(""))).isin("REVOKED", "WITHDRAWN", "SUPERSEDED") & (F.col("expires").isNull() | (F.col("expires") >= today))
     g = rows.groupBy("bbl").agg(F.count_if(live).alias("n"), F.min("approved").alias("first"), F.count("*").alias("permit_count"), _latest("issued", live, "status", "expires").alias("x"))
@@ -78,8 +103,10 @@ def elevators(rows: DataFrame) -> DataFrame:
     return live.groupBy("bbl").agg(n.alias("active_devices"), F.array_sort(F.collect_set(_blank("kind"))).alias("kinds"))
 
 
-def penalties(rows: DataFrame) -> DataFrame:
-    """rows: (bbl, status, balance). Open: the status doesn't say resolved."""
+def penalties(rows: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """rows: (bbl, status, balance) and, with numbers (bbl, bin), bin: penalties go by the building number of a lot's registration, by
+    the lot's key only where it has none. Open: the status doesn't say resolved."""
+    rows = by_number_else_lot(rows, numbers)
     live = ~F.contains(F.upper(F.coalesce("status", F.lit(""))), F.lit("RESOLVE"))
     return rows.groupBy("bbl").agg(F.count_if(live).alias("open_count"), F.count("*").alias("total_count"), F.round(F.sum(F.when(live, F.coalesce("balance", F.lit(0.0))).otherwise(0.0)), 2).alias("balance_due"))
 

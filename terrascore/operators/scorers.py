@@ -76,19 +76,20 @@ def crime(listings: DataFrame, incidents: DataFrame, lots: DataFrame, as_of: str
 
 
 def flood_risk(listings: DataFrame, lots: DataFrame) -> DataFrame:
-    """(id, match, score): 0 if the nearest lot has either flood flag, 100 if not, null without a lot."""
+    """(id, match, firm07, pfirm15, score): 0 if the nearest lot has either flood flag, 100 if not or without a lot; flags are text, blank for none."""
     near = nearest_join(listings.select("id", "lat", "lon"), right_points(lots, "lot_id"), "id", "lot_id")
-    flags = lots.select(F.col("lot_id").alias("match"), F.coalesce(F.col("firm07") == "1", F.lit(False)).alias("a"), F.coalesce(F.col("pfirm15") == "1", F.lit(False)).alias("b"))
-    return near.join(flags, "match", "left").select("id", "match", F.when(F.col("match").isNotNull(), F.when(F.col("a") | F.col("b"), 0.0).otherwise(100.0)).alias("score"))
+    out = near.join(lots.select(F.col("lot_id").alias("match"), "firm07", "pfirm15"), "match", "left")
+    firm07, pfirm15 = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("firm07", "pfirm15"))
+    return out.select("id", "match", firm07.alias("firm07"), pfirm15.alias("pfirm15"), F.when((firm07 != "") | (pfirm15 != ""), 0.0).otherwise(100.0).alias("score"))
 
 
 def rent_stabilized(listings: DataFrame, lots: DataFrame) -> DataFrame:
-    """(id, building_year, rent_stabilized, score): built before 1974 with six units or more, by the nearest lot."""
+    """(id, building_year, rent_stabilized, score): built before 1974 with six units or more, by the nearest lot; year and flag are 0 without one."""
     near = nearest_join(listings.select("id", "lat", "lon"), right_points(lots, "lot_id"), "id", "lot_id")
     facts = lots.select(F.col("lot_id").alias("match"), "yearbuilt", "unitsres")
     yes = (F.col("yearbuilt") > 0) & (F.col("yearbuilt") < 1974) & (F.col("unitsres") >= 6)
-    flag = F.when(F.col("match").isNotNull(), yes.cast("int"))
-    return near.join(facts, "match", "left").select("id", F.col("yearbuilt").alias("building_year"), flag.alias("rent_stabilized"), (flag * 100.0).alias("score"))
+    flag = F.coalesce(yes.cast("int"), F.lit(0))
+    return near.join(facts, "match", "left").select("id", F.coalesce("yearbuilt", F.lit(0)).alias("building_year"), flag.alias("rent_stabilized"), (flag * 100.0).alias("score"))
 
 
 def unit_amenities(listings: DataFrame, amenities: str = "amenities", premium: dict[str, int] = PREMIUM, standard: dict[str, int] = STANDARD) -> DataFrame:
@@ -106,7 +107,7 @@ def true_cost(price: str = "price", net: str = "net_effective") -> Column:
 
 
 def deal(listings: DataFrame, as_of: str) -> DataFrame:
-    """(id, comp_median, comp_set_size, sqft_median, price_per_sqft, tenure_months, tenure_cycles, cut_frac, months_free,
+    """(id, comp_median, comp_set_size, comp_scope, sqft_median, price_per_sqft, tenure_months, tenure_cycles, cut_frac, months_free,
     cut_recency_days, deviation, stabilized_below_median).
 
     listings: (id, neighborhood, beds, price, net_effective, sqft, status, rent_stabilized, price_history array of (event, date),
@@ -130,7 +131,7 @@ def deal(listings: DataFrame, as_of: str) -> DataFrame:
     out = j.withColumn("deviation", dev)
     below = ((F.col("rent_stabilized") != 0) & (F.col("deviation") > 0.05)).cast("int")
     return out.select(
-        "id", F.floor("cm").cast("int").alias("comp_median"), F.col("n").alias("comp_set_size"), F.when(full, F.floor("sm").cast("int")).alias("sqft_median"), F.when(full, F.round("psf", 2)).alias("price_per_sqft"),
+        "id", F.floor("cm").cast("int").alias("comp_median"), F.col("n").alias("comp_set_size"), F.lit("neighborhood").alias("comp_scope"), F.when(full, F.floor("sm").cast("int")).alias("sqft_median"), F.when(full, F.round("psf", 2)).alias("price_per_sqft"),
         "tenure_months", "tenure_cycles", F.round("cut_frac", 4).alias("cut_frac"), "months_free", "cut_recency_days", F.round("deviation", 4).alias("deviation"), below.alias("stabilized_below_median"),
     )
 

@@ -56,7 +56,7 @@ def sc01c(spark, d):
 
 @query("sc01_deal", view_sql("listings", "history").replace("WITH ", "WITH RECURSIVE ", 1) + TENURE + f""", c AS (SELECT *, CAST(CASE WHEN net_effective > 0 THEN net_effective ELSE price END AS DOUBLE) AS cost, {LEVERAGE} FROM listings), p AS (SELECT *, CASE WHEN sqft > 0 THEN cost / sqft END AS psf FROM c), g AS (SELECT neighborhood, beds, median(cost) AS cm, count(cost) AS n, median(sqft) AS sm, median(psf) AS pm, count(psf) AS ns FROM p WHERE status = 'ACTIVE' GROUP BY 1, 2),
 j AS (SELECT p.*, cm, g.n, sm, pm, sqft > 0 AND ns >= 3 AS fullrow, tn.months, CASE WHEN coalesce(n2.n, 0) < 2 THEN 0 ELSE tn.cycles END AS cycles FROM p JOIN g USING (neighborhood, beds) LEFT JOIN tn ON tn.k = p.id LEFT JOIN n2 ON n2.k = p.id WHERE g.n >= 3), d1 AS (SELECT *, CASE WHEN fullrow THEN 0.4 * (cm - cost) / cm + 0.3 * (pm - psf) / pm + 0.3 * (sqft - sm) / sm ELSE (cm - cost) / cm END AS d FROM j), d2 AS (SELECT *, CASE WHEN months IS NOT NULL THEN 0.9 * d + 0.1 * greatest(-0.5, least(1.0, (months - 12) / 24)) ELSE d END + CASE WHEN cut_recency_days <= 21 THEN coalesce(0.25 * cut_frac, 0) ELSE 0 END AS dev FROM d1)
-SELECT id, CAST(floor(cm) AS INT) AS comp_median, n AS comp_set_size, CASE WHEN fullrow THEN CAST(floor(sm) AS INT) END AS sqft_median, CASE WHEN fullrow THEN round(psf, 2) END AS price_per_sqft, months AS tenure_months, CAST(cycles AS INT) AS tenure_cycles, round(cut_frac, 4) AS cut_frac, free AS months_free, cut_recency_days, round(dev, 4) AS deviation, CAST(rent_stabilized <> 0 AND dev > 0.05 AS INT) AS stabilized_below_median FROM d2""")
+SELECT id, CAST(floor(cm) AS INT) AS comp_median, n AS comp_set_size, 'neighborhood' AS comp_scope, CASE WHEN fullrow THEN CAST(floor(sm) AS INT) END AS sqft_median, CASE WHEN fullrow THEN round(psf, 2) END AS price_per_sqft, months AS tenure_months, CAST(cycles AS INT) AS tenure_cycles, round(cut_frac, 4) AS cut_frac, free AS months_free, cut_recency_days, round(dev, 4) AS deviation, CAST(rent_stabilized <> 0 AND dev > 0.05 AS INT) AS stabilized_below_median FROM d2""")
 def sc01(spark, d):
     x = view(spark, d, "listings").join(history_of(spark, d), F.col("id") == F.col("listing_id"), "left").drop("listing_id")
     return scorers.deal(x, AS_OF_EVENTS)

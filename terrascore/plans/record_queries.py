@@ -65,12 +65,23 @@ def bf06(spark, d):
 def shed_rows(spark, d):
     n = keyed(spark, d, "notices").where("notice_id % 5 = 0")
     status = F.when(F.col("class") == "A", "Revoked").when(F.col("class") == "B", "WITHDRAWN").otherwise("Issued")
-    return n.select("bbl", status.alias("status"), F.date_sub("day", 30).alias("approved"), F.col("day").alias("issued"), F.when(F.col("n_units") % 3 != 0, F.date_add("day", 900)).alias("expires"))
+    return n.select("bbl", F.expr(SHED_BIN.replace("VARCHAR", "STRING")).alias("bin"), status.alias("status"), F.date_sub("day", 30).alias("approved"), F.col("day").alias("issued"), F.when(F.col("n_units") % 3 != 0, F.date_add("day", 900)).alias("expires"))
 
 
-@query("bf07_sidewalk_sheds", view_sql("lots", "notices") + K + f", v AS (SELECT bbl, CASE class WHEN 'A' THEN 'Revoked' WHEN 'B' THEN 'WITHDRAWN' ELSE 'Issued' END AS status, day - 30 AS approved, day AS issued, CASE WHEN n_units % 3 <> 0 THEN day + 900 END AS expires, class IN ('C', 'I') AND (n_units % 3 = 0 OR day + 900 >= DATE '{AS_OF_ORDERS}') AS live FROM k WHERE notice_id % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY bbl, live ORDER BY issued DESC, status DESC, expires DESC NULLS LAST) AS n FROM v) SELECT bbl, count(*) FILTER (live) > 0 AS has_active, max(CASE WHEN live AND n = 1 THEN status END) AS status, max(CASE WHEN live AND n = 1 THEN expires END) AS expires, CASE WHEN count(*) FILTER (live) > 0 THEN min(approved) END AS first_approved, CASE WHEN count(*) FILTER (live) > 0 THEN CAST(DATE '{AS_OF_ORDERS}' - min(approved) AS INT) END AS age_days, count(*) AS permit_count FROM r GROUP BY 1")
+def numbers(spark, d):
+    return records.building_numbers(records.registrations(*registered(spark, d), AS_OF_ORDERS))
+
+
+#: Lots with the building number of their latest registration, which some lack.
+OWN = ", own AS (SELECT t.bbl, g.bin FROM lots t LEFT JOIN (SELECT bbl, CASE WHEN lot_id % 4 <> 0 THEN concat('B', CAST(lot_id AS VARCHAR)) END AS bin FROM (SELECT *, row_number() OVER (PARTITION BY bbl ORDER BY day DESC, case_id DESC) AS k FROM c) WHERE k = 1) g USING (bbl))"
+SHED_BIN = "CASE notice_id % 4 WHEN 0 THEN concat('B', CAST(lot_id + 1 AS VARCHAR)) WHEN 2 THEN concat('B', CAST(lot_id AS VARCHAR)) END"
+CASE_BIN = "CASE case_id % 3 WHEN 1 THEN concat('B', CAST(lot_id AS VARCHAR)) WHEN 2 THEN concat('B', CAST(lot_id + 1 AS VARCHAR)) END"
+PENALTIES = f"SELECT o.bbl, count(*) FILTER (kind <> 'permit') AS open_count, count(*) AS total_count, round(coalesce(sum(floor(amount / 20)) FILTER (kind <> 'permit'), 0), 2) AS balance_due FROM own o JOIN (SELECT *, {CASE_BIN} AS bin FROM c) x ON CASE WHEN o.bin IS NOT NULL THEN x.bin = o.bin ELSE x.bbl = o.bbl END GROUP BY 1"
+
+
+@query("bf07_sidewalk_sheds", view_sql("lots", "notices", "cases") + K + C + OWN + f", v AS (SELECT bbl, {SHED_BIN} AS bin, CASE class WHEN 'A' THEN 'Revoked' WHEN 'B' THEN 'WITHDRAWN' ELSE 'Issued' END AS status, day - 30 AS approved, day AS issued, CASE WHEN n_units % 3 <> 0 THEN day + 900 END AS expires, class IN ('C', 'I') AND (n_units % 3 = 0 OR day + 900 >= DATE '{AS_OF_ORDERS}') AS live FROM k WHERE notice_id % 5 = 0), u AS (SELECT v.* REPLACE (o.bbl AS bbl) FROM own o JOIN v ON v.bbl = o.bbl OR v.bin = o.bin), r AS (SELECT *, row_number() OVER (PARTITION BY bbl, live ORDER BY issued DESC, status DESC, expires DESC NULLS LAST) AS n FROM u) SELECT bbl, count(*) FILTER (live) > 0 AS has_active, max(CASE WHEN live AND n = 1 THEN status END) AS status, max(CASE WHEN live AND n = 1 THEN expires END) AS expires, CASE WHEN count(*) FILTER (live) > 0 THEN min(approved) END AS first_approved, CASE WHEN count(*) FILTER (live) > 0 THEN CAST(DATE '{AS_OF_ORDERS}' - min(approved) AS INT) END AS age_days, count(*) AS permit_count FROM r GROUP BY 1")
 def bf07(spark, d):
-    return records.sheds(shed_rows(spark, d), AS_OF_ORDERS)
+    return records.sheds(shed_rows(spark, d), AS_OF_ORDERS, numbers(spark, d))
 
 
 def lift_rows(spark, d):
@@ -84,12 +95,12 @@ def bf08(spark, d):
 
 
 def penalty_rows(spark, d):
-    return keyed(spark, d, "cases").select("bbl", F.when(F.col("kind") == "permit", "Resolved - paid").otherwise("Active").alias("status"), F.floor(F.col("amount") / 20).cast("double").alias("balance"))
+    return keyed(spark, d, "cases").select("bbl", F.expr(CASE_BIN.replace("VARCHAR", "STRING")).alias("bin"), F.when(F.col("kind") == "permit", "Resolved - paid").otherwise("Active").alias("status"), F.floor(F.col("amount") / 20).cast("double").alias("balance"))
 
 
-@query("bf09_penalties", view_sql("lots", "cases") + C + " SELECT bbl, count(*) FILTER (kind <> 'permit') AS open_count, count(*) AS total_count, round(coalesce(sum(floor(amount / 20)) FILTER (kind <> 'permit'), 0), 2) AS balance_due FROM c GROUP BY 1")
+@query("bf09_penalties", view_sql("lots", "cases") + C + OWN + " " + PENALTIES)
 def bf09(spark, d):
-    return records.penalties(penalty_rows(spark, d))
+    return records.penalties(penalty_rows(spark, d), numbers(spark, d))
 
 
 @query("bf10_repair_orders", view_sql("lots", "cases") + C + " SELECT bbl, count(*) AS order_count, round(sum(amount), 2) AS total_awarded FROM c WHERE case_id % 7 = 0 GROUP BY 1")
@@ -98,7 +109,7 @@ def bf10(spark, d):
 
 
 def registered(spark, d):
-    rows = keyed(spark, d, "cases").select("bbl", F.col("case_id").alias("reg_id"), F.concat(F.lit("B"), F.col("lot_id").cast("string")).alias("bin"), F.col("day").alias("registered"), F.date_add("day", 500).alias("ends"))
+    rows = keyed(spark, d, "cases").select("bbl", F.col("case_id").alias("reg_id"), F.when(F.col("lot_id") % 4 != 0, F.concat(F.lit("B"), F.col("lot_id").cast("string"))).alias("bin"), F.col("day").alias("registered"), F.date_add("day", 500).alias("ends"))
     c = view(spark, d, "cases")
     text = lambda p: F.concat(F.lit(p), (F.col("case_id") % 50).cast("string"))
     officer = c.where("case_id % 2 = 0").select((F.col("case_id") * 2).alias("contact_id"), F.col("case_id").alias("reg_id"), F.lit("Head Officer").alias("role"), F.lit(None).cast("string").alias("corporation"), F.lit("Ann").alias("first"), text("Lee").alias("last"), text("Road ").alias("address"))
@@ -106,21 +117,23 @@ def registered(spark, d):
     return rows, officer.unionByName(owner)
 
 
-@query("bf11_registrations", view_sql("lots", "cases") + C + f", r AS (SELECT *, row_number() OVER (PARTITION BY bbl ORDER BY day DESC, case_id DESC) AS k FROM c) SELECT bbl, case_id AS reg_id, concat('B', CAST(lot_id AS VARCHAR)) AS bin, day AS registered, day + 500 AS ends, CASE WHEN case_id % 2 = 0 THEN concat('Ann Lee', CAST(case_id % 50 AS VARCHAR)) END AS head_officer, CASE WHEN case_id % 3 <> 0 THEN concat('Holding ', CAST(case_id % 50 AS VARCHAR)) END AS corporation, CASE WHEN case_id % 2 = 0 THEN concat('Road ', CAST(case_id % 50 AS VARCHAR)) WHEN case_id % 3 <> 0 THEN concat('Mall ', CAST(case_id % 50 AS VARCHAR)) END AS business_address, day + 500 < DATE '{AS_OF_ORDERS}' AS expired FROM r WHERE k = 1")
+@query("bf11_registrations", view_sql("lots", "cases") + C + f", r AS (SELECT *, row_number() OVER (PARTITION BY bbl ORDER BY day DESC, case_id DESC) AS k FROM c) SELECT bbl, case_id AS reg_id, CASE WHEN lot_id % 4 <> 0 THEN concat('B', CAST(lot_id AS VARCHAR)) END AS bin, day AS registered, day + 500 AS ends, CASE WHEN case_id % 2 = 0 THEN concat('Ann Lee', CAST(case_id % 50 AS VARCHAR)) END AS head_officer, CASE WHEN case_id % 3 <> 0 THEN concat('Holding ', CAST(case_id % 50 AS VARCHAR)) END AS corporation, CASE WHEN case_id % 2 = 0 THEN concat('Road ', CAST(case_id % 50 AS VARCHAR)) WHEN case_id % 3 <> 0 THEN concat('Mall ', CAST(case_id % 50 AS VARCHAR)) END AS business_address, day + 500 < DATE '{AS_OF_ORDERS}' AS expired FROM r WHERE k = 1")
 def bf11(spark, d):
     return records.registrations(*registered(spark, d), AS_OF_ORDERS)
 
 
 def facts(spark, d):
     """All topics of every lot."""
+    registration = records.registrations(*registered(spark, d), AS_OF_ORDERS)
+    own = records.building_numbers(registration)
     topics = {
         "vacate": records.vacate_orders(vacate_rows(spark, d)), "enforcement": records.enforcement(enforcement_rows(spark, d)), "bedbugs": records.bedbugs(keyed(spark, d, "notices").where("notice_id % 9 = 0")), "speculation": records.speculation(deeds(spark, d)), "liens": records.tax_liens(lien_rows(spark, d)),
-        "shed": records.sheds(shed_rows(spark, d), AS_OF_ORDERS), "elevators": None, "penalties": records.penalties(penalty_rows(spark, d)), "repairs": records.repairs(keyed(spark, d, "cases").where("case_id % 7 = 0")), "registration": records.registrations(*registered(spark, d), AS_OF_ORDERS),
+        "shed": records.sheds(shed_rows(spark, d), AS_OF_ORDERS, own), "elevators": None, "penalties": records.penalties(penalty_rows(spark, d), own), "repairs": records.repairs(keyed(spark, d, "cases").where("case_id % 7 = 0")), "registration": registration,
     }
     return records.assemble(view(spark, d, "lots"), topics)
 
 
-@query("bf12_assemble", view_sql("lots", "notices", "cases") + K + C + " SELECT t.bbl, coalesce(v.n, 0) AS vacate_orders, coalesce(b.n, 0) AS bedbug_filings, coalesce(l.n, 0) AS liens, coalesce(l.w, FALSE) AS all_water, coalesce(p.b, 0) AS balance_due, coalesce(r.n, 0) AS repair_orders, TRUE AS no_elevators FROM lots t LEFT JOIN (SELECT bbl, count(*) AS n FROM k WHERE notice_id % 4 = 0 GROUP BY 1) v USING (bbl) LEFT JOIN (SELECT bbl, count(*) AS n FROM k WHERE notice_id % 9 = 0 GROUP BY 1) b USING (bbl) LEFT JOIN (SELECT bbl, count(*) AS n, bool_and(kind <> 'eviction') AS w FROM c WHERE case_id % 5 = 0 GROUP BY 1) l USING (bbl) LEFT JOIN (SELECT bbl, round(coalesce(sum(floor(amount / 20)) FILTER (kind <> 'permit'), 0), 2) AS b FROM c GROUP BY 1) p USING (bbl) LEFT JOIN (SELECT bbl, count(*) AS n FROM c WHERE case_id % 7 = 0 GROUP BY 1) r USING (bbl)")
+@query("bf12_assemble", view_sql("lots", "notices", "cases") + K + C + OWN + f" SELECT t.bbl, coalesce(v.n, 0) AS vacate_orders, coalesce(b.n, 0) AS bedbug_filings, coalesce(l.n, 0) AS liens, coalesce(l.w, FALSE) AS all_water, coalesce(p.balance_due, 0) AS balance_due, coalesce(r.n, 0) AS repair_orders, TRUE AS no_elevators FROM lots t LEFT JOIN (SELECT bbl, count(*) AS n FROM k WHERE notice_id % 4 = 0 GROUP BY 1) v USING (bbl) LEFT JOIN (SELECT bbl, count(*) AS n FROM k WHERE notice_id % 9 = 0 GROUP BY 1) b USING (bbl) LEFT JOIN (SELECT bbl, count(*) AS n, bool_and(kind <> 'eviction') AS w FROM c WHERE case_id % 5 = 0 GROUP BY 1) l USING (bbl) LEFT JOIN ({PENALTIES}) p USING (bbl) LEFT JOIN (SELECT bbl, count(*) AS n FROM c WHERE case_id % 7 = 0 GROUP BY 1) r USING (bbl)")
 def bf12(spark, d):
     return facts(spark, d).select("bbl", F.col("vacate.total_orders").alias("vacate_orders"), F.col("bedbugs.filings").alias("bedbug_filings"), F.col("liens.entry_count").alias("liens"), "liens.all_water", "penalties.balance_due", F.col("repairs.order_count").alias("repair_orders"), F.col("elevators").isNull().alias("no_elevators"))
 

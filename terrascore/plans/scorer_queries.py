@@ -245,12 +245,15 @@ def sc10(spark, d):
 # the nearest lot's facts
 
 
-@query("sc18_flood_risk", view_sql("listings", "lots") + f", {NEAREST} SELECT l.id, b.lot_id AS match, CASE WHEN b.lot_id IS NULL THEN NULL WHEN t.firm07 = '1' OR t.pfirm15 = '1' THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END AS score FROM listings l LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON l.id = b.id LEFT JOIN lots t ON t.lot_id = b.lot_id")
+@query("sc18_flood_risk", view_sql("listings", "lots") + f", {NEAREST} SELECT l.id, b.lot_id AS match, coalesce(t.firm07, '') AS firm07, coalesce(t.pfirm15, '') AS pfirm15, CASE WHEN coalesce(t.firm07, '') <> '' OR coalesce(t.pfirm15, '') <> '' THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END AS score FROM listings l LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON l.id = b.id LEFT JOIN lots t ON t.lot_id = b.lot_id")
 def sc18(spark, d):
     return scorers.flood_risk(view(spark, d, "listings"), view(spark, d, "lots"))
 
 
-@query("sc19_rent_stabilized", view_sql("listings", "lots") + f", {NEAREST} SELECT l.id, t.yearbuilt AS building_year, CASE WHEN b.lot_id IS NULL THEN NULL WHEN t.yearbuilt > 0 AND t.yearbuilt < 1974 AND t.unitsres >= 6 THEN 1 ELSE 0 END AS rent_stabilized, CASE WHEN b.lot_id IS NULL THEN NULL WHEN t.yearbuilt > 0 AND t.yearbuilt < 1974 AND t.unitsres >= 6 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM listings l LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON l.id = b.id LEFT JOIN lots t ON t.lot_id = b.lot_id")
+STABILIZED = "t.yearbuilt > 0 AND t.yearbuilt < 1974 AND t.unitsres >= 6"
+
+
+@query("sc19_rent_stabilized", view_sql("listings", "lots") + f", {NEAREST} SELECT l.id, coalesce(t.yearbuilt, 0) AS building_year, CASE WHEN {STABILIZED} THEN 1 ELSE 0 END AS rent_stabilized, CASE WHEN {STABILIZED} THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM listings l LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON l.id = b.id LEFT JOIN lots t ON t.lot_id = b.lot_id")
 def sc19(spark, d):
     return scorers.rent_stabilized(view(spark, d, "listings"), view(spark, d, "lots"))
 
@@ -305,8 +308,8 @@ def sc07(spark, d):
 
 @query("sc08_pest", view_sql("listings", "lots", "notices", "complaints", "inspections", "scores") + f""", {MATCH}, {PRIOR}, {units_sql(100.0)}, r AS (SELECT l.id, count(*) AS n, sum({kernel('l', 'c', 50.0)} * {age('c.day', AS_OF_EVENTS)}) AS w FROM listings l JOIN complaints c ON c.type = 'Rodent' AND {near_sql('l', 'c', 100.0)} GROUP BY 1), b AS (SELECT lot_id, count(*) AS n FROM notices WHERE category = 'UNSANITARY CONDITION' AND minor = 'PESTS' GROUP BY 1),
 i AS (SELECT l.id, coalesce(contains(i.result, 'Failed') OR contains(i.result, 'Rat Activity'), FALSE) AS bad, {kernel('l', 'i', 50.0)} * {age('i.day', AS_OF_EVENTS)} AS w FROM listings l JOIN inspections i ON i.type IN ('Initial', 'Compliance') AND {near_sql('l', 'i', 100.0)}), ia AS (SELECT id, count(*) AS n, count(*) FILTER (bad) AS f, round(coalesce(sum(w) FILTER (bad), 0) / greatest(sum(w), 3), 7) AS rate FROM i GROUP BY 1),
-x AS (SELECT mt.id, mt.bbl, mt.units, coalesce(mt.new, FALSE) AND coalesce(b.n, 0) = 0 AS fresh, CASE WHEN mt.bbl IS NOT NULL THEN coalesce(b.n, 0) END AS hpd_count, coalesce(r.n, 0) AS rodent_count, round(1000 * coalesce(r.w, 0) / u.units, 4) AS rodent_rate, coalesce(ia.n, 0) AS insp_total, coalesce(ia.f, 0) AS insp_failed, coalesce(ia.rate, 0) AS insp_fail_rate FROM mt LEFT JOIN b USING (lot_id) LEFT JOIN r ON r.id = mt.id JOIN u ON u.id = mt.id LEFT JOIN ia ON ia.id = mt.id), y AS (SELECT x.*, prior, CASE WHEN bbl IS NOT NULL AND NOT fresh THEN round({rate_sql('hpd_count', 'units')}, 7) END AS per_unit FROM x, pr)
-SELECT id, hpd_count, rodent_count, hpd_count + rodent_count AS total, CASE WHEN bbl IS NOT NULL THEN CAST(units AS INT) END AS units, per_unit, rodent_rate, insp_total, insp_failed, insp_fail_rate, round_even((0.5 * insp_fail_rate + (0.3 * rodent_rate / 1000 + 0.2 * coalesce(per_unit, prior, 0))) * 10000000, 0) / 10000000 AS rate, CAST(bbl IS NULL AS INT) AS match_uncertain, CAST(fresh AS INT) AS new_building FROM y""")
+x AS (SELECT mt.id, mt.bbl, mt.units, coalesce(mt.new, FALSE) AND coalesce(b.n, 0) = 0 AS fresh, CASE WHEN mt.bbl IS NOT NULL THEN coalesce(b.n, 0) END AS hpd_count, coalesce(r.n, 0) AS rodent_count, round(CASE WHEN mt.bbl IS NOT NULL THEN coalesce(b.n, 0) END + round(coalesce(r.w, 0), 7), 7) AS weighted, round(1000 * coalesce(r.w, 0) / u.units, 4) AS rodent_rate, coalesce(ia.n, 0) AS insp_total, coalesce(ia.f, 0) AS insp_failed, coalesce(ia.rate, 0) AS insp_fail_rate FROM mt LEFT JOIN b USING (lot_id) LEFT JOIN r ON r.id = mt.id JOIN u ON u.id = mt.id LEFT JOIN ia ON ia.id = mt.id), y AS (SELECT x.*, prior, CASE WHEN bbl IS NOT NULL AND NOT fresh THEN round({rate_sql('hpd_count', 'units')}, 7) END AS per_unit FROM x, pr)
+SELECT id, hpd_count, rodent_count, hpd_count + rodent_count AS total, CASE WHEN bbl IS NOT NULL THEN CAST(units AS INT) END AS units, weighted, per_unit, rodent_rate, insp_total, insp_failed, insp_fail_rate, round_even((0.5 * insp_fail_rate + (0.3 * rodent_rate / 1000 + 0.2 * coalesce(per_unit, prior, 0))) * 10000000, 0) / 10000000 AS rate, CAST(bbl IS NULL AS INT) AS match_uncertain, CAST(fresh AS INT) AS new_building FROM y""")
 def sc08(spark, d):
     n = keyed(spark, d, "notices").select("bbl", "category", "minor")
     return buildings.pest(places(spark, d), view(spark, d, "lots"), n, view(spark, d, "complaints"), view(spark, d, "inspections"), AS_OF_EVENTS, prior_of(spark, d))

@@ -166,6 +166,28 @@ def test_records_zero_facts_and_missing_topics(spark):
     assert f == {"1": [("liens", "yellow"), ("shed", "yellow")], "2": []}
 
 
+def test_sheds_and_penalties_go_by_building_number(spark):
+    reg = spark.createDataFrame([("1", "B1"), ("2", " B2 "), ("3", " "), ("4", "B1")], "bbl string, bin string")
+    numbers = records.building_numbers(reg)
+    day = dt.date(2024, 1, 1)
+    permits = [("1", "B1", "Issued", day, day, None), ("1", "B2", "Issued", day, day, None), ("3", None, "Issued", day, day, None), (None, "B2", "Issued", day, day, None), ("9", "B9", "Issued", day, day, None)]
+    schema = "bbl string, bin string, status string, approved date, issued date, expires date"
+    got = {r.bbl: r.permit_count for r in records.sheds(spark.createDataFrame(permits, schema), DAY, numbers).where("bbl is not null").collect()}
+    assert got == {"1": 2, "2": 2, "3": 1, "4": 1, "9": 1}  # one permit of lot 1 and number B1 counts once for lot 1
+    fines = [("1", "B2", "Active", 10.0), ("2", None, "Active", 20.0), ("3", "B1", "Resolved", 40.0), ("9", "B1", "Active", 80.0), ("9", "B7", None, None)]
+    got = {r.bbl: (r.open_count, r.total_count, r.balance_due) for r in records.penalties(spark.createDataFrame(fines, "bbl string, bin string, status string, balance double"), numbers).collect()}
+    assert got == {"1": (1, 2, 80.0), "2": (1, 1, 10.0), "3": (0, 1, 0.0), "4": (1, 2, 80.0), "9": (2, 2, 80.0)}
+
+
+def test_without_a_lot_there_is_no_flood_zone_and_no_stabilised_building(spark):
+    at = spark.createDataFrame([(1, LAT, LON), (2, LAT + 1, LON)], "id int, lat double, lon double")
+    lots = spark.createDataFrame([(7, LAT, LON, None, " 1", 1950, 6)], "lot_id int, lat double, lon double, firm07 string, pfirm15 string, yearbuilt int, unitsres int")
+    got = {r.id: (r.match, r.firm07, r.pfirm15, r.score) for r in scorers.flood_risk(at, lots).collect()}
+    assert got == {1: (7, "", " 1", 0.0), 2: (None, "", "", 100.0)}
+    got = {r.id: (r.building_year, r.rent_stabilized, r.score) for r in scorers.rent_stabilized(at, lots).collect()}
+    assert got == {1: (1950, 1, 100.0), 2: (0, 0, 0.0)}
+
+
 def test_flags_of_sparse_rows_and_thresholds(spark):
     df = spark.createDataFrame([(1, 0.7, "improving", 20.0, 25, 50), (2, 1.3, "worsening", 80.0, 2, 0), (3, None, None, None, None, None)], "id int, crime_trend_ratio double, crime_trend_direction string, crime_score double, building_violation_count int, building_unitsres int")
     got = {r.id: [(x.rule, x.type, x.text) for x in r.flags] for r in flags.listing_flags(df).collect()}
