@@ -15,8 +15,8 @@ document that holds e, every place of such a term becomes a span: terms that dis
 All counts cover all documents. Terms are runs of three letters or more, in lower case. Equal texts are told by 128 bits.
 
 Texts: null is empty, without spans. Offsets are code points, ends exclusive. Rows that repeat an id and text give equal
-results; an id may be null. Very long texts are read whole, and the time for one grows no faster than its length and
-n log n of its spans. An empty table gives an empty result. Extra columns stay in sanitise() and are not read otherwise.
+results; an id may be null. Very long texts are read whole, once for each of the two kinds of terms whatever their number,
+and the time for one grows no faster than its length and n log n of its spans. An empty table gives an empty result. Extra columns stay in sanitise() and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SUPPORT = 3
 ALPHA = 0.8
 #: Terms, pairs of entity and term, or added spans that a broadcast may hold; more are joined by a shuffle.
 MOST_BROADCAST = 50_000
+#: Texts that more than one in HOT_SHARE rows hold (so fewer than HOT_SHARE) are joined in SALTS parts.
+HOT_SHARE, SALTS = 1_000, 64
 #: Matches of a text whose places are found by one inner fold.
 RUN = 64
 
@@ -111,6 +113,13 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def _any_of(terms: Column) -> Column:
+    """A pattern of whole runs of letters that are one of the terms (two letters or more, not quoted), grouped by first letter."""
+    first = lambda t: F.substring(t, 1, 1)
+    group = lambda c: F.concat(c, F.lit("(?:"), F.array_join(F.transform(F.filter(terms, lambda t: first(t) == c), lambda t: F.substring(t, F.lit(2), F.length(t))), "|"), F.lit(")"))
+    return F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform(terms, first))), group), "|"), F.lit(r")(?!\p{L})"))
+
+
 def _context(text: Column, s: Column) -> Column:
     """The characters around a span, without cut words at the outer ends and without addresses."""
     before = F.substring(text, F.greatest(s["start"] - WINDOW + 1, F.lit(1)), F.least(s["start"], F.lit(WINDOW)))
@@ -153,16 +162,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     hits = held.select("key", "names", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(by_term, "term")
     hits = hits.withColumn("hit", F.array_intersect("names", "entities")).where(F.size("hit") > 0)
     hits = hits.groupBy("key", "term").agg(F.max(F.exists("hit", lambda e: F.contains(e, F.lit(":")))).alias("value"))
-    per_text = hits.groupBy("key").agg(F.collect_list(F.struct("term", F.when(F.col("value"), "removed").otherwise("related").alias("kind"))).alias("terms"))
-    pattern = lambda t: F.concat(F.lit(r"(?iu)(?<!\p{L})\Q"), t, F.lit(r"\E(?!\p{L})"))
-    found_terms = held.select("key", "text").join(per_text, "key").select("key", "text", F.explode("terms").alias("t"))
-    matched = F.regexp_extract_all("text", pattern(F.col("t.term")), F.lit(0))
-    gaps = F.slice(F.split("text", pattern(F.col("t.term")), -1), F.lit(1), F.size(matched))
+    per_kind = hits.groupBy("key", F.when(F.col("value"), "removed").otherwise("related").alias("kind")).agg(F.collect_list("term").alias("terms"))
+    per_kind = per_kind.select("key", "kind", _any_of(F.col("terms")).alias("pattern"))
+    # a text is read once for each kind, whatever the number of its terms
+    found_terms = held.select("key", "text").join(per_kind, "key")
+    matched = F.regexp_extract_all("text", F.col("pattern"), F.lit(0))
+    gaps = F.slice(F.split("text", F.col("pattern"), -1), F.lit(1), F.size(matched))
     # places are running sums of what lies between matches; no row carries its text's arrays
-    rows_ = found_terms.select("key", F.col("t.term").alias("term"), F.col("t.kind").alias("kind"), F.posexplode(F.arrays_zip(gaps.alias("g"), matched.alias("m"))).alias("i", "x"))
-    stop = F.sum(F.length("x.g") + F.length("x.m")).over(Window.partitionBy("key", "term").orderBy("i")).cast("int")
+    rows_ = found_terms.select("key", "kind", F.posexplode(F.arrays_zip(gaps.alias("g"), matched.alias("m"))).alias("i", "x"))
+    stop = F.sum(F.length("x.g") + F.length("x.m")).over(Window.partitionBy("key", "kind").orderBy("i")).cast("int")
     added = rows_.select("key", "kind", (stop - F.length("x.m")).alias("start"), stop.alias("stop"), F.col("x.m").alias("value"), F.lit(False).alias("own"))
-    base = held.join(per_text.select("key"), "key", "left_semi").select("key", F.explode("base").alias("s")).select("key", "s.kind", "s.start", "s.stop", "s.value", F.lit(True).alias("own"))
+    base = held.join(per_kind.select("key"), "key", "left_semi").select("key", F.explode("base").alias("s")).select("key", "s.kind", "s.start", "s.stop", "s.value", F.lit(True).alias("own"))
     # a span that overlaps a base span isn't added: the furthest end of base spans before it, and the next start after it
     both, w = added.union(base), Window.partitionBy("key")
     reach = F.max(F.when(F.col("own"), F.col("stop"))).over(w.orderBy("start", F.desc("own")).rowsBetween(Window.unboundedPreceding, -1))
@@ -170,8 +180,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     free = both.withColumn("reach", reach).withColumn("next", next_).where(~F.col("own") & ~F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("next") < F.col("stop"), F.lit(False)))
     extra = cut(free.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "stop", "value"))).alias("extra")))
     spans = extra.agg(F.sum(F.size("extra"))).first()[0] or 0
-    extra = F.broadcast(extra) if spans <= MOST_BROADCAST else extra
-    return found.select("id", "key", "base").join(extra, "key", "left").select("id", "key", "base", F.coalesce("extra", F.expr(f"cast(array() as {SPAN})")).alias("extra"))
+    none = F.expr(f"cast(array() as {SPAN})")
+    if spans <= MOST_BROADCAST:
+        return found.join(F.broadcast(extra), "key", "left").select("id", "key", "base", F.coalesce("extra", none).alias("extra"))
+    # only rows with a base span can have more; copies of a text that more than a share of all rows hold are dealt out by their ids
+    own, rest = found.where("size(base) > 0").select("id", "key", "base"), found.where("size(base) = 0").select("id", "key", "base", none.alias("extra"))
+    hot = F.broadcast(cut(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > n // HOT_SHARE).select("key", F.lit(SALTS).alias("salts"))))
+    salted = lambda df: df.join(hot, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = salted(own).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    right = salted(extra).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return left.join(right, ["key", "salt"], "left").select("id", "key", "base", F.coalesce("extra", none).alias("extra")).union(rest)
 
 
 def _written(spans: Column) -> Column:
