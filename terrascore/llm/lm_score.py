@@ -3,149 +3,134 @@
 For a word w after v, S(w | v) = c(v w) / c(v) if the pair occurs at least ``LEAST`` times in the corpus, otherwise
 BACKOFF * c(w) / N; a document's first word has c(w) / N. A document's score is the sum of ln S.
 
-The counts are tables partitioned by the hash of the n-gram, and n-grams are joined to them by that hash. Documents are
-dealt into blocks by a hash; each block's distinct n-grams (64-bit hashes, words and pairs alike) go to their partitions
-together, a row for each block and partition, so equal n-grams of a block move once. A partition adds up the counts of
-all blocks and answers each block; a block joins the answers to its documents' n-grams and sums them per document. Blocks
-hold about ``BLOCK_CHARS`` characters and partitions the n-grams of about ``PART_BLOCKS`` blocks at most, so neither
-grows with the corpus; a frequent n-gram is one entry a block. Keys and counts move packed, as one row for each n-gram
-of each document would take several times the disk.
+All of it is relational. Texts are exploded into words, each with the word before it; a table counts the pairs, and the
+words from the pairs. Every word is first scored as if it were single and backed off, ln(BACKOFF / N). A *weight* says
+by how much an n-gram departs from that: ln c(w) for a word, ln c(v w) - ln c(v) - ln c(w) - ln(BACKOFF / N) for a pair.
+N-grams that occur once have weight 0 and no row. The weights, one row for each n-gram, are joined to the exploded
+n-grams by the n-gram's hash and summed per document.
+
+The most frequent n-grams, at most ``HOT`` rows, are broadcast; their number is counted, not guessed. All others are
+joined by a shuffle on their hash, and none of them is frequent enough to make a partition large. Words and pairs are
+named by 64-bit hashes.
 
 Texts: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; whole texts count, copies and repeated rows as often as
-they occur. A null or empty text has no words and the score 0. Ids may be null. Extra columns are not read. A text longer
-than a block is a block by itself. An empty table gives an empty result; equal texts have equal scores.
+they occur. A null or empty text has no words and the score 0. Ids may be null; rows of one id and text come back as
+often as they are there. Extra columns are not read. An empty table gives an empty result; equal texts have equal scores
+but for the order in which doubles are added.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+import math
+import string
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import Words, blocks, combine, mix, reduce_texts
+from .shared import drop_stored, stored
 
 LEAST, BACKOFF = 2, 0.4
-BLOCK_CHARS = 8_000_000
-#: Up to FULL_PARTS there are as many partitions as blocks, then one more for each PART_BLOCKS blocks.
-FULL_PARTS, PART_BLOCKS = 256, 8
-
-
-def _keys(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, hash of each pair of a word and the one before it or 0, bounds of the texts) of a block."""
-    ones, pairs, bounds = [], [], [np.zeros(1, np.int64)]
-    for _, data, offsets in blocks(texts):
-        words = Words(data, offsets)
-        pair = np.zeros(len(words.hash), np.uint64)
-        pair[1:] = mix(combine(words.hash, 2) ^ np.uint64(0x632BE59BD9B4E019))
-        first = words.bounds[:-1]
-        pair[first[first < len(pair)]] = 0
-        ones.append(words.hash)
-        pairs.append(pair)
-        bounds.append(words.bounds[1:] + bounds[-1][-1])
-    empty = np.empty(0, np.uint64)
-    return np.concatenate([empty, *ones]), np.concatenate([empty, *pairs]), np.concatenate(bounds)
-
-
-def _distinct(ones: np.ndarray, pairs: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct hashes in order, their counts, bounds of the partitions): partitions are ranges of the hash."""
-    keys, counts = np.unique(np.concatenate([ones, pairs[pairs != 0]]), return_counts=True)
-    return keys, counts, np.searchsorted(partition_of(keys, parts), np.arange(parts + 1))
-
-
-def partition_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """The partition of each hash, by its leading 32 bits."""
-    return (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-
-
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys as their first and the gaps between them, in as few bytes a gap as the widest needs."""
-    if not len(keys):
-        return b""
-    gaps = np.diff(keys).astype("<u8")
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return keys[:1].astype("<u8").tobytes() + bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    """The keys that pack() packed."""
-    if not data:
-        return np.empty(0, np.uint64)
-    width = data[8]
-    wide = np.zeros(((len(data) - 9) // width + 1, 8), np.uint8)
-    wide[0] = np.frombuffer(data, np.uint8, 8)
-    wide[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
-
-
-def _narrow(counts: np.ndarray) -> np.ndarray:
-    """The same numbers in the narrowest unsigned type that holds them; its size goes first when they are packed."""
-    return counts.astype(f"<u{next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << 8 * w)}")
-
-
-def _zip(counts: np.ndarray) -> bytes:
-    narrow = _narrow(counts)
-    return bytes([narrow.itemsize]) + zstandard.ZstdCompressor().compress(narrow.tobytes())
-
-
-def _unzip(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
-
-
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, log_score, mean_log_score), a row for each row; the mean is 0 for a text without words."""
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    chars, n = rows.agg(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
-    n_blocks = int(chars or 0) // BLOCK_CHARS + 1
-    parts = min(n_blocks, FULL_PARTS) + max(0, n_blocks - FULL_PARTS) // PART_BLOCKS
-    total = float(n or 1)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(n_blocks)).cast("int"))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def ask(t: pa.Table) -> pa.Table:
-        ones, pairs, _ = _keys(t.column("text"))
-        keys, counts, at = _distinct(ones, pairs, parts)
-        full = np.flatnonzero(np.diff(at)).tolist()
-        out = {
-            "part": pa.array(full, pa.int32()),
-            "block": pa.array([t.column("block")[0].as_py()] * len(full), pa.int32()),
-            "keys": pa.array([pack(keys[at[p] : at[p + 1]]) for p in full], pa.binary()),
-            "counts": pa.array([_zip(counts[at[p] : at[p + 1]]) for p in full], pa.binary()),
-        }
-        return pa.table(out)
-
-    def count(t: pa.Table) -> pa.Table:
-        lists = [unpack(k.as_py()) for k in t.column("keys")]
-        keys = np.concatenate(lists)
-        counts = np.concatenate([_unzip(c.as_py()) for c in t.column("counts")])
-        order = np.argsort(keys, kind="stable")
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = keys[order][1:] != keys[order][:-1]
-        sums = np.add.reduceat(counts[order], np.flatnonzero(fresh))
-        totals = np.empty(len(keys), np.int64)
-        totals[order] = sums[np.cumsum(fresh) - 1]
-        cuts = np.cumsum([len(x) for x in lists])[:-1]
-        return pa.table({"block": t.column("block"), "part": t.column("part"), "totals": pa.array([_zip(x) for x in np.split(totals, cuts)], pa.binary())})
-
-    def score(docs_: pa.Table, answers: pa.Table) -> pa.Table:
-        ones, pairs, bounds = _keys(docs_.column("text"))
-        keys, _, _ = _distinct(ones, pairs, parts)
-        order = np.argsort(answers.column("part").to_numpy())
-        sums = [_unzip(answers.column("totals")[int(i)].as_py()) for i in order]
-        totals = np.concatenate(sums).astype(np.float64) if sums else np.empty(0)
-        of = lambda h: totals[np.searchsorted(keys, h)]
-        value = np.empty(0)
-        if len(ones):
-            c = of(ones)
-            value = np.log(c / total)
-            at = np.flatnonzero(pairs)
-            both = of(pairs[at])
-            value[at] = np.where(both >= LEAST, np.log(both / c[at - 1]), np.log(BACKOFF) + value[at])
-        sums_ = reduce_texts(np.add, value, bounds, 0.0)
-        size = np.diff(bounds)
-        return pa.table({"id": docs_.column("id"), "n_words": pa.array(size), "log_score": pa.array(sums_), "mean_log_score": pa.array(sums_ / np.maximum(size, 1))})
-
-    asked = dealt.groupBy("block").applyInArrow(ask, "part int, block int, keys binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(count, "block int, part int, totals binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, n_words long, log_score double, mean_log_score double")
+#: Most rows of a table that are broadcast.
+HOT = 400_000
+#: Repeats of a row are given out by blocks of so many.
+REPEATS = 4096
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, of, pos, v, w): a row for each word w, the one before it (null for a first word) and its place from 0; a text
+    without words has one row of nulls. `of` is a hash of the text, which tells rows of one id apart."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    plain = F.btrim(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(SPACE))
+    words = F.when(plain != "", F.split(plain, r"[\x20\x09-\x0D]+"))
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("of"), words.alias("words"))
+    rows = rows.select("id", "of", "words", F.posexplode_outer("words").alias("pos", "word"))
+    before = F.when(F.col("pos") > 0, F.xxhash64(F.get("words", F.col("pos") - 1)))
+    return rows.select("id", "of", "pos", before.alias("v"), F.when(F.col("pos").isNotNull(), F.xxhash64("word")).alias("w"))
+
+
+def pair_key(v: Column, w: Column) -> Column:
+    """The hash of a pair of words; null without a word before."""
+    return F.when(v.isNotNull(), F.xxhash64(v, w))
+
+
+def _level(c: Column) -> Column:
+    return F.floor(F.log2(c) * 8)
+
+
+def frequent_from(table: DataFrame, most: int) -> int:
+    """The lowest level of counts such that at most `most` rows of the table have it or a higher one."""
+    sizes = dict(table.groupBy(_level(F.col("c")).alias("level")).count().collect())  # at most 8 * 64 levels
+    have, least = 0, 8 * 64
+    for level in sorted(sizes, reverse=True):
+        have += sizes[level]
+        if have > most:
+            break
+        least = level
+    return least
+
+
+def _split(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The frequent rows of a table (broadcast) and the others."""
+    least = frequent_from(table, most)
+    return F.broadcast(table.where(_level(F.col("c")) >= least).drop("c")), table.where(_level(F.col("c")) < least).drop("c")
+
+
+def counts(words: DataFrame) -> DataFrame:
+    """(size, v, w, c) of tokens(): how often each pair (size 2; v null at the start of a text) and each word (size 1, v
+    null) occurs, from LEAST up, and in one row of size 0 how many words occur less often. Texts are exploded once: the
+    words are counted from the pairs, which all branches read from one shuffle, so no filter may go below it."""
+    pairs = words.where(F.col("w").isNotNull()).groupBy("v", "w").agg(F.count("*").alias("c"))
+    singles = pairs.groupBy("w").agg(F.sum("c").alias("c"))
+    size, none = (lambda n: F.lit(n).alias("size")), F.lit(None).cast("long")
+    rare = singles.agg(F.sum(F.when(F.col("c") < LEAST, F.col("c"))).alias("c"))
+    return (
+        pairs.where(F.col("c") >= LEAST).select(size(2), "v", "w", "c")
+        .unionByName(singles.where(F.col("c") >= LEAST).select(size(1), none.alias("v"), "w", "c"))
+        .unionByName(rare.select(size(0), none.alias("v"), none.alias("w"), F.coalesce("c", F.lit(0)).alias("c")))
+    )
+
+
+def _with_count(pairs: DataFrame, word: str, name: str, frequent: DataFrame, other: DataFrame) -> DataFrame:
+    """pairs with the logarithm of the count of one of their words."""
+    named = [t.select(F.col("w").alias(word), F.col("log_c").alias(name)) for t in (frequent, other)]
+    return pairs.join(F.broadcast(named[0]), word).unionByName(pairs.join(named[0], word, "left_anti").join(named[1], word))
+
+
+def weights(counted: DataFrame, n: int, most: int = HOT) -> DataFrame:
+    """(key, weight, c) of every word and pair of counts() that occurs LEAST times or more, of n words in all."""
+    words = counted.where("size = 1").select("w", "c", F.log("c").alias("log_c"))
+    frequent, other = _split(words, most)
+    pairs = counted.where("size = 2 AND v IS NOT NULL").select("v", "w", "c")
+    pairs = _with_count(_with_count(pairs, "v", "log_v", frequent, other), "w", "log_w", frequent, other)
+    weight = F.log("c") - F.col("log_v") - F.col("log_w") - F.lit(math.log(BACKOFF / n))
+    return words.select(F.col("w").alias("key"), F.col("log_c").alias("weight"), "c").unionByName(pairs.select(pair_key(F.col("v"), F.col("w")).alias("key"), weight.alias("weight"), "c"))
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = HOT) -> DataFrame:
+    """(id, n_words, log_score, mean_log_score), a row for each row; the mean is 0 for a text without words. At most
+    `most` n-grams are broadcast."""
+    words = tokens(docs, id_col, text_col)
+    counted = stored(counts(words), "ngram-counts")
+    n = counted.where("size < 2").agg(F.sum("c")).first()[0] or 1
+    weighed = stored(weights(counted, n, most), "ngram-weights")
+    drop_stored(counted)
+    frequent, other = _split(weighed, most)
+
+    pair = pair_key(F.col("v"), F.col("w"))
+    of_word, of_pair = (frequent.select(F.col("key").alias(k), F.col("weight").alias(f"of_{k}")) for k in ("w", "p"))
+    near = (
+        words.withColumn("p", pair).join(F.broadcast(of_word), "w", "left").join(F.broadcast(of_pair), "p", "left")
+        .select("id", "of", (F.coalesce("of_w", F.lit(0.0)) + F.coalesce("of_p", F.lit(0.0))).alias("weight"),
+                F.col("pos").isNotNull().cast("long").alias("word"), (F.coalesce("pos", F.lit(0)) == 0).cast("long").alias("row"))
+    )
+    grams = words.select("id", "of", F.explode(F.array("w", pair)).alias("key")).where(F.col("key").isNotNull())
+    far = grams.join(frequent, "key", "left_anti").join(other, "key").select("id", "of", "weight", F.lit(0).cast("long").alias("word"), F.lit(0).cast("long").alias("row"))
+    sums = near.unionByName(far).groupBy("id", "of").agg(F.sum("weight").alias("weight"), F.sum("word").alias("word"), F.sum("row").alias("row"))
+
+    size = (F.col("word") / F.col("row")).cast("long")
+    backed = F.col("weight") / F.col("row") + size * math.log(BACKOFF / n) - math.log(BACKOFF)
+    found = sums.select("id", "row", size.alias("n_words"), F.when(F.col("word") > 0, backed).otherwise(F.lit(0.0)).alias("log_score"))
+    blocks = found.select("*", F.explode(F.sequence(F.lit(0), ((F.col("row") - 1) / REPEATS).cast("long"))).alias("block"))
+    each = blocks.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(REPEATS), F.col("row") - F.col("block") * REPEATS))))
+    return each.select("id", "n_words", "log_score", (F.col("log_score") / F.greatest("n_words", F.lit(1))).alias("mean_log_score"))

@@ -506,14 +506,29 @@ def test_scores_equal_sql(spark, docs):
         assert r.n_words == want[r.id][0] and r.log_score == pytest.approx(want[r.id][1], abs=1e-3) and r.mean_log_score == pytest.approx(want[r.id][2], abs=1e-5)
 
 
-def test_packed_keys_and_counts():
-    rng = np.random.default_rng(3)
-    for n in (0, 1, 2, 1000):
-        for top in (2**20, 2**40, 2**63):
-            keys = np.unique(rng.integers(0, top, n, dtype=np.uint64))
-            assert (lm_score.unpack(lm_score.pack(keys)) == keys).all()
-    for counts in ([1, 2], [255, 256], [2**32, 5], [2**40]):
-        assert lm_score._unzip(lm_score._zip(np.array(counts))).tolist() == counts
+def test_scores_of_frequent_and_other_ngrams(spark, real, sf):
+    """Equal results whether all, some or no n-grams are broadcast."""
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = {r[0]: r[1:] for r in c.sql(queries.ORACLES["op9_lm_score"]).fetchall()}
+    for most in (0, 100, 10**6):
+        got = lm_score.scores(real, most=most).collect()
+        assert len(got) == len(want)
+        assert all(r.n_words == want[r.id][0] and r.log_score == pytest.approx(want[r.id][1], abs=1e-3) for r in got)
+
+
+def test_at_most_so_many_ngrams_are_frequent(spark):
+    table = spark.createDataFrame([(i, 2 + i // 10) for i in range(1000)], "key long, c long")
+    for most in (0, 1, 9, 10, 500, 1000):
+        frequent, other = lm_score._split(table, most)
+        assert frequent.count() <= most and frequent.count() + other.count() == 1000
+    assert lm_score._split(table, 1000)[1].count() == 0
+
+
+def test_many_repeats_of_a_row_come_back(spark):
+    rows = [(7, "a b")] * (lm_score.REPEATS + 3) + [(7, "a")]
+    got = lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("id", "n_words").count().collect()
+    assert {tuple(r) for r in got} == {(7, 2, lm_score.REPEATS + 3), (7, 1, 1)}
 
 
 def test_scores_of_repeated_rows_and_null_ids(spark):
