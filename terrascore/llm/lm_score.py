@@ -37,16 +37,19 @@ REPEATS = 4096
 SPACE = " \t\n\x0b\x0c\r"
 
 
+def _plain(word: Column) -> Column:
+    """A word with A-Z in lower case. Words of ASCII alone, the most, take the quicker way."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, of, pos, v, w): a row for each word w, the one before it (null for a first word) and its place from 0; a text
-    without words has one row of nulls. `of` is a hash of the text, which tells rows of one id apart."""
+    without words has one row without a word. `of` is a hash of the text, which tells rows of one id apart."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    plain = F.btrim(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(SPACE))
-    words = F.when(plain != "", F.split(plain, r"[\x20\x09-\x0D]+"))
-    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("of"), words.alias("words"))
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("of"), F.split(F.btrim(text, F.lit(SPACE)), r"[\x20\x09-\x0D]+").alias("words"))
     rows = rows.select("id", "of", "words", F.posexplode_outer("words").alias("pos", "word"))
-    before = F.when(F.col("pos") > 0, F.xxhash64(F.get("words", F.col("pos") - 1)))
-    return rows.select("id", "of", "pos", before.alias("v"), F.when(F.col("pos").isNotNull(), F.xxhash64("word")).alias("w"))
+    before = F.when(F.col("pos") > 0, F.xxhash64(_plain(F.get("words", F.col("pos") - 1))))
+    return rows.select("id", "of", "pos", before.alias("v"), F.when(F.col("word") != "", F.xxhash64(_plain(F.col("word")))).alias("w"))
 
 
 def pair_key(v: Column, w: Column) -> Column:
@@ -122,7 +125,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     near = (
         words.withColumn("p", pair).join(F.broadcast(of_word), "w", "left").join(F.broadcast(of_pair), "p", "left")
         .select("id", "of", (F.coalesce("of_w", F.lit(0.0)) + F.coalesce("of_p", F.lit(0.0))).alias("weight"),
-                F.col("pos").isNotNull().cast("long").alias("word"), (F.coalesce("pos", F.lit(0)) == 0).cast("long").alias("row"))
+                F.col("w").isNotNull().cast("long").alias("word"), (F.col("pos") == 0).cast("long").alias("row"))
     )
     grams = words.select("id", "of", F.explode(F.array("w", pair)).alias("key")).where(F.col("key").isNotNull())
     far = grams.join(frequent, "key", "left_anti").join(other, "key").select("id", "of", "weight", F.lit(0).cast("long").alias("word"), F.lit(0).cast("long").alias("row"))
