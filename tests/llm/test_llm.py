@@ -525,6 +525,15 @@ def test_at_most_so_many_ngrams_are_frequent(spark):
     assert lm_score._split(table, 1000)[1].count() == 0
 
 
+def test_scores_with_clashing_columns_and_a_very_long_text(spark):
+    rows = [(1, "A b É\tb"), (2, "x y " * 200_000), (3, " \n "), (4, "é É")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = docs.select("*", *(F.lit("q").alias(c) for c in ("id", "of", "words", "pos", "v", "w", "p", "key", "weight", "word", "row", "c", "size")))
+    plain, other = (sorted(lm_score.scores(d).collect()) for d in (docs, clash))
+    assert [tuple(r)[:2] for r in plain] == [(1, 4), (2, 400_000), (3, 0), (4, 2)]
+    assert all(a.log_score == pytest.approx(b.log_score) for a, b in zip(plain, other, strict=True))
+
+
 def test_many_repeats_of_a_row_come_back(spark):
     rows = [(7, "a b")] * (lm_score.REPEATS + 3) + [(7, "a")]
     got = lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("id", "n_words").count().collect()
