@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terrascore.llm import ann, decontaminate, language_id, lm_score, near_dedup, pii, piece_encoding, quality, queries, repeats, token_files
+from terrascore.llm import ann, decontaminate, language_id, lm_score, near_dedup, pii, piece_encoding, quality, queries, repeats, shared, token_files
 from terrascore.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -409,6 +409,39 @@ def test_repeats_whose_anchors_are_dealt_out_by_string(spark, docs, monkeypatch)
     assert got == without_repeats(rows)
 
 
+def test_anchors_are_counted_under_even_bits():
+    """Anchors are least hashes: counted under their upper bits, thousands of these 200,000 would share them."""
+    data = np.frombuffer(np.random.default_rng(5).bytes(3_000_000), np.uint8)
+    anchor = np.unique(np.concatenate([repeats._chunks(data[k : k + 100_000], np.array([0, 100_000]), 20)[3] for k in range(0, 3_000_000, 100_000)]))
+    clashes = len(anchor) - len(np.unique(repeats._folded(anchor)))
+    assert len(anchor) > 150_000 and clashes <= 30
+
+
+def test_a_shuffle_is_freed_once_its_table_is_stored(spark):
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before = kept()
+    made = shared.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    assert kept() <= before and made.count() == 7
+
+
+def test_tables_of_bits_hold_their_keys_and_shrink(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 + 2**40).alias("key"))
+    some, none = repeats.bit_tables(df, lambda key: [key.view(np.uint64), key[:0].view(np.uint64)], 2)
+    key = (np.arange(100_000, dtype=np.int64) * 7919 + 2**40).view(np.uint64)
+    assert repeats._has(some, key[:3000]).all() and repeats._has(some, key[3000:]).mean() < 0.05 and not repeats._has(none, key).any()
+    assert len(some.value) * 64 <= 2**17
+
+
+@pytest.mark.parametrize("bits", [64, 2**12])
+def test_repeats_with_full_tables(spark, docs, monkeypatch, bits):
+    """Tables that find nearly every key only add work: whole copies are then told by the join."""
+    monkeypatch.setattr(repeats, "BITS", bits)
+    passage = "a passage of more than fifty bytes which several texts hold, some of them twice or more often, "
+    rows = [(i, f"{i % 3} " + passage * (1 + i % 2) + f"{i * 7919 % 13} and its own end of number {i // 4}") for i in range(24)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == without_repeats(rows)
+
+
 def test_suffix_ranks_order_suffixes(spark):
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 4, 5, 7, 50, 300):
