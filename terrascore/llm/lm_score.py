@@ -10,7 +10,8 @@ N-grams that occur once have weight 0 and no row. The weights, one row for each
 n-grams by the n-gram's hash and summed per document.
 
 The most frequent n-grams, at most ``HOT`` rows, are broadcast; their number is counted, not guessed. All others are
-joined by a shuffle on their hash, and none of them is frequent enough to make a partition large. Words and pairs are
+joined by a shuffle on their hash, and none of them is frequent enough to make a partition large. A partition's weights,
+one row a key, are hashed; the exploded n-grams, many times as many, stream by without being sorted. Words and pairs are
 named by 64-bit hashes.
 
 Texts: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; whole texts count, copies and repeated rows as often as
@@ -128,7 +129,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
                 F.col("w").isNotNull().cast("long").alias("word"), (F.col("pos") == 0).cast("long").alias("row"))
     )
     grams = words.select("id", "of", F.explode(F.array("w", pair)).alias("key")).where(F.col("key").isNotNull())
-    far = grams.join(frequent, "key", "left_anti").join(other, "key").select("id", "of", "weight", F.lit(0).cast("long").alias("word"), F.lit(0).cast("long").alias("row"))
+    far = grams.join(frequent, "key", "left_anti").join(other.hint("shuffle_hash"), "key").select("id", "of", "weight", F.lit(0).cast("long").alias("word"), F.lit(0).cast("long").alias("row"))
     sums = near.unionByName(far).groupBy("id", "of").agg(F.sum("weight").alias("weight"), F.sum("word").alias("word"), F.sum("row").alias("row"))
 
     size = (F.col("word") / F.col("row")).cast("long")

@@ -550,6 +550,11 @@ def test_scores_of_frequent_and_other_ngrams(spark, real, sf):
         assert all(r.n_words == want[r.id][0] and r.log_score == pytest.approx(want[r.id][1], abs=1e-3) for r in got)
 
 
+def test_ngrams_are_not_sorted_to_be_scored(spark, docs):
+    plan = lm_score.scores(docs, most=0)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_at_most_so_many_ngrams_are_frequent(spark):
     table = spark.createDataFrame([(i, 2 + i // 10) for i in range(1000)], "key long, c long")
     for most in (0, 1, 9, 10, 500, 1000):
