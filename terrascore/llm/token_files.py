@@ -67,7 +67,8 @@ class _Plain(dict):
 class WordEncoder:
     """Texts as rows of words, for a tokenizer that drops white space and marks the last id of each run of letters.
 
-    A word is encoded by the tokenizers library once and then kept, until WORD_TABLE words are kept. Words of letters
+    A word is encoded by the tokenizers library once and then kept, until WORD_TABLE words are kept; then the
+    older half of them goes, but for those that come again. Words of letters
     only are encoded many at a time, parted by spaces, and told apart by their last ids."""
 
     def __init__(self, path: str):
@@ -78,6 +79,7 @@ class WordEncoder:
         self.last = np.zeros(self.size, bool)
         self.last[[i for p, i in self.tokenizer.get_vocab().items() if p.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.plain = _Plain(self.tokenizer.normalizer)
 
     def _letters(self, text: str) -> bool:
@@ -92,6 +94,13 @@ class WordEncoder:
         for x, a, b in zip(run, bounds[:-1], bounds[1:], strict=True):
             self.words[x] = data[4 * a : 4 * b]
 
+    def _missing(self, wanted: set[str]) -> set[str]:
+        """The words that aren't kept; what the older half has of them is kept on."""
+        new = wanted.difference(self.words)
+        again = self.old.keys() & new
+        self.words.update((x, self.old[x]) for x in again)
+        return new - again if again else new
+
     def _learn(self, new: set[str]) -> None:
         words, plain, parts = self.words, self.plain, {}
         for w in new:
@@ -99,7 +108,7 @@ class WordEncoder:
             stem = w[:-1] if w[-1] in _SIGNS and len(w) > 1 and plain[w[-2]] and "<" not in w else w
             low = stem.lower() if max(stem) < "\u0130" and "<" not in stem else stem
             parts[w] = (low, w[len(stem) :])
-        need = {x for pair in parts.values() for x in pair if x}.difference(words)
+        need = self._missing({x for pair in parts.values() for x in pair if x})
         letters = [x for x in need if self._letters(x)]
         for k in range(0, len(letters), 2000):
             run = letters[k : k + 2000]
@@ -124,9 +133,9 @@ class WordEncoder:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
         rows = [[] if not t else _WHITE.findall(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        if len(self.words) > WORD_TABLE:
-            self.words.clear()
-        if new := set().union(*rows).difference(self.words):
+        if len(self.words) > WORD_TABLE // 2:
+            self.old, self.words = self.words, {}
+        if new := self._missing(set().union(*rows)):
             self._learn(new)
         get = self.words.__getitem__
         return [b"".join(map(get, r)) for r in rows]
