@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from terrascore.functions.geo import gauss
 
-from .spatial import radius_join
+from .spatial import at_spots, radius_join
 
 
 def kernel_units(places: DataFrame, lots: DataFrame, radius_m: float, key: str = "id", floor: float = 25.0) -> DataFrame:
-    """(key, units): residential units around each place, weighted by a kernel of sigma = radius / 2; at least ``floor``."""
-    near = radius_join(places, lots.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "unitsres"), radius_m)
+    """(key, units): residential units around each place, weighted by a kernel of sigma = radius / 2; at least ``floor``. Lots of the same coordinates are summed before they are joined."""
+    near = radius_join(places, at_spots(lots, F.sum("unitsres").alias("unitsres")).withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"}), radius_m)
     got = near.groupBy(key).agg(F.sum(F.col("unitsres") * gauss(F.col("dist_m"), radius_m / 2)).alias("u"))
     return places.select(key).join(got, key, "left").select(key, F.greatest(F.coalesce("u", F.lit(0.0)), F.lit(floor)).alias("units"))
 
