@@ -15,12 +15,15 @@ def nearby_neighborhoods(listings: DataFrame, delta: float = 0.02, most: int = 5
     Active listings are first cut down to a row for each neighborhood and spot."""
     spots = listings.where((F.upper("status") == "ACTIVE") & F.col("neighborhood").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col("neighborhood").alias("hood"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).distinct()
     cell = lambda c: F.floor(F.col(c) / delta)
-    a = listings.select("id", "neighborhood", "lat", "lon").withColumn("x", F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1))).withColumn("y", F.explode(F.sequence(cell("lon") - 1, cell("lon") + 1)))
-    near = a.join(spots.withColumns({"x": cell("r_lat"), "y": cell("r_lon")}), ["x", "y"])
+    # listings of one neighborhood and spot have the same neighbours
+    of = listings.select("id", F.struct("neighborhood", "lat", "lon").alias("spot"))
+    a = of.select("spot").distinct().select("spot", "spot.*").withColumn("x", F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1))).withColumn("y", F.explode(F.sequence(cell("lon") - 1, cell("lon") + 1)))
+    near = a.join(spots.withColumns({"x": cell("r_lat"), "y": cell("r_lon")}).hint("merge"), ["x", "y"])
     da, do = F.abs(F.col("lat") - F.col("r_lat")), F.abs(F.col("lon") - F.col("r_lon"))
     near = near.where((da < delta) & (do < delta) & (F.lower("hood") != F.lower(F.coalesce("neighborhood", F.lit("")))))
-    best = near.groupBy("id", "hood").agg(F.min(da + do).alias("d")).withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("d", "hood"))).where(F.col("k") <= most)
-    return best.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "hood"))), lambda x: x["hood"]).alias("neighborhoods"))
+    best = near.groupBy("spot", "hood").agg(F.min(da + do).alias("d")).withColumn("k", F.row_number().over(Window.partitionBy("spot").orderBy("d", "hood"))).where(F.col("k") <= most)
+    best = best.groupBy("spot").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "hood"))), lambda x: x["hood"]).alias("neighborhoods"))
+    return of.join(best, "spot").select("id", "neighborhoods")
 
 
 def points_of_interest(df: DataFrame) -> DataFrame:
