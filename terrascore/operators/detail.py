@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scorers import right_points
-from .spatial import radius_join
+from .spatial import nearest_rows, per_spot
 
 
 def nearby_neighborhoods(listings: DataFrame, delta: float = 0.02, most: int = 5) -> DataFrame:
@@ -46,10 +46,17 @@ def points_of_interest(df: DataFrame) -> DataFrame:
 
 def stations_near(places: DataFrame, stations: DataFrame, radius_m: float = 800.0, most: int = 8, routes: int = 12) -> DataFrame:
     """(id, stations): the nearest stations (lat, lon, station_id, name, routes array) with whole metres and their first routes."""
-    near = radius_join(places.select("id", "lat", "lon"), right_points(stations, "station_id", "name", "routes"), radius_m)
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("dist_m", "station_id"))).where(F.col("k") <= most)
+    # of the stations of one spot no more can be among the nearest than the least by id
+    least = Window.partitionBy("lat", "lon").orderBy("station_id")
+    held = stations.where("lat is not null and lon is not null").withColumn("__k", F.row_number().over(least)).where(F.col("__k") <= most)
     item = F.struct("k", "name", F.floor("dist_m").cast("int").alias("distance_m"), F.slice("routes", 1, routes).alias("routes"))
-    return near.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["name"].alias("name"), x["distance_m"].alias("distance_m"), x["routes"].alias("routes"))).alias("stations"))
+
+    def nearest(spots: DataFrame) -> DataFrame:
+        near = nearest_rows(spots, right_points(held, "station_id", "name", "routes"), radius_m, most)
+        near = near.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("dist_m", "station_id"))).where(F.col("k") <= most)
+        return near.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["name"].alias("name"), x["distance_m"].alias("distance_m"), x["routes"].alias("routes"))).alias("stations"))
+
+    return per_spot(places, nearest)
 
 
 def categorised(listings: DataFrame, keywords: DataFrame, amenities: str = "amenities") -> DataFrame:
