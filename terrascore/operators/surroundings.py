@@ -3,20 +3,25 @@
 Each takes places (id, lat, lon), the tables it reads, and an explicit day where ages count; it returns one row a place with
 its components and raw metric. ``score_against`` turns a metric into 0-100 by a frozen baseline or a fallback. A table
 that is missing (None) degrades the part that reads it, decided when the plan is built.
+
+Places of the same coordinates are worked out once, and rows of the same coordinates are summed, or cut to those that can
+count, before they meet places: work and memory go by pairs of spots, not by pairs of rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascore.functions.geo import LAT_M, LON_M, decay, gauss, half_even
 
 from .scorers import lookup, right_points
 from .polygons import dots_inside
-from .spatial import box_join, edge_distance, nearest_join, occluding_rows, path_penalty, radius_join, shielded
+from .spatial import at_spots, box_join, edge_distance, nearest_join, nearest_rows, occluding_rows, path_penalty, per_spot, radius_join, shielded, within
 from .stats import baseline_score, kernel_units, median_inverse, seasonal_factor, trend, trend_direction, trend_guard
 
 #: Noise complaint types and what one location may add to each; weights of licence classes by words.
@@ -47,6 +52,16 @@ SCHOOL_HOURS = (7, 8, 14, 15, 16)
 PM25, NO2 = "Fine particles (PM 2.5)", "Nitrogen dioxide (NO2)"
 
 
+def _once_a_spot(scorer: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A scorer of coordinates alone, run over the distinct spots of places."""
+
+    @wraps(scorer)
+    def over(places: DataFrame, *tables, **more) -> DataFrame:
+        return per_spot(places, lambda spots: scorer(spots, *tables, **more))
+
+    return over
+
+
 def score_against(df: DataFrame, metric: str, quantiles: DataFrame | None, reverse: bool, zero_is_perfect: bool, fallback) -> DataFrame:
     """df with score, to one decimal: by the baseline's quantiles (one row, array q), or fallback(df) where there is none."""
     if quantiles is None:
@@ -58,6 +73,12 @@ def _near(places: DataFrame, right: DataFrame, radius_m: float, *columns: str) -
     return radius_join(places.select("id", "lat", "lon"), right_points(right, *columns), radius_m)
 
 
+def _nearest(places: DataFrame, right: DataFrame, radius_m: float, *columns: str) -> DataFrame:
+    """(id, b): the nearest row of right (lat, lon, columns), a struct of dist_m, the columns and r_lat and r_lon, by which ties go."""
+    near = nearest_rows(places.select("id", "lat", "lon"), right_points(right, *columns), radius_m)
+    return near.groupBy("id").agg(F.min(F.struct("dist_m", *columns, "r_lat", "r_lon")).alias("b"))
+
+
 def _with(places: DataFrame, *parts: DataFrame) -> DataFrame:
     out = places.select("id")
     for p in parts:
@@ -104,14 +125,35 @@ def noise(places: DataFrame, complaints: DataFrame, licences: DataFrame | None,
     return out.select("id", n.alias("complaints"), "weighted", "nightlife", F.round(rate, 3).alias("rate"), ratio.alias("trend_ratio"), trend_direction(ratio).alias("trend_direction"))
 
 
+#: Entrances of a station up to which each knows those before it.
+SIBLINGS = 32
+
+
+def _stations(places: DataFrame, entrances: DataFrame, radius_m: float) -> DataFrame:
+    """(id, station_count): distinct stations of the entrances (lat, lon, station_id) within the radius.
+
+    An entrance counts where none of its station's earlier ones is within the radius too, so that pairs are summed and not
+    shuffled. Entrances of stations that have very many are told apart by pairs of place and station."""
+    e = at_spots(entrances.where("station_id is not null"), by=("station_id",))
+    size = e.groupBy("station_id").agg(F.count("*").alias("n"))
+    few = e.join(size.where(F.col("n") <= SIBLINGS), "station_id").groupBy("station_id").agg(F.array_sort(F.collect_list(F.struct("lat", "lon"))).alias("all"))
+    few = few.select("all", F.posexplode("all").alias("i", "p")).select("p.lat", "p.lon", F.expr("slice(all, 1, i)").alias("before"))
+    seen = F.exists("before", lambda x: within(F.col("lat"), F.col("lon"), x["lat"], x["lon"], radius_m))
+    first = _near(places, few, radius_m, "before").where(~seen).groupBy("id").agg(F.count("*").alias("n"))
+    many = _near(places, e.join(size.where(F.col("n") > SIBLINGS), "station_id", "left_semi"), radius_m, "station_id").select("id", "station_id").distinct().groupBy("id").agg(F.count("*").alias("n"))
+    return first.unionByName(many).groupBy("id").agg(F.sum("n").alias("station_count"))
+
+
+@_once_a_spot
 def transit(places: DataFrame, entrances: DataFrame, stations: DataFrame | None, stops: DataFrame | None, roads: DataFrame | None) -> DataFrame:
     """(id, station_count, routes_served, nearest_m, bus_routes, ada_nearby, cbd_routes, severance_m, score), absolute.
 
     entrances: (lat, lon, station_id, routes by spaces); stations: (station_id, routes, cbd, ada); stops: (lat, lon, routes by
     commas); roads: (lat, lon, penalty). The nearest entrance's distance is cut to whole metres; without any it is 9999."""
-    near = _near(places, entrances, 800.0, "station_id", "routes")
-    far = near.groupBy("id").agg(F.count_distinct("station_id").alias("station_count"), F.min(F.struct(F.floor("dist_m").cast("int").alias("m"), "dist_m", "station_id", "r_lat", "r_lon")).alias("best"))
-    routes = near.select("id", F.explode(F.split("routes", " ")).alias("route")).where("route <> ''").distinct()
+    known = at_spots(entrances, F.min("station_id").alias("station_id"))
+    best = _nearest(places, known, 800.0, "station_id").select("id", F.struct(F.floor("b.dist_m").cast("int").alias("m"), "b.r_lat", "b.r_lon").alias("best"))
+    route = at_spots(entrances.select("lat", "lon", F.explode(F.split("routes", " ")).alias("route")).where("route <> ''"), by=("route",))
+    routes = _near(places, route, 800.0, "route").select("id", "route").distinct()
     if stations is not None:
         each = stations.select(F.explode(F.split("routes", " ")).alias("route"), F.upper(F.trim(F.col("cbd").cast("string"))).isin("1", "TRUE", "T", "Y", "YES").alias("c"))
         centre = each.where("route <> ''").groupBy("route").agg(F.coalesce(F.max("c"), F.lit(False)).alias("central"))
@@ -122,15 +164,15 @@ def transit(places: DataFrame, entrances: DataFrame, stations: DataFrame | None,
     else:
         routes = routes.withColumn("central", ~F.col("route").isin(*OUTER_ROUTES))
     served = routes.groupBy("id").agg(F.count("*").alias("routes_served"), F.count_if("central").alias("cbd_routes"))
-    parts = [far, served]
+    parts = [_stations(places, entrances, 800.0), best, served]
     if stations is not None:
         ada = stations.where(F.col("ada").cast("string").try_cast("double") >= 1).select("station_id").distinct()
-        parts.append(near.select("id", "station_id").distinct().join(ada, "station_id").select("id").distinct().withColumn("ada_nearby", F.lit(1)))
+        parts.append(_near(places, at_spots(entrances.join(ada, "station_id", "left_semi")), 800.0).select("id").distinct().withColumn("ada_nearby", F.lit(1)))
     if stops is not None:
-        bus = _near(places, stops, 300.0, "routes").select("id", F.explode(F.split("routes", ",")).alias("r")).withColumn("r", F.trim("r")).where("r <> ''")
-        parts.append(bus.groupBy("id").agg(F.count_distinct("r").alias("bus_routes")))
+        bus = at_spots(stops.select("lat", "lon", F.explode(F.split("routes", ",")).alias("r")).withColumn("r", F.trim("r")).where("r <> ''"), by=("r",))
+        parts.append(_near(places, bus, 300.0, "r").select("id", "r").distinct().groupBy("id").agg(F.count_distinct("r").alias("bus_routes")))
     if roads is not None:
-        pairs = far.join(places.select("id", "lat", "lon"), "id").select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("best.r_lat").alias("lat2"), F.col("best.r_lon").alias("lon2"))
+        pairs = best.join(places.select("id", "lat", "lon"), "id").select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("best.r_lat").alias("lat2"), F.col("best.r_lon").alias("lon2"))
         parts.append(path_penalty(pairs, right_points(roads, "penalty"), key="id"))
     out = _with(places, *parts)
     for c in ("ada_nearby", "bus_routes", "penalty"):
@@ -145,6 +187,7 @@ def transit(places: DataFrame, entrances: DataFrame, stations: DataFrame | None,
     return out.withColumn("score", F.round(score, 1))
 
 
+@_once_a_spot
 def transit_simple(places: DataFrame, stations: DataFrame) -> DataFrame:
     """(id, station_count, routes_served, nearest_m, score): 12 a station and 3 a route within 800 m, from feed stations (lat, lon, station_id, routes array)."""
     near = _near(places, stations, 800.0, "station_id", "routes")
