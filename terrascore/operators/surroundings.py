@@ -350,12 +350,16 @@ def facilities(places: DataFrame, shelters: DataFrame, projects: DataFrame, shoo
     )
 
 
+@_once_a_spot
 def schools(places: DataFrame, all_schools: DataFrame, delta: float = 0.014) -> DataFrame:
     """(id, school, rating): the best of the schools (lat, lon, name, attendance, safe) within the box; the mean of what is above 0, in percent; none gives 0."""
     a, s = (F.when(F.col(c) > 0, F.col(c)) for c in ("attendance", "safe"))
     n = a.isNotNull().cast("int") + s.isNotNull().cast("int")
     rated = all_schools.withColumn("rating", F.round((F.coalesce(a, F.lit(0.0)) + F.coalesce(s, F.lit(0.0))) / F.nullif(n, F.lit(0)) * 100, 1)).where("rating > 0")
-    best = box_join(places.select("id", "lat", "lon"), right_points(rated, "name", "rating"), delta).groupBy("id").agg(F.max("rating").alias("rating"), F.min(F.struct(-F.col("rating"), "name")).alias("b"))
+    # the best rating of a spot first, its least name then; the best of a place is found by numbers alone, its name among the equals
+    at = right_points(at_spots(rated, F.min(F.struct(-F.col("rating"), F.col("name"))).alias("b")).select("lat", "lon", F.col("b.name").alias("name"), (-F.col("b.col1")).alias("r_rating")), "name", "r_rating")
+    top = box_join(places, at.drop("name"), delta).groupBy("id").agg(F.max("r_rating").alias("rating"))
+    best = box_join(places.join(top, "id"), at, delta).where("rating = r_rating").groupBy("id", "rating").agg(F.min(F.struct("name")).alias("b"))
     return _with(places, best).select("id", F.coalesce("b.name", F.lit("")).alias("school"), _or("rating", 0.0))
 
 
