@@ -89,8 +89,11 @@ def dots_inside(dots: DataFrame, polygons: DataFrame, edges: DataFrame, delta: f
     A dot meets the polygons of its own cell; where the cell is all inside that settles it, elsewhere the cell's edges do."""
     cells = cover(edges, poly, side).join(polygons.select(poly, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), poly)
     at = dots.withColumns({"x": cell_of(F.col("plon"), side), "y": cell_of(F.col("plat"), side)})
-    met = at.join(cells, ["x", "y"]).where((F.abs(F.col("lat") - F.col("r_lat")) <= delta) & (F.abs(F.col("lon") - F.col("r_lon")) <= delta))
-    sure = met.where("corner is null").select("id", "i")
-    open_ = met.where("corner is not null").select("id", "i", poly, "x", "y", "plat", "plon", "corner")
-    tested = open_.join(edge_cells(edges, poly, side), [poly, "x", "y"]).groupBy("id", "i", poly).agg((F.first("corner") + F.sum(between(F.col("plat"), F.col("plon"), side))).alias("n"))
+    near = (F.abs(F.col("lat") - F.col("r_lat")) <= delta) & (F.abs(F.col("lon") - F.col("r_lon")) <= delta)
+    # one cell that is all inside settles a dot: the others of its cell aren't listed, and what borders do doesn't matter
+    whole = cells.where("corner is null").select(F.col("x").alias("wx"), F.col("y").alias("wy"), "r_lat", "r_lon").distinct().hint("merge")
+    held = (F.col("x") == F.col("wx")) & (F.col("y") == F.col("wy")) & near
+    sure = at.join(whole, held, "left_semi").select("id", "i")
+    open_ = at.join(whole, held, "left_anti").join(cells.where("corner is not null").hint("merge"), ["x", "y"]).where(near).select("id", "i", poly, "x", "y", "plat", "plon", "corner")
+    tested = open_.join(edge_cells(edges, poly, side).hint("merge"), [poly, "x", "y"]).groupBy("id", "i", poly).agg((F.first("corner") + F.sum(between(F.col("plat"), F.col("plon"), side))).alias("n"))
     return sure.unionByName(tested.where("n % 2 = 1").select("id", "i")).distinct()

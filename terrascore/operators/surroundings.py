@@ -223,6 +223,7 @@ def parks(places: DataFrame, green: DataFrame, edges: DataFrame, roads: DataFram
     return _with(places, best).select("id", "b.name", "b.acres", "b.type", "b.type_mult", "b.distance_m", "b.severance_m", F.coalesce("b.effective", F.lit(0.0)).alias("effective"))
 
 
+@_once_a_spot
 def park_fraction(places: DataFrame, rings: DataFrame, edges: DataFrame, radius_m: float = 200.0, points: int = 180, delta: float = 0.03) -> DataFrame:
     """(id, fraction): share of a disc that lies in any of the rings, by points in a sunflower pattern.
 
