@@ -244,10 +244,15 @@ def greenery(places: DataFrame, trees: DataFrame, gardens: DataFrame, green: Dat
     isn't park; ``absolute`` is the fallback score."""
     dbh = F.least(F.floor(F.coalesce("dbh", F.lit(0.0))), F.lit(36))
     k = gauss(F.col("dist_m"), 100.0)
-    t = _near(places, trees, 200.0, "dbh").groupBy("id").agg(F.count("*").alias("tree_count"), F.sum(dbh).alias("canopy"), F.sum(k).alias("tw"), F.sum(k * dbh).alias("cw"))
-    g = _near(places, gardens, 500.0).groupBy("id").agg(F.count("*").alias("garden_count"), F.sum(gauss(F.col("dist_m"), 250.0)).alias("gw"))
-    p = box_join(places.select("id", "lat", "lon"), right_points(green), 0.005).groupBy("id").agg(F.count("*").alias("park_count"))
-    out = _with(places, t, g, p, fraction).select("id", _or("tree_count", 0), _or("canopy", 0), _or("garden_count", 0), _or("park_count", 0), F.least(F.coalesce("fraction", F.lit(0.0)), F.lit(0.55)).alias("f"), *(_or(c, 0.0) for c in ("tw", "cw", "gw")))
+
+    def around(spots: DataFrame) -> DataFrame:
+        t = _near(spots, at_spots(trees, F.count("*").alias("n"), F.sum(dbh).alias("d")), 200.0, "n", "d").groupBy("id").agg(F.sum("n").alias("tree_count"), F.sum("d").alias("canopy"), F.sum(F.col("n") * k).alias("tw"), F.sum(k * F.col("d")).alias("cw"))
+        g = _near(spots, at_spots(gardens, F.count("*").alias("n")), 500.0, "n").groupBy("id").agg(F.sum("n").alias("garden_count"), F.sum(F.col("n") * gauss(F.col("dist_m"), 250.0)).alias("gw"))
+        p = box_join(spots, right_points(at_spots(green, F.count("*").alias("n")), "n"), 0.005).groupBy("id").agg(F.sum("n").alias("park_count"))
+        return _with(spots, t, g, p)
+
+    out = per_spot(places, around).join(fraction, "id", "left")
+    out = out.select("id", _or("tree_count", 0), _or("canopy", 0), _or("garden_count", 0), _or("park_count", 0), F.least(F.coalesce("fraction", F.lit(0.0)), F.lit(0.55)).alias("f"), *(_or(c, 0.0) for c in ("tw", "cw", "gw")))
     again = 1 / (1 - F.col("f"))
     weighted = F.col("tw") * again / 200 * 40 + F.col("cw") * again / 2000 * 40 + F.col("gw") / 3 * 20
     root = lambda c, cap, w: F.sqrt(F.least(F.lit(1.0), F.col(c) / cap)) * w
