@@ -100,6 +100,7 @@ def licence_weight(description: Column) -> Column:
     return F.when(has_words(d, LICENCE_OFF), None).when(has_words(d, LICENCE_BAR), 1.5).when(has_words(d, LICENCE_RESTAURANT), 0.6).otherwise(1.0)
 
 
+@_once_a_spot
 def noise(places: DataFrame, complaints: DataFrame, licences: DataFrame | None, lots: DataFrame, as_of: str, radius_m: float = 150.0, unit_floor: float = 150.0) -> DataFrame:
     """(id, complaints, weighted, nightlife, rate, trend_ratio, trend_direction).
 
@@ -108,14 +109,15 @@ def noise(places: DataFrame, complaints: DataFrame, licences: DataFrame | None,
     today = F.lit(as_of).cast("date")
     known = complaints.where(F.col("type").isin(*NOISE_CAPS))
     after = F.when((F.col("type") == "Noise") & has_words(F.lower("descriptor"), ("after hours",)), 1.2).otherwise(1.0)
-    near = _near(places, known, radius_m, "type", "descriptor", "day").withColumn("w", gauss(F.col("dist_m"), radius_m / 2) * decay(F.col("day"), today) * after)
     late = F.coalesce(F.col("day") >= F.date_sub(today, 182), F.lit(False))
-    per = near.groupBy("id", F.round("r_lat", 4).alias("a"), F.round("r_lon", 4).alias("o"), "type").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.count_if(late).alias("recent"))
+    at = at_spots(known, F.sum(decay(F.col("day"), today) * after).alias("w"), F.count("*").alias("n"), F.count_if(late).alias("recent"), by=("type",))
+    near = _near(places, at, radius_m, "type", "w", "n", "recent").withColumn("w", gauss(F.col("dist_m"), radius_m / 2) * F.col("w"))
+    per = near.groupBy("id", F.round("r_lat", 4).alias("a"), F.round("r_lon", 4).alias("o"), "type").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.sum("recent").alias("recent"))
     per = per.groupBy("id").agg(F.sum("n").alias("complaints"), F.sum(F.least("w", lookup(NOISE_CAPS, F.col("type")))).alias("weighted"), F.sum("recent").alias("recent"))
     parts = [per]
     if licences is not None:
         lic = licences.withColumn("lw", licence_weight(F.col("description"))).where("lw is not null").where(F.col("expires").isNull() | (F.col("expires") >= today))
-        parts.append(_near(places, lic, radius_m, "lw").groupBy("id").agg(F.sum(F.col("lw") * gauss(F.col("dist_m"), radius_m / 2)).alias("nightlife")))
+        parts.append(_near(places, at_spots(lic, F.sum("lw").alias("lw")), radius_m, "lw").groupBy("id").agg(F.sum(F.col("lw") * gauss(F.col("dist_m"), radius_m / 2)).alias("nightlife")))
     out = _with(places, *parts, kernel_units(places, lots, radius_m)).crossJoin(F.broadcast(seasonal_factor(complaints, "day", int(as_of[5:7])))).crossJoin(F.broadcast(trend_guard(complaints, "day", as_of, lag_days=30)))
     night = F.coalesce("nightlife", F.lit(0.0)) if licences is not None else F.lit(0.0)
     out = out.withColumn("nightlife", F.round(night, 3)).withColumn("weighted", F.round(F.coalesce("weighted", F.lit(0.0)), 3))
