@@ -443,6 +443,7 @@ def road_exposure(places: DataFrame, roads: DataFrame, trucks: DataFrame, lots:
     )
 
 
+@_once_a_spot
 def street_danger(places: DataFrame, crashes: DataFrame, roads: DataFrame | None, lots: DataFrame, as_of: str) -> DataFrame:
     """(id, injuries, deaths, weighted, frontage_weighted, arterial_weighted, rate, school_hours_share).
 
@@ -450,22 +451,24 @@ def street_danger(places: DataFrame, crashes: DataFrame, roads: DataFrame | None
     of a major road counts in full if the place fronts that road (within 40 m, by name or else class) and 0.45 if not; others
     count 1.3. The road of a crash is found once, whatever places see it."""
     hurt = crashes.withColumn("injured", F.coalesce("injured", F.lit(0.0))).withColumn("killed", F.coalesce("killed", F.lit(0.0))).where("injured > 0 or killed > 0")
-    near = _near(places, hurt, 300.0, "crash_id", "injured", "killed", "day", "hour").withColumn("w", (F.col("injured") + 10 * F.col("killed")) * gauss(F.col("dist_m"), 150.0) * decay(F.col("day"), F.lit(as_of).cast("date")))
+    timed, school = F.col("hour").between(0, 23), F.col("hour").isin(*SCHOOL_HOURS)
+    weight = (F.col("injured") + 10 * F.col("killed")) * decay(F.col("day"), F.lit(as_of).cast("date"))
+    at = at_spots(hurt, F.sum("injured").alias("injured"), F.sum("killed").alias("killed"), F.sum(weight).alias("w"), F.count_if(timed).alias("timed"), F.count_if(school).alias("school"))
+    near = _near(places, at, 300.0, "injured", "killed", "w", "timed", "school").withColumn("w", F.col("w") * gauss(F.col("dist_m"), 150.0))
     if roads is not None:
         major = roads.where(F.col("road_class").isin(*MAJOR)).withColumn("name", F.trim(F.coalesce("name", F.lit(""))))
         named = F.when(F.col("name") != "", F.concat(F.lit("n:"), "name")).otherwise(F.concat(F.lit("c:"), "road_class"))
-        points = major.withColumn("road", named)
-        box = box_join(hurt.select("crash_id", "lat", "lon"), right_points(points, "way_id", "road"), 30.0 / LON_M)
+        points = at_spots(major.withColumn("road", named), F.min(F.struct("way_id", "road")).alias("way"))
+        box = box_join(at.select("lat", "lon"), right_points(points, "way"), 30.0 / LON_M)
         flat = F.hypot((F.col("r_lat") - F.col("lat")) * LAT_M, (F.col("r_lon") - F.col("lon")) * LON_M)
-        on = box.withColumn("d", flat).where("d <= 30").groupBy("crash_id").agg(F.min(F.struct("d", "way_id", "road")).alias("b")).select("crash_id", "b.road")
-        fronts = _near(places, points, 40.0, "road").select("id", "road", F.lit(True).alias("fronts")).distinct()
-        near = near.join(on, "crash_id", "left").join(fronts, ["id", "road"], "left")
+        on = box.withColumn("d", flat).where("d <= 30").groupBy("lat", "lon").agg(F.min(F.struct("d", "way")).alias("b")).select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "b.way.road")
+        fronts = _near(places, at_spots(major.withColumn("road", named), by=("road",)), 40.0, "road").select("id", "road", F.lit(True).alias("fronts")).distinct()
+        near = near.join(on, ["r_lat", "r_lon"], "left").join(fronts, ["id", "road"], "left")
         side = F.when(F.col("road").isNull(), 1.3 * F.col("w")).otherwise(0.0)
         main = F.when(F.col("road").isNotNull(), F.when(F.col("fronts"), 1.0).otherwise(0.45) * F.col("w")).otherwise(0.0)
     else:
         side, main = F.col("w"), F.lit(0.0)
-    timed = F.col("hour").between(0, 23)
-    agg = near.groupBy("id").agg(F.sum("injured").cast("long").alias("injuries"), F.sum("killed").cast("long").alias("deaths"), F.sum("w").alias("weighted"), F.sum(side).alias("side"), F.sum(main).alias("main"), F.count_if(timed).alias("timed"), F.count_if(F.col("hour").isin(*SCHOOL_HOURS)).alias("school"))
+    agg = near.groupBy("id").agg(F.sum("injured").cast("long").alias("injuries"), F.sum("killed").cast("long").alias("deaths"), F.sum("w").alias("weighted"), F.sum(side).alias("side"), F.sum(main).alias("main"), F.sum("timed").alias("timed"), F.sum("school").alias("school"))
     out = _with(places, agg, kernel_units(places, lots, 300.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     rate = 1000 * (zero("side") + zero("main")) / F.col("units")
