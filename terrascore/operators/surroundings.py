@@ -317,6 +317,7 @@ def facility_weight(kind: Column) -> Column:
     return out
 
 
+@_once_a_spot
 def facilities(places: DataFrame, shelters: DataFrame, projects: DataFrame, shootings: DataFrame | None, encampments: DataFrame | None, as_of: str) -> DataFrame:
     """(id, shelter_count, shelter_nearest_m, shelter_nearest_name, weighted_total, project_count, project_nearest_m,
     project_nearest_name, encampment_count, encampment_weighted, exposure).
@@ -325,25 +326,32 @@ def facilities(places: DataFrame, shelters: DataFrame, projects: DataFrame, shoo
     day); encampments: (lat, lon, day). A development counts at its nearest building, times a factor by the distinct incidents
     of two years within 150 m of its buildings near the place. Encampments are capped at 6 for each location."""
     today, radius = F.lit(as_of).cast("date"), 800.0
-    s = _near(places, shelters.where("lat <> 0 and lon <> 0"), radius, "name", "kind")
-    s = s.groupBy("id").agg(F.count("*").alias("s_count"), F.sum(facility_weight(F.col("kind")) * gauss(F.col("dist_m"), radius / 2)).alias("s_w"), F.min(F.struct("dist_m", "name")).alias("s_best"))
-    b = _near(places, projects.where("lat <> 0 and lon <> 0"), radius, "development").withColumn("development", F.coalesce("development", F.lit("unknown")))
-    dev = b.groupBy("id", "development").agg(F.min("dist_m").alias("d"))
-    mult = F.lit(1.0)
-    if shootings is not None:
-        recent = shootings.where(F.col("day") >= F.date_sub(today, 730))
-        # buildings and incidents meet once for each building, whatever places see it
-        houses = projects.where("lat <> 0 and lon <> 0").select("lat", "lon").distinct()
-        hit = radius_join(houses, right_points(recent, "incident"), 150.0).select(F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "incident", F.col("r_lat").alias("i_lat"), F.col("r_lon").alias("i_lon"))
-        seen = b.join(hit, (b["r_lat"] == hit["b_lat"]) & (b["r_lon"] == hit["b_lon"])).groupBy("id", "development").agg(F.count_distinct("incident").alias("n"))
-        dev = dev.join(seen, ["id", "development"], "left")
-        n = F.coalesce("n", F.lit(0))
+    at = at_spots(shelters.where("lat <> 0 and lon <> 0"), F.count("*").alias("n"), F.sum(facility_weight(F.col("kind"))).alias("w"), F.min("name").alias("name"))
+    s = _near(places, at, radius, "n", "w").groupBy("id").agg(F.sum("n").alias("s_count"), F.sum(F.col("w") * gauss(F.col("dist_m"), radius / 2)).alias("s_w"))
+    s = s.join(_nearest(places, at, radius, "name").select("id", F.col("b").alias("s_best")), "id")
+    named = at_spots(projects.where("lat <> 0 and lon <> 0").withColumn("development", F.coalesce("development", F.lit("unknown"))), by=("development",))
+    if shootings is None:
+        dev = _near(places, named, radius, "development").groupBy("id", "development").agg(F.min("dist_m").alias("d"))
+        mult = F.lit(1.0)
+    else:
+        # buildings and incidents meet once for each building, whatever places see it; more than two are as good as three, so three
+        # different ones of a spot, and of a building, tell whether there are none, up to two, or more
+        recent = at_spots(shootings.where((F.col("day") >= F.date_sub(today, 730)) & F.col("incident").isNotNull()), by=("incident",))
+        least = lambda df, *spot: df.withColumn("__k", F.row_number().over(Window.partitionBy(*spot).orderBy("incident"))).where("__k <= 3").drop("__k")
+        hit = radius_join(named.select("lat", "lon").distinct(), right_points(least(recent, "lat", "lon"), "incident"), 150.0).select("lat", "lon", "incident").distinct()
+        hit = least(hit, "lat", "lon").groupBy("lat", "lon").agg(F.collect_list("incident").alias("seen"))
+        named = named.join(hit, ["lat", "lon"], "left").withColumn("full", F.coalesce(F.size("seen") >= 3, F.lit(False)).cast("int"))
+        dev = _near(places, named, radius, "development", "full").groupBy("id", "development").agg(F.min("dist_m").alias("d"), F.max("full").alias("full"))
+        some = _near(places, named.where("full = 0 and seen is not null"), radius, "development", "seen").select("id", "development", F.explode("seen").alias("incident")).distinct()
+        dev = dev.join(some.groupBy("id", "development").agg(F.count("*").alias("n")), ["id", "development"], "left")
+        n = F.when(F.col("full") > 0, 3).otherwise(F.coalesce("n", F.lit(0)))
         mult = F.when(n <= 0, 0.4).when(n <= 2, 1.0).otherwise(1.6)
     p = dev.groupBy("id").agg(F.count("*").alias("p_count"), F.sum(mult * gauss(F.col("d"), radius / 2)).alias("p_w"), F.min(F.struct("d", "development")).alias("p_best"))
     parts = [s, p]
     if encampments is not None:
-        e = _near(places, encampments, 200.0, "day").withColumn("w", gauss(F.col("dist_m"), 100.0) * decay(F.col("day"), today))
-        e = e.groupBy("id", F.round("r_lat", 4).alias("a"), F.round("r_lon", 4).alias("o")).agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+        e = at_spots(encampments, F.count("*").alias("n"), F.sum(decay(F.col("day"), today)).alias("w"))
+        e = _near(places, e, 200.0, "n", "w").withColumn("w", gauss(F.col("dist_m"), 100.0) * F.col("w"))
+        e = e.groupBy("id", F.round("r_lat", 4).alias("a"), F.round("r_lon", 4).alias("o")).agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
         parts.append(e.groupBy("id").agg(F.sum("n").alias("e_count"), F.sum(F.least("w", F.lit(6.0))).alias("e_w")))
     out = _with(places, *parts)
     for c in ("e_count", "e_w"):
