@@ -270,6 +270,7 @@ def _severed(places: DataFrame, nearest: DataFrame, roads: DataFrame | None) ->
     return nearest.join(path_penalty(pairs, right_points(roads, "penalty"), key="id"), "id", "left")
 
 
+@_once_a_spot
 def convenience(places: DataFrame, amenities: DataFrame, supermarkets: DataFrame | None, roads: DataFrame | None, radius_m: float = 500.0) -> DataFrame:
     """(id, a count for each category, total, weighted, supermarket_count, supermarket_nearest_m, absolute).
 
@@ -277,20 +278,21 @@ def convenience(places: DataFrame, amenities: DataFrame, supermarkets: DataFrame
     The nearest grocery and supermarket count at their distance with the severance on the way. Small supermarkets add a
     quarter to groceries; with supermarkets at hand groceries weigh half."""
     kernel = lambda d: gauss(d, radius_m / 2)
-    near = _near(places, amenities.where(F.col("category").isin(*CONVENIENCE)), radius_m, "category", "key")
     cat = lambda c: F.col("category") == c
-    agg = near.groupBy("id").agg(*(F.count_if(cat(c)).alias(c) for c in CONVENIENCE), *(F.sum(F.when(cat(c), kernel(F.col("dist_m"))).otherwise(0.0)).alias(f"k_{c}") for c in CONVENIENCE))
+    kinds = at_spots(amenities.where(F.col("category").isin(*CONVENIENCE)), *(F.count_if(cat(c)).alias(c) for c in CONVENIENCE))
+    agg = _near(places, kinds, radius_m, *CONVENIENCE).groupBy("id").agg(*(F.sum(c).alias(c) for c in CONVENIENCE), *(F.sum(F.col(c) * kernel(F.col("dist_m"))).alias(f"k_{c}") for c in CONVENIENCE))
     moved = lambda w: w * (kernel(F.col("dist_m") + F.col("penalty")) - kernel(F.col("dist_m")))
-    first = near.where(cat("grocery")).groupBy("id").agg(F.min(F.struct("dist_m", "key", "r_lat", "r_lon")).alias("b")).select("id", "b.dist_m", "b.r_lat", "b.r_lon")
+    first = _nearest(places, at_spots(amenities.where(cat("grocery")), F.min("key").alias("key")), radius_m, "key").select("id", "b.dist_m", "b.r_lat", "b.r_lon")
     grocery = _severed(places, first, roads).select("id", F.when(F.col("penalty") > 0, moved(F.lit(1.0))).otherwise(0.0).alias("g_move"))
     parts = [agg, grocery]
     if supermarkets is not None:
         size = F.coalesce(F.col("sqft"), F.lit(0.0))
         tier = F.when(size >= 6000, 1.5).when(size >= 3000, 1.0)
-        sm = _near(places, supermarkets.withColumn("tier", tier), radius_m, "tier", "key")
-        big = sm.where("tier is not null")
-        parts.append(sm.groupBy("id").agg(F.count("tier").alias("sm_count"), F.coalesce(F.sum(F.col("tier") * kernel(F.col("dist_m"))), F.lit(0.0)).alias("sm"), F.sum(F.when(F.col("tier").isNull(), 0.25 * kernel(F.col("dist_m"))).otherwise(0.0)).alias("g_small")))
-        b = big.groupBy("id").agg(F.min(F.struct("dist_m", "key", "r_lat", "r_lon", "tier")).alias("b")).select("id", "b.dist_m", "b.r_lat", "b.r_lon", "b.tier")
+        shops = supermarkets.withColumn("tier", tier)
+        sm = _near(places, at_spots(shops, F.count("tier").alias("n"), F.sum("tier").alias("t"), F.count_if(F.col("tier").isNull()).alias("small")), radius_m, "n", "t", "small")
+        parts.append(sm.groupBy("id").agg(F.sum("n").alias("sm_count"), F.coalesce(F.sum(F.col("t") * kernel(F.col("dist_m"))), F.lit(0.0)).alias("sm"), F.sum(F.col("small") * 0.25 * kernel(F.col("dist_m"))).alias("g_small")))
+        big = at_spots(shops.where("tier is not null"), F.min(F.struct("key", "tier")).alias("shop"))
+        b = _nearest(places, big, radius_m, "shop").select("id", "b.dist_m", "b.r_lat", "b.r_lon", "b.shop.tier")
         parts.append(_severed(places, b, roads).select("id", F.round(F.col("dist_m") + F.col("penalty"), 1).alias("sm_nearest"), F.when(F.col("penalty") > 0, moved(F.col("tier"))).otherwise(0.0).alias("sm_move")))
     out = _with(places, *parts)
     with_sm = supermarkets is not None
