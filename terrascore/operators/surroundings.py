@@ -404,6 +404,7 @@ def air_quality(places: DataFrame, lots: DataFrame, readings: DataFrame, roads:
     return out.withColumn("air_index", index).select("id", "pm25", "no2", "no2_local", "road_adj", "air_index", F.when(F.col("air_index").isNotNull(), score).alias("score"))
 
 
+@_once_a_spot
 def road_exposure(places: DataFrame, roads: DataFrame, trucks: DataFrame, lots: DataFrame, stations: DataFrame | None, stops: DataFrame | None, firehouses: DataFrame | None) -> DataFrame:
     """(id, hwy_dist_m, shield_rows, arterial, truck, el_dist_m, el, bus, firehouse_m, road_index).
 
@@ -411,7 +412,7 @@ def road_exposure(places: DataFrame, roads: DataFrame, trucks: DataFrame, lots:
     lon, structure); stops: (lat, lon, stop_id, route_count). Tunnels don't count. Highways and elevated lines weaken with
     the rows of buildings before them; arterials beyond 60 m behind one building weaken too; bridges never do."""
     open_ = roads.where("not coalesce(tunnel, false)").withColumn("bridge", F.coalesce("bridge", F.lit(False)))
-    tall = right_points(lots.where("numfloors >= 3"))
+    tall = right_points(at_spots(lots.where("numfloors >= 3")))
     start = places.select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
 
     def seen(best: DataFrame) -> DataFrame:
@@ -419,28 +420,26 @@ def road_exposure(places: DataFrame, roads: DataFrame, trucks: DataFrame, lots:
         return best.join(occluding_rows(pairs, tall, key="id"), "id", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
 
     left = lambda rows: F.when(rows <= 0, OCCLUSION[0]).when(rows == 1, OCCLUSION[1]).otherwise(OCCLUSION[2])
-    hwy = _near(places, open_.where(F.col("road_class").isin(*HIGHWAYS)), 1000.0, "way_id", "bridge")
-    hwy = hwy.groupBy("id").agg(F.min(F.struct("dist_m", "way_id", "r_lat", "r_lon", "bridge")).alias("b")).select("id", "b.*")
+    way = at_spots(open_.where(F.col("road_class").isin(*HIGHWAYS)), F.min(F.struct("way_id", "bridge")).alias("way"))
+    hwy = _nearest(places, way, 1000.0, "way").select("id", "b.dist_m", "b.r_lat", "b.r_lon", "b.way.bridge")
     free = hwy.where("bridge").withColumn("rows", F.lit(0))
     hwy = seen(hwy.where("not bridge")).select("id", "dist_m", "rows").unionByName(free.select("id", "dist_m", "rows"))
     hwy = hwy.select("id", F.col("dist_m").alias("hwy"), F.col("rows").alias("shield_rows"), (10 * F.exp(-F.col("dist_m") / 250) * left(F.col("rows"))).alias("x_hwy"))
-    art = _near(places, open_.where(F.col("road_class").isin(*ROAD_WEIGHT)), 150.0, "way_id", "road_class", "bridge")
-    k = lookup(ROAD_WEIGHT, F.col("road_class")) * gauss(F.col("dist_m"), 75.0)
-    behind = art.where("dist_m > 60 and not bridge")
-    mid = behind.select("id", "way_id", "lat", "lon", "r_lat", "r_lon")
-    hid = shielded(mid, tall)
-    art = art.join(hid, ["id", "way_id", "r_lat", "r_lon"], "left").withColumn("w", k * F.when(F.col("hidden"), 0.35).otherwise(1.0))
+    art = _near(places, at_spots(open_.where(F.col("road_class").isin(*ROAD_WEIGHT)), F.count("*").alias("n"), by=("road_class", "bridge")), 150.0, "road_class", "bridge", "n")
+    k = lookup(ROAD_WEIGHT, F.col("road_class")) * gauss(F.col("dist_m"), 75.0) * F.col("n")
+    hid = shielded(art.where("dist_m > 60 and not bridge").select("id", "lat", "lon", "r_lat", "r_lon").distinct(), tall)
+    art = art.join(hid, ["id", "r_lat", "r_lon"], "left").withColumn("w", k * F.when(F.col("hidden") & ~F.col("bridge"), 0.35).otherwise(1.0))
     art = art.groupBy("id").agg((F.sum("w") / 2).alias("arterial"))
-    truck = _near(places, trucks, 100.0).groupBy("id").agg((3 * F.exp(-F.min("dist_m") / 60)).alias("truck"))
+    truck = _near(places, at_spots(trucks), 100.0).groupBy("id").agg((3 * F.exp(-F.min("dist_m") / 60)).alias("truck"))
     parts = [hwy, art, truck]
     if stations is not None:
-        el = _near(places, stations.where("structure = 'Elevated'"), 800.0).groupBy("id").agg(F.min(F.struct("dist_m", "r_lat", "r_lon")).alias("b")).select("id", "b.*")
+        el = _nearest(places, at_spots(stations.where("structure = 'Elevated'")), 800.0).select("id", "b.*")
         parts.append(seen(el).select("id", F.col("dist_m").alias("el_m"), (6 * F.exp(-F.col("dist_m") / 300) * left(F.col("rows"))).alias("el")))
     if stops is not None:
-        bus = _near(places, stops, 120.0, "stop_id", "route_count").groupBy("id").agg(F.min(F.struct("dist_m", "stop_id", "route_count")).alias("b"))
-        parts.append(bus.select("id", (F.least(F.lit(4.0), 0.35 * F.coalesce("b.route_count", F.lit(0))) * gauss(F.col("b.dist_m"), 60.0)).alias("bus")))
+        bus = _nearest(places, at_spots(stops, F.min(F.struct("stop_id", "route_count")).alias("stop")), 120.0, "stop")
+        parts.append(bus.select("id", (F.least(F.lit(4.0), 0.35 * F.coalesce("b.stop.route_count", F.lit(0))) * gauss(F.col("b.dist_m"), 60.0)).alias("bus")))
     if firehouses is not None:
-        parts.append(_near(places, firehouses, 150.0).groupBy("id").agg(F.min("dist_m").alias("fire_m")))
+        parts.append(_near(places, at_spots(firehouses), 150.0).groupBy("id").agg(F.min("dist_m").alias("fire_m")))
     out = _with(places, *parts)
     for c in ("el_m", "el", "bus", "fire_m"):
         out = out if c in out.columns else out.withColumn(c, F.lit(None).cast("double"))
