@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascore.functions.geo import LAT_M, LON_M, decay, gauss, half_even
+from terrascore.sources.store import cut
 
 from .scorers import lookup, right_points
 from .polygons import dots_inside
-from .spatial import at_spots, box_join, edge_distance, nearest_join, nearest_rows, occluding_rows, path_penalty, per_spot, radius_join, shielded, within
+from .spatial import at_spots, box_join, edge_distance, nearest_join, nearest_rows, occluding_rows, path_length, path_penalty, per_spot, radius_join, shielded, within
 from .stats import baseline_score, kernel_units, median_inverse, seasonal_factor, trend, trend_direction, trend_guard
 
 #: Noise complaint types and what one location may add to each; weights of licence classes by words.
@@ -37,6 +38,9 @@ PARK_TYPES = {
     "triangle/plaza": 0.1, "triangle": 0.1, "plaza": 0.1, "mall": 0.1, "strip": 0.1, "parkway": 0.1, "cemetery": 0.1,
     "playground": 0.7, "jointly operated playground": 0.7, "neighborhood park": 1.0, "community park": 1.0, "flagship park": 1.0, "nature area": 0.9,
 }
+#: Paths up to this length aren't severed, see path_penalty; how far apart centres of parks close by are; and of all.
+PATH_LEAST_M = 40.0
+CLOSE_DELTA = 0.003
 PARK_DELTA = 2000 / 111_320 * 1.5
 #: Categories with their weight in the count, the cap and the weight in the metric.
 CONVENIENCE = {"grocery": (3, 8.0, 30.0), "pharmacy": (3, 4.0, 20.0), "gym": (2, 4.0, 15.0), "laundry": (2, 3.0, 15.0), "dining": (1, 30.0, 20.0)}
@@ -206,23 +210,43 @@ def _tier(acres: Column, which: int) -> Column:
     return out
 
 
+@_once_a_spot
 def parks(places: DataFrame, green: DataFrame, edges: DataFrame, roads: DataFrame | None) -> DataFrame:
     """(id, name, acres, type, type_mult, distance_m, severance_m, effective): the park of the best effective score.
 
     green: (park_id, name, acres, type, lat, lon of the centre); edges: see spatial.segments. Effective is quality times type
     multiplier times (1 - way / reach) * 100; the way is the distance to the outline and the severance towards the centre."""
-    p = green.select("park_id", "name", "acres", "type", "lat", "lon", _tier(F.col("acres"), 1).alias("quality"), _tier(F.col("acres"), 2).alias("reach"), lookup(PARK_TYPES, F.lower(F.trim("type"))).alias("type_mult"))
-    at = edge_distance(places.select("id", "lat", "lon"), p, edges, PARK_DELTA)
-    c = at.join(p, "park_id").where((F.col("edge_m") < F.col("reach")) & (F.col("type_mult") > 0))
-    if roads is not None:
-        pairs = c.join(places.select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), "id").select("id", "park_id", "lat1", "lon1", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.concat_ws("/", "id", "park_id").alias("pair"))
-        c = c.withColumn("pair", F.concat_ws("/", "id", "park_id")).join(path_penalty(pairs, right_points(roads, "penalty")), "pair", "left").drop("pair").withColumn("severance_m", F.coalesce("penalty", F.lit(0.0)))
+    p = green.select("park_id", "lat", "lon", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), _tier(F.col("acres"), 1).alias("quality"), _tier(F.col("acres"), 2).alias("reach"), lookup(PARK_TYPES, F.lower(F.trim("type"))).alias("type_mult"))
+    p = p.where("type_mult > 0")
+    own = ("a_lat", "a_lon", "b_lat", "b_lon", "quality", "reach", "type_mult")
+    gain = lambda way: (1 - way / F.col("reach")) * F.col("quality") * F.col("type_mult") * 100
+
+    def seen(at: DataFrame, delta: float, least: str | None = None) -> DataFrame:
+        """Pairs of a place and a park within its reach, centres within delta, with what the park is worth without severance; with least, those worth as much as that."""
+        at = at.withColumns({"a_lat": F.col("lat"), "a_lon": F.col("lon")})
+        test = lambda d: (d < F.col("reach")) & (gain(d) >= F.col(least)) if least else d < F.col("reach")
+        c = edge_distance(at, p, edges, delta, asked=test, keep=(*own, least) if least else own).where(test(F.col("edge_m"))).withColumn("gain", gain(F.col("edge_m")))
+        return c.withColumnsRenamed({"a_lat": "lat1", "a_lon": "lon1", "b_lat": "lat2", "b_lon": "lon2"})
+
+    def severed(c: DataFrame) -> DataFrame:
+        """(id, park_id, ..., severance_m, effective) of pairs that severance leaves within reach."""
+        c = cut(c, "park-paths").withColumn("pair", F.struct("id", "park_id"))
+        c = c.join(path_penalty(c.select("pair", "lat1", "lon1", "lat2", "lon2"), right_points(roads, "penalty")), "pair", "left").withColumn("severance_m", F.coalesce("penalty", F.lit(0.0)))
+        return c.where(F.col("edge_m") + F.col("severance_m") < F.col("reach")).withColumn("effective", gain(F.col("edge_m") + F.col("severance_m")))
+
+    if roads is None:
+        c = seen(places, PARK_DELTA).withColumns({"severance_m": F.lit(0.0), "effective": F.col("gain")})
     else:
-        c = c.withColumn("severance_m", F.lit(0.0))
-    way = F.col("edge_m") + F.col("severance_m")
-    c = c.where(way < F.col("reach")).withColumn("effective", (1 - way / F.col("reach")) * F.col("quality") * F.col("type_mult") * 100)
-    best = c.groupBy("id").agg(F.max_by(F.struct("name", "acres", "type", "type_mult", F.floor("edge_m").cast("int").alias("distance_m"), F.round("severance_m", 1).alias("severance_m"), "effective"), F.struct("effective", -F.col("park_id"))).alias("b"))
-    return _with(places, best).select("id", "b.name", "b.acres", "b.type", "b.type_mult", "b.distance_m", "b.severance_m", F.coalesce("b.effective", F.lit(0.0)).alias("effective"))
+        # severance only takes away: a park worth less without it than another with it can't be the best, so its path isn't walked.
+        # What the parks close by are worth is found first; a place without any has nothing to go by, and all its parks are walked to
+        close = seen(places, CLOSE_DELTA)
+        top = cut(close.groupBy("id").agg(F.max("gain").alias("most"), F.max(F.when(path_length() <= PATH_LEAST_M, F.col("gain"))).alias("free")), "park-gains")
+        found = severed(seen(places.join(top, "id"), CLOSE_DELTA, "most")).groupBy("id").agg(F.max("effective").alias("found"))
+        bound = top.join(found, "id", "left").select("id", F.greatest("free", "found").alias("least"))
+        c = severed(seen(places.join(bound, "id", "left").fillna(0.0, ["least"]), PARK_DELTA, "least"))
+    best = c.groupBy("id").agg(F.max_by(F.struct("park_id", "type_mult", F.floor("edge_m").cast("int").alias("distance_m"), F.round("severance_m", 1).alias("severance_m"), "effective"), F.struct("effective", -F.col("park_id"))).alias("b"))
+    best = best.select("id", "b.*").join(green.select("park_id", "name", "acres", "type"), "park_id")
+    return _with(places, best).select("id", "name", "acres", "type", "type_mult", "distance_m", "severance_m", F.coalesce("effective", F.lit(0.0)).alias("effective"))
 
 
 @_once_a_spot
