@@ -102,10 +102,12 @@ def described(listings: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 
 def details(listings: DataFrame, parts: dict[str, DataFrame], key: str = "id") -> DataFrame:
-    """One nested row a listing: each part (key, one or more columns) as a struct or, with one column, as that column. Listings without a part have null there."""
+    """One nested row a listing: each part (key, one or more columns) as a struct or, with one column, as that column. Listings without a part have null there.
+
+    A part has a row a listing, so none is broadcast, however small the files that it is made from."""
     out = listings
     for name, df in parts.items():
         rest = [c for c in df.columns if c != key]
         value = F.col(rest[0]) if len(rest) == 1 else F.struct(*rest)
-        out = out.join(df.select(key, value.alias(f"__{name}")), key, "left").withColumnRenamed(f"__{name}", name)
+        out = out.join(df.select(key, value.alias(f"__{name}")).hint("merge"), key, "left").withColumnRenamed(f"__{name}", name)
     return out

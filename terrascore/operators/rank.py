@@ -129,7 +129,7 @@ def peer_context(df: DataFrame, group: str, dims: list[str], key: str = "id", le
     n = F.col("n")
     med = per.groupBy(group, "dim").agg(((at_place("v", F.floor((n - 1) / 2)) + at_place("v", F.floor(n / 2))) / 2).alias("median"))
     pct = F.rint(100 * (F.col("n_below") + F.col("n_eq") / 2) / n).cast("int")  # halves to the even number
-    return long_.join(per, [group, "dim", "v"]).join(med, [group, "dim"]).where(n >= least).select(key, "dim", pct.alias("percentile"), half_even(F.col("median"), 1).alias("median"), "n")
+    return long_.join(per.hint("merge"), [group, "dim", "v"]).join(med, [group, "dim"]).where(n >= least).select(key, "dim", pct.alias("percentile"), half_even(F.col("median"), 1).alias("median"), "n")
 
 
 def candidates(df: DataFrame, key: str = "id", most: int = 50, few: int = 12) -> DataFrame:
